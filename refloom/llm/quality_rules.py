@@ -3,7 +3,8 @@
 Rules over document statistics vote good, vote bad or abstain. Expectation-maximisation
 over the counts of vote patterns estimates how often each rule is right on good and on
 bad documents; a document is kept when its posterior probability of being good is at
-least one half and the base filter passes.
+least one half and the base filter passes. Only documents that pass the base filter
+take part in the estimation.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words < 50", "n_words >= 100"),
+    Rule("length", "n_words < 20", "n_words >= 100"),
     Rule("symbols", "10 * n_symbols > n_words", "50 * n_symbols < n_words"),
     Rule("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words < 15 * n_words"),
     Rule("dup_lines", "100 * n_dup_lines > 30 * n_text_lines", "100 * n_dup_lines < 10 * n_text_lines"),
@@ -41,10 +42,12 @@ RULES = (
 )
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
-#: Rounds of expectation-maximisation and its start: the share of good documents and
-#: how often a rule that votes is right; PRIOR pseudo-votes at the start's rate smooth both.
+#: Rounds of expectation-maximisation and its start: the share of good documents, and how
+#: often a voting rule is right on a good one (rules are written to spare good documents) and
+#: on a bad one (each rule knows one kind of junk). PRIOR pseudo-votes at these rates smooth.
 ROUNDS = 15
-START_GOOD, START_RIGHT, PRIOR = 0.8, 0.8, 2.0
+START_GOOD, PRIOR = 0.8, 5.0
+START_RIGHT = {"a": 0.998, "b": 0.3}
 
 
 def document_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -129,7 +132,7 @@ def estimate(patterns: DataFrame, rules=RULES, rounds: int = ROUNDS) -> dict[str
     There are at most 3**rules patterns, whatever the number of documents; the driver
     only carries the round's parameters.
     """
-    params = {"p": START_GOOD} | {f"{k}{j}": START_RIGHT for k in "ab" for j in range(len(rules))}
+    params = {"p": START_GOOD} | {f"{k}{j}": START_RIGHT[k] for k in "ab" for j in range(len(rules))}
     for _ in range(rounds):
         odds = log_odds_sql({k: f"{v!r}D" for k, v in params.items()}, rules)
         sums = patterns.selectExpr("*", f"1 / (1 + exp(-({odds}))) AS post").agg(*[F.expr(sql).alias(n) for n, sql in sums_sql(rules)]).first()
@@ -137,8 +140,8 @@ def estimate(patterns: DataFrame, rules=RULES, rounds: int = ROUNDS) -> dict[str
             return params
         params = {"p": (sums["g"] + PRIOR * START_GOOD) / (sums["t"] + PRIOR)}
         for j in range(len(rules)):
-            params[f"a{j}"] = (sums[f"ga{j}"] + PRIOR * START_RIGHT) / (sums[f"gn{j}"] + PRIOR)
-            params[f"b{j}"] = (sums[f"bb{j}"] + PRIOR * START_RIGHT) / (sums[f"bn{j}"] + PRIOR)
+            params[f"a{j}"] = (sums[f"ga{j}"] + PRIOR * START_RIGHT["a"]) / (sums[f"gn{j}"] + PRIOR)
+            params[f"b{j}"] = (sums[f"bb{j}"] + PRIOR * START_RIGHT["b"]) / (sums[f"bn{j}"] + PRIOR)
     return params
 
 
@@ -156,6 +159,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules=RULES, keep_tex
     kept = docs.drop(*[c for c in docs.columns if c.lower() in outputs])
     votes = {f"v{j}": F.expr(vote_sql(r)) for j, r in enumerate(rules)}
     narrow = document_stats(kept.select(F.col(text_col).alias("qr_text")), "qr_text").drop("qr_text").withColumns(votes)
+    # documents that the base filter rejects anyway would teach the rules about a kind of junk that is gone
+    narrow = narrow.where(f"NOT ({BASE_FAILED})")
     patterns = stage(narrow.groupBy(*votes).agg(F.count("*").cast("double").alias("c")).coalesce(1))
     params = estimate(patterns, rules)
     odds = log_odds_sql({k: f"{v!r}D" for k, v in params.items()}, rules)
@@ -195,8 +200,8 @@ def oracle(source: str = "documents", final: str | None = None) -> str:
   CAST(coalesce(covered, 0) AS BIGINT) AS n_repeat_words
   FROM qr_w LEFT JOIN qr_cov USING (qr_row))""",
         "qr_votes AS MATERIALIZED (SELECT *, " + ", ".join(f"{vote_sql(r)} AS v{j}" for j, r in enumerate(RULES)) + " FROM qr_stats)",
-        "qr_pat AS MATERIALIZED (SELECT " + ", ".join(f"v{j}" for j in range(n)) + ", CAST(count(*) AS DOUBLE) AS c FROM qr_votes GROUP BY ALL)",
-        f"qr_p0 AS (SELECT {START_GOOD}::DOUBLE AS p, " + ", ".join(f"{START_RIGHT}::DOUBLE AS {k}{j}" for k in "ab" for j in range(n)) + ")",
+        "qr_pat AS MATERIALIZED (SELECT " + ", ".join(f"v{j}" for j in range(n)) + f", CAST(count(*) AS DOUBLE) AS c FROM qr_votes WHERE NOT ({BASE_FAILED}) GROUP BY ALL)",
+        f"qr_p0 AS (SELECT {START_GOOD}::DOUBLE AS p, " + ", ".join(f"{START_RIGHT[k]}::DOUBLE AS {k}{j}" for k in "ab" for j in range(n)) + ")",
     ]
     names = {k: k for k in ["p", *[f"{x}{j}" for x in "ab" for j in range(n)]]}
     odds = log_odds_sql(names)
@@ -206,7 +211,7 @@ def oracle(source: str = "documents", final: str | None = None) -> str:
         parts.append(
             f"qr_p{k + 1} AS MATERIALIZED (SELECT (g + {PRIOR * START_GOOD}) / (t + {PRIOR}) AS p, "
             + ", ".join(
-                f"(ga{j} + {PRIOR * START_RIGHT}) / (gn{j} + {PRIOR}) AS a{j}, (bb{j} + {PRIOR * START_RIGHT}) / (bn{j} + {PRIOR}) AS b{j}" for j in range(n)
+                f"(ga{j} + {PRIOR * START_RIGHT['a']}) / (gn{j} + {PRIOR}) AS a{j}, (bb{j} + {PRIOR * START_RIGHT['b']}) / (bn{j} + {PRIOR}) AS b{j}" for j in range(n)
             )
             + f" FROM qr_s{k})"
         )
