@@ -97,7 +97,10 @@ def document_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "if(size(qr_starts) = 0, 0L, aggregate(transform(qr_starts, (s, k) -> least(3, coalesce(get(qr_starts, k + 1), s + 3) - s)), 0L, (a, x) -> a + x))"
         ),
     )
-    return out.drop("qr_words", "qr_lines", "qr_sorted", "qr_starts")
+    # a generator keeps later filters on the statistics above their computation: pushed below,
+    # they would evaluate the nested arrays once for every mention
+    stats = F.struct(*[F.col(c) for c in (*STATS, *MORE_STATS)])
+    return out.select(*[F.col(c) for c in docs.columns], F.inline(F.array(stats)))
 
 
 def vote_sql(rule: Rule) -> str:
