@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from refloom.llm import line_dedup, mixing, quality_rules
+from refloom.llm import line_dedup, mixing, packing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op3_best_fit_packing": packing.query,
         "op6_mixing": mixing.query,
         "op7_quality_rules": quality_rules.query,
         "op8_line_dedup": line_dedup.query,
