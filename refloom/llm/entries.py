@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from refloom.llm import line_dedup, mixing, packing, quality_rules
+import corpus_pipeline
+from refloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op3_best_fit_packing": packing.query,
+        "op4_ngram_jaccard": ngram_join.query,
         "op6_mixing": mixing.query,
         "op7_quality_rules": quality_rules.query,
         "op8_line_dedup": line_dedup.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
