@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from refloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules
+from refloom.llm import line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_quality_classifier": quality_classifier.query,
         "op3_best_fit_packing": packing.query,
         "op4_ngram_jaccard": ngram_join.query,
         "op6_mixing": mixing.query,
         "op7_quality_rules": quality_rules.query,
         "op8_line_dedup": line_dedup.query,
+        "op10_toxicity": toxicity.query,
         "pipeline": corpus_pipeline.run,
     }
 
