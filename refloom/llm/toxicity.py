@@ -22,20 +22,24 @@ from refloom.llm.common import table
 from refloom.llm.quality_classifier import fold
 
 #: Examples of each class at most (the smallest by a hash of the id), terms at most, examples in a block, neighbours.
-MAX_EXAMPLES, MAX_TERMS, BLOCK, K = 2_000, 1_024, 32, 24
+MAX_EXAMPLES, MAX_TERMS, BLOCK, K = 2_000, 1_024, 32, 8
 #: A term is kept if this many examples hold it and its chi-square reaches this value (one in a million by chance).
 MIN_EXAMPLES, MIN_CHI = 4, 23.9
-#: Votes of the base rate, in neighbours.
-PRIOR = 0.5
+#: A vote weighs the cosine to this power; votes of the base rate, in neighbours.
+POWER, PRIOR = 3, 0.5
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None) -> list[str]:
+def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def count_terms(vocabulary: dict[str, int], text: str | None) -> Counter:
+    return Counter(k for k in map(vocabulary.get, words(text)) if k is not None)
+
+
 class Index:
     """Unit TF-IDF vectors of the examples in blocks, with each block's largest weights."""
 
@@ -97,7 +101,7 @@ class Index:
             part = rows[a : a + 256]
             cosines, found = self.nearest(np.array([self.vector(batch[i]) for i in part]))
             hit = found >= 0
-            vote = np.where(hit, cosines**2 * self.weight[found], 0.0) if len(self.weight) else np.zeros_like(cosines)
+            vote = np.where(hit, cosines**POWER * self.weight[found], 0.0) if len(self.weight) else np.zeros_like(cosines)
             yes = np.where(hit, self.labels[found], 0) if len(self.labels) else np.zeros_like(vote)
             total = vote.sum(axis=1)
             scores[part] = np.where(hit.any(axis=1), ((vote * yes).sum(axis=1) + PRIOR * self.rate * self.rate) / (total + PRIOR * self.rate), self.bare_rate)
@@ -120,7 +124,7 @@ def build(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         for batch in batches:
             held: dict[str, list[int]] = {}
             for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for w in set(terms(text)):
+                for w in set(words(text)):
                     held.setdefault(w, [0, 0])[y] += 1
             yield pa.record_batch([pa.array(list(held), pa.string()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], names=["w", "n0", "n1"])
 
@@ -130,13 +134,13 @@ def build(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     chi = F.lit(n0 + n1) * F.pow(F.col("n1") * (n0 - F.col("n0")) - F.col("n0") * (n1 - F.col("n1")), 2)
     under = F.lit(n0 * n1) * both * (F.lit(n0 + n1) - both)
     chosen = table_.where((both >= MIN_EXAMPLES) & (under > 0)).withColumn("chi", chi / under).where(F.col("chi") >= MIN_CHI)
-    words = chosen.orderBy(F.desc("chi"), "w").limit(MAX_TERMS).collect()
-    vocabulary = {r["w"]: k for k, r in enumerate(words)}
-    idf = np.array([np.log(1 + (n0 + n1) / (1 + r["n0"] + r["n1"])) for r in words])
+    top = chosen.orderBy(F.desc("chi"), "w").limit(MAX_TERMS).collect()
+    vocabulary = {r["w"]: k for k, r in enumerate(top)}
+    idf = np.array([np.log(1 + (n0 + n1) / (1 + r["n0"] + r["n1"])) for r in top])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(k for w in terms(t) if (k := vocabulary.get(w)) is not None) for t in batch.column(2).to_pylist()]
+            found = [count_terms(vocabulary, t) for t in batch.column(2).to_pylist()]
             lists = pa.list_(pa.int64())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([list(c) for c in found], lists), pa.array([list(c.values()) for c in found], lists)], names=["i", "y", "k", "c"])
 
@@ -160,9 +164,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        get = own.vocabulary.get
         for batch in batches:
-            counts = [Counter(k for k in map(get, terms(t)) if k is not None) for t in batch.column(2).to_pylist()]
+            counts = [count_terms(own.vocabulary, t) for t in batch.column(2).to_pylist()]
             score, evidence = own.score(counts)
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))],
