@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from refloom.llm import line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from refloom.llm import chat, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": chat.query,
         "op2_quality_classifier": quality_classifier.query,
         "op3_best_fit_packing": packing.query,
         "op4_ngram_jaccard": ngram_join.query,
