@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from refloom.llm import chat, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from refloom.llm import ann, chat, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_quality_classifier": quality_classifier.query,
         "op3_best_fit_packing": packing.query,
         "op4_ngram_jaccard": ngram_join.query,
+        "op5_hash_prefix_forest": ann.query,
         "op6_mixing": mixing.query,
         "op7_quality_rules": quality_rules.query,
         "op8_line_dedup": line_dedup.query,
