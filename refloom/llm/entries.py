@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from refloom.llm import ann, chat, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from refloom.llm import ann, chat, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, repeats, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op6_mixing": mixing.query,
         "op7_quality_rules": quality_rules.query,
         "op8_line_dedup": line_dedup.query,
+        "op9_suffix_dedup": repeats.query,
         "op10_toxicity": toxicity.query,
         "pipeline": corpus_pipeline.run,
     }
