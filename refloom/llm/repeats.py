@@ -134,15 +134,19 @@ def column_wise(rows: list[bytes], begin: np.ndarray, bucket: np.ndarray) -> tup
     return (twice & inside).T, (first & inside).T
 
 
-def window_hashes(row: bytes, gram: int) -> np.ndarray:
-    """64-bit hashes of the SPAN-byte windows of a string, each with its bucket's gram: a window lies in a bucket for each anchor it holds."""
+def window_hashes(row: bytes, begin: int, gram: int) -> np.ndarray:
+    """64-bit hashes of the SPAN-byte windows of a string from column ``begin`` on.
+
+    The gram and the window's column take part: a window lies in a bucket for each anchor
+    it holds, and only windows that hold the anchor at the same place are compared.
+    """
     h = _SYMBOL[np.frombuffer(row, np.uint8)]
     power = np.full(WIDE, 0x9E3779B97F4A7C15, np.uint64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[::-1][: len(h)])))
     # scaled to one power, so equal windows at different places agree
-    own = np.array([gram], np.int64).view(np.uint64)
+    own = mix(np.array([gram], np.int64).view(np.uint64) + np.arange(begin, begin + len(h) - SPAN + 1, dtype=np.uint64))
     return mix(mix((sums[SPAN:] - sums[:-SPAN]) * power[: len(h) - SPAN + 1]) ^ own).view(np.int64)
 
 
@@ -181,7 +185,7 @@ def _bucket_rows(batches):
                 for p in places:
                     put(c, p - LEFT + s, p - LEFT + e - 1 + SPAN)
             if parts > 1 and len(text) >= SPAN:
-                hashes = window_hashes(text, gram)
+                hashes = window_hashes(text, b, gram)
                 for i in np.flatnonzero(first[k]).tolist():
                     owner = bool(flags[i])
                     put(None if owner else c, places[0] - LEFT + i, places[0] - LEFT + i + SPAN, int(hashes[i - b]))
