@@ -1,11 +1,112 @@
-"""Queries and oracle SQL of the cross-reference operators, by name."""
+"""Queries and oracle SQL of the cross-reference operators, by name.
+
+Array columns leave as comma-joined strings and counts as long, so that engines compare.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from refloom.operators.analysis import Analysis
+from refloom.plans.oracles import oracle
+from refloom.plans.testorg import analysis
+
+#: Relations whose rows leave as they are: query name -> (relation, columns).
+PLAIN: dict[str, tuple[str, str]] = {
+    "p2_ref_occurrences": ("ref_occurrences", "symbol_id package_id def_package_id file line col role enclosing_symbol_id is_external"),
+    "p3_module_symbols": ("module_symbols", "symbol_id"),
+    "p4_private_packages": ("private_packages", "package_id"),
+    "p5_opaque_packages": ("opaque_packages", "package_id"),
+    "p6_surface_files": ("surface_files", "package_id file"),
+    "p7_test_files": ("test_files", "package_id file"),
+    "p8_doc_files": ("doc_files", "package_id file"),
+    "p9_vendored_files": ("vendored_files", "package_id file"),
+    "p10_generated_files": ("generated_files", "package_id file"),
+    "p11_script_files": ("script_files", "package_id file"),
+    "p12_symbol_age_ok": ("symbol_age_ok", "symbol_id"),
+    "p13_kept_symbols": ("kept_symbols", "symbol_id"),
+    "p14_private_dead_scope": ("private_dead_scope", "symbol_id package_id"),
+    "p15_private_dead_eligible": ("private_dead_eligible", "symbol_id"),
+    "p15_unreachable_before": ("unreachable_before", "symbol_id"),
+    "j1_symbol_owners": ("symbol_owners", "symbol_id owner_id"),
+    "j2_owner_ref_occurrences": ("owner_ref_occurrences", "symbol_id member_symbol_id package_id file line col enclosing_symbol_id is_external"),
+    "j3_reexporting_packages": ("reexporting_packages", "symbol_id exporter_package_id"),
+    "j4_external_ref_occurrences": ("external_ref_occurrences", "symbol_id member_symbol_id consumer_package_id file line col in_test in_docs dev_dep test_support"),
+    "j5_internal_ref_occurrences": ("internal_ref_occurrences", "symbol_id member_symbol_id package_id file line col in_test in_docs"),
+    "j6_overlay_refs": ("overlay_refs", "symbol_id from_package_id is_external"),
+    "j7_blocked_packages": ("blocked_packages", "package_id blocker_package_id flag"),
+    "j8_verdict_blockers": ("verdict_blockers", "package_id blocker_package_id flag"),
+    "j9_runtime_entry_defaults": ("runtime_entry_defaults", "symbol_id"),
+    "j10_test_support_symbols": ("test_support_symbols", "symbol_id"),
+    "j12_unexport_exempt_packages": ("unexport_exempt_packages", "package_id"),
+    "j13_signature_refs": ("signature_refs", "symbol_id api_symbol_id"),
+    "j14_unexport_dropped": ("unexport_dropped", "symbol_id"),
+    "j16_unresolved_ref_classes": ("unresolved_ref_classes", "consumer_package_id target_package_id symbol_str file line col class"),
+    "a1_external_refs": ("external_refs", "symbol_id consumer_package_id n"),
+    "a2_internal_refs": ("internal_refs", "symbol_id n"),
+    "a4_private_dead_skipped": ("private_dead_skipped", "package_id reason symbols"),
+    "d2_test_only_refs": ("test_only_refs", "symbol_id"),
+    "d2_docs_only_refs": ("docs_only_refs", "symbol_id"),
+    "d8_private_dead_packages": ("private_dead_packages", "package_id"),
+    "r1_symbol_ancestors": ("symbol_ancestors", "symbol_id ancestor_id"),
+    "r2_reachable": ("reachable", "symbol_id"),
+    "r2_reach_seeds_before": ("reach_seeds_before", "symbol_id"),
+    "r3_reachable_after": ("reachable_after_base", "symbol_id"),
+    "r5_signature_pinned": ("signature_pinned", "symbol_id"),
+    "d1_base_verdicts": ("base_verdicts", "symbol_id verdict reasons blocked_by"),
+    "d3_verdicts": ("verdicts", "symbol_id verdict reasons blocked_by"),
+    "analyze_findings": ("findings", "symbol_id verdict reasons blocked_by"),
+}
+_LISTS = ("reasons", "blocked_by")
+
+
+def _joined(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.array_join(c, ",").alias(c) if c in _LISTS else F.col(c) for c in columns])
+
+
+def _joined_sql(relation: str, columns: list[str]) -> str:
+    return "SELECT " + ", ".join(f"array_to_string({c}, ',') AS {c}" if c in _LISTS else c for c in columns) + f" FROM {relation}"
+
+
+def _plain(relation: str, columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _joined(getattr(analysis(spark, sf_dir), relation), columns.split())
+
+
+def _on(build: Callable[[Analysis], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(analysis(spark, sf_dir))
+
+
+def _settled(a: Analysis) -> DataFrame:
+    return a.findings.where("verdict <> 'private_dead'")
+
+
+BUILT: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
+    "r2_reach_edges": (lambda a: a.reach_edges, "SELECT a AS from_symbol_id, b AS to_symbol_id FROM reach_edges"),
+    "j11_candidate_symbols": (lambda a: a.candidates(_settled(a)).select("symbol_id", "name"), "SELECT symbol_id, name FROM candidates"),
+    "r4_candidate_reach": (lambda a: a.candidate_reach(_settled(a), a.reachable_after(_settled(a))), "SELECT origin_id, symbol_id FROM candidate_reach"),
+    "d7_private_dead_unlocked": (
+        lambda a: _joined(a.private_dead_unlocked(_settled(a), a.reachable_after(_settled(a))), ["symbol_id", "reasons"]),
+        "SELECT symbol_id, array_to_string(reasons, ',') AS reasons FROM private_dead_unlocked",
+    ),
+    "j15_private_dead": (lambda a: _joined(a.findings.where("verdict = 'private_dead'"), ["symbol_id", "reasons"]), "SELECT symbol_id, array_to_string(reasons, ',') AS reasons FROM private_dead"),
+    "a7_counts_by_verdict": (lambda a: a.findings.groupBy("verdict").agg(F.count("*").alias("n")), "SELECT verdict, count(*) AS n FROM findings GROUP BY verdict"),
+    "a3_blockers_of_package": (
+        lambda a: a.verdict_blockers.groupBy("package_id").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "blocker_package_id", "flag"))), ",").alias("blocked_by")),
+        "SELECT package_id, string_agg(DISTINCT blocker_package_id || ':' || flag, ',' ORDER BY blocker_package_id || ':' || flag) AS blocked_by FROM verdict_blockers GROUP BY package_id",
+    ),
+}
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {name: _plain(*spec) for name, spec in PLAIN.items()}
+    found.update({name: _on(build) for name, (build, _) in BUILT.items()})
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {name: oracle(_joined_sql(relation, columns.split()), relation) for name, (relation, columns) in PLAIN.items()}
+    found.update({name: oracle(sql) for name, (_, sql) in BUILT.items()})
+    return found
