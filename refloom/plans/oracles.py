@@ -247,4 +247,6 @@ def oracle(final: str, upto: str | None = None, more: list[tuple[str, str]] = ()
             needed.add(name)
             text += sql
     body = ",\n".join(f"{n} AS {'' if n in _RECURSIVE else 'MATERIALIZED '}({s})" for n, s in parts if n in needed)
-    return f"WITH RECURSIVE {body}\n{final}"
+    if final.lstrip().startswith("WITH "):  # the query brings relations of its own
+        return f"WITH RECURSIVE {body},\n{final.lstrip()[5:]}"
+    return f"WITH RECURSIVE {body}\n{final}" if body else final

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refloom.operators import deps, invariants, report, witness
 from refloom.operators.analysis import Analysis
 from refloom.plans.oracles import oracle
 from refloom.plans.testorg import analysis
@@ -99,14 +100,124 @@ BUILT: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
     ),
 }
 
+# --- dependency resolution over packages that share names -----------------------------------
+
+_SHARED = "SELECT package_id, manager, repo, version, visibility, 'lib' || CAST(k % 7 AS STRING) AS name FROM {packages}"
+_ASKED = """SELECT package_id AS consumer_package_id, manager AS dep_manager, 'lib' || CAST(k * 3 % 9 AS STRING) AS dep_name,
+  CASE WHEN k % 5 = 0 THEN 'workspace:*' ELSE '^' || CAST(k % 4 + 1 AS STRING) || '.0.0' END AS dep_constraint, false AS dev FROM {packages}"""
+
+
+def _resolved(a: Analysis) -> DataFrame:
+    spark, packages = a.t["packages"].sparkSession, a.t["packages"]
+    found = deps.resolve_dependencies(spark.sql(_ASKED, packages=packages), spark.sql(_SHARED, packages=packages))
+    return found.select("consumer_package_id", "dep_name", "resolved_package_id", "resolution", "ambiguous")
+
+
+_RESOLVED_SQL = f"""
+SELECT consumer_package_id, dep_name,
+  CASE WHEN n = 1 THEN one WHEN nn = 1 THEN near WHEN no = 1 THEN open_one WHEN nu = 0 AND nf = 1 THEN fit END AS resolved_package_id,
+  CASE WHEN n = 1 THEN 'name' WHEN nn = 1 THEN 'same-repo' WHEN no = 1 THEN 'published' WHEN nu = 0 AND nf = 1 THEN 'constraint' END AS resolution,
+  coalesce(n, 0) > 1 AND nn <> 1 AND no <> 1 AND NOT (nu = 0 AND nf = 1) AS ambiguous
+FROM (
+  SELECT a.consumer_package_id, a.dep_name, count(c.package_id) AS n, max(c.package_id) AS one,
+    count(*) FILTER (WHERE c.repo = h.repo) AS nn, max(c.package_id) FILTER (WHERE c.repo = h.repo) AS near,
+    count(*) FILTER (WHERE c.visibility <> 'private') AS no, max(c.package_id) FILTER (WHERE c.visibility <> 'private') AS open_one,
+    count(*) FILTER (WHERE f) AS nf, max(c.package_id) FILTER (WHERE f) AS fit, count(*) FILTER (WHERE c.package_id IS NOT NULL AND f IS NULL) AS nu
+  FROM ({_ASKED.format(packages="t_packages")}) a JOIN t_packages h ON h.package_id = a.consumer_package_id
+  LEFT JOIN LATERAL (SELECT *, CASE WHEN a.dep_constraint LIKE '^%' THEN split_part(version, '.', 1) = split_part(substr(a.dep_constraint, 2), '.', 1) END AS f
+    FROM ({_SHARED.format(packages="t_packages")}) s WHERE s.name = a.dep_name AND s.manager = a.dep_manager) c ON true
+  GROUP BY ALL)
+"""
+
+# --- source text for the witness: each file imports one package and names some of its symbols ---
+
+_TEXTS = """SELECT u.package_id, 'src/w' || CAST(d.k AS STRING) || '.ts' AS file, d.package_id AS target_package_id, n.ns, d.k AS dk, u.k AS uk,
+  CASE WHEN (u.k + d.k) % 19 = 18 THEN CAST(NULL AS STRING) ELSE 'import {{ sym' || CAST(d.k AS STRING) || ' }} from "' || d.name || '";' || chr(10) || '// sym' || CAST(d.k + 2 * ns AS STRING) || 'x' || chr(10) || 'run(sym' || CAST(d.k + 4 * ns AS STRING) || ', 1);' END AS text
+FROM {package_deps} p JOIN {packages} u ON u.package_id = p.consumer_package_id JOIN {packages} d ON d.package_id = p.resolved_package_id JOIN {o_n} n ON true WHERE d.manager = 'npm' AND NOT p.dev"""
+
+
+def _texts(a: Analysis) -> DataFrame:
+    frames = {k: a.t[k] for k in ("package_deps", "packages", "o_n")}
+    return frames["packages"].sparkSession.sql(_TEXTS, **frames).select("package_id", "file", "text").dropDuplicates(["package_id", "file"])
+
+
+def _pending(a: Analysis) -> DataFrame:
+    return a.verdicts.where(F.array_contains("reasons", "witness_pending") & (F.col("verdict") == "needs_review"))
+
+
+_HITS_SQL = f"""
+WITH texts AS (SELECT DISTINCT * FROM ({_TEXTS.format(package_deps="t_package_deps", packages="t_packages", o_n="t_o_n")})),
+waiting AS (SELECT symbol_id, name, package_id AS target_package_id FROM verdicts JOIN t_symbols USING (symbol_id) WHERE verdict = 'needs_review' AND list_contains(reasons, 'witness_pending')),
+pairs AS (SELECT DISTINCT consumer_package_id AS package_id, resolved_package_id AS target_package_id FROM t_package_deps WHERE resolved_package_id IS NOT NULL)
+SELECT DISTINCT symbol_id, t.package_id, file, CAST(CASE name WHEN 'sym' || dk THEN 1 ELSE 3 END AS INTEGER) AS line FROM texts t JOIN waiting w USING (target_package_id)
+WHERE text IS NOT NULL AND name IN ('sym' || dk, 'sym' || (dk + 4 * ns))
+UNION SELECT symbol_id, t.package_id, file, 0 FROM texts t JOIN pairs p USING (package_id) JOIN waiting w ON w.target_package_id = p.target_package_id WHERE text IS NULL
+"""
+
+_ROWS_SQL = """SELECT f.symbol_id, f.verdict, f.reasons, f.blocked_by, s.name AS symbol, s.package_id, s.file, s.line + 1 AS line, s.col + 1 AS col, p.repo,
+  CASE WHEN f.verdict = 'deletion_candidate' THEN 'delete' WHEN f.verdict = 'deprecation_candidate' THEN CASE WHEN list_contains(f.reasons, 'internal_refs_only') THEN 'unexport' ELSE 'deprecate' END
+    WHEN f.verdict = 'unexport_candidate' THEN 'unexport'
+    WHEN f.verdict = 'private_dead' AND s.package_id NOT IN (SELECT package_id FROM private_packages) AND NOT list_contains(f.reasons, 'already_unreachable') THEN 'org_dead' ELSE f.verdict END AS view
+  FROM findings f JOIN t_symbols s USING (symbol_id) JOIN t_packages p USING (package_id)"""
+_MORE = [("rep_rows", _ROWS_SQL)]
+
+
+def _rows(a: Analysis) -> DataFrame:
+    return report.finding_rows(a, a.findings)
+
+
+REPORT: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
+    "p18_view_rows": (lambda a: report.view_rows(_rows(a)).select("view", "symbol_id", "repo", "file", "line", "col"), "SELECT unnest(CASE view WHEN 'deprecate' THEN ['deprecate', 'org_dead'] ELSE [view] END) AS view, symbol_id, repo, file, line, col FROM rep_rows"),
+    "a8_package_counts": (
+        lambda a: report.package_counts(_rows(a)),
+        "SELECT package_id, " + ", ".join(f"count(*) FILTER (WHERE v = '{v}') AS \"{v}\"" for v in report.VIEWS) + " FROM (SELECT package_id, unnest(CASE view WHEN 'deprecate' THEN ['deprecate', 'org_dead'] ELSE [view] END) AS v FROM rep_rows) GROUP BY package_id",
+    ),
+    "a9_blockers": (
+        lambda a: report.blockers(a, _rows(a), None),
+        "SELECT regexp_replace(e, ':[^:]*$', '') AS blocker, count(DISTINCT symbol_id) AS findings, count(DISTINCT package_id) AS packages, string_agg(DISTINCT regexp_extract(e, '[^:]*$'), ',' ORDER BY regexp_extract(e, '[^:]*$')) AS flags FROM (SELECT symbol_id, package_id, unnest(blocked_by) AS e FROM rep_rows WHERE verdict = 'blocked') GROUP BY 1",
+    ),
+    "a10_gap_names": (
+        lambda a: report.gap_names(a),
+        """SELECT class, target_package_id, CAST(sum(n) AS BIGINT) AS refs, array_to_string(list(name ORDER BY n DESC, name)[1:3], ',') AS examples FROM (
+  SELECT class, target_package_id, name, count(*) AS n FROM (SELECT consumer_package_id, target_package_id, CASE symbol_str WHEN '*' THEN '*' ELSE regexp_extract(symbol_str, '[^/]*$') END AS name, file, line, col,
+    arg_min(class, CASE class WHEN 'version_skew' THEN 0 WHEN 'moved_at_head' THEN 1 WHEN 'unindexed_module' THEN 2 WHEN 'opaque_target' THEN 3 ELSE 4 END) AS class FROM unresolved_ref_classes GROUP BY 1, 2, 3, 4, 5, 6)
+  GROUP BY ALL) GROUP BY class, target_package_id""",
+    ),
+    "a11_reason_counts": (
+        lambda a: report.reason_counts(_rows(a)),
+        "SELECT verdict, CASE WHEN list_contains(reasons, 'dead_island') THEN 'dead_island' WHEN list_contains(reasons, 'only_test_refs') THEN 'only_test_refs' WHEN list_contains(reasons, 'only_docs_refs') THEN 'only_docs_refs' WHEN list_contains(reasons, 'no_refs') THEN 'no_refs' ELSE 'other' END AS reason, count(*) AS n FROM rep_rows GROUP BY 1, 2",
+    ),
+    "j26_age_coverage": (
+        lambda a: report.age_coverage(a),
+        "SELECT r.repo, coalesce(h.history, 'none') AS history, count(symbol_id) AS symbols, count(first_seen_at) AS dated FROM t_repos r LEFT JOIN t_repo_history h USING (repo) LEFT JOIN t_packages p ON p.repo = r.repo LEFT JOIN t_symbols s ON s.package_id = p.package_id AND is_exported GROUP BY 1, 2",
+    ),
+    "a5_dev_dependencies": (lambda a: report.dev_dependencies(a), "SELECT consumer_package_id, resolved_package_id AS target_package_id, bool_or(dev) AS dev FROM t_package_deps WHERE resolved_package_id IS NOT NULL GROUP BY 1, 2"),
+    "o5_sarif_results": (
+        lambda a: report.sarif_results(_rows(a)).select("repo", "rule", "uri", "line", "col", "symbol", "message", "fingerprint"),
+        """SELECT repo, verdict AS rule, file AS uri, line, col, symbol, symbol || ': ' || array_to_string(reasons, ', ') AS message,
+  sha256(verdict || '|' || package_id || '|' || file || '|' || symbol || CASE WHEN nth > 1 THEN '#' || nth ELSE '' END) AS fingerprint
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo, verdict, package_id, file, symbol ORDER BY line, col, array_to_string(reasons, ', ')) AS nth FROM rep_rows)""",
+    ),
+    "j22_dependency_resolution": (_resolved, _RESOLVED_SQL),
+    "w2_witness_hits": (lambda a: witness.witness_hits(a, _pending(a), _texts(a)), _HITS_SQL),
+    "inv_violations": (lambda a: invariants.violations(a, a.findings), "SELECT '' AS rule, '' AS row WHERE false"),
+}
+#: Without an oracle: text that only this engine writes, and the whole chain behind it.
+UNCHECKED: dict[str, Callable[[Analysis], DataFrame]] = {
+    "k2_sarif_logs": lambda a: report.sarif_logs(a, _rows(a)),
+    "d9_witnessed_findings": lambda a: _joined(witness.propagate(a, witness.apply_witness(a, a.verdicts, _texts(a))[0]), ["symbol_id", "verdict", "reasons", "blocked_by"]),
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _plain(*spec) for name, spec in PLAIN.items()}
-    found.update({name: _on(build) for name, (build, _) in BUILT.items()})
+    found.update({name: _on(build) for name, (build, _) in {**BUILT, **REPORT}.items()})
+    found.update({name: _on(build) for name, build in UNCHECKED.items()})
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: oracle(_joined_sql(relation, columns.split()), relation) for name, (relation, columns) in PLAIN.items()}
     found.update({name: oracle(sql) for name, (_, sql) in BUILT.items()})
+    found.update({name: oracle(sql, more=_MORE) for name, (_, sql) in REPORT.items()})
     return found
