@@ -68,3 +68,8 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Hand Arrow batches of at most ``size`` to Python: long texts would make the default's 64 MB of each task too much."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

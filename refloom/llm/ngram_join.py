@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm.common import NO_ID, id_key, stage, table
+from refloom.llm.common import NO_ID, id_key, small_batches, stage, table
 from refloom.llm.components import components
 from refloom.llm.shingles import shingle_sets
 
@@ -31,10 +31,12 @@ COMMON = 24
 #: ... if it is among this many most frequent ones: the proven bound of the one broadcast (4 bytes each).
 MAX_COMMON = 2_000_000
 #: Shingles gathered in a task before they are counted and sent on (8 bytes each).
-FLUSH = 3_000_000
+FLUSH = 750_000
 #: Bytes of text for a block of columns.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 HUB_ROUNDS = 2
+#: Ids (16 bytes each) that may be broadcast; their number is checked first.
+BROADCAST_ROWS = 500_000
 
 
 def prefix_length(n: np.ndarray | int):
@@ -82,6 +84,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int, emit) -> Iterator[
                     held, size = [], 0
     if held:
         yield from emit(held)
+    pa.default_memory_pool().release_unused()
 
 
 def _common(docs: DataFrame, blocks: int) -> np.ndarray:
@@ -102,6 +105,7 @@ def _common(docs: DataFrame, blocks: int) -> np.ndarray:
         yield from _gathered(batches, 1, emit)
 
     def add(group: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what earlier groups of this worker took
         keys = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("keys")])
         counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("counts")])
         order = np.argsort(keys, kind="stable")
@@ -170,6 +174,7 @@ def _postings(docs: DataFrame, common: np.ndarray, blocks: int) -> DataFrame:
         yield from _gathered(batches, 1, emit)
 
     def several(group: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         block = group.column("block")[0].as_py()
         tokens, owners, sizes = (np.concatenate([np.frombuffer(x.as_py(), t) for x in group.column(c)]) for c, t in (("tokens", np.uint64), ("owners", np.int64), ("sizes", np.uint32)))
         if block >= 0:
@@ -186,18 +191,24 @@ def _postings(docs: DataFrame, common: np.ndarray, blocks: int) -> DataFrame:
     return packed.groupBy("block").applyInArrow(several, "token long, cls long, n long")
 
 
-def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """cls, shingles (sorted little-endian uint64) of the classes' first documents."""
+def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cls, shingles (sorted little-endian uint64) of the classes that the pairs name, from each class's first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
-            yield pa.record_batch([batch.column(2), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+            out = []
+            for want, found in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(0))):
+                # rows with equal ids can differ in text: the class decides
+                if len(found) and _class_of(found) == want:
+                    out.append((want, found.tobytes()))
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["cls", "shingles"])
 
-    first = docs.join(members.select(F.col("first").alias("doc"), F.col("cls").alias("want")), "doc").select("doc", "text", "want")
-    # rows with equal ids can differ in text: the class decides
-    out = first.mapInArrow(run, "cls long, shingles binary")
-    return out
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    first = stage(classes.join(named, "cls").groupBy("cls").agg(F.min("doc").alias("doc")).select("doc", F.col("cls").alias("want")))
+    # texts stay where they are while the wanted ids are few; beyond the bound both sides are shuffled
+    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = docs.join(F.broadcast(first) if few else first, "doc")
+    return stage(found.select("text", "want").mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,6 +265,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     round compares every remaining pair that the bounds allow.
     """
     spark = docs.sparkSession
+    small_batches(spark, "4m")
     narrow = docs.select(id_key(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     classes = stage(_classes(narrow))
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -261,10 +273,6 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     common = _common(narrow, blocks)
     postings = stage(_postings(narrow, common, blocks))
     _tidy(spark)
-    firsts = classes.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("first"))
-    wanted = postings.select("cls").distinct()
-    sets = stage(_sets(narrow, firsts.join(wanted, "cls")).join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
-    _tidy(spark)
 
     links = done = None
     comps = None
@@ -289,7 +297,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             pairs = met.where(_enough(F.col("count"), F.col("na"), F.col("nb"))).select("a", "b")
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        found = stage(_verified(pairs, sets))
+        pairs = stage(pairs)
+        found = stage(_verified(pairs, _sets(narrow, classes, pairs)))
         _tidy(spark)
         done = found if done is None else done.unionByName(found)
         links = done.where("linked").select("a", "b")

@@ -64,8 +64,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8), at - at[0]
 
 
-#: Bytes hashed at once, so that temporaries stay near 200 MB... a longer text is hashed alone.
-STEP = 4 << 20
+#: Bytes hashed at once (some 60 bytes of temporaries each); a longer text is hashed alone.
+STEP = 1 << 20
 
 
 def shingle_sets(column: pa.Array):
