@@ -48,6 +48,9 @@ BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 ROUNDS = 15
 START_GOOD, PRIOR = 0.8, 5.0
 START_RIGHT = {"a": 0.998, "b": 0.3}
+#: Rules are written to spare good documents, so none is taken to be wrong on more of them than
+#: this leaves. Without the bound one frequent kind of junk can pass for a habit of good documents.
+LEAST_RIGHT = 0.995
 
 
 def document_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -143,7 +146,7 @@ def estimate(patterns: DataFrame, rules=RULES, rounds: int = ROUNDS) -> dict[str
             return params
         params = {"p": (sums["g"] + PRIOR * START_GOOD) / (sums["t"] + PRIOR)}
         for j in range(len(rules)):
-            params[f"a{j}"] = (sums[f"ga{j}"] + PRIOR * START_RIGHT["a"]) / (sums[f"gn{j}"] + PRIOR)
+            params[f"a{j}"] = max(LEAST_RIGHT, (sums[f"ga{j}"] + PRIOR * START_RIGHT["a"]) / (sums[f"gn{j}"] + PRIOR))
             params[f"b{j}"] = (sums[f"bb{j}"] + PRIOR * START_RIGHT["b"]) / (sums[f"bn{j}"] + PRIOR)
     return params
 
@@ -214,7 +217,7 @@ def oracle(source: str = "documents", final: str | None = None) -> str:
         parts.append(
             f"qr_p{k + 1} AS MATERIALIZED (SELECT (g + {PRIOR * START_GOOD}) / (t + {PRIOR}) AS p, "
             + ", ".join(
-                f"(ga{j} + {PRIOR * START_RIGHT['a']}) / (gn{j} + {PRIOR}) AS a{j}, (bb{j} + {PRIOR * START_RIGHT['b']}) / (bn{j} + {PRIOR}) AS b{j}" for j in range(n)
+                f"greatest({LEAST_RIGHT}, (ga{j} + {PRIOR * START_RIGHT['a']}) / (gn{j} + {PRIOR})) AS a{j}, (bb{j} + {PRIOR * START_RIGHT['b']}) / (bn{j} + {PRIOR}) AS b{j}" for j in range(n)
             )
             + f" FROM qr_s{k})"
         )
