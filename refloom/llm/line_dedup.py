@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm.common import WS_CHARS, ascii_lower, fresh, id_key, table, text_of
+from refloom.llm.common import WS_CHARS, ascii_lower, fresh, id_key, stage, table, text_of
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -49,8 +49,10 @@ def line_dedup(
     else:
         holders = lines.select("ld_h1", "ld_h2", i).distinct().groupBy("ld_h1", "ld_h2")
         shared = holders.agg(F.min(i).alias("ld_owner"), F.count("*").alias("ld_n")).where(F.col("ld_n") >= min_docs)
+    # written first: a join with an aggregate's own partitions could not be split at run time
+    shared = stage(shared.select("ld_h1", "ld_h2", "ld_owner"))
     drops = (
-        lines.join(shared.select("ld_h1", "ld_h2", "ld_owner"), ["ld_h1", "ld_h2"])
+        lines.join(shared, ["ld_h1", "ld_h2"])
         .where(F.col(i) > F.col("ld_owner"))
         .groupBy(i, t)
         .agg(F.collect_set("ld_pos").alias("ld_drop"))

@@ -10,7 +10,7 @@ surroundings of anchors that occur twice take part, lined up at the anchor, and
 equal anchors needs one pass of a fixed number of columns. Where the rounds' files would
 be, the engine's own shuffle files hold the buckets.
 
-A bucket larger than HOT rows is cut into chunks; what is single in its chunk meets the
+A bucket larger than HOT rows (some 60 MB of columns) is cut into chunks; what is single in its chunk meets the
 other chunks' windows by hash, one row for each distinct window and chunk.
 """
 
@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm.common import small_batches, stage, table, text_of
+from refloom.llm.common import id_key, small_batches, stage, table, text_of
 from refloom.llm.shingles import mix
 
 SPAN = 400
 GRAM = 64
 LEFT = SPAN - GRAM
 WIDE = LEFT + SPAN
-HOT = 6_000
+HOT = 30_000
+#: Strings of a pass: whole buckets are gathered up to this many.
+PASS = 6_000
 #: Bytes looked at at once when anchors are chosen; positions within take the low bits of a key.
 SEGMENT, POSITION_BITS = 1 << 17, 18
 
@@ -83,7 +85,7 @@ def column_wise(rows: list[bytes], begin: np.ndarray, bucket: np.ndarray) -> tup
     ``bucket``: ascending numbers. Returns two (string, window start) tables.
     """
     n = len(rows)
-    symbols = np.full((WIDE, n), 256, dtype=np.int32)
+    symbols = np.full((WIDE, n), 256, dtype=np.int16)
     for k, (row, b) in enumerate(zip(rows, begin)):
         symbols[b : b + len(row), k] = np.frombuffer(row, np.uint8)
     twice = np.zeros((WIDE - SPAN + 1, n), dtype=bool)
@@ -193,7 +195,7 @@ def _bucket_rows(batches):
 
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
-            if len(held) >= HOT and (row[0], row[1]) != (held[-1][0], held[-1][1]):
+            if len(held) >= PASS and (row[0], row[1]) != (held[-1][0], held[-1][1]):
                 yield flush(held)
                 held = []
             held.append(row)
@@ -271,6 +273,24 @@ def _tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _found(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """What the passes over all buckets find (see ``_bucket_rows``)."""
+    found = stage(rows.where(F.octet_length("text") >= SPAN).select("cls", "text").mapInArrow(_anchor_rows, "cls long, gram long, place long"))
+    # at least two different places; copies of a text in several tasks name the same place again
+    one = F.struct("cls", "place")
+    sizes = found.groupBy("gram").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    # written first, so that the join may split a gram that very many places have
+    sizes = stage(sizes.select("gram", F.ceil(F.col("n") / F.lit(float(HOT))).cast("long").alias("parts")))
+    repeated = found.join(sizes, "gram").groupBy("cls").agg(F.collect_set(F.struct("place", "gram", "parts")).alias("found"))
+    # one row of each text is enough: the one of smallest id, so copies are spread by their ids, not gathered
+    wanted = repeated.join(copies, "cls").select("cls", F.col("first").alias("key"), "found")
+    firsts = rows.where(F.octet_length("text") >= SPAN).withColumn("key", id_key("doc_id")).join(wanted, ["cls", "key"])
+    firsts = firsts.dropDuplicates(["cls", "key"]).select("cls", "text", "found")
+    contexts = firsts.mapInArrow(_context_rows, "gram long, chunk long, parts long, cls long, text binary, begin long, places array<long>")
+    dealt = contexts.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk")
+    return stage(dealt.mapInArrow(_bucket_rows, "cls long, start long, end long, window long"))
+
+
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: what is left) per row of ``docs``.
 
@@ -282,29 +302,18 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(spark)
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("cls"), text.cast("binary").alias("text"))
-    copies = stage(rows.groupBy("cls").agg(F.count("*").alias("copies")))
+    copies = stage(rows.groupBy("cls").agg(F.count("*").alias("copies"), F.min(id_key("doc_id")).alias("first")))
 
-    found = stage(rows.where(F.octet_length("text") >= SPAN).select("cls", "text").mapInArrow(_anchor_rows, "cls long, gram long, place long"))
-    # at least two different places; copies of a text in several tasks name the same place again
-    one = F.struct("cls", "place")
-    sizes = found.groupBy("gram").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    sizes = sizes.select("gram", F.ceil(F.col("n") / F.lit(float(HOT))).cast("long").alias("parts"))
-    repeated = found.join(sizes, "gram").groupBy("cls").agg(F.collect_set(F.struct("place", "gram", "parts")).alias("found"))
-    # one row of each text is enough, and any: its class is its text
-    firsts = rows.where(F.octet_length("text") >= SPAN).join(repeated, "cls").select("cls", "text", "found")
-    singles = firsts.join(copies.where("copies = 1").select("cls"), "cls", "left_semi")
-    several = firsts.join(copies.where("copies > 1").select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-    contexts = singles.unionByName(several).mapInArrow(_context_rows, "gram long, chunk long, parts long, cls long, text binary, begin long, places array<long>")
-    dealt = contexts.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk")
-    result = stage(dealt.mapInArrow(_bucket_rows, "cls long, start long, end long, window long"))
-    _tidy(spark)
+    result = _found(rows, copies)
+    _tidy(spark)  # the texts that were shuffled for it are done with
     direct = result.where("window is null").select("cls", "start", "end")
     windows = result.where("window is not null")
     # a window that two chunks have: each chunk sends it once, with its owner where it is single there
     met = windows.groupBy("window").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("cls").isNotNull(), F.struct("cls", "start", "end"))).alias("owners"))
     across = met.where("n > 1").select(F.inline("owners"))
     spans = direct.unionByName(across).groupBy("cls").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    flags = copies.join(spans, "cls", "left")
+    flags = stage(copies.select("cls", "copies").join(spans, "cls", "left"))
+    _tidy(spark)
     joined = rows.join(flags, "cls").select("doc_id", "text", "copies", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
