@@ -50,3 +50,38 @@ def test_symbols():
     assert parse_symbol("local 3")["local"] and parse_symbol("nonsense") is None and parse_symbol(None) is None
     assert normalize_version("scip npm pkg 1.0.0 a/") == "scip npm pkg . a/"
     assert parse_descriptors("a#[T]b.(p)") is not None and parse_descriptors("") is None
+
+
+def test_blanking_keeps_offsets():
+    from refloom.functions.source_text import blank_comments, blank_strings
+
+    text = "a('http://x') // note\n/* b\n c */ d(`e // f`)\nimport x from 'pkg'; g(\"h\")"
+    bare = blank_comments(text)
+    assert len(bare) == len(text) and bare.count("\n") == text.count("\n")
+    assert "http://x" in bare and "note" not in bare and " c " not in bare and "e // f" in bare
+    quiet = blank_strings(text)
+    assert len(quiet) == len(text) and "'pkg'" in quiet and "http" not in quiet and '" "' in quiet
+    assert blank_comments(None) is None and blank_strings("'open") == "'    "
+
+
+def test_pubspec():
+    from refloom.sources.manifests import parse_pubspec
+
+    p = parse_pubspec("name: a # x\nversion: '1.0.0'\npublish_to: none\ndependencies:\n  b: ^1.2.0\n  c:\n    path: ../c\n  d:\n    version: 2.0.0\ndev_dependencies:\n  e: any\nflutter:\n  f: 1\n")
+    assert (p["name"], p["version"], p["publish_to"]) == ("a", "1.0.0", "none")
+    assert p["dependencies"] == {"b": "^1.2.0", "c": None, "d": "2.0.0"} and p["dev_dependencies"] == {"e": "any"}
+    assert parse_pubspec(None)["dependencies"] == {}
+
+
+def test_npm_manifests(spark):
+    from pyspark.sql import functions as F
+
+    from refloom.sources.manifests import npm_dependencies, npm_visibility, pub_visibility
+
+    rows = [("r", "a", '{"private":true,"dependencies":{"x":"^1"},"devDependencies":{"x":"2","y":"3"}}'), ("r", "b", '{"publishConfig":{"registry":"https://npm.corp.test/"}}'), ("r", "c", '{"publishConfig":{"registry":"https://registry.npmjs.org"}}'), ("r", "d", "{")]
+    df = spark.createDataFrame(rows, "repo string, path string, text string")
+    assert {tuple(r) for r in npm_dependencies(df).collect()} == {("r", "a", "x", "^1", False), ("r", "a", "y", "3", True)}
+    got = {r[0]: r[1] for r in df.select("path", npm_visibility(F.col("text"))).collect()}
+    assert got == {"a": "private", "b": "published-private", "c": "published-public", "d": "published-public"}
+    pub = spark.createDataFrame([("none",), (None,), ("https://pub.dev",), ("https://x.test",)], "p string").select(pub_visibility(F.col("p"))).collect()
+    assert [r[0] for r in pub] == ["private", "published-public", "published-public", "published-private"]
