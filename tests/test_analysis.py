@@ -171,6 +171,27 @@ def test_longest_prefix_owner(spark):
     assert got == {"a/b/x.ts": "deep", "y.ts": "root", "a/z.dart": "dart"}
 
 
+def test_nearest_defined_ancestor(spark):
+    from refloom.operators.ingest import nearest_defined
+
+    refs = spark.createDataFrame([(1, "p", ["a/", "a/B#", "a/B#c."]), (2, "p", ["z/"])], "ref_id long, package_id string, prefixes array<string>")
+    symbols = spark.createDataFrame([("p", "a/", 7), ("p", "a/B#", 8), ("q", "a/B#c.", 9)], "package_id string, symbol string, symbol_id long")
+    assert [tuple(r) for r in nearest_defined(refs, symbols).collect()] == [(1, 8)]
+
+
+def test_repository_selection_takes_the_first_rule(spark):
+    from refloom.sources.manifests import select_repositories
+
+    no = False
+    rows = [("keep-empty", True, no, no, no, no, None, 0), ("keep-fork", no, no, no, True, no, None, 0), ("drop-x", no, no, no, no, no, "Dart", 1), ("old", no, no, True, no, no, "Dart", 1), ("lang", no, no, no, no, no, "dart", 0), ("mani", no, no, no, no, no, "C", 2), ("none", no, no, no, no, no, None, None)]
+    df = spark.createDataFrame(rows, "repo string, empty boolean, disabled boolean, archived boolean, fork boolean, template boolean, language string, n_manifests int")
+    got = {r["repo"]: (r["included"], r["reason"]) for r in select_repositories(df, "^keep", "^drop", languages=("Dart",)).collect()}
+    assert got == {
+        "keep-empty": (no, "empty repository"), "keep-fork": (True, "included by name"), "drop-x": (no, "excluded by name"), "old": (no, "archived"),
+        "lang": (True, "language"), "mani": (True, "has manifests"), "none": (no, "no wanted language and no manifest"),
+    }
+
+
 def test_arrived_packages_replace_their_rows(spark):
     from refloom.streaming.arrivals import replace_packages
 
