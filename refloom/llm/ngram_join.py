@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.llm.common import NO_ID, id_key, small_batches, stage, table
-from refloom.llm.components import components
+from refloom.llm.components import merged
 from refloom.llm.shingles import shingle_sets
 
 #: A shingle in more classes' rows than this comes last in the order ...
@@ -302,7 +302,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         _tidy(spark)
         done = found if done is None else done.unionByName(found)
         links = done.where("linked").select("a", "b")
-        comps = components(links)
+        comps = merged(comps, found.where("linked").select("a", "b"))
 
     member = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     # a document of several rows joins what its rows' classes belong to

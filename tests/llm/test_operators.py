@@ -220,6 +220,9 @@ def test_components_of_chains_and_stars(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 100 + i) for i in range(1, 9)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components.components(links).collect()}
     assert all(got[i] == 0 for i in range(31)) and all(got[100 + i] == 100 for i in range(9))
+    more = spark.createDataFrame([(30, 105), (500, 501), (2, 3)], "a long, b long")
+    got = {r["node"]: r["comp"] for r in components.merged(components.components(links), more).collect()}
+    assert {n for n, c in got.items() if c == 0} == {*range(31), *range(100, 109)} and got[501] == got[500] == 500 and len(got) == 42
 
 
 # --- chat ---------------------------------------------------------------------------------
