@@ -6,9 +6,10 @@ enough overlap must share take part (its smallest in one global order, common sh
 last); overlap counts add up per pair, and pairs whose count is below the bound that
 their sizes imply are dropped before their sets are compared exactly.
 
-Rows with equal sets are one class. Pairs are formed between components found so far,
-not within them: first every class meets one hub a round, then what still lies in
-different components meets in full.
+Rows with equal sets are one class. For the components, pairs are formed between
+components found so far, not within them: first every class meets one hub a round, then
+what still lies in different components meets in full. The links are all pairs: those that
+the components did not need are counted and verified when the links are read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ FLUSH = 750_000
 #: Bytes of text for a block of columns.
 BLOCK_BYTES = 8 << 20
 HUB_ROUNDS = 2
+#: Classes of one component under one shingle that meet in one task.
+SALT = 256
 #: Ids (16 bytes each) that may be broadcast; their number is checked first.
 BROADCAST_ROWS = 500_000
 
@@ -191,8 +194,8 @@ def _postings(docs: DataFrame, common: np.ndarray, blocks: int) -> DataFrame:
     return packed.groupBy("block").applyInArrow(several, "token long, cls long, n long")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cls, shingles (sorted little-endian uint64) of the classes that the pairs name, from each class's first document."""
+def _loaded(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """cls, shingles (sorted little-endian uint64) of the classes that ``first`` (doc, want) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,12 +206,21 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
                     out.append((want, found.tobytes()))
             yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["cls", "shingles"])
 
+    return docs.join(first, "doc").select("text", "want").mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
+
+
+def _first(classes: DataFrame, named: DataFrame) -> DataFrame:
+    """doc, want: the first document of each class in ``named`` (cls)."""
+    return classes.join(named, "cls").groupBy("cls").agg(F.min("doc").alias("doc")).select("doc", F.col("cls").alias("want"))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cls, shingles of the classes that the pairs name, from each class's first document."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    first = stage(classes.join(named, "cls").groupBy("cls").agg(F.min("doc").alias("doc")).select("doc", F.col("cls").alias("want")))
+    first = stage(_first(classes, named))
     # texts stay where they are while the wanted ids are few; beyond the bound both sides are shuffled
     few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(first) if few else first, "doc")
-    return stage(found.select("text", "want").mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"]))
+    return stage(_loaded(docs, F.broadcast(first) if few else first))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,6 +258,24 @@ def _fits(na, nb):
     return (F.lit(4) * na >= F.lit(3) * nb) & (F.lit(4) * nb >= F.lit(3) * na)
 
 
+def _all_links(docs: DataFrame, classes: DataFrame, postings: DataFrame, comps: DataFrame, done: DataFrame) -> DataFrame:
+    """a < b: every pair of classes of verified similarity; nothing runs before it is read.
+
+    Linked classes share a component, so the pairs that are not yet in ``done`` lie within
+    one. Classes under a shingle are salted: a task never holds all pairs of a common one.
+    """
+    rows = postings.join(comps.select(F.col("node").alias("cls"), "comp"), "cls")
+    several = rows.groupBy("token", "comp").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("salts"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
+    rows = rows.join(several.select("token", "comp", "salts"), ["token", "comp"])
+    left = rows.select("token", "comp", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.col("cls").alias("a"), F.col("n").alias("na"))
+    right = rows.select("token", "comp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+    met = left.join(right, ["token", "comp", "salt"]).where((F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb")))
+    met = met.groupBy("a", "b", "na", "nb").count()
+    pairs = met.where(_enough(F.col("count"), F.col("na"), F.col("nb"))).select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+    sets = _loaded(docs, _first(classes, comps.select(F.col("node").alias("cls"))))
+    return done.unionByName(_verified(pairs, sets)).where("linked").select("a", "b")
+
+
 def _tidy(spark: SparkSession) -> None:
     """Let finished steps' shuffle files go: they are only dropped when the driver collects its garbage."""
     gc.collect()
@@ -261,8 +291,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     Defined cases: null text and texts without words have no shingles and are alone; rows
     with equal ids are one document with its rows' links together; a null id sorts last and
     stays null where its component has no other; an empty table gives an empty table; other
-    columns are not carried. No cap anywhere: the hub rounds only save comparisons, the last
-    round compares every remaining pair that the bounds allow.
+    columns are not carried. No cap anywhere: the hub rounds only save comparisons that the
+    components do not need. ``links`` compares every pair that the bounds allow, k(k-1)/2 in a
+    group of k texts that all link; it is evaluated only where it is read, and ``documents``
+    does not read it.
     """
     spark = docs.sparkSession
     small_batches(spark, "4m")
@@ -274,7 +306,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     postings = stage(_postings(narrow, common, blocks))
     _tidy(spark)
 
-    links = done = None
+    done = None
     comps = None
     for round_ in range(HUB_ROUNDS + 1):
         if comps is None:
@@ -301,7 +333,6 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         found = stage(_verified(pairs, _sets(narrow, classes, pairs)))
         _tidy(spark)
         done = found if done is None else done.unionByName(found)
-        links = done.where("linked").select("a", "b")
         comps = merged(comps, found.where("linked").select("a", "b"))
 
     member = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -313,7 +344,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     out = out.select(
         doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(least == NO_ID, F.lit(None)).otherwise(least).alias("component_id")
     )
-    return out, links
+    return out, _all_links(narrow, classes, postings, comps, done)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,23 @@ def test_ngram_join_of_one_large_group(spark):
     assert all(r["component_id"] == r["doc_id"] for r in got if r["doc_id"] >= 200)
 
 
+@pytest.mark.parametrize("salt", [256, 3])
+def test_ngram_join_returns_all_links(spark, monkeypatch, salt):
+    """Groups of near copies, and a chain whose ends do not link: every pair of similar texts, not a spanning tree."""
+    monkeypatch.setattr(ngram_join, "SALT", salt)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[: 3 * i] + [f"edit{i}"] + base[3 * i + 1 :]) for i in range(30)]
+    texts += [" ".join(f"c{j}" for j in range(6 * i, 6 * i + 80)) for i in range(12)]
+    texts += [" ".join(f"u{i}x{j}" for j in range(50)) for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, texts[0])]
+    _, links = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    name = {ngram_join._class_of(s): i for i, s in enumerate(ngram_join.shingle_sets(pa.array(texts)))}
+    got = [tuple(sorted((name[r["a"]], name[r["b"]]))) for r in links.collect()]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 400
+
+
 def test_components_of_chains_and_stars(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 100 + i) for i in range(1, 9)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components.components(links).collect()}
