@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm.common import fresh, table
+from refloom.llm.common import fresh, stage, table
 
 #: Target share of a source: its documents to this power, over the sum (0.5 lifts small sources).
 ALPHA = 0.5
-#: A source is repeated at most so many times on average.
-MAX_RATE = 8.0
 SEED = 17
-#: Terms of the distribution; at the largest rate the tail beyond is under 2**-53.
+#: Terms of the distribution at least; larger rates take as many as leave a tail under 2**-53.
 TERMS = 48
+#: Beyond this rate the distribution starts near its mean, since exp(-rate) would vanish.
+FAR = 500.0
+#: Largest rate in the oracle SQL only; the operator has none unless asked.
+MAX_RATE = 8.0
 
 
 def unit(*columns) -> F.Column:
@@ -22,20 +24,53 @@ def unit(*columns) -> F.Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
+def _distribution(rate: F.Column, cdf: str, lo: str) -> list[F.Column]:
+    """The distribution function at lo, lo + 1, ... as an array ``cdf``, and ``lo``; what lies outside is under 2**-53."""
+    far = rate > FAR
+    reach = F.ceil(F.sqrt(rate) * 10 + 36)
+    first = F.when(far, F.floor(rate) - reach).otherwise(F.lit(0).cast("long"))
+    last = F.when(far, F.floor(rate) + reach).otherwise(F.greatest(F.lit(TERMS).cast("long"), F.ceil(rate) + reach))
+    # term(k) = term(k-1) * rate / k; beyond FAR up to a factor that the sum takes out
+    term = F.when(far, F.lit(1e-40)).otherwise(F.exp(-rate))
+    start = F.struct(term.alias("term"), term.alias("sum"), F.array(term).alias("cdf"))
+
+    def step(acc, k):
+        term = acc["term"] * rate / k
+        total = acc["sum"] + term
+        return F.struct(term.alias("term"), total.alias("sum"), F.array_append(acc["cdf"], total).alias("cdf"))
+
+    whole = F.aggregate(F.sequence(first + 1, last), start, step, lambda acc: F.when(far, F.transform(acc["cdf"], lambda c: c / acc["sum"])).otherwise(acc["cdf"]))
+    return [whole.alias(cdf), first.alias(lo)]
+
+
+def _capped(sizes: DataFrame, rate: F.Column, n: float, max_rate: float) -> F.Column:
+    """Rates of at most ``max_rate`` whose other sources share the rest; a step takes one small aggregate."""
+    full = 0
+    while True:
+        over = rate >= max_rate
+        found = sizes.agg(F.count_if(over).alias("k"), F.sum(F.when(over, F.col("mx_n"))).alias("n"), F.sum(F.when(~over, F.col("mx_w"))).alias("w")).first()
+        if found["k"] <= full or not found["w"]:
+            return F.least(F.lit(max_rate), rate)
+        full = found["k"]
+        rate = F.lit((n - max_rate * found["n"]) / found["w"]) * F.col("mx_w") / F.col("mx_n")
+
+
 def mix(
     docs: DataFrame,
     source_col: str = "source",
     id_col: str = "doc_id",
     weights: dict[str, float] | None = None,
     alpha: float = ALPHA,
-    max_rate: float = MAX_RATE,
+    max_rate: float | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """Each row repeated k times, in global random order, plus ``mix_copy`` and ``mix_key`` (long).
 
     k inverts the Poisson distribution whose mean is the row's target repetition rate
-    ``total * share(source) / rows(source)``, at most ``max_rate``. The uniform number is
+    ``total * share(source) / rows(source)``. The uniform number is
     a hash of seed, id and the row's number among equal ids' texts, so runs repeat.
+    With ``max_rate`` no mean is larger, and what such sources lose goes to the others by
+    their shares; the total falls short only where all sources with a weight are at that rate.
     ``weights`` gives shares by source (sources not named get none); without it the share
     is rows**alpha, normalised. The global shuffle deals rows by a hash key and sorts
     each part by it.
@@ -47,7 +82,7 @@ def mix(
     no more than others: counts combine before the shuffle, and the rate table has one row a source.
     """
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("mix_copy", "mix_key")])
-    s, r = fresh(kept, "mx_source"), fresh(kept, "mx_cdf")
+    s, r, lo = fresh(kept, "mx_source"), fresh(kept, "mx_cdf"), fresh(kept, "mx_lo")
     sizes = kept.groupBy(F.col(source_col).alias(s)).agg(F.count("*").alias("mx_n"))
     if weights is None:
         share = F.sqrt("mx_n") if alpha == 0.5 else F.pow(F.col("mx_n").cast("double"), F.lit(alpha))
@@ -57,30 +92,21 @@ def mix(
         named = [x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))]
         share = F.coalesce(F.create_map(*named)[F.col(s)], F.lit(0.0)) if named else F.lit(0.0)
     sizes = sizes.withColumn("mx_w", share)
+    if max_rate is not None:
+        sizes = stage(sizes)
     total = sizes.agg(F.sum("mx_n").alias("n"), F.sum("mx_w").alias("w")).first()
     n, w = float(total["n"] or 0), float(total["w"] or 0.0)
-    rate = F.least(F.lit(max_rate), F.lit(n) * F.col("mx_w") / F.lit(w or 1.0) / F.col("mx_n"))
-    # the distribution function at 0, 1, ... by term(k) = term(k-1) * rate / k
-    start = F.struct(
-        F.exp(-F.col("mx_rate")).alias("term"),
-        F.exp(-F.col("mx_rate")).alias("sum"),
-        F.array(F.exp(-F.col("mx_rate"))).alias("cdf"),
-    )
-
-    def step(acc, k):
-        term = acc["term"] * F.col("mx_rate") / k
-        total = acc["sum"] + term
-        return F.struct(term.alias("term"), total.alias("sum"), F.array_append(acc["cdf"], total).alias("cdf"))
-
-    cdf = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda acc: acc["cdf"])
-    rates = sizes.withColumn("mx_rate", rate).select(s, cdf.alias(r))
+    rate = F.lit(n) * F.col("mx_w") / F.lit(w or 1.0) / F.col("mx_n")
+    if max_rate is not None:
+        rate = _capped(sizes, rate, n, max_rate)
+    rates = sizes.withColumn("mx_rate", rate).select(s, *_distribution(F.col("mx_rate"), r, lo))
     doc = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     drawn = unit(F.lit(str(seed)), F.lit("count"), doc)
     u = fresh(kept, "mx_u")
     out = (
         kept.withColumn(u, drawn)
         .join(rates, kept[source_col].eqNullSafe(rates[s]))
-        .withColumn("mx_count", F.size(F.filter(F.col(r), lambda c: c <= F.col(u))))
+        .withColumn("mx_count", F.col(lo) + F.size(F.filter(F.col(r), lambda c: c <= F.col(u))))
         .where(F.col("mx_count") > 0)
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mx_count").cast("long"))))
     )

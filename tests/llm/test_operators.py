@@ -84,6 +84,19 @@ def test_mixing_meets_targets(spark, docs, nothing):
     assert mixing.mix(docs.withColumn("mix_key", F.lit(1))).columns[-2:] == ["mix_copy", "mix_key"]
 
 
+def test_mixing_meets_targets_of_small_sources(spark):
+    big = spark.range(20025).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20000, "a").when(F.col("id") < 20020, "b").otherwise("c").alias("source"))
+    count = lambda df: {r["source"]: r["count"] for r in df.groupBy("source").count().collect()}
+    even = {"a": 1.0, "b": 1.0, "c": 1.0}
+    got = count(mixing.mix(big, weights=even))  # mean rates of a third, 334 and 1335
+    assert all(abs(got[k] - 6675) < 400 for k in "abc")
+    got = count(mixing.mix(big, weights=even, max_rate=100.0))
+    assert abs(got["b"] - 2000) < 200 and abs(got["c"] - 500) < 100 and abs(got["a"] - 17525) < 600
+    n, w = 20025, 20000**0.5 + 20**0.5 + 5**0.5
+    got = count(mixing.mix(big))
+    assert abs(got["b"] - n * 20**0.5 / w) < 150 and abs(got["c"] - n * 5**0.5 / w) < 100
+
+
 # --- quality rules ------------------------------------------------------------------------
 
 
