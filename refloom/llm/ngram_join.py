@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from refloom.llm.common import NO_ID, id_key, small_batches, stage, table
 from refloom.llm.components import merged
@@ -74,6 +75,19 @@ def _classes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, cls long, n long")
 
 
+def with_class(docs: DataFrame, text_col: str = "text", name: str = "cls") -> DataFrame:
+    """``docs`` and the class of each row's text in a further column ``name`` (null without shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, texts = batch.columns
+            found = pa.array([_class_of(s) if len(s) else None for s in shingle_sets(texts)], pa.int64())
+            yield pa.record_batch([*kept, found], names=[*batch.schema.names[:-1], name])
+
+    rows = docs.withColumn(name, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], column: int, emit) -> Iterator[pa.RecordBatch]:
     """Hands lists of sets with FLUSH shingles or more to ``emit``."""
     held, size = [], 0
@@ -282,19 +296,11 @@ def _tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Returns (documents, links).
-
-    documents: doc_id, n_shingles, component_id per row of ``docs``; links: classes a < b of
-    verified similarity, each named by a 64-bit hash of its set.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Returns (members, links).
 
-    Defined cases: null text and texts without words have no shingles and are alone; rows
-    with equal ids are one document with its rows' links together; a null id sorts last and
-    stays null where its component has no other; an empty table gives an empty table; other
-    columns are not carried. No cap anywhere: the hub rounds only save comparisons that the
-    components do not need. ``links`` compares every pair that the bounds allow, k(k-1)/2 in a
-    group of k texts that all link; it is evaluated only where it is read, and ``documents``
-    does not read it.
+    members: doc (``id_key``), cls (null without shingles), n, comp (the smallest class of the
+    component) per row of ``docs``; links as in ``ngram_jaccard_components``.
     """
     spark = docs.sparkSession
     small_batches(spark, "4m")
@@ -336,7 +342,24 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         comps = merged(comps, found.where("linked").select("a", "b"))
 
     member = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    # a document of several rows joins what its rows' classes belong to
+    return member.select("doc", "cls", "n", "comp"), _all_links(narrow, classes, postings, comps, done)
+
+
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Returns (documents, links).
+
+    documents: doc_id, n_shingles, component_id per row of ``docs``; links: classes a < b of
+    verified similarity, each named by a 64-bit hash of its set.
+
+    Defined cases: null text and texts without words have no shingles and are alone; rows
+    with equal ids are linked each by its own text; a null id sorts last and
+    stays null where its component has no other; an empty table gives an empty table; other
+    columns are not carried. No cap anywhere: the hub rounds only save comparisons that the
+    components do not need. ``links`` compares every pair that the bounds allow, k(k-1)/2 in a
+    group of k texts that all link; it is evaluated only where it is read, and ``documents``
+    does not read it.
+    """
+    member, links = near_duplicates(docs, id_col, text_col)
     smallest = member.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("least"))
     out = member.join(smallest, "comp", "left")
     doc = F.when(F.col("doc") == NO_ID, F.lit(None)).otherwise(F.col("doc"))
@@ -344,7 +367,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     out = out.select(
         doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(least == NO_ID, F.lit(None)).otherwise(least).alias("component_id")
     )
-    return out, _all_links(narrow, classes, postings, comps, done)
+    return out, links
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

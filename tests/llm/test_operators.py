@@ -429,3 +429,19 @@ def test_pipeline_stages(spark, docs, nothing):
         for _, apply in corpus_pipeline.STAGES:
             df = apply(spark, df, "")
         df.collect()
+
+
+def test_pipeline_keeps_different_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    rows = [(1, text("a")), (2, text("b")), (None, text("a")), (None, text("c")), (None, text("c") + " tail"), (None, text("d"))]
+    rows += [(7, text("e")), (7, text("f")), (7, text("f")), (7, text("b")), (None, ""), (None, None), (None, ""), (8, ""), (None, text("c"))]
+    # the id that heads a group repeats with a text of another group
+    rows += [(3, text("g")), (4, text("g") + " tail"), (3, text("h")), (0, text("h"))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()]
+    c = [t for i, t in got if i is None and t and t.startswith("cw0")]
+    assert len(c) == 1 and c[0] in (text("c"), text("c") + " tail")
+    want = [(1, text("a")), (2, text("b")), (None, c[0]), (None, text("d")), (7, text("e")), (7, text("f")), (None, ""), (None, None), (8, ""), (3, text("g")), (0, text("h"))]
+    assert Counter(got) == Counter(want)
