@@ -1,10 +1,11 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows; their terms are those that tell the classes
-apart. Examples lie in blocks that know each term's largest weight, so a block whose
-best possible cosine cannot reach a text's k-th best so far is skipped without losing
-exactness. Votes weigh by similarity and undo the sample's class balance; the nearest
-examples are the evidence.
+Examples are a bounded sample of labelled rows with all their terms; inverse document
+frequencies count all documents, and a term weighs more the better it tells the classes
+apart (by 1 + chi-square, so none weighs nothing). Each term has a posting list in blocks of examples that know
+their largest weight, so a block whose best possible cosine cannot reach a text's k-th best is
+skipped without losing exactness. Votes weigh by similarity and undo the sample's class
+balance; the nearest examples are the evidence.
 """
 
 from __future__ import annotations
@@ -15,16 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.llm.common import table
 from refloom.llm.quality_classifier import fold
 
-#: Examples of each class at most (the smallest by a hash of the id), terms at most, examples in a block, neighbours.
-MAX_EXAMPLES, MAX_TERMS, BLOCK, K = 2_000, 1_024, 32, 8
-#: A term is kept if this many examples hold it and its chi-square reaches this value (one in a million by chance).
-MIN_EXAMPLES, MIN_CHI = 4, 23.9
+#: Examples of each class at most (the smallest by a hash of the id), examples in a block, neighbours.
+MAX_EXAMPLES, BLOCK, K = 2_000, 32, 8
+#: Blocks scored before any is skipped.
+FIRST = 4
 #: A vote weighs the cosine to this power; votes of the base rate, in neighbours.
 POWER, PRIOR = 3, 0.5
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -40,57 +42,106 @@ def count_terms(vocabulary: dict[str, int], text: str | None) -> Counter:
     return Counter(k for k in map(vocabulary.get, words(text)) if k is not None)
 
 
+def _pair(counts) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and their counts as arrays, from a dictionary or as they are."""
+    if isinstance(counts, tuple):
+        return counts
+    return np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+
+
+def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a[0], ..., b[0] - 1, a[1], ..."""
+    n = b - a
+    ends = np.cumsum(n)
+    return np.repeat(a - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Index:
-    """Unit TF-IDF vectors of the examples in blocks, with each block's largest weights."""
+    """Unit TF-IDF vectors of the examples as posting lists in blocks, with each block's largest weights."""
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, counts: list[dict[int, int]], weights: tuple[float, float]):
+    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, counts: list, weights: tuple[float, float]):
         self.vocabulary, self.idf = vocabulary, idf
-        vectors = np.array([self.vector(c) for c in counts]).reshape(len(counts), len(idf))
-        full = vectors.any(axis=1) if len(vectors) else np.zeros(0, bool)
+        found = [self.unit(c) for c in counts]
+        full = np.array([len(t) > 0 for t, _ in found], bool)
         label_weight = np.where(labels == 1, weights[1], weights[0])
         none = ~full
         toxic = float((label_weight * labels).sum())
         #: Rate among all examples and among those without any term.
         self.rate = toxic / max(float(label_weight.sum()), 1e-9) if len(labels) else 0.0
         self.bare_rate = (float((label_weight * labels)[none].sum()) + self.rate) / (float(label_weight[none].sum()) + 1.0)
-        vectors, ids, labels, label_weight = vectors[full], ids[full], labels[full], label_weight[full]
-        order = np.lexsort((ids, labels, vectors.argmax(axis=1))) if len(vectors) else np.zeros(0, int)
-        self.vectors, self.ids, self.labels, self.weight = vectors[order], ids[order], labels[order], label_weight[order]
-        self.starts = np.arange(0, len(order), BLOCK)
-        self.best = np.array([self.vectors[a : a + BLOCK].max(axis=0) for a in self.starts]).reshape(len(self.starts), len(idf))
+        found, ids, labels, label_weight = [v for v in found if len(v[0])], ids[full], labels[full], label_weight[full]
+        order = np.lexsort((ids, labels, np.array([t[w.argmax()] for t, w in found], np.int64)))
+        self.ids, self.labels, self.weight = ids[order], labels[order], label_weight[order]
+        found = [found[k] for k in order]
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)])
+        owner = np.repeat(np.arange(len(found)), [len(t) for t, _ in found])
+        values = np.concatenate([np.zeros(0), *(w for _, w in found)])
+        o = np.lexsort((owner, terms))
+        terms, block = terms[o], owner[o] // BLOCK
+        self.owner, self.value = owner[o].astype(np.int32), values[o]
+        new = np.ones(len(o), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(new)
+        #: Of each term's part in a block: its postings, block and largest weight; of each term: its parts.
+        self.starts, self.block = np.append(at, len(o)), block[at]
+        self.best = np.maximum.reduceat(self.value, at) if len(at) else np.zeros(0)
+        self.parts = np.searchsorted(terms[at], np.arange(len(idf) + 1))
+        self.blocks = -(-len(found) // BLOCK)
+
+    def unit(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of length 1."""
+        at, n = _pair(counts)
+        w = (1 + np.log(n)) * self.idf[at]
+        return at, w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def vector(self, counts: dict[int, int]) -> np.ndarray:
+    def vector(self, counts) -> np.ndarray:
         out = np.zeros(len(self.idf))
-        if counts:
-            at = np.fromiter(counts.keys(), np.int64, len(counts))
-            out[at] = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
-            out /= np.sqrt((out * out).sum())
+        at, w = self.unit(counts)
+        out[at] = w
         return out
 
-    def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The K largest cosines of each unit query and their examples (-1: none), exactly."""
+    @property
+    def vectors(self) -> np.ndarray:
+        """The examples as a full matrix (for small indexes)."""
+        out = np.zeros((len(self.ids), len(self.idf)))
+        part = np.repeat(np.arange(len(self.idf)), np.diff(self.parts))
+        out[self.owner, np.repeat(part, np.diff(self.starts))] = self.value
+        return out
+
+    def _cosines(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines with the examples; exact where they can be among the K largest, else 0."""
+        a, b = self.parts[terms], self.parts[terms + 1]
+        part, q = _ranges(a, b), np.repeat(weights, b - a)
+        block = self.block[part]
+        bound = np.bincount(block, self.best[part] * q, minlength=self.blocks)
+
+        def scored(chosen: np.ndarray) -> np.ndarray:
+            held = chosen[block]
+            a, b = self.starts[part[held]], self.starts[part[held] + 1]
+            at = _ranges(a, b)
+            return np.bincount(self.owner[at], self.value[at] * np.repeat(q[held], b - a), minlength=len(self.ids))
+
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        out = scored(first)
+        least = np.partition(out, -K)[-K] if len(out) >= K else 0.0
+        rest = ~first & (bound > 0) & (bound > least - 1e-9)
+        return out + scored(rest) if rest.any() else out
+
+    def nearest(self, queries) -> tuple[np.ndarray, np.ndarray]:
+        """The K largest cosines of each unit query (terms and weights, or a row of a matrix) and their examples (-1: none), exactly."""
         n = len(queries)
         cosines, found = np.zeros((n, K)), np.full((n, K), -1)
-        if not len(self.starts):
+        if not self.blocks:
             return cosines, found
-        bound = queries @ self.best.T
-        order = np.argsort(-bound, axis=1, kind="stable")
-        alive = np.arange(n)
-        for step in range(len(self.starts)):
-            block = order[alive, step]
-            open_ = bound[alive, block] > cosines[alive, K - 1] + 1e-12
-            alive, block = alive[open_], block[open_]
-            if not len(alive):
-                break
-            for b in np.unique(block):
-                rows = alive[block == b]
-                part = self.vectors[self.starts[b] : self.starts[b] + BLOCK]
-                got = queries[rows] @ part.T
-                both = np.concatenate((cosines[rows], got), axis=1)
-                who = np.concatenate((found[rows], np.broadcast_to(self.starts[b] + np.arange(len(part)), got.shape)), axis=1)
-                top = np.argsort(-both, axis=1, kind="stable")[:, :K]
-                cosines[rows], found[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(who, top, 1)
-        found[cosines <= 1e-12] = -1
+        for i, query in enumerate(queries):
+            if not isinstance(query, tuple):
+                query = (np.flatnonzero(query), query[np.flatnonzero(query)])
+            all_ = self._cosines(*query)
+            least = np.partition(all_, -K)[-K] if len(all_) >= K else 0.0
+            near = np.flatnonzero((all_ >= least) & (all_ > 1e-12))
+            near = near[np.argsort(-all_[near], kind="stable")[:K]]
+            cosines[i, : len(near)], found[i, : len(near)] = all_[near], near
         return cosines, found
 
     def score(self, batch: list[dict[int, int]]) -> tuple[np.ndarray, list[list[int]]]:
@@ -99,7 +150,7 @@ class Index:
         rows = [i for i, c in enumerate(batch) if c]
         for a in range(0, len(rows), 256):
             part = rows[a : a + 256]
-            cosines, found = self.nearest(np.array([self.vector(batch[i]) for i in part]))
+            cosines, found = self.nearest([self.unit(batch[i]) for i in part])
             hit = found >= 0
             vote = np.where(hit, cosines**POWER * self.weight[found], 0.0) if len(self.weight) else np.zeros_like(cosines)
             yes = np.where(hit, self.labels[found], 0) if len(self.labels) else np.zeros_like(vote)
@@ -120,33 +171,64 @@ def build(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     # the sample's bound is proven: twice MAX_EXAMPLES ids
     examples = texts.join(F.broadcast(sample), F.col("tx_doc") == F.col("tx_id")).select(F.col("tx_id").cast("long").alias("tx_id"), "tx_y", "tx_text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, list[int]] = {}
-            for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for w in set(words(text)):
-                    held.setdefault(w, [0, 0])[y] += 1
-            yield pa.record_batch([pa.array(list(held), pa.string()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], names=["w", "n0", "n1"])
+            found = [Counter(words(t)) for t in batch.column(2).to_pylist()]
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
+                names=["i", "y", "w", "c"],
+            )
 
+    # bounded: the distinct words of the sampled examples, kept as Arrow columns
+    held = examples.mapInArrow(counted, "i long, y int, w array<string>, c array<long>").limit(4 * MAX_EXAMPLES).toArrow().combine_chunks()
+    ids, ys = (held.column(c).to_numpy().astype(np.int64) for c in ("i", "y"))
+    sizes_ = pc.list_value_length(held.column("w")).to_numpy().astype(np.int64)
+    flat = pc.list_flatten(held.column("w")).combine_chunks().dictionary_encode()
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    order = pc.sort_indices(flat.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    terms, n = rank[flat.indices.to_numpy()], pc.list_flatten(held.column("c")).to_numpy().astype(np.float64)
+    vocabulary = {w: k for k, w in enumerate(flat.dictionary.take(pa.array(order)).to_pylist())}
+    ends = np.cumsum(sizes_)
+    counts = [(terms[b - z : b], n[b - z : b]) for b, z in zip(ends, sizes_)]
+    at = np.lexsort((ys, ids))
     n0, n1 = (float(min(sizes.get(y, 0), MAX_EXAMPLES)) for y in (0, 1))
-    table_ = examples.mapInArrow(count, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    both = F.col("n0") + F.col("n1")
-    chi = F.lit(n0 + n1) * F.pow(F.col("n1") * (n0 - F.col("n0")) - F.col("n0") * (n1 - F.col("n1")), 2)
-    under = F.lit(n0 * n1) * both * (F.lit(n0 + n1) - both)
-    chosen = table_.where((both >= MIN_EXAMPLES) & (under > 0)).withColumn("chi", chi / under).where(F.col("chi") >= MIN_CHI)
-    top = chosen.orderBy(F.desc("chi"), "w").limit(MAX_TERMS).collect()
-    vocabulary = {r["w"]: k for k, r in enumerate(top)}
-    idf = np.array([np.log(1 + (n0 + n1) / (1 + r["n0"] + r["n1"])) for r in top])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    weights = tuple(sizes.get(y, 0) / max(1.0, n) for y, n in ((0, n0), (1, n1)))
+    term_weights = _idf(texts, vocabulary) * (1 + _chi_square(counts, ys, len(vocabulary)))
+    return Index(vocabulary, term_weights, ids[at], ys[at], [counts[k] for k in at], weights)
+
+
+def _chi_square(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int) -> np.ndarray:
+    """Of each term's presence in the examples with their class (0 where only one class is there)."""
+    held = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for (t, _), l in zip(counts, labels) if l == y)]), minlength=size).astype(float) for y in (0, 1)]
+    n0, n1 = (float((labels == y).sum()) for y in (0, 1))
+    both = held[0] + held[1]
+    under = n0 * n1 * both * (n0 + n1 - both)
+    return np.where(under > 0, (n0 + n1) * (held[1] * (n0 - held[0]) - held[0] * (n1 - held[1])) ** 2 / np.maximum(under, 1.0), 0.0)
+
+
+def _idf(texts: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+    """Inverse document frequencies of the vocabulary over all ``texts``."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = shared.value, 0
+        n = np.zeros(len(own), np.int64)
         for batch in batches:
-            found = [count_terms(vocabulary, t) for t in batch.column(2).to_pylist()]
-            lists = pa.list_(pa.int64())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([list(c) for c in found], lists), pa.array([list(c.values()) for c in found], lists)], names=["i", "y", "k", "c"])
+            rows += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                if text:
+                    for w in own.keys() & set(words(text)):
+                        n[own[w]] += 1
+        k = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(np.append(k, -1)), pa.array(np.append(n[k], rows))], names=["k", "n"])
 
-    rows = sorted(examples.mapInArrow(vectors, "i long, y int, k array<long>, c array<long>").limit(4 * MAX_EXAMPLES).collect(), key=lambda r: (r["i"], r["y"]))
-    weights = tuple(sizes.get(y, 0) / max(1.0, n) for y, n in ((0, n0), (1, n1)))
-    return Index(vocabulary, idf, np.array([r["i"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64), [dict(zip(r["k"], r["c"])) for r in rows], weights)
+    found = texts.select("tx_text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = (found.column(c).to_numpy().astype(np.int64) for c in ("k", "n"))
+    held = np.zeros(len(vocabulary))
+    held[k[k >= 0]] = n[k >= 0]
+    return np.log(1 + float(n[k < 0].sum()) / (1 + held))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -159,7 +241,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     all scores are 0; an empty table gives an empty table; rows with equal id are scored each for itself.
     """
     index = build(docs, labels, id_col, text_col, label_col)
-    # bounded: MAX_TERMS by twice MAX_EXAMPLES numbers at most
+    # bounded: the terms of twice MAX_EXAMPLES texts
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -328,6 +328,28 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.toxicity_scores(docs, labels.limit(0)).where("score <> 0").count() == 0
 
 
+def test_toxicity_counts_every_term(spark):
+    """A copy of a toxic example is told by words that hardly any other example has; idf counts all documents."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{'abcdefghijklmnopqrst'[rng.randrange(20)]}{'abcdefghijklmnopqrst'[rng.randrange(20)]}q" for _ in range(25))) for i in range(300)]
+    toxic = {i for i in range(300) if i % 6 == 0}
+    copies = [(1000 + i, rows[i][1]) for i in sorted(toxic)]
+    unlabelled = [(5000 + i, "common " * (i % 3)) for i in range(500)]
+    df = spark.createDataFrame(rows + copies + unlabelled, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(300)], "doc_id long, toxic int")
+    index = toxicity.build(df, labels, "doc_id", "text", "toxic")
+    known = {int(i) for i in index.ids}
+    text = dict(rows + copies + unlabelled)
+    assert set(index.vocabulary) == {w for i in known for w in text[i].split()}
+    idf = toxicity._idf(df.select(F.col("text").alias("tx_text")), index.vocabulary)
+    assert (index.idf >= idf - 1e-9).all()
+    for w, k in index.vocabulary.items():
+        assert np.isclose(idf[k], np.log(1 + len(text) / (1 + sum(w in t.split() for t in text.values()))))
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(df, labels).collect()}
+    copied = [i for i in sorted(toxic) if i in known]
+    assert len(copied) > 20 and all(got[1000 + i]["evidence"][0] == i and got[1000 + i]["predicted"] for i in copied)
+
+
 # --- nearest neighbours -------------------------------------------------------------------
 
 
