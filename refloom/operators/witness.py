@@ -17,6 +17,8 @@ MAX_REASONS = 5
 # How a file names another package, by manager.
 NPM_IMPORT = r"""(?:\bfrom\s*|\bimport\s*|\bimport\s*\(\s*|\brequire\s*\(\s*)['"`]([^'"`\n]+)['"`]"""
 PUB_IMPORT = r"""\b(?:import|export)\s+['"]package:([^/'"]+)/"""
+#: Members never searched for an extension: Object's, and shorter names.
+OBJECT_MEMBERS, MIN_MEMBER = ("toString", "hashCode", "noSuchMethod", "runtimeType"), 3
 IDENTIFIER = r"(?<![A-Za-z0-9_])([A-Za-z_$][A-Za-z0-9_]*)(?![A-Za-z0-9_$])"
 
 
@@ -43,6 +45,16 @@ def identifiers(files: DataFrame) -> DataFrame:
     return rows.select("package_id", "file", "line", "token", dotted.alias("member")).distinct()
 
 
+def extension_members(a: Analysis, names: DataFrame) -> DataFrame:
+    """symbol_id, target_package_id, token, member_id: public member names of extensions that are not their own names."""
+    symbols = a.t["symbols"]
+    children = symbols.select(F.col("parent_symbol_id").alias("symbol_id"), F.col("name").alias("token"), F.col("symbol_id").alias("member_id"))
+    plain = F.col("token").rlike(r"^[A-Za-z$][A-Za-z0-9_$]*$") & (F.length("token") >= MIN_MEMBER) & ~F.col("token").isin(*OBJECT_MEMBERS)
+    of = semi(names.select("symbol_id", "target_package_id").distinct(), symbols.where("kind = 'extension'"), ["symbol_id"])
+    found = of.join(children.where(plain), "symbol_id").groupBy("symbol_id", "target_package_id", "token").agg(F.min("member_id").alias("member_id"))
+    return anti(found, names, ["symbol_id", "token"])
+
+
 def witness_hits(a: Analysis, pending: DataFrame, files: DataFrame) -> DataFrame:
     """symbol_id, package_id, file, line of text that may use a symbol under review.
 
@@ -53,6 +65,7 @@ def witness_hits(a: Analysis, pending: DataFrame, files: DataFrame) -> DataFrame
     names = pending.select("symbol_id").join(a.t["symbols"].select("symbol_id", F.col("package_id").alias("target_package_id"), F.col("name").alias("token")), "symbol_id")
     aliases = a.t["symbol_exports"].where("exported_as <> 'default'").select("symbol_id", F.col("exported_as").alias("token"))
     names = names.unionByName(names.drop("token").join(aliases, "symbol_id").select("symbol_id", "target_package_id", "token")).distinct()
+    names = names.withColumn("member_id", F.lit(None).cast("long")).unionByName(extension_members(a, names))
     target = a.t["packages"].select(F.col("package_id").alias("target_package_id"), "manager", "name")
     deps = a.t["package_deps"].where("resolved_package_id is not null").groupBy(F.col("consumer_package_id").alias("package_id"), F.col("resolved_package_id").alias("target_package_id")).agg(F.bool_or("dev").alias("dev"))
     key = ["package_id", "file"]
@@ -68,8 +81,12 @@ def witness_hits(a: Analysis, pending: DataFrame, files: DataFrame) -> DataFrame
     # an indexed file's own resolution of the name on that line decides against text
     shown = a.t["occurrences"].join(a.t["symbols"].select("symbol_id", F.col("name").alias("token")), "symbol_id").select(*key, (F.col("line") + 1).alias("line"), "token").distinct()
     indexed = marked(met, a.t["documents"], key, "indexed")
-    resolved = anti(indexed.where("indexed and not member"), shown, [*key, "line", "token"])
-    met = indexed.where("not indexed").unionByName(resolved)
+    resolved = anti(indexed.where("indexed and member_id is null and not member"), shown, [*key, "line", "token"])
+    # an extension is used by its members, also after a dot, unless only another symbol of that name is shown there
+    through = indexed.where("indexed and member_id is not null")
+    own = a.t["occurrences"].select(F.col("symbol_id").alias("member_id"), *key, (F.col("line") + 1).alias("line")).distinct()
+    through = anti(through, shown, [*key, "line", "token"]).unionByName(semi(through, own, ["member_id", *key, "line"]))
+    met = indexed.where("not indexed").unionByName(resolved).unionByName(through)
     met = marked(met, a.test_support_symbols, ["symbol_id"], "support")
     tests = ~F.col("in_test") | F.col("dev") | F.col("support") | F.lit(a.policy.count_tests)
     docs = ~F.col("in_docs") | F.lit(a.policy.count_docs)

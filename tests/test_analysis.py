@@ -140,6 +140,28 @@ def test_witness_and_propagation(spark):
     assert {r["verdict"] for r in apply_witness(an, an.verdicts, unread)[0].collect()} == {"needs_review"}
 
 
+def test_witness_searches_extension_members(spark):
+    from refloom.operators.witness import witness_hits
+
+    o = Org(spark)
+    a, c = o.pkg("a"), o.pkg("c")
+    for f in ("src/in.js", "src/own.js"):
+        o.doc(c, f)
+    ext, other = o.sym(a, "SvgExt", kind="extension"), o.sym(a, "Other")
+    load = o.sym(a, "loadSvg", kind="method", parent=ext)
+    for name in ("toString", "id", "_hidden"):
+        o.sym(a, name, kind="method", parent=ext)
+    o.sym(a, "paint", kind="method", parent=other)
+    o.ref(o.sym(c, "loadSvg", "src/in.js", kind="method"), c, c, "src/in.js", line=1)
+    o.ref(load, c, a, "src/own.js", line=1)
+    o.rows["package_deps"].append((c, "npm", "a", "*", a, False, "name", False))
+    text = "import x from 'a'\n'x'.loadSvg()\ny.toString(); y.id; y.paint(); y._hidden\n"
+    files = spark.createDataFrame([(c, f, text) for f in ("src/x.js", "src/in.js", "src/own.js")], "package_id string, file string, text string")
+    pending = spark.createDataFrame([(ext,), (other,)], "symbol_id long")
+    got = {(r["symbol_id"], r["file"], r["line"]) for r in witness_hits(o.run(), pending, files).collect()}
+    assert got == {(ext, "src/x.js", 2), (ext, "src/own.js", 2)}
+
+
 def test_invariants_catch_errors(spark):
     from refloom.operators.invariants import violations
 
