@@ -29,13 +29,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def merged(known: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after more ``links``: only links between known components take part, each named by its smallest node."""
+    """Components after more ``links`` between them (a, b: their smallest nodes, or nodes that had none), each named by its smallest node."""
+    step = components(links)
     if known is None:
-        return components(links)
-    a = known.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    b = known.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
-    step = components(stage(between))
-    fresh = step.select("node", F.col("node").alias("comp")).join(known, "node", "left_anti")
+        return step
     to = step.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    fresh = step.select("node", F.col("node").alias("comp")).join(known, "node", "left_anti")
     return stage(known.unionByName(fresh).join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))

@@ -3,13 +3,14 @@
 The product of the document-by-shingle incidence with its transpose is never formed
 whole. Columns are hashed into blocks; of each row only the entries that a partner with
 enough overlap must share take part (its smallest in one global order, common shingles
-last); overlap counts add up per pair, and pairs whose count is below the bound that
-their sizes imply are dropped before their sets are compared exactly.
-
-Rows with equal sets are one class. For the components, pairs are formed between
-components found so far, not within them: first every class meets one hub a round, then
-what still lies in different components meets in full. The links are all pairs: those that
-the components did not need are counted and verified when the links are read.
+last). Each row meets one hub under each shingle, overlap counts add up per pair, and pairs
+whose count is below the bound that their sizes imply are dropped.
+
+Rows (classes of equal sets) that surviving pairs connect are dealt into units of bounded
+size, each row once. A unit is one block of the product over whole rows: overlap counts
+accumulate column by column and decide every link between components, so no pair is
+written, and a row is multiplied only with rows outside its component. The next round turns
+to other hubs; the last one meets whatever still crosses both components and units.
 """
 
 from __future__ import annotations
@@ -36,7 +37,11 @@ MAX_COMMON = 2_000_000
 FLUSH = 750_000
 #: Bytes of text for a block of columns.
 BLOCK_BYTES = 8 << 20
-HUB_ROUNDS = 2
+#: Rounds that meet hubs, and hubs of a shingle in each but the first. From the second round on, a shingle that more
+#: rows have than CROWDED sends them to its hub's group whether or not they share enough with the hub.
+HUB_ROUNDS, HUBS, CROWDED = 3, 4, 64
+#: Rows and entries (8 bytes each) of a unit at most, on average.
+UNIT_ROWS, UNIT_ENTRIES = 4_096, 2_000_000
 #: Classes of one component under one shingle that meet in one task.
 SALT = 256
 #: Ids (16 bytes each) that may be broadcast; their number is checked first.
@@ -223,20 +228,160 @@ def _loaded(docs: DataFrame, first: DataFrame) -> DataFrame:
     return docs.join(first, "doc").select("text", "want").mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
 
 
-def _first(classes: DataFrame, named: DataFrame) -> DataFrame:
+def joined_components(rows: list[np.ndarray], component: np.ndarray) -> np.ndarray:
+    """For each row (sorted distinct hashes) the least component number that links of similarity 75 % or more join its component with.
+
+    A row's overlaps with all rows outside what is reached so far are counted at once, by its
+    columns' postings; what links is reached with its whole component. So every pair of
+    different components is decided, by its count, unless links found before already join them.
+    """
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    entries, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    _, column, n = np.unique(entries, return_inverse=True, return_counts=True)
+    column, owner = column[n[column] > 1], owner[n[column] > 1]  # of the rest no pair has any
+    at = np.searchsorted(owner, np.arange(len(rows) + 1))
+    by_component = np.argsort(component, kind="stable")
+    first = np.searchsorted(component[by_component], np.arange(component.max() + 2))
+    open_ = np.ones(len(rows), dtype=bool)
+    joined = component.copy()
+
+    def postings():
+        """Rows still open of each column."""
+        held = open_[owner]
+        order = np.argsort(column[held], kind="stable")
+        return owner[held][order], np.searchsorted(column[held][order], np.arange(len(n) + 1)), int(open_.sum())
+
+    def reach(c: int) -> list[int]:
+        found = by_component[first[c] : first[c + 1]].tolist()
+        open_[found] = False
+        return found
+
+    posted, starts, indexed = postings()
+    for seed in np.argsort(at[:-1] - at[1:], kind="stable").tolist():
+        if not open_[seed]:
+            continue
+        reached = [int(component[seed])]
+        queue = reach(reached[0])
+        while queue:
+            left = int(open_.sum())
+            if not left:
+                break
+            if 2 * left < indexed:
+                posted, starts, indexed = postings()
+            row = queue.pop()
+            own = column[at[row] : at[row + 1]]
+            lengths = starts[own + 1] - starts[own]
+            total = int(lengths.sum())
+            if not total:
+                continue
+            where = np.repeat(starts[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(total)
+            counts = np.bincount(posted[where], minlength=len(rows))
+            hit = open_ & (100 * counts >= 75 * (sizes[row] + sizes - counts))
+            for c in np.unique(component[hit]).tolist():
+                reached.append(c)
+                queue += reach(c)
+        if len(reached) > 1:
+            joined[np.isin(component, reached)] = min(reached)
+    return joined
+
+
+def _unit_links(group: pa.Table) -> pa.Table:
+    """a, b: components (least first) that links among a unit's rows (unit, cls, comp, shingles) join."""
+    pa.default_memory_pool().release_unused()
+    label, comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)
+    joined = comp
+    if len(label) > 1:
+        joined = joined_components([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")], comp)
+    pairs = np.unique(np.stack((joined, comp), axis=1)[joined != comp], axis=0)
+    return pa.table({"a": pa.array(label[pairs[:, 0]], pa.int64()), "b": pa.array(label[pairs[:, 1]], pa.int64())})
+
+
+def _first(reps: DataFrame, named: DataFrame) -> DataFrame:
     """doc, want: the first document of each class in ``named`` (cls)."""
-    return classes.join(named, "cls").groupBy("cls").agg(F.min("doc").alias("doc")).select("doc", F.col("cls").alias("want"))
+    return reps.join(named, "cls").select("doc", F.col("cls").alias("want"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cls, shingles of the classes that the pairs name, from each class's first document."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    first = stage(_first(classes, named))
+def _sets(docs: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
+    """cls, shingles of the classes in ``named`` (cls), from each class's first document."""
+    first = stage(_first(reps, named))
     # texts stay where they are while the wanted ids are few; beyond the bound both sides are shuffled
     few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return stage(_loaded(docs, F.broadcast(first) if few else first))
 
 
+def _parts(group_rows, group_entries):
+    return F.ceil(F.greatest(group_rows / F.lit(float(UNIT_ROWS)), group_entries / F.lit(float(UNIT_ENTRIES)))).cast("int")
+
+
+def _grouped(groups: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """cls, group: each class of ``pairs`` (a, b) goes to the group of its hub b; any grouping is right, close texts together save work."""
+    if groups is None:
+        # hubs of the first round are larger than what they meet, so their own hubs lead on without a cycle
+        step = pairs.select(F.col("a").alias("b"), F.col("b").alias("up"))
+        hop = pairs.join(step, "b", "left").select("a", F.coalesce("up", "b").alias("b"))
+        hop = hop.join(step, "b", "left").select(F.col("a").alias("cls"), F.coalesce("up", "b").alias("group"))
+        known = hop
+    else:
+        hub = groups.select(F.col("cls").alias("b"), "group")
+        known = pairs.join(hub, "b", "left").select(F.col("a").alias("cls"), F.coalesce("group", "b").alias("group"))
+        known = known.unionByName(groups.join(known, "cls", "left_anti"))
+    # a hub that no group holds yet is in its own
+    roots = known.select(F.col("group").alias("cls"), "group").distinct()
+    return known.unionByName(roots.join(known, "cls", "left_anti"))
+
+
+def _dealt(groups: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """unit, cls, cell: groups cut into units of bounded size, each class once; a cell is a unit."""
+    dealt = groups.join(reps.select("cls", "n"), "cls")
+    parts = dealt.groupBy("group").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
+    unit = F.xxhash64("group", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    return dealt.join(parts, "group").select(unit.alias("unit"), "cls").withColumn("cell", F.col("unit"))
+
+
+def _covered(groups: DataFrame, pairs: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """unit, cls, cell: units of bounded size that hold every pair of different components of the groups that ``pairs`` reach.
+
+    Of a group its largest component is dealt into parts and the loose rest into parts; every
+    part of one meets every part of the other, and loose parts meet each other. Two of
+    the largest component's need not meet. So a cell is a whole group.
+    """
+    anew = pairs.select(F.col("a").alias("cls")).join(groups, "cls").select("group").distinct()
+    of = comps.select(F.col("node").alias("cls"), "comp")
+    dealt = groups.join(anew, "group").join(reps.select("cls", "n"), "cls").join(of, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    sizes = dealt.groupBy("group", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    main = sizes.groupBy("group").agg(F.max(F.struct("k", "comp", "n")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+    main = main.select("group", F.col("main.comp").alias("main"), _parts(F.col("main.k"), F.col("main.n")).alias("mains"), _parts(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("loose")).where("loose > 0")
+    rows = dealt.join(main, "group")
+    pick = lambda parts: F.pmod(F.xxhash64("cls"), F.col(parts)).cast("int")
+    upto = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    unit = lambda kind, x, y: F.xxhash64("group", F.lit(kind), x, y)
+    inner = rows.where("comp = main").select("group", "cls", F.explode(F.transform(upto("loose"), lambda i: unit("main", pick("mains"), i))).alias("unit"))
+    own = rows.where("comp <> main").withColumn("own", pick("loose"))
+    others = F.filter(upto("loose"), lambda j: j != F.col("own"))
+    both = F.concat(F.transform(upto("mains"), lambda m: unit("main", m, F.col("own"))), F.transform(others, lambda j: unit("loose", F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
+    outer = own.select("group", "cls", F.explode(both).alias("unit"))
+    return inner.unionByName(outer).select("unit", "cls", F.xxhash64("group", F.lit("cell")).alias("cell"))
+
+
+def _stars(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """unit, cls: each pair (a, b) in one unit, a's partners together."""
+    sized = pairs.join(reps.select(F.col("cls").alias("b"), "n"), "b")
+    parts = sized.groupBy("a").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
+    dealt = sized.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("unit"), "a", "b")
+    return dealt.select("unit", F.col("b").alias("cls")).unionByName(dealt.select("unit", F.col("a").alias("cls")).distinct())
+
+
+def _decided(units: DataFrame, docs: DataFrame, reps: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """a, b: components that links among each unit's classes join."""
+    sets = _sets(docs, reps, units.select("cls").distinct())
+    rows = units.select("unit", "cls").join(sets, "cls")
+    if comps is None:
+        rows = rows.withColumn("comp", F.col("cls"))
+    else:
+        rows = rows.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    return rows.groupBy("unit").applyInArrow(_unit_links, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, linked: exact set comparison of candidate pairs."""
 
@@ -272,11 +417,11 @@ def _fits(na, nb):
     return (F.lit(4) * na >= F.lit(3) * nb) & (F.lit(4) * nb >= F.lit(3) * na)
 
 
-def _all_links(docs: DataFrame, classes: DataFrame, postings: DataFrame, comps: DataFrame, done: DataFrame) -> DataFrame:
+def _all_links(docs: DataFrame, reps: DataFrame, postings: DataFrame, comps: DataFrame) -> DataFrame:
     """a < b: every pair of classes of verified similarity; nothing runs before it is read.
 
-    Linked classes share a component, so the pairs that are not yet in ``done`` lie within
-    one. Classes under a shingle are salted: a task never holds all pairs of a common one.
+    Linked classes share a component, so pairs are met within one. Classes under a shingle
+    are salted: a task never holds all pairs of a common one.
     """
     rows = postings.join(comps.select(F.col("node").alias("cls"), "comp"), "cls")
     several = rows.groupBy("token", "comp").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("salts"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
@@ -285,9 +430,58 @@ def _all_links(docs: DataFrame, classes: DataFrame, postings: DataFrame, comps:
     right = rows.select("token", "comp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("cls").alias("b"), F.col("n").alias("nb"))
     met = left.join(right, ["token", "comp", "salt"]).where((F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb")))
     met = met.groupBy("a", "b", "na", "nb").count()
-    pairs = met.where(_enough(F.col("count"), F.col("na"), F.col("nb"))).select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
-    sets = _loaded(docs, _first(classes, comps.select(F.col("node").alias("cls"))))
-    return done.unionByName(_verified(pairs, sets)).where("linked").select("a", "b")
+    pairs = met.where(_enough(F.col("count"), F.col("na"), F.col("nb"))).select("a", "b")
+    sets = _loaded(docs, _first(reps, comps.select(F.col("node").alias("cls"))))
+    return _verified(pairs, sets).where("linked").select("a", "b")
+
+
+def _sided(postings: DataFrame, place: DataFrame, alone: bool) -> DataFrame:
+    """token, f, main, inner and the columns of ``place``, of shingles with several labels.
+
+    f counts the shingle's rows, main is the label that most of them have, inner whether the
+    row has it. What is inner hangs together or was compared before, so only the rest needs
+    partners: a group of near copies makes no pairs of its own. ``alone``: every class has its
+    own label.
+    """
+    known = postings.select("token", "cls").join(place, "cls")
+    if alone:
+        top = known.groupBy("token").agg(F.max("label").alias("main"), F.min("label").alias("lo"), F.count("*").alias("f")).where("lo < main")
+    else:
+        labels = known.groupBy("token", "label").count()
+        top = labels.groupBy("token").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels"), F.sum("count").alias("f")).where("labels > 1").withColumn("main", F.col("top.label"))
+    return known.join(top.select("token", "main", "f"), "token").withColumn("inner", F.col("label") == F.col("main"))
+
+
+def _hub_pairs(postings: DataFrame, place: DataFrame, round_: int) -> DataFrame:
+    """a, b: each class and, of its shingles' hubs that it is not settled with, the one that shares most.
+
+    Hubs of a shingle are the classes of smallest hash within its main label, one for each of
+    some seeds; the hash is one to one, so it stands for the class. Two classes are settled if
+    one component or one unit before held both.
+    """
+    seeds = [F.lit(round_ * HUBS + k) for k in range(HUBS if round_ else 1)]
+    rows = _sided(postings, place, not round_)
+    least = rows.where("inner").groupBy("token").agg(*[F.min(F.xxhash64("cls", x)).alias(f"hub{k}") for k, x in enumerate(seeds)])
+    met = rows.where("not inner").select("token", "cls", (F.col("f") > CROWDED).alias("crowded")).join(least, "token")
+    met = met.select("cls", "crowded", F.posexplode(F.array(*[f"hub{k}" for k in range(len(seeds))])).alias("seed", "hub"))
+    met = met.groupBy("cls", "seed", "hub").agg(F.count("*").alias("count"), F.bool_or("crowded").alias("crowded"))
+    of = place.select("cls", F.col("n").alias("m"), F.col("comp").alias("hub_comp"), F.col("cell").alias("hub_cell"), F.posexplode(F.array(*[F.xxhash64("cls", x) for x in seeds])).alias("seed", "hub"))
+    met = met.join(of.withColumnRenamed("cls", "b"), ["seed", "hub"]).join(place.select("cls", "n", "comp", "cell"), "cls")
+    met = met.where((F.col("comp") != F.col("hub_comp")) & (F.col("cell") != F.col("hub_cell")))
+    enough = _fits(F.col("n"), F.col("m")) & _enough(F.col("count"), F.col("n"), F.col("m"))
+    met = met.withColumn("enough", enough).where(F.col("enough") | (F.col("crowded") & F.lit(bool(round_))))
+    return met.groupBy("cls").agg(F.max(F.struct("enough", "count", "b")).alias("best")).select(F.col("cls").alias("a"), "best.b")
+
+
+def _crossing_pairs(postings: DataFrame, place: DataFrame) -> DataFrame:
+    """a < b: every pair that the bounds allow and that neither a component nor a unit has settled."""
+    rows = _sided(postings, place, False)
+    left = rows.where("not inner").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("cell").alias("ea"))
+    right = rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("cell").alias("eb"), "inner")
+    met = left.join(right, "token").where((F.col("inner") | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & (F.col("ea") != F.col("eb")) & _fits(F.col("na"), F.col("nb")))
+    pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both"), F.greatest("na", "nb").alias("most"))
+    counted = pair.groupBy("a", "b", "both", "most").count()
+    return counted.where(_enough(F.col("count"), F.col("both") - F.col("most"), F.col("most"))).select("a", "b")
 
 
 def _tidy(spark: SparkSession) -> None:
@@ -300,49 +494,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Returns (members, links).
 
     members: doc (``id_key``), cls (null without shingles), n, comp (the smallest class of the
-    component) per row of ``docs``; links as in ``ngram_jaccard_components``.
+    component), least (its smallest doc) per row of ``docs``; links as in ``ngram_jaccard_components``.
     """
+    with small_batches(docs.sparkSession, "4m"):
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    small_batches(spark, "4m")
     narrow = docs.select(id_key(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     classes = stage(_classes(narrow))
+    reps = stage(classes.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"), F.max("n").alias("n")))
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(8, -(-total // BLOCK_BYTES))
     common = _common(narrow, blocks)
     postings = stage(_postings(narrow, common, blocks))
     _tidy(spark)
 
-    done = None
-    comps = None
+    comps = cells = groups = None
+    sharing = stage(postings.select("cls").distinct().join(reps.select("cls", "n"), "cls"))
     for round_ in range(HUB_ROUNDS + 1):
-        if comps is None:
-            known = postings.withColumn("comp", F.col("cls"))
-        else:
-            known = postings.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("comp", "cls", "n")).alias("hub")).where("lo < hi")
-        if round_ < HUB_ROUNDS:
-            met = known.join(mixed, "token").where((F.col("comp") != F.col("hub.comp")) & _fits(F.col("n"), F.col("hub.n")))
-            met = met.groupBy(F.col("cls"), F.col("n"), F.col("hub.cls").alias("other"), F.col("hub.n").alias("m")).count()
-            met = met.where(_enough(F.col("count"), F.col("n"), F.col("m")))
-            best = met.groupBy("cls").agg(F.max(F.struct("count", "other")).alias("best"))
-            pairs = best.select(F.least("cls", "best.other").alias("a"), F.greatest("cls", "best.other").alias("b")).distinct()
-        else:
-            rows = known.join(mixed.select("token"), "token").select("token", "cls", "n", "comp")
-            left = rows.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            right = rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb")))
-            met = met.groupBy("a", "b", "na", "nb").count()
-            pairs = met.where(_enough(F.col("count"), F.col("na"), F.col("nb"))).select("a", "b")
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stage(pairs)
-        found = stage(_verified(pairs, _sets(narrow, classes, pairs)))
+        place = _placed(sharing, comps, cells)
+        last = round_ == HUB_ROUNDS
+        pairs = stage(_crossing_pairs(postings, place) if last else _hub_pairs(postings, place, round_))
+        if pairs.isEmpty():
+            continue
+        if not last:
+            groups = stage(_grouped(groups, pairs))
+        units = stage(_stars(pairs, reps) if last else _dealt(groups, pairs, reps) if comps is None else _covered(groups, pairs, reps, comps))
+        comps = merged(comps, stage(_decided(units, narrow, reps, comps)))
+        if not last:
+            cell = units.select("cls", "cell").distinct()
+            cells = stage(cell if cells is None else cell.unionByName(cells.join(cell, "cls", "left_anti")))
         _tidy(spark)
-        done = found if done is None else done.unionByName(found)
-        comps = merged(comps, found.where("linked").select("a", "b"))
+    if comps is None:
+        comps = reps.select(F.col("cls").alias("node"), F.col("cls").alias("comp")).limit(0)
+
+    # by class, so that a class or component of very many rows is a few numbers before rows join it
+    by_class = reps.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", F.coalesce("comp", "cls").alias("comp"))
+    by_class = stage(by_class.join(by_class.groupBy("comp").agg(F.min("doc").alias("least")), "comp").select("cls", "comp", "least"))
+    member = classes.join(by_class, "cls", "left")
+    return member.select("doc", "cls", "n", "comp", "least"), _all_links(narrow, reps, postings, comps)
 
-    member = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    return member.select("doc", "cls", "n", "comp"), _all_links(narrow, classes, postings, comps, done)
+
+def _placed(sharing: DataFrame, comps: DataFrame | None, cells: DataFrame | None) -> DataFrame:
+    """cls, n, comp, cell (what last compared it) and label: its cell, or its component where that lies in several cells.
+
+    Two classes of one component, one cell or one label are settled.
+    """
+    place = sharing
+    for found, name in ((comps, "comp"), (cells, "cell")):
+        known = None if found is None else found.withColumnRenamed("node", "cls")
+        place = place.withColumn(name, F.lit(None).cast("long")) if known is None else place.join(known, "cls", "left")
+    place = place.select("cls", "n", F.coalesce("comp", "cls").alias("comp"), F.coalesce("cell", "cls").alias("cell"))
+    if comps is None:
+        return place.withColumn("label", F.col("cell"))
+    wide = place.groupBy("comp").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo < hi").select("comp", F.lit(True).alias("wide"))
+    return stage(place.join(wide, "comp", "left").select("cls", "n", "comp", "cell", F.when(F.col("wide"), F.col("comp")).otherwise(F.col("cell")).alias("label")))
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -354,17 +562,16 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     Defined cases: null text and texts without words have no shingles and are alone; rows
     with equal ids are linked each by its own text; a null id sorts last and
     stays null where its component has no other; an empty table gives an empty table; other
-    columns are not carried. No cap anywhere: the hub rounds only save comparisons that the
-    components do not need. ``links`` compares every pair that the bounds allow, k(k-1)/2 in a
-    group of k texts that all link; it is evaluated only where it is read, and ``documents``
-    does not read it.
+    columns are not carried. No cap anywhere: units and hubs only save comparisons that the
+    components do not need; every pair of different components that the bounds allow is
+    decided. ``links`` compares every pair that the bounds allow, k(k-1)/2 in a group of k
+    texts that all link; it is evaluated only where it is read, and ``documents`` does not
+    read it.
     """
     member, links = near_duplicates(docs, id_col, text_col)
-    smallest = member.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("least"))
-    out = member.join(smallest, "comp", "left")
     doc = F.when(F.col("doc") == NO_ID, F.lit(None)).otherwise(F.col("doc"))
     least = F.least(F.coalesce("least", "doc"), F.col("doc"))
-    out = out.select(
+    out = member.select(
         doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(least == NO_ID, F.lit(None)).otherwise(least).alias("component_id")
     )
     return out, links
