@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space between words, as a regular-expression class body and as characters.
 WS_CLASS = r"\x20\x09-\x0D"
@@ -23,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder that the cluster names. Only a local master gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="stage-")
@@ -34,6 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Stages written since the outermost ``spent_stages`` began: schema and path.
+_made: list[list[tuple[StructType, str]]] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -43,9 +52,37 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _made:
+        made.append((df.schema, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def spent_stages(spark: SparkSession):
+    """Empties, on leaving, the stages written inside but for the last one (the result)."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for schema, path in _made.pop()[:-1]:
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of at most ``size`` for Python: long texts would make the default's 64 MB of each task too much.
+
+    Holds for what is run inside; the caller's setting returns on leaving.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def id_key(column: str) -> Column:
     """The id as a long that is never null (null ids sort last)."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
@@ -70,6 +107,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Hand Arrow batches of at most ``size`` to Python: long texts would make the default's 64 MB of each task too much."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def own_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, grown until no column of ``df`` begins with it (names compare without case)."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix

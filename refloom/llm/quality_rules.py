@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm.common import WS_CLASS, stage, table, text_of
+from refloom.llm.common import WS_CLASS, own_prefix, stage, table, text_of
 
 #: Statistics of a text, all long.
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -61,43 +61,43 @@ def document_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     equal ones side by side, so the cost is n log n even for a text of one repeated word.
     Null text has no words.
     """
-    text = text_of(text_col)
+    text, qr = text_of(text_col), own_prefix(docs, "qr_")
     out = docs.withColumns(
         {
-            "qr_words": F.array_remove(F.split(text, f"[{WS_CLASS}]+"), ""),
-            "qr_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS_CLASS}]")),
+            f"{qr}words": F.array_remove(F.split(text, f"[{WS_CLASS}]+"), ""),
+            f"{qr}lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS_CLASS}]")),
         }
     )
     out = out.withColumns(
         {
-            "n_words": F.size("qr_words").cast("long"),
-            "word_chars": F.length(F.array_join("qr_words", "")).cast("long"),
+            "n_words": F.size(f"{qr}words").cast("long"),
+            "word_chars": F.length(F.array_join(f"{qr}words", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long"),
-            "n_dup_lines": (F.size("qr_lines") - F.size(F.array_distinct("qr_lines"))).cast("long"),
-            "n_text_lines": F.size("qr_lines").cast("long"),
-            "n_unique": F.size(F.array_distinct("qr_words")).cast("long"),
+            "n_dup_lines": (F.size(f"{qr}lines") - F.size(F.array_distinct(f"{qr}lines"))).cast("long"),
+            "n_text_lines": F.size(f"{qr}lines").cast("long"),
+            "n_unique": F.size(F.array_distinct(f"{qr}words")).cast("long"),
             "n_upper": (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).cast("long"),
             "n_lower": (F.length(text) - F.length(F.regexp_replace(text, "[a-z]+", ""))).cast("long"),
             "n_bangs": (F.length(text) - F.length(F.regexp_replace(text, "!", ""))).cast("long"),
             # windows as (hash, start), equal hashes side by side
-            "qr_sorted": F.expr(
-                "if(size(qr_words) < 4, cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(sequence(0, size(qr_words) - 3), "
-                "i -> named_struct('h', xxhash64(get(qr_words, i), get(qr_words, i + 1), get(qr_words, i + 2)), 'i', i))))"
+            f"{qr}sorted": F.expr(
+                f"if(size({qr}words) < 4, cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(sequence(0, size({qr}words) - 3), "
+                f"i -> named_struct('h', xxhash64(get({qr}words, i), get({qr}words, i + 1), get({qr}words, i + 2)), 'i', i))))"
             ),
         }
     )
     out = out.withColumn(
-        "qr_starts",
+        f"{qr}starts",
         F.expr(
-            "if(size(qr_sorted) < 2, cast(array() as array<int>), sort_array(transform(filter(qr_sorted, (x, k) -> "
-            "coalesce(get(qr_sorted, k - 1).h = x.h, false) OR coalesce(get(qr_sorted, k + 1).h = x.h, false)), x -> x.i)))"
+            f"if(size({qr}sorted) < 2, cast(array() as array<int>), sort_array(transform(filter({qr}sorted, (x, k) -> "
+            f"coalesce(get({qr}sorted, k - 1).h = x.h, false) OR coalesce(get({qr}sorted, k + 1).h = x.h, false)), x -> x.i)))"
         ),
     )
     # words covered by the windows: each start adds three words less the overlap with the next start
     out = out.withColumn(
         "n_repeat_words",
         F.expr(
-            "if(size(qr_starts) = 0, 0L, aggregate(transform(qr_starts, (s, k) -> least(3, coalesce(get(qr_starts, k + 1), s + 3) - s)), 0L, (a, x) -> a + x))"
+            f"if(size({qr}starts) = 0, 0L, aggregate(transform({qr}starts, (s, k) -> least(3, coalesce(get({qr}starts, k + 1), s + 3) - s)), 0L, (a, x) -> a + x))"
         ),
     )
     # a generator keeps later filters on the statistics above their computation: pushed below,
@@ -110,12 +110,12 @@ def vote_sql(rule: Rule) -> str:
     return f"CASE WHEN {rule.bad} THEN -1 WHEN {rule.good} THEN 1 ELSE 0 END"
 
 
-def log_odds_sql(params: dict[str, str], rules=RULES) -> str:
+def log_odds_sql(params: dict[str, str], rules=RULES, vote: str = "v") -> str:
     """Log odds of being good, from the votes and the parameters' SQL."""
     terms = [f"ln({params['p']} / (1 - {params['p']}))"]
     for j in range(len(rules)):
         a, b = params[f"a{j}"], params[f"b{j}"]
-        terms.append(f"CASE v{j} WHEN 1 THEN ln({a} / (1 - {b})) WHEN -1 THEN ln((1 - {a}) / {b}) ELSE 0.0 END")
+        terms.append(f"CASE {vote}{j} WHEN 1 THEN ln({a} / (1 - {b})) WHEN -1 THEN ln((1 - {a}) / {b}) ELSE 0.0 END")
     return " + ".join(terms)
 
 
@@ -154,28 +154,26 @@ def estimate(patterns: DataFrame, rules=RULES, rounds: int = ROUNDS) -> dict[str
 def quality_rules(docs: DataFrame, text_col: str = "text", rules=RULES, keep_text: bool = True) -> DataFrame:
     """``docs`` plus statistics, ``base_failed``, ``quality`` (posterior) and ``kept``.
 
-    The statistics are computed twice: once to count vote patterns (a combining
-    aggregate of at most 3**rules rows), once to write the verdicts; nothing else is shuffled.
+    The statistics are computed in one pass over the texts and written once, with the rows'
+    columns (without the text unless ``keep_text``); vote patterns are counted (a combining
+    aggregate of at most 3**rules rows) and verdicts given from there. No text is shuffled.
 
     Defined cases: null text has no words, so the base filter fails; an empty table gives
     an empty table; equal rows get equal verdicts; a rule whose conditions both fail
-    abstains; input columns named like an output are replaced.
+    abstains; input columns named like an output are replaced, others stay.
     """
     outputs = {*STATS, *MORE_STATS, "base_failed", "quality", "kept"}
     kept = docs.drop(*[c for c in docs.columns if c.lower() in outputs])
-    votes = {f"v{j}": F.expr(vote_sql(r)) for j, r in enumerate(rules)}
-    narrow = document_stats(kept.select(F.col(text_col).alias("qr_text")), "qr_text").drop("qr_text").withColumns(votes)
+    v = own_prefix(kept, "v")
+    votes = {f"{v}{j}": F.expr(vote_sql(r)) for j, r in enumerate(rules)}
+    found = document_stats(kept, text_col)
+    found = stage(found if keep_text else found.drop(text_col))
     # documents that the base filter rejects anyway would teach the rules about a kind of junk that is gone
-    narrow = narrow.where(f"NOT ({BASE_FAILED})")
-    patterns = stage(narrow.groupBy(*votes).agg(F.count("*").cast("double").alias("c")).coalesce(1))
-    params = estimate(patterns, rules)
-    odds = log_odds_sql({k: f"{v!r}D" for k, v in params.items()}, rules)
-    if not keep_text:
-        kept = kept.withColumn(text_col, text_of(text_col))
-    out = document_stats(kept, text_col).withColumns(votes)
-    out = out.withColumns({"base_failed": F.expr(BASE_FAILED), "quality": F.expr(f"1 / (1 + exp(-({odds})))")})
-    out = out.withColumn("kept", F.expr("NOT base_failed AND quality >= 0.5")).drop(*votes)
-    return out if keep_text else out.drop(text_col)
+    patterns = found.where(f"NOT ({BASE_FAILED})").groupBy(*[x.alias(f"v{j}") for j, x in enumerate(votes.values())])
+    params = estimate(stage(patterns.agg(F.count("*").cast("double").alias("c")).coalesce(1)), rules)
+    odds = log_odds_sql({k: f"{x!r}D" for k, x in params.items()}, rules, v)
+    out = found.withColumns(votes).withColumns({"base_failed": F.expr(BASE_FAILED), "quality": F.expr(f"1 / (1 + exp(-({odds})))")})
+    return out.withColumn("kept", F.expr("NOT base_failed AND quality >= 0.5")).drop(*votes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
