@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm.common import WS_CHARS, ascii_lower, fresh, id_key, stage, table, text_of
+from refloom.llm.common import WS_CHARS, ascii_lower, id_key, own_prefix, stage, table, text_of
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -34,44 +34,45 @@ def line_dedup(
     per key on one side, so a key that a third of all documents hold is split at run time.
     """
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
-    i, t = fresh(kept, "ld_id"), fresh(kept, "ld_text")
+    ld = own_prefix(kept, "ld_")
+    i, t = f"{ld}id", f"{ld}text"
     rows = kept.withColumns({i: id_key(id_col), t: F.xxhash64(text_of(text_col))})
 
     lines = (
-        rows.select(i, t, F.posexplode(F.split(text_of(text_col), "\n")).alias("ld_pos", "ld_line"))
-        .select(i, t, "ld_pos", line_key(F.col("ld_line")).alias("ld_key"))
-        .where(F.length("ld_key") >= min_chars)
-        .select(i, t, "ld_pos", F.xxhash64("ld_key").alias("ld_h1"), F.xxhash64(F.lit(8), "ld_key").alias("ld_h2"))
+        rows.select(i, t, F.posexplode(F.split(text_of(text_col), "\n")).alias(f"{ld}pos", f"{ld}line"))
+        .select(i, t, f"{ld}pos", line_key(F.col(f"{ld}line")).alias(f"{ld}key"))
+        .where(F.length(f"{ld}key") >= min_chars)
+        .select(i, t, f"{ld}pos", F.xxhash64(f"{ld}key").alias(f"{ld}h1"), F.xxhash64(F.lit(8), f"{ld}key").alias(f"{ld}h2"))
     )
     if min_docs <= 2:
-        holders = lines.groupBy("ld_h1", "ld_h2").agg(F.min(i).alias("ld_owner"), F.max(i).alias("ld_last"))
-        shared = holders.where(F.col("ld_owner") < F.col("ld_last")) if min_docs == 2 else holders
+        holders = lines.groupBy(f"{ld}h1", f"{ld}h2").agg(F.min(i).alias(f"{ld}owner"), F.max(i).alias(f"{ld}last"))
+        shared = holders.where(F.col(f"{ld}owner") < F.col(f"{ld}last")) if min_docs == 2 else holders
     else:
-        holders = lines.select("ld_h1", "ld_h2", i).distinct().groupBy("ld_h1", "ld_h2")
-        shared = holders.agg(F.min(i).alias("ld_owner"), F.count("*").alias("ld_n")).where(F.col("ld_n") >= min_docs)
+        holders = lines.select(f"{ld}h1", f"{ld}h2", i).distinct().groupBy(f"{ld}h1", f"{ld}h2")
+        shared = holders.agg(F.min(i).alias(f"{ld}owner"), F.count("*").alias(f"{ld}n")).where(F.col(f"{ld}n") >= min_docs)
     # written first: a join with an aggregate's own partitions could not be split at run time
-    shared = stage(shared.select("ld_h1", "ld_h2", "ld_owner"))
+    shared = stage(shared.select(f"{ld}h1", f"{ld}h2", f"{ld}owner"))
     drops = (
-        lines.join(shared, ["ld_h1", "ld_h2"])
-        .where(F.col(i) > F.col("ld_owner"))
+        lines.join(shared, [f"{ld}h1", f"{ld}h2"])
+        .where(F.col(i) > F.col(f"{ld}owner"))
         .groupBy(i, t)
-        .agg(F.collect_set("ld_pos").alias("ld_drop"))
+        .agg(F.collect_set(f"{ld}pos").alias(f"{ld}drop"))
     )
     split = F.split(text_of(text_col), "\n")
-    joined = rows.join(drops, [i, t], "left").withColumn("ld_lines", split)
-    left = F.array_except(F.sequence(F.lit(0), F.size("ld_lines") - 1), F.col("ld_drop"))
+    joined = rows.join(drops, [i, t], "left").withColumn(f"{ld}lines", split)
+    left = F.array_except(F.sequence(F.lit(0), F.size(f"{ld}lines") - 1), F.col(f"{ld}drop"))
     # rows without drops keep their text as it is, so the arrays are built for the others only
-    text = F.when(F.col("ld_drop").isNull(), text_of(text_col)).otherwise(
-        F.array_join(F.transform(left, lambda k: F.get(F.col("ld_lines"), k)), "\n")
+    text = F.when(F.col(f"{ld}drop").isNull(), text_of(text_col)).otherwise(
+        F.array_join(F.transform(left, lambda k: F.get(F.col(f"{ld}lines"), k)), "\n")
     )
     out = joined.withColumns(
         {
-            "n_lines": F.size("ld_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("ld_drop"), F.lit(0)).cast("long"),
-            "ld_text_out": text,
+            "n_lines": F.size(f"{ld}lines").cast("long"),
+            "n_dropped": F.coalesce(F.size(f"{ld}drop"), F.lit(0)).cast("long"),
+            f"{ld}text_out": text,
         }
     )
-    columns = [F.col("ld_text_out").alias(c) if c == text_col else F.col(c) for c in kept.columns]
+    columns = [F.col(f"{ld}text_out").alias(c) if c == text_col else F.col(c) for c in kept.columns]
     return out.select(*columns, "n_lines", "n_dropped")
 
 
