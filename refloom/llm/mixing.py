@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm.common import fresh, stage, table
+from refloom.llm.common import own_prefix, stage, table
 
 #: Target share of a source: its documents to this power, over the sum (0.5 lifts small sources).
 ALPHA = 0.5
@@ -14,8 +14,6 @@ SEED = 17
 TERMS = 48
 #: Beyond this rate the distribution starts near its mean, since exp(-rate) would vanish.
 FAR = 500.0
-#: Largest rate in the oracle SQL only; the operator has none unless asked.
-MAX_RATE = 8.0
 
 
 def unit(*columns) -> F.Column:
@@ -67,8 +65,8 @@ def mix(
     """Each row repeated k times, in global random order, plus ``mix_copy`` and ``mix_key`` (long).
 
     k inverts the Poisson distribution whose mean is the row's target repetition rate
-    ``total * share(source) / rows(source)``. The uniform number is
-    a hash of seed, id and the row's number among equal ids' texts, so runs repeat.
+    ``total * share(source) / rows(source)``. The uniform number is a hash of seed and id,
+    so runs repeat; a row without an id is hashed by its contents instead.
     With ``max_rate`` no mean is larger, and what such sources lose goes to the others by
     their shares; the total falls short only where all sources with a weight are at that rate.
     ``weights`` gives shares by source (sources not named get none); without it the share
@@ -76,13 +74,14 @@ def mix(
     each part by it.
 
     Defined cases: null source is a source of its own (no weight where ``weights`` is
-    given); null id hashes as the word null; rows with equal id share their count;
-    an empty table gives an empty table; other columns stay, and input columns called
+    given); rows with equal id share their count, as do rows without an id whose columns
+    (maps aside) are all equal; an empty table gives an empty table; other columns stay, and input columns called
     ``mix_copy`` or ``mix_key`` are replaced. A source that holds a third of all rows costs
     no more than others: counts combine before the shuffle, and the rate table has one row a source.
     """
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("mix_copy", "mix_key")])
-    s, r, lo = fresh(kept, "mx_source"), fresh(kept, "mx_cdf"), fresh(kept, "mx_lo")
+    mx = own_prefix(kept, "mx_")
+    s, r, lo, u, k = (mx + x for x in ("source", "cdf", "lo", "u", "count"))
     sizes = kept.groupBy(F.col(source_col).alias(s)).agg(F.count("*").alias("mx_n"))
     if weights is None:
         share = F.sqrt("mx_n") if alpha == 0.5 else F.pow(F.col("mx_n").cast("double"), F.lit(alpha))
@@ -100,15 +99,15 @@ def mix(
     if max_rate is not None:
         rate = _capped(sizes, rate, n, max_rate)
     rates = sizes.withColumn("mx_rate", rate).select(s, *_distribution(F.col("mx_rate"), r, lo))
-    doc = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    content = F.xxhash64(*[f.name for f in kept.schema.fields if "map<" not in f.dataType.simpleString()])
+    doc = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null/"), content))
     drawn = unit(F.lit(str(seed)), F.lit("count"), doc)
-    u = fresh(kept, "mx_u")
     out = (
         kept.withColumn(u, drawn)
         .join(rates, kept[source_col].eqNullSafe(rates[s]))
-        .withColumn("mx_count", F.col(lo) + F.size(F.filter(F.col(r), lambda c: c <= F.col(u))))
-        .where(F.col("mx_count") > 0)
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mx_count").cast("long"))))
+        .withColumn(k, F.col(lo) + F.size(F.filter(F.col(r), lambda c: c <= F.col(u))))
+        .where(F.col(k) > 0)
+        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(k).cast("long"))))
     )
     key = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit("order"), doc, F.col("mix_copy"))), 1, 15), 16, 10)
     out = out.withColumn("mix_key", key.cast("long")).select(*[F.col(c) for c in kept.columns], "mix_copy", "mix_key")
@@ -120,16 +119,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(source: str = "documents") -> str:
-    """The same rows in DuckDB SQL, from a relation of documents."""
+    """The same rows in DuckDB SQL, from a relation of documents with ids and rates up to FAR."""
     return f"""
 WITH RECURSIVE mx_sizes AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM {source} GROUP BY source),
 mx_rates AS (
-  SELECT source, least({MAX_RATE}, CAST((SELECT sum(n) FROM mx_sizes) AS DOUBLE) * w / (SELECT sum(w) FROM mx_sizes) / n) AS rate
+  SELECT source, CAST((SELECT sum(n) FROM mx_sizes) AS DOUBLE) * w / (SELECT sum(w) FROM mx_sizes) / n AS rate
   FROM mx_sizes),
 mx_cdf AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS c FROM mx_rates
   UNION ALL
-  SELECT source, rate, k + 1, term * rate / (k + 1), c + term * rate / (k + 1) FROM mx_cdf WHERE k < {TERMS}),
+  SELECT source, rate, k + 1, term * rate / (k + 1), c + term * rate / (k + 1) FROM mx_cdf WHERE k < greatest({TERMS}, ceil(rate) + ceil(sqrt(rate) * 10 + 36))),
 mx_lists AS (SELECT source, list(c ORDER BY k) AS cdf FROM mx_cdf GROUP BY source),
 mx_drawn AS (
   SELECT d.*, len(list_filter(l.cdf, lambda c: c <= CAST(('0x' || substr(md5('{SEED}/count/' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / {float(2**52)})) AS n_copies
