@@ -133,13 +133,73 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int
     return source.mapInArrow(run, schema)
 
 
+class SumIndex:
+    """Sums of one, two and three available lengths, by sum.
+
+    A sum's entry is the largest member of its combinations (for three: of those whose other
+    two are no longer). Lengths are only ever used up, so an entry can only fall: it is
+    repaired when a look-up finds its combination gone.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left, self.top = left, len(left) - 1
+        self.have = left > 0
+        self.pair = np.zeros(len(left), dtype=np.int64)
+        self.triple = np.zeros(len(left), dtype=np.int64)
+        sums = np.zeros(len(left), dtype=bool)  # of two lengths up to the present one
+        lengths = np.flatnonzero(self.have)
+        for a in lengths.tolist():
+            others = lengths[: np.searchsorted(lengths, min(a, self.top - a), "right")]
+            sums[a + others] = True
+            self.pair[a + others] = a
+            self.triple[a + np.flatnonzero(sums[: self.top - a + 1])] = a
+
+    def used_up(self, lengths: np.ndarray) -> None:
+        self.have[lengths] = self.left[lengths] > 0
+
+    def _two(self, gap: int, most: int, held: list[int]) -> list[int] | None:
+        """Two lengths of this sum, none above ``most`` and none that the bin in hand holds to the last."""
+        a = min(int(self.pair[gap]), most)
+        while 2 * a >= gap and a:
+            b = gap - a
+            if self.left[a] > held.count(a) and self.left[b] > held.count(b) + (a == b):
+                return [a, b]
+            low = (gap + 1) // 2
+            both = self.have[low:a] & self.have[gap - a + 1 : gap - low + 1][::-1]
+            lower = int(low + np.flatnonzero(both)[-1]) if both.any() else 0
+            if a == self.pair[gap] and not (self.left[a] and self.left[b] > (a == b)):
+                self.pair[gap] = lower
+            a = lower
+        return None
+
+    def fill(self, gap: int, held: list[int]) -> list[int] | None:
+        """One, two or three available lengths whose sum is the gap, longest first."""
+        if self.left[gap] > held.count(gap):
+            return [gap]
+        found = self._two(gap, gap, held)
+        if found:
+            return found
+        a = int(self.triple[gap])
+        while 3 * a >= gap and a:
+            if self.left[a] > held.count(a):
+                found = self._two(gap - a, a, [*held, a])
+                if found:
+                    return [a, *found]
+            lower = np.flatnonzero(self.have[:a] & (self.pair[gap : gap - a : -1] > 0))
+            lower = int(lower[-1]) if len(lower) else 0
+            if a == self.triple[gap] and not held:
+                self.triple[gap] = lower
+            a = lower
+        return None
+
+
 class Plan:
     """Bins over a histogram of lengths.
 
     A bin opens with the longest length left. Its gap is closed exactly by one, two or
-    three available lengths where their sums hit it; otherwise the longest length that fits
-    goes in and the smaller gap is tried again. A bin's pattern is used as often as the
-    counts allow, so the work follows the number of lengths, not of pieces.
+    three available lengths where the index of their sums has it; otherwise the longest
+    length that fits goes in and the smaller gap is looked up again. A bin's pattern is used
+    as often as the counts allow, so the work follows the number of lengths, not of pieces.
     """
 
     def __init__(self, counts: dict[int, int], capacity: int):
@@ -150,63 +210,30 @@ class Plan:
         #: (lengths from longest, times)
         self.patterns: list[tuple[list[int], int]] = []
 
-    def exact(self, gap: int, left: np.ndarray) -> list[int] | None:
-        """Up to three available lengths whose sum is the gap: longest first."""
-        if left[gap] > 0:
-            return [gap]
-        have = np.flatnonzero(left[: gap + 1])
-        if not len(have):
-            return None
-        for first in self.pair(gap, left, have):
-            return first
-        if 3 * int(have[-1]) < gap:
-            return None
-        for a in have[::-1]:
-            a = int(a)
-            if 3 * a < gap:
-                return None
-            left[a] -= 1
-            rest = gap - a
-            found = next(self.pair(rest, left, have[have <= min(a, rest)]), None) if rest > 0 else None
-            left[a] += 1
-            if found:
-                return [a, *found]
-        return None
-
-    @staticmethod
-    def pair(gap: int, left: np.ndarray, have: np.ndarray):
-        other = gap - have
-        ok = (other > 0) & (other <= have)
-        big, small = have[ok], other[ok]
-        good = (left[big] > 0) & (left[small] > 0) & ((big != small) | (left[big] > 1))
-        if good.any():
-            k = int(np.flatnonzero(good)[-1])
-            yield [int(big[k]), int(small[k])]
-
     def run(self) -> Plan:
-        left = self.left
+        left, index = self.left, SumIndex(self.left)
         top = self.capacity
         while True:
             while top > 0 and left[top] == 0:
                 top -= 1
             if top == 0:
                 return self
-            bin_, gap, tentative = [top], self.capacity - top, left.copy()
-            tentative[top] -= 1
+            bin_, gap = [top], self.capacity - top
             while gap:
-                found = self.exact(gap, tentative)
+                found = index.fill(gap, bin_)
                 if found:
                     bin_ += found
                     break
-                fits = np.flatnonzero(tentative[: gap + 1])
-                if not len(fits):
+                fits = np.flatnonzero(index.have[: gap + 1])
+                fit = next((x for x in fits[::-1].tolist() if left[x] > bin_.count(x)), 0)
+                if not fit:
                     break
-                bin_.append(int(fits[-1]))
-                tentative[fits[-1]] -= 1
-                gap -= int(fits[-1])
+                bin_.append(fit)
+                gap -= fit
             need, uses = np.unique(bin_, return_counts=True)
             times = int((left[need] // uses).min())
             left[need] -= uses * times
+            index.used_up(need)
             self.patterns.append((bin_, times))
 
     def slots(self) -> list[tuple[int, int, int, int, int]]:
@@ -227,25 +254,26 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Only the histogram of lengths (at most ``capacity`` rows) reaches the driver. Pieces are
     numbered within their length in buckets, so a length that a third of all pieces has is
-    no single task's work; the plan's slots (a few per length) join by length and a rank range.
+    no single task's work; the plan's slots (a few per length) join by length and bucket.
     """
     spark = parts.sparkSession
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    total = sum(histogram.values())
     slots = Plan(histogram, capacity).run().slots()
-    buckets = max(1, math.ceil(total / BUCKET_ROWS))
-    bucketed = parts.withColumn("pk_bucket", F.pmod(F.xxhash64("doc_id", "row_key", "piece", "pk_n"), F.lit(buckets)).cast("int"))
+    # at most `capacity` rows: each length and how many buckets its pieces take
+    shares = spark.createDataFrame([(k, math.ceil(n / BUCKET_ROWS)) for k, n in histogram.items()], "length long, pk_buckets long")
+    bucketed = parts.join(F.broadcast(shares), "length")
+    bucketed = bucketed.withColumn("pk_bucket", F.pmod(F.xxhash64("doc_id", "row_key", "piece", "pk_n"), F.col("pk_buckets"))).drop("pk_buckets")
     sizes = bucketed.groupBy("length", "pk_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("pk_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("pk_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    starts = sizes.withColumn("pk_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # a bucket's ranks meet only the slots that they reach
+    table_ = spark.createDataFrame(slots or [], "length long, a long, b long, s long, o long")
+    reached = starts.join(table_, "length").where((F.col("a") < F.col("pk_before") + F.col("n")) & (F.col("b") > F.col("pk_before")))
+    reached = reached.groupBy("length", "pk_bucket", "pk_before").agg(F.sort_array(F.collect_list(F.struct("a", "b", "s", "o"))).alias("pk_slots"))
     inside = Window.partitionBy("length", "pk_bucket").orderBy("doc_id", "row_key", "piece", "pk_n")
-    ranked = bucketed.withColumn("pk_in", F.row_number().over(inside) - 1).join(starts, ["length", "pk_bucket"])
+    ranked = bucketed.withColumn("pk_in", F.row_number().over(inside) - 1).join(reached, ["length", "pk_bucket"])
     ranked = ranked.withColumn("pk_rank", F.col("pk_before") + F.col("pk_in"))
-    # slots of a length as one sorted array: one row a length, at most `capacity` rows in all
-    table_ = spark.createDataFrame(slots or [], "length long, a long, b long, s long, o long")
-    arrays = table_.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("a", "b", "s", "o"))).alias("pk_slots"))
-    hit = F.expr("filter(pk_slots, x -> x.a <= pk_rank AND pk_rank < x.b)[0]")
-    placed = ranked.join(arrays, "length").withColumn("pk_hit", hit)
+    placed = ranked.withColumn("pk_hit", F.expr("filter(pk_slots, x -> x.a <= pk_rank AND pk_rank < x.b)[0]"))
     out = placed.withColumns({"sequence_id": F.col("pk_hit.s") + F.col("pk_rank") - F.col("pk_hit.a"), "offset": F.col("pk_hit.o")})
     return out.drop("pk_bucket", "pk_before", "pk_in", "pk_rank", "pk_slots", "pk_hit")
 
