@@ -158,7 +158,7 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 
 
-_OUT = pa.schema([("cls", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.int64())])
+_OUT = pa.schema([("cls", pa.binary()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.int64())])
 
 
 def _bucket_rows(batches):
@@ -214,14 +214,14 @@ def _anchor_rows(batches):
             if len(seen) < 200_000:
                 seen.add(c)
             at, h = anchors(text.as_buffer().to_pybytes())
-            cls.append(np.full(len(at), c, np.int64))
+            cls += [c] * len(at)
             gram.append(h)
             place.append(at)
-        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (cls, gram, place)]
-        yield pa.record_batch([pa.array(c) for c in columns], names=["cls", "gram", "place"])
+        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, place)]
+        yield pa.record_batch([pa.array(cls, pa.binary()), *map(pa.array, columns)], names=["cls", "gram", "place"])
 
 
-_CONTEXT = pa.schema([("gram", pa.int64()), ("chunk", pa.int64()), ("parts", pa.int64()), ("cls", pa.int64()), ("text", pa.binary()), ("begin", pa.int64()), ("places", pa.list_(pa.int64()))])
+_CONTEXT = pa.schema([("gram", pa.int64()), ("chunk", pa.int64()), ("parts", pa.int64()), ("cls", pa.binary()), ("text", pa.binary()), ("begin", pa.int64()), ("places", pa.list_(pa.int64()))])
 
 
 def _context_rows(batches):
@@ -235,7 +235,7 @@ def _context_rows(batches):
                 left = max(0, p - LEFT)
                 alike.setdefault((a["gram"], data[left : p + SPAN], LEFT - (p - left)), [a["parts"], []])[1].append(p)
             for (gram, context, begin), (parts, places) in alike.items():
-                chunk = int.from_bytes(hashlib.blake2b(context, digest_size=6).digest(), "little") ^ (c & 0xFFFFFFFF)
+                chunk = int.from_bytes(hashlib.blake2b(context, digest_size=6).digest(), "little") ^ int.from_bytes(c[:4], "little")
                 out.append((gram, chunk % parts, parts, c, context, begin, places))
             if len(out) >= 4096:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), _CONTEXT)], schema=_CONTEXT)
@@ -275,7 +275,7 @@ def _tidy(spark: SparkSession) -> None:
 
 def _found(rows: DataFrame, copies: DataFrame) -> DataFrame:
     """What the passes over all buckets find (see ``_bucket_rows``)."""
-    found = stage(rows.where(F.octet_length("text") >= SPAN).select("cls", "text").mapInArrow(_anchor_rows, "cls long, gram long, place long"))
+    found = stage(rows.where(F.octet_length("text") >= SPAN).select("cls", "text").mapInArrow(_anchor_rows, "cls binary, gram long, place long"))
     # at least two different places; copies of a text in several tasks name the same place again
     one = F.struct("cls", "place")
     sizes = found.groupBy("gram").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n")).where("lo < hi")
@@ -286,22 +286,28 @@ def _found(rows: DataFrame, copies: DataFrame) -> DataFrame:
     wanted = repeated.join(copies, "cls").select("cls", F.col("first").alias("key"), "found")
     firsts = rows.where(F.octet_length("text") >= SPAN).withColumn("key", id_key("doc_id")).join(wanted, ["cls", "key"])
     firsts = firsts.dropDuplicates(["cls", "key"]).select("cls", "text", "found")
-    contexts = firsts.mapInArrow(_context_rows, "gram long, chunk long, parts long, cls long, text binary, begin long, places array<long>")
+    contexts = firsts.mapInArrow(_context_rows, "gram long, chunk long, parts long, cls binary, text binary, begin long, places array<long>")
     dealt = contexts.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk")
-    return stage(dealt.mapInArrow(_bucket_rows, "cls long, start long, end long, window long"))
+    return stage(dealt.mapInArrow(_bucket_rows, "cls binary, start long, end long, window long"))
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: what is left) per row of ``docs``.
 
+    Texts are told apart by 128 bits.
+
     Defined cases: null text is empty; texts shorter than SPAN bytes stay whole; rows with
     equal texts (repeated rows and equal ids too) are copies of each other and go in full from SPAN bytes
     on; a null id stays null; an empty table gives an empty table; other columns are not carried.
     """
+    with small_batches(docs.sparkSession):
+        return _cut_repeats(docs, id_col, text_col)
+
+
+def _cut_repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("cls"), text.cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("cls"), text.cast("binary").alias("text"))
     copies = stage(rows.groupBy("cls").agg(F.count("*").alias("copies"), F.min(id_key("doc_id")).alias("first")))
 
     result = _found(rows, copies)
@@ -315,6 +321,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     flags = stage(copies.select("cls", "copies").join(spans, "cls", "left"))
     _tidy(spark)
     joined = rows.join(flags, "cls").select("doc_id", "text", "copies", "spans")
+    # batches of the last pass are bounded by rows: the caller's session may hand on larger ones
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
