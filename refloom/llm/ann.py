@@ -8,13 +8,13 @@ under a limit. Rows in a dense neighbourhood stop early; rows without near neigh
 ascend far, up to the root (every row) if need be.
 
 Rows are dealt into shards of bounded size by a hash of their id; every shard has its own
-forest and answers every block of queries; the shards' best merge by query.
+forest and answers every block of queries, which stream past it; the shards' best merge by query.
 """
 
 from __future__ import annotations
 
 import math
-
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ QUERY_EVERY = 20
 TREES, BITS = 64, 24
 #: Chance, under the projections' model, that a row as near as the k-th best found is still unseen.
 MISS = 0.12
-#: Rows of a shard and queries of a block (their hash shards stay near these sizes).
-SHARD_ROWS, BLOCK_QUERIES = 32_768, 2_048
+#: Rows of a shard, queries of a block, and queries answered at once (shards stay near their size by hashing).
+SHARD_ROWS, BLOCK_QUERIES, CHUNK = 32_768, 2_048, 1_024
+#: Shards times blocks at most: with more shards a block holds more queries, since each block builds its shards' forests.
+TASKS = 20_000
 SEED = 5
 
 
@@ -110,6 +112,55 @@ def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([math.fsum(x) for x in (vectors * query).tolist()])
 
 
+def _matrix(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = part.column("id").to_numpy()
+    flat = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return ids, flat.reshape(len(ids), -1)
+
+
+def _distinct(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each distinct vector, and which one each row is."""
+    raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel()
+    _, first, which = np.unique(raw, return_index=True, return_inverse=True)
+    return first, which
+
+
+class Shard:
+    """A shard's forest and the ids that each distinct vector stands for (the k + 1 smallest)."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, seed: int):
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order] + 0.0  # no negative zeros
+        first, which = _distinct(vectors)
+        members = np.argsort(which, kind="stable")
+        ends = np.searchsorted(which[members], np.arange(len(first) + 1))
+        self.k = k
+        self.owned = [np.unique(ids[members[a:b]])[: k + 1] for a, b in zip(ends, ends[1:])]
+        self.held = np.array([len(o) for o in self.owned])
+        self.forest = Forest(vectors[first], seed)
+
+    def answers(self, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        """query_id, vec_id, score of each query's k best here."""
+        first, which = _distinct(vectors + 0.0)
+        points, need = vectors[first], self.k + 1
+        lengths = np.sqrt((points * points).sum(axis=1, keepdims=True))
+        ranges = self.forest.ranges(np.column_stack((points / lengths, np.zeros(len(points)))))
+        best = []
+        for i in range(len(points)):
+            found, scores = self.forest.search(points[i], ranges[i], need, self.held)
+            if len(found) > need:  # the exact sums decide among all that rounding may have swapped
+                cut = np.partition(scores, len(scores) - need)[len(scores) - need]
+                found = found[scores >= cut - 1e-9 * max(1.0, abs(float(cut)))]
+            exact = _exact(self.forest.vectors[found], points[i])
+            best.append(sorted((-s, int(o)) for s, f in zip(exact, found) for o in self.owned[f])[:need])
+        out = [(int(q), v, -s) for q, w in zip(ids, which) for s, v in [p for p in best[w] if p[1] != q][: self.k]]
+        columns = list(zip(*out)) or [(), (), ()]
+        return pa.record_batch([pa.array(c, t.type) for c, t in zip(columns, _FOUND)], schema=_FOUND)
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
 def usable(column: str) -> F.Column:
     """Not null, not zero, only finite components."""
     c = F.col(column)
@@ -127,56 +178,39 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     its k + 1 smallest ids, which no exact answer can exceed.
     """
     as_double = F.transform(vector_col, lambda x: x.cast("double"))
+    shape = [F.size("v").alias("d"), "id", "v"]
     good = rows.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_double.alias("v"))
     asked = queries.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_double.alias("v"))
     n, m = good.count(), asked.count()
-    shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(m / BLOCK_QUERIES))
-    dealt = F.pmod(F.xxhash64("id"), F.lit(shards))
-    left = good.withColumn("shard", dealt).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("d", F.size("v"))
-    block = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int")
-    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("block", block).withColumn("d", F.size("v"))
-    keys = ["shard", "block", "d"]
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def matrix(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = part.column("id").to_numpy()
-        flat = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return ids, flat.reshape(len(ids), -1)
-
-    def answer(data: pa.Table, ask: pa.Table) -> pa.Table:
-        if not len(data) or not len(ask):
-            return schema.empty_table()
-        ids, vectors = matrix(data)
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order] + 0.0  # no negative zeros
-        raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel()
-        _, first, which = np.unique(raw, return_index=True, return_inverse=True)
-        members = np.argsort(which, kind="stable")
-        ends = np.searchsorted(which[members], np.arange(len(first) + 1))
-        owned = [np.unique(ids[members[a:b]])[: k + 1] for a, b in zip(ends, ends[1:])]
-        held = np.array([len(o) for o in owned])
-        forest = Forest(vectors[first], trees_seed)
-        q_ids, q_vectors = matrix(ask)
-        q_raw = np.ascontiguousarray(q_vectors + 0.0).view(np.dtype((np.void, q_vectors.shape[1] * 8))).ravel()
-        _, q_first, q_which = np.unique(q_raw, return_index=True, return_inverse=True)
-        points = q_vectors[q_first]
-        lengths = np.sqrt((points * points).sum(axis=1, keepdims=True))
-        ranges = forest.ranges(np.column_stack((points / lengths, np.zeros(len(points)))))
-        answers = []
-        for i in range(len(points)):
-            found, scores = forest.search(points[i], ranges[i], k + 1, held)
-            if len(found) > k + 1:  # the exact sums decide among all that rounding may have swapped
-                cut = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                keep = scores >= cut - 1e-9 * max(1.0, abs(float(cut)))
-                found = found[keep]
-            exact = _exact(forest.vectors[found], points[i])
-            pairs = sorted((-s, int(o)) for s, f in zip(exact, found) for o in owned[f])[: k + 1]
-            answers.append(pairs)
-        out = [(int(q), v, -s) for q, w in zip(q_ids, q_which) for s, v in [p for p in answers[w] if p[1] != q][:k]]
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.table([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score double")
+    shards = max(1, math.ceil(n / SHARD_ROWS))
+    blocks = max(1, min(math.ceil(m / BLOCK_QUERIES), TASKS // shards))
+    every = lambda upto: F.explode(F.sequence(F.lit(0), F.lit(upto - 1)))
+    left = good.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(0).alias("kind"), *shape)
+    right = asked.select(every(shards).alias("shard"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), *shape)
+    group = ["shard", "block", "d"]
+    dealt = left.unionByName(right).repartition(*group).sortWithinPartitions(*group, "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, shard = None, [], None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in (*group, "kind")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                *own, kind = marks[:, a].tolist()
+                if own != key:
+                    key, held, shard = own, [], None
+                part = batch.slice(a, b - a)
+                if not kind:
+                    held.append(part)
+                elif held:
+                    if shard is None:
+                        shard, held = Shard(*_matrix(pa.Table.from_batches(held)), k, trees_seed), held[:1]
+                    for c in range(0, len(part), CHUNK):
+                        yield shard.answers(*_matrix(pa.Table.from_batches([part.slice(c, CHUNK)])))
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = found.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
