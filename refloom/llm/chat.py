@@ -1,17 +1,20 @@
 """Chat formatting as prefix trees.
 
-Conversations that share their first turns share those turns' text: a sequence holds a
-tree of turns in depth-first order, each turn once, with the position its text starts at
-(as if its ancestors alone stood before it) and the intervals of the sequence that it may
-attend to (its ancestors).
+Conversations that share their first turns share those turns' tokens: a sequence holds a
+tree of turns in depth-first order, each turn's tokens once, each token with its position id
+(as if its ancestors alone stood before it) and each turn with the intervals of the sequence
+that it may attend to (its ancestors). A turn is tokenised by itself, by a byte-level
+vocabulary, so its tokens give back its text.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +27,13 @@ OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
 _CONTROL = re.compile(r"[\\#<:]")
 _TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<:]|\\.)*) </turn>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-#: A sequence closes at the next conversation once its text has so many characters.
-SEQUENCE_CHARS = 1 << 20
+#: A sequence closes at the next conversation once it has so many tokens.
+SEQUENCE_TOKENS = 1 << 18
 ASSISTANT = "assistant"
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 NODES = "array<struct<start:long,length:long,position:long,parent:int,loss:boolean,content_start:long,content_length:long,attend:array<struct<start:long,end:long>>>>"
-TREE_SCHEMA = f"sequence_id string, text string, nodes {NODES}, leaves array<struct<conv_hash:string,node:int>>"
+TREE_SCHEMA = f"sequence_id string, ids array<int>, position_ids array<int>, nodes {NODES}, leaves array<struct<conv_hash:string,node:int>>"
 
 
 def escape(text: str) -> str:
@@ -52,16 +56,35 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+class Vocabulary:
+    """A byte-level vocabulary from a file of ranks: texts to ids and back, exactly."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self._encoding = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        return self._encoding.encode_ordinary(text)
+
+    def decode(self, ids: list[int]) -> str:
+        return self._encoding.decode_bytes(ids).decode("utf-8")
+
+
 def conversations_of(rows: DataFrame) -> DataFrame:
-    """conv_id, turns (role and text by turn, nulls empty) and conv_hash (of the turns). Ties in turn go by role and text."""
+    """conv_id, turns (role and text by turn, nulls empty) and conv_hash (of the turns). Ties in turn go by role and text; a row without conv_id is alone."""
     turn = F.struct(
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    found = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    conv = F.col("conv_id").cast("long").alias("conv_id")
+    named = rows.where(conv.isNotNull()).groupBy(conv).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = rows.where(conv.isNull()).select(conv, F.array(turn).alias("turns"))
     turns = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return found.withColumn("turns", turns).withColumn("conv_hash", F.sha2(F.to_json("turns"), 256))
+    return named.unionByName(alone).withColumn("turns", turns).withColumn("conv_hash", F.sha2(F.to_json("turns"), 256))
 
 
 def path_key(turns: F.Column) -> F.Column:
@@ -72,8 +95,10 @@ def path_key(turns: F.Column) -> F.Column:
 class Tree:
     """Builds one sequence from conversations that arrive in path order."""
 
-    def __init__(self, name: str):
-        self.name, self.parts, self.size = name, [], 0
+    def __init__(self, name: str, vocabulary: Vocabulary):
+        self.name, self.vocabulary = name, vocabulary
+        self.ids: list[int] = []
+        self.positions: list[int] = []
         self.nodes: list[tuple] = []
         self.leaves: list[tuple[str, int]] = []
         #: (role, text, node) from the root to the last leaf.
@@ -85,8 +110,7 @@ class Tree:
             shared += 1
         del self.path[shared:]
         for t in turns[shared:]:
-            role, content = escape(t["role"]), escape(t["text"])
-            before = OPEN + role + MIDDLE
+            before, content, close = (self.vocabulary.encode(x) for x in (OPEN + escape(t["role"]) + MIDDLE, escape(t["text"]), CLOSE))
             parent = self.path[-1][2] if self.path else -1
             attend, position = [], 0
             if parent >= 0:
@@ -97,16 +121,13 @@ class Tree:
                     attend[-1] = (attend[-1][0], up[0] + up[1])
                 else:
                     attend.append((up[0], up[0] + up[1]))
-            length = len(before) + len(content) + len(CLOSE)
-            self.nodes.append((self.size, length, position, parent, t["role"] == ASSISTANT, self.size + len(before), len(content), attend))
-            self.parts += (before, content, CLOSE)
-            self.size += length
+            start, length = len(self.ids), len(before) + len(content) + len(close)
+            self.nodes.append((start, length, position, parent, t["role"] == ASSISTANT, start + len(before), len(content), attend))
+            self.ids += before + content + close
+            self.positions += range(position, position + length)
             self.path.append((t["role"], t["text"], len(self.nodes) - 1))
         self.leaves.append((conv_hash, self.path[-1][2] if self.path else -1))
 
-    def row(self) -> tuple:
-        return self.name, "".join(self.parts), self.nodes, self.leaves
-
 
 def _arrow(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(schema)
@@ -117,17 +138,16 @@ _LONG, _INT = pa.int64(), pa.int32()
 _NODE = pa.struct(
     [("start", _LONG), ("length", _LONG), ("position", _LONG), ("parent", _INT), ("loss", pa.bool_()), ("content_start", _LONG), ("content_length", _LONG), ("attend", pa.list_(pa.struct([("start", _LONG), ("end", _LONG)])))]
 )
-_TREE = [("sequence_id", pa.string()), ("text", pa.string()), ("nodes", pa.list_(_NODE)), ("leaves", pa.list_(pa.struct([("conv_hash", pa.string()), ("node", _INT)])))]
+_TREE = [("sequence_id", pa.string()), ("ids", pa.list_(_INT)), ("position_ids", pa.list_(_INT)), ("nodes", pa.list_(_NODE)), ("leaves", pa.list_(pa.struct([("conv_hash", pa.string()), ("node", _INT)])))]
 _NODE_NAMES = [_NODE.field(k).name for k in range(_NODE.num_fields)]
 
 
 def _as_row(tree: Tree) -> tuple:
-    name, text, nodes, leaves = tree.row()
-    as_nodes = [dict(zip(_NODE_NAMES, n)) | {"attend": [{"start": a, "end": b} for a, b in n[7]]} for n in nodes]
-    return name, text, as_nodes, [{"conv_hash": h, "node": k} for h, k in leaves]
+    as_nodes = [dict(zip(_NODE_NAMES, n)) | {"attend": [{"start": a, "end": b} for a, b in n[7]]} for n in tree.nodes]
+    return tree.name, np.array(tree.ids, np.int32), np.array(tree.positions, np.int32), as_nodes, [{"conv_hash": h, "node": k} for h, k in tree.leaves]
 
 
-def format_trees(distinct: DataFrame) -> DataFrame:
+def format_trees(distinct: DataFrame, path: str, pattern: str) -> DataFrame:
     """Sequences (TREE_SCHEMA) from distinct conversations (conv_hash, turns).
 
     Conversations are dealt by ranges of their paths and sorted, so a range is a run of
@@ -136,17 +156,15 @@ def format_trees(distinct: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = None
+        tree = vocabulary = None
         for batch in batches:
-            done = []
+            vocabulary = vocabulary or Vocabulary(path, pattern)
             for h, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if tree is not None and tree.size >= SEQUENCE_CHARS:
-                    done.append(_as_row(tree))
+                if tree is not None and len(tree.ids) >= SEQUENCE_TOKENS:
+                    yield _arrow(_TREE, [_as_row(tree)])
                     tree = None
-                tree = tree or Tree(h)
+                tree = tree or Tree(h, vocabulary)
                 tree.add(h, turns)
-            if done:
-                yield _arrow(_TREE, done)
         if tree is not None:
             yield _arrow(_TREE, [_as_row(tree)])
 
@@ -155,48 +173,52 @@ def format_trees(distinct: DataFrame) -> DataFrame:
     return ranged.select("conv_hash", "turns").mapInArrow(run, TREE_SCHEMA)
 
 
-def read_back(trees: DataFrame) -> DataFrame:
-    """Per conversation, from the sequences alone: counts and digests of turns, of loss text and of the formatted text."""
+def read_back(trees: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Per conversation, from the sequences' tokens alone: counts and digests of turns, of loss text and of the formatted text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [("conv_hash", pa.string()), ("n_turns", _LONG), ("turns_sha256", pa.string()), ("loss_chars", _LONG), ("loss_sha256", pa.string()), ("formatted_chars", _LONG)]
+        vocabulary = None
         for batch in batches:
-            rows = []
-            for text, nodes, leaves in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            vocabulary = vocabulary or Vocabulary(path, pattern)
+            for row in range(len(batch)):
+                ids = batch.column(1)[row].values.to_numpy()
+                nodes, leaves, rows = batch.column(3)[row].as_py(), batch.column(4)[row].as_py(), []
+                whole = [vocabulary.decode(ids[n["start"] : n["start"] + n["length"]].tolist()) for n in nodes]
+                under = [unescape(vocabulary.decode(ids[n["content_start"] : n["content_start"] + n["content_length"]].tolist())) if n["loss"] else "" for n in nodes]
                 for leaf in leaves:
-                    spans, loss, k = [], [], leaf["node"]
-                    if k >= 0:
-                        spans = [(a["start"], a["end"]) for a in nodes[k]["attend"]] + [(nodes[k]["start"], nodes[k]["start"] + nodes[k]["length"])]
+                    line, k = [], leaf["node"]
                     while k >= 0:
-                        if nodes[k]["loss"]:
-                            a = nodes[k]["content_start"]
-                            loss.append(unescape(text[a : a + nodes[k]["content_length"]]))
+                        line.append(k)
                         k = nodes[k]["parent"]
-                    formatted = "".join(text[a:b] for a, b in spans)
+                    line.reverse()
+                    formatted, loss = "".join(whole[k] for k in line), "".join(under[k] for k in line)
                     turns = parse(formatted)
-                    under = "".join(reversed(loss))
-                    digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((leaf["conv_hash"], len(turns), digest, len(under), hashlib.sha256(under.encode("utf-8", "surrogatepass")).hexdigest(), len(formatted)))
-            yield _arrow(names, rows)
+                    digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+                    rows.append((leaf["conv_hash"], len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
+                yield _arrow(names, rows)
 
     return trees.mapInArrow(run, "conv_hash string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def chat_format(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def chat_format(rows: DataFrame, path: str, pattern: str) -> tuple[DataFrame, DataFrame]:
     """(sequences, membership): TREE_SCHEMA rows, and (conv_id, conv_hash) naming each conversation's leaf.
 
-    ``rows`` has conv_id, turn, role, text. Equal conversations are one leaf, found by an
+    ``rows`` has conv_id, turn, role, text; ``path`` and ``pattern`` are a byte-level
+    vocabulary's ranks and splitting pattern (see ``Vocabulary``). Starts, lengths, positions
+    and intervals count tokens. A sequence is bounded, so a turn that very many conversations
+    share is written once in each sequence that it reaches. Equal conversations are one leaf, found by an
     aggregate that combines before the shuffle.
 
-    Defined cases: null text and role are empty; rows with null conv_id are one conversation
-    of their own; null turns come first; repeated rows are turns of their own; an empty table
+    Defined cases: null text and role are empty; each row with null conv_id is a
+    conversation of its own; null turns come first; repeated rows are turns of their own; an empty table
     gives empty tables; other columns are not carried. The template's control characters are
     escaped by a backslash, which reading back undoes.
     """
     found = stage(conversations_of(rows))
     # one row a distinct conversation; equal turns may come from any of its rows
     distinct = found.groupBy("conv_hash").agg(F.first("turns").alias("turns"))
-    return format_trees(distinct), found.select("conv_id", "conv_hash")
+    return format_trees(distinct, path, pattern), found.select("conv_id", "conv_hash")
 
 
 #: The conversation added to every run: control strings inside texts.
@@ -211,6 +233,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(EXTRA_TEXT).alias("text"),
     )
-    trees, members = chat_format(rows.unionByName(extra))
-    digests = read_back(stage(trees))
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    trees, members = chat_format(rows.unionByName(extra), path, pattern)
+    digests = read_back(stage(trees), path, pattern)
     return members.join(digests, "conv_hash").drop("conv_hash").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

@@ -220,14 +220,81 @@ def test_ngram_join_against_brute_force(spark, docs, nothing):
     assert ngram_join.ngram_jaccard_components(nothing)[0].count() == 0
 
 
-def test_ngram_join_of_one_large_group(spark):
-    """A third of all rows are near copies: hubs link them without forming all pairs."""
-    base = [f"w{i}" for i in range(120)]
-    rows = [(i, " ".join(base[:i % 100] + [f"edit{i}"] + base[i % 100 + 1 :])) for i in range(80)]
-    rows += [(200 + i, " ".join(f"u{i}x{j}" for j in range(50))) for i in range(100)]
+def one_base_two_edits(k, seed=5):
+    """Copies of one text of 100 words, two of them changed in each: no two need to link."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base = [word() for _ in range(100)]
+    rows = []
+    for i in range(k):
+        w = list(base)
+        for p in rng.sample(range(100), 2):
+            w[p] = word()
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_ngram_join_of_large_groups_grows_in_proportion(spark, monkeypatch):
+    """A third of all rows are near copies: pairs that are met grow with the group, not with its square."""
+    met = []
+    for name in ("_hub_pairs", "_crossing_pairs"):
+
+        def counted(*given, found=getattr(ngram_join, name)):
+            pairs = found(*given)
+            met[-1] += pairs.count()
+            return pairs
+
+        monkeypatch.setattr(ngram_join, name, counted)
+    for k in (100, 400):
+        met.append(0)
+        rows = one_base_two_edits(k)
+        rows += [(1000 + i, " ".join(f"u{i}x{j}" for j in range(50))) for i in range(40)]
+        got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == brute_labels(rows)
+    assert met[0] <= 200 and met[1] <= 800
+
+
+def brute_labels(rows):
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    label = {d: d for d in sets}
+
+    def top(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * (both := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                label[y] = x
+    return {d: top(d) for d in sets}
+
+
+@pytest.mark.parametrize("rows_, entries", [(7, 2_000_000), (4096, 900)])
+def test_ngram_join_with_groups_of_several_units(spark, monkeypatch, rows_, entries):
+    monkeypatch.setattr(ngram_join, "UNIT_ROWS", rows_)
+    monkeypatch.setattr(ngram_join, "UNIT_ENTRIES", entries)
+    rows = one_base_two_edits(90, seed=8)
     got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
-    assert {r["component_id"] for r in got if r["doc_id"] < 80} == {0}
-    assert all(r["component_id"] == r["doc_id"] for r in got if r["doc_id"] >= 200)
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_labels(rows)
+
+
+def test_joined_components_against_pairs():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 40):
+        base = rng.integers(0, 500, 60).astype(np.uint64)
+        rows = [np.unique(np.concatenate((rng.choice(base, 45), rng.integers(0, 9000, rng.integers(1, 9)).astype(np.uint64)))) for _ in range(n)]
+        start = rng.integers(0, n, n)
+        _, start = np.unique(start, return_inverse=True)
+        want = start.copy()
+        for _ in range(n):
+            for i in range(n):
+                for j in range(n):
+                    both = len(np.intersect1d(rows[i], rows[j]))
+                    if start[i] == start[j] or 100 * both >= 75 * (len(rows[i]) + len(rows[j]) - both):
+                        want[i] = want[j] = min(want[i], want[j])
+        assert ngram_join.joined_components(rows, start).tolist() == want.tolist()
 
 
 @pytest.mark.parametrize("salt", [256, 3])
@@ -251,7 +318,7 @@ def test_components_of_chains_and_stars(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 100 + i) for i in range(1, 9)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components.components(links).collect()}
     assert all(got[i] == 0 for i in range(31)) and all(got[100 + i] == 100 for i in range(9))
-    more = spark.createDataFrame([(30, 105), (500, 501), (2, 3)], "a long, b long")
+    more = spark.createDataFrame([(0, 100), (500, 501)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components.merged(components.components(links), more).collect()}
     assert {n for n, c in got.items() if c == 0} == {*range(31), *range(100, 109)} and got[501] == got[500] == 500 and len(got) == 42
 
@@ -259,27 +326,40 @@ def test_components_of_chains_and_stars(spark):
 # --- chat ---------------------------------------------------------------------------------
 
 
+VOCABULARY = (public_tokenizers.path(chat.VOCABULARY), public_tokenizers.PATTERN)
+
+
+def chat_wanted(turns):
+    loss = "".join(t for r, t in turns if r == "assistant")
+    return len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_chat_round_trip_and_sharing(spark):
     x = "\\### Assistant: </turn> ok"
+    long_ = "assistant's <|endoftext|> Ünï \U0001f600 ### : " * 4000
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\b"), (2, 0, "user", "hi"), (2, 1, "assistant", x), (3, 0, None, None), (4, 0, "user", "hi"), (4, 1, "assistant", "a\\b"), (-7, 0, "user", x), (-7, 1, "assistant", x), (5, None, "assistant", "é" * 3)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv_hash", F.lit("clash"))
-    trees, members = chat.chat_format(df)
+    rows += [(6, 0, "user", "same"), (6, 0, "user", "same"), (7, 1, "assistant", long_), (7, 0, "user", "")]
+    alone = [(None, 0, "user", "hi"), (None, 1, "assistant", "x"), (None, 1, "assistant", "x")]
+    df = spark.createDataFrame(rows + alone, "conv_id long, turn long, role string, text string").withColumn("conv_hash", F.lit("clash"))
+    trees, members = chat.chat_format(df, *VOCABULARY)
     trees = trees.cache()
-    got = {r["conv_id"]: r for r in members.join(chat.read_back(trees), "conv_hash").collect()}
-    for conv in {r[0] for r in rows}:
-        turns = [(r or "", t or "") for c, _, r, t in sorted(rows, key=lambda z: (z[0], z[1] or 0)) if c == conv]
-        loss = "".join(t for r, t in turns if r == "assistant")
-        assert got[conv]["n_turns"] == len(turns)
-        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-        assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    # shared turns once a sequence; positions go on from the parent; only ancestors are attended to
-    for t in trees.collect():
+    read = [(r["conv_id"], (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"])) for r in members.join(chat.read_back(trees, *VOCABULARY), "conv_hash").collect()]
+    got = dict(x for x in read if x[0] is not None)
+    assert set(got) == {r[0] for r in rows} and len(read) == len(got) + len(alone)
+    for conv in got:
+        assert got[conv] == chat_wanted([(r or "", t or "") for c, _, r, t in sorted(rows, key=lambda z: (z[0], z[1] or 0)) if c == conv])
+    assert sorted(v for k, v in read if k is None) == sorted(chat_wanted([(r, t)]) for _, _, r, t in alone)
+    # shared turns' tokens once a sequence; positions go on from the parent; only ancestors are attended to
+    vocabulary, found = chat.Vocabulary(*VOCABULARY), trees.collect()
+    for t in found:
+        assert len(t["ids"]) == len(t["position_ids"]) == sum(n["length"] for n in t["nodes"])
         for n in t["nodes"]:
             up = t["nodes"][n["parent"]] if n["parent"] >= 0 else None
             assert n["position"] == (up["position"] + up["length"] if up else 0) == sum(a["end"] - a["start"] for a in n["attend"])
-    assert "".join(t["text"] for t in trees.collect()).count(": hi </turn>") <= trees.count()
+            assert t["position_ids"][n["start"] : n["start"] + n["length"]] == list(range(n["position"], n["position"] + n["length"]))
+    assert "".join(vocabulary.decode(t["ids"]) for t in found).count(": hi </turn>") <= len(found)
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert chat.chat_format(empty)[0].count() == 0
+    assert chat.chat_format(empty, *VOCABULARY)[0].count() == 0
     with pytest.raises(ValueError):
         chat.parse("### user: <x </turn>\n")
 
