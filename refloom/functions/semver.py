@@ -1,146 +1,146 @@
 """Version ranges of the two package managers: does a version satisfy a constraint?
 
-True, false, or None where the constraint is no version range (paths, URLs, workspace links,
+A version is a point on a line, a range a stretch between two cuts of that line; a cut lies
+just before or just after a version. Every operator is a choice of two cuts. The answer is
+true, false, or None where the constraint is no version range (paths, URLs, workspace links,
 tags), so that callers can fail closed.
 """
 
 from __future__ import annotations
 
-import re
+import string
 from functools import lru_cache
+from math import inf
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_VERSION = re.compile(r"[=v\s]*(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?\s*")
-_PARTIAL = re.compile(r"(\d+|[xX*])(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?")
-_TERM = re.compile(r"(\^|~>|~|>=|<=|>|<|=)?(.*)")
-#: Above every version of the same numbers, and below: pre-releases sort under the release.
-_RELEASE = ((1,),)
+# The operators, longer ones first; wildcards; characters of pre-release and build labels.
+OPERATORS = ("~>", ">=", "<=", "^", "~", ">", "<", "=")
+WILDCARDS = ("x", "X", "*")
+_LABEL = frozenset(string.ascii_letters + string.digits + ".-")
 
+#: (version key, side): a version itself is on side 1, cuts before and after it on 0 and 2.
+Cut = tuple[tuple, int]
+Stretch = tuple[Cut, Cut]
+_LEFT, _RIGHT = ((-1,), 0), ((inf,), 0)
 
-def _pre(text: str | None) -> tuple:
-    """Sort key of a pre-release: numbers before words, fewer parts first; no pre-release is last."""
-    if not text:
-        return _RELEASE
-    return ((0,), *((0, int(x), "") if x.isdigit() else (1, 0, x) for x in text.split(".")))
 
+def _key(numbers: list[int], label: str = "") -> tuple:
+    """Sorts versions: a labelled one before its release, numeric parts of labels before words."""
+    if not label:
+        return (*numbers, 1)
+    parts = [(0, int(x), "") if x.isascii() and x.isdigit() and (x == "0" or x[0] != "0") else (1, 0, x) for x in label.split(".")]
+    return (*numbers, 0, *parts)
 
-def parse(text: str | None) -> tuple | None:
-    m = _VERSION.fullmatch(text or "")
-    return (*map(int, m.groups()[:3]), _pre(m[4])) if m else None
 
-
-def _at(*numbers: int) -> tuple:
-    return (*numbers, _RELEASE)
+def _read(word: str) -> tuple[list[int], int, str] | None:
+    """Numbers before the first wildcard, how many places are written, and the label; None for no version."""
+    core, plus, build = word.lstrip("=v").partition("+")
+    core, dash, label = core.partition("-")
+    if (plus and not build) or (dash and not label) or not _LABEL.issuperset(build + label):
+        return None
+    if not core:
+        return None if plus or dash else ([], 0, "")
+    places = core.split(".")
+    digits = [p.isascii() and p.isdigit() for p in places]
+    if len(places) > 3 or not all(d or p in WILDCARDS for d, p in zip(digits, places)):
+        return None
+    known = digits.index(False) if False in digits else len(places)
+    return [int(p) for p in places[:known]], len(places), label if known == 3 else ""
 
 
-Interval = tuple[tuple | None, bool, tuple | None, bool]  # low, low included, high, high included
-_ALL: Interval = (None, True, None, True)
-_NONE: Interval = (_at(0, 0, 0), False, _at(0, 0, 0), False)
+def _point(text: str | None) -> tuple | None:
+    """The key of a complete version."""
+    found = _read(text.strip()) if text else None
+    return _key(found[0], found[2]) if found and len(found[0]) == 3 else None
 
 
-def _partial(text: str) -> tuple[list[int], str | None] | None:
-    """Leading numbers (up to the first wildcard) and the pre-release of a complete version."""
-    text = text.lstrip("=v")
-    if text in ("", "*", "x", "X"):
-        return [], None
-    m = _PARTIAL.fullmatch(text)
-    if not m:
-        return None
-    numbers: list[int] = []
-    for part in m.groups()[:3]:
-        if part is None or part in "xX*":
-            break
-        numbers.append(int(part))
-    return numbers, m[4] if len(numbers) == 3 else None
+def _before_next(numbers: list[int], place: int) -> Cut:
+    """The cut before the first release that differs from ``numbers`` at ``place`` or left of it."""
+    kept = (numbers + [0, 0, 0])[: place + 1]
+    return _key([*kept[:-1], kept[-1] + 1, 0, 0, 0][:3]), 0
 
 
-def _bump(numbers: list[int], place: int) -> tuple:
-    return _at(*[n + (k == place) if k <= place else 0 for k, n in enumerate([*numbers, 0, 0, 0][:3])])
+def _fixed_place(numbers: list[int], manager: str) -> int:
+    """Which number a caret keeps: the first that is not zero, in pub never the third."""
+    if manager == "pub":
+        return 0 if len(numbers) == 1 or numbers[0] else 1
+    return next((k for k, n in enumerate(numbers) if n), len(numbers) - 1)
 
 
-def _term(op: str, numbers: list[int], pre: str | None, manager: str) -> Interval:
-    """One comparator as an interval."""
+def _stretch(word: str, manager: str) -> Stretch | None:
+    """The stretch of one operator and version."""
+    op = next((o for o in OPERATORS if word.startswith(o)), "")
+    found = _read(word[len(op) :])
+    if found is None:
+        return None
+    numbers, _, label = found
     if not numbers:
-        return _NONE if op in ("<", ">") else _ALL
-    low = (*[*numbers, 0, 0][:3], _pre(pre))
-    last = len(numbers) - 1
-    if op == "^":
-        if manager == "pub":
-            place = 0 if numbers[0] > 0 or last == 0 else 1
-        else:
-            place = next((k for k, n in enumerate(numbers) if n > 0), last)
-        return low, True, _bump(numbers, place), False
-    if op in ("~", "~>"):
-        return low, True, _bump(numbers, min(last, 1)), False
-    if op in ("", "="):
-        return (low, True, low, True) if last == 2 else (low, True, _bump(numbers, last), False)
-    if op == ">=":
-        return low, True, None, True
-    if op == "<":
-        return None, True, low, False
-    if op == ">":
-        return (low, False, None, True) if last == 2 else (_bump(numbers, last), True, None, True)
-    return (None, True, low, True) if last == 2 else (None, True, _bump(numbers, last), False)
-
-
-def _within(v: tuple, i: Interval) -> bool:
-    low, low_in, high, high_in = i
-    return (low is None or v > low or (low_in and v == low)) and (high is None or v < high or (high_in and v == high))
-
-
-def _set(text: str, manager: str) -> list[Interval] | None:
-    out = []
-    for token in re.sub(r"(\^|~>|~|>=|<=|>|<|=)\s+", r"\1", text.strip()).split():
-        op, rest = _TERM.fullmatch(token).groups()
-        partial = _partial(rest)
-        if partial is None:
+        start, end = _LEFT, _RIGHT
+    else:
+        key = _key((numbers + [0, 0])[:3], label)
+        start = key, 0
+        end = (key, 2) if len(numbers) == 3 else _before_next(numbers, len(numbers) - 1)
+    match op:
+        case ">=":
+            return start, _RIGHT
+        case "<=":
+            return _LEFT, end
+        case ">":
+            return end, _RIGHT
+        case "<":
+            return _LEFT, start
+        case "^" | "~" | "~>" if numbers:
+            place = _fixed_place(numbers, manager) if op == "^" else min(len(numbers), 2) - 1
+            return start, _before_next(numbers, place)
+    return start, end
+
+
+def _all_of(text: str, manager: str) -> tuple[Stretch, ...] | None:
+    """Stretches that must all hold. An operator may stand apart from its version; npm also has ``low - high``."""
+    words = text.split()
+    if manager != "pub" and len(words) == 3 and words[1] == "-":
+        if words[0].startswith(OPERATORS[:-1]) or words[2].startswith(OPERATORS[:-1]):
             return None
-        out.append(_term(op or "", *partial, manager))
-    return out
+        words = [">=" + words[0], "<=" + words[2]]
+    joined: list[str] = []
+    for word in words:
+        if joined and joined[-1] in OPERATORS:
+            joined[-1] += word
+        else:
+            joined.append(word)
+    found = tuple(_stretch(word, manager) for word in joined)
+    return None if None in found else found
 
 
 @lru_cache(maxsize=4096)
-def ranges(constraint: str, manager: str) -> tuple[tuple[Interval, ...], ...] | None:
-    """Alternatives, each a list of intervals that must all hold; None for no version range."""
+def ranges(constraint: str, manager: str) -> tuple[tuple[Stretch, ...], ...] | None:
+    """Alternatives, each of stretches that must all hold; None for no version range."""
     text = constraint.strip()
     if manager == "pub":
         if text == "any":
             return ((),)
-        if re.match(r"[a-z]+:", text, re.I) or "||" in text:
-            return None
-        found = _set(text, manager)
-        return None if found is None else (tuple(found),)
-    if text.startswith("npm:"):
-        name, at, text = text.rpartition("@")
-        if not at or len(name) <= 4:
-            return None
-    if re.match(r"[a-z][a-z+.-]*:", text, re.I) or "/" in text:
-        return None
-    out = []
-    for part in text.split("||"):
-        ends = re.fullmatch(r"\s*(\S+)\s+-\s+(\S+)\s*", part)
-        if ends:
-            low, high = _partial(ends[1]), _partial(ends[2])
-            if low is None or high is None:
+        parts = [text]
+    else:
+        if text.startswith("npm:"):  # another package's name, then its range
+            name, at, text = text[len("npm:") :].rpartition("@")
+            if not (name and at):
                 return None
-            out.append((_term(">=", *low, manager), _term("<=", *high, manager)))
-        else:
-            found = _set(part, manager)
-            if found is None:
-                return None
-            out.append(tuple(found))
-    return tuple(out)
+        parts = text.split("||")
+    if ":" in text or "/" in text:
+        return None
+    found = tuple(_all_of(part, manager) for part in parts)
+    return None if None in found else found
 
 
 def satisfies(version: str | None, constraint: str | None, manager: str) -> bool | None:
-    v = parse(version)
-    found = None if v is None or constraint is None else ranges(constraint, manager)
+    point = _point(version)
+    found = None if point is None or constraint is None else ranges(constraint, manager)
     if found is None:
         return None
-    return any(all(_within(v, i) for i in alternative) for alternative in found)
+    return any(all(low < (point, 1) < high for low, high in stretches) for stretches in found)
 
 
 @F.pandas_udf(T.BooleanType())
