@@ -1,6 +1,9 @@
 """An organisation derived from the star-schema tables, in SQL that Spark and DuckDB read alike.
 
-Suppliers are packages, parts symbols, thinned line items occurrences; every rule is
+Suppliers are packages, parts symbols; every line item is a reference, resolved or not.
+References are uneven, as in code: of 20 orders one refers to the line's own part and one
+fails to resolve; the others refer to a few helpers of the part's package or to seven
+packages that all use. Packages whose number is 15 of 30 keep to themselves. Every rule is
 integer arithmetic and concatenation, so both engines derive the same rows.
 """
 
@@ -58,11 +61,16 @@ SELECT id AS symbol_id, 'idx ' || file || '/' || CASE WHEN id % 29 = 3 THEN '_'
 FROM {o_part} p JOIN {o_file} f ON p.k = f.k AND p.idx % 5 = f.f
 UNION ALL
 SELECT module_symbol_id, 'idx ' || file || '/', package_id, file, 0, 0, 'file', file, CAST(NULL AS BIGINT), false, 1800000000 FROM {o_file}""",
+    "o_line": """
+SELECT l_orderkey AS ok, l_partkey AS part, l_linenumber AS ln, CAST(floor(l_orderkey / 20) AS BIGINT) AS o, ns, l_orderkey % 20 AS kind,
+  l_partkey % ns AS home, l_suppkey % ns AS guest FROM {lineitem}, {o_n}""",
+    "o_aim": """
+SELECT *, CASE WHEN kind NOT IN (0, 10) AND ln >= 6 THEN guest % 7 ELSE home END AS def_k, CASE WHEN ln >= 6 THEN guest ELSE home END AS from_k,
+  CASE WHEN kind IN (0, 10) THEN CAST(floor(part / ns) AS BIGINT) WHEN ln >= 6 THEN 2 * (part % 3) ELSE 1 + 2 * (ln % 2) END AS didx FROM {o_line}""",
     "o_ref": """
-SELECT p.id AS symbol_id, CASE WHEN l_linenumber >= 6 THEN l_suppkey % ns ELSE p.k END AS use_k,
-  CASE WHEN l_orderkey % 7 = 0 THEN CAST(-1 AS BIGINT) ELSE (CAST(floor(l_orderkey / 20) AS BIGINT) + 3 * l_linenumber) % 20 END AS eidx,
-  p.k AS def_k, ns, CAST(l_linenumber AS BIGINT) AS ln, CAST(floor(l_orderkey / 20) AS BIGINT) AS o
-FROM {lineitem} JOIN {o_part} p ON l_partkey = p.id WHERE l_orderkey % 20 = 0""",
+SELECT def_k + didx * ns AS symbol_id, CASE WHEN def_k % 30 = 15 OR from_k % 30 = 15 THEN def_k ELSE from_k END AS use_k,
+  CASE WHEN ok % 7 = 0 THEN CAST(-1 AS BIGINT) ELSE (o + 3 * ln) % 20 END AS eidx, def_k, ns, CAST(ln AS BIGINT) AS ln, o
+FROM {o_aim} WHERE kind <> 10""",
     "occurrences": """
 SELECT r.symbol_id, u.package_id, d.package_id AS def_package_id, u.file, CAST(CASE WHEN o % 3 = 0 THEN (use_k + eidx * ns) % 200 ELSE o % 200 END AS INT) AS line,
   CAST(ln AS INT) AS col, CASE WHEN o % 13 = 1 THEN 1048576 ELSE 0 END AS role,
@@ -102,11 +110,11 @@ SELECT p.id, f.file, 'again' FROM {o_part} p JOIN {packages} a ON a.k = p.k JOIN
     "witness_files": "SELECT a.package_id AS consumer_package_id, b.package_id AS target_package_id, 'app/main.js' AS file FROM {packages} a JOIN {o_n} n ON true JOIN {packages} b ON b.k = (a.k + 3) % n.ns WHERE a.k % 61 = 21",
     "unresolved_refs": """
 SELECT u.package_id AS consumer_package_id, d.package_id AS target_package_id,
-  CASE l_linenumber % 5 WHEN 0 THEN '*' WHEN 1 THEN 'idx gone.json`/x' WHEN 2 THEN 'idx old/`sym' || CAST(l_partkey AS STRING) || '`' || CASE CAST(floor(l_partkey / ns) AS BIGINT) % 4 WHEN 0 THEN '#' WHEN 1 THEN '().' ELSE '.' END
-    WHEN 3 THEN 'idx old/sym' || CAST(l_partkey % ns AS STRING) || '#sym' || CAST(l_partkey AS STRING) || '.' ELSE 'idx old/none' || CAST(l_partkey AS STRING) || '#' END AS symbol_str,
-  'src/f' || CAST(l_linenumber % 5 AS STRING) || '.ts' AS file, CAST(l_orderkey % 90 AS INT) AS line, CAST(l_linenumber AS INT) AS col
-FROM {lineitem} JOIN {o_n} n ON true JOIN {packages} d ON d.k = l_partkey % ns JOIN {packages} u ON u.k = l_suppkey % ns
-WHERE l_orderkey % 20 = 10 AND u.k <> d.k""",
+  CASE ln % 5 WHEN 0 THEN '*' WHEN 1 THEN 'idx gone.json`/x' WHEN 2 THEN 'idx old/`sym' || CAST(part AS STRING) || '`' || CASE didx % 4 WHEN 0 THEN '#' WHEN 1 THEN '().' ELSE '.' END
+    WHEN 3 THEN 'idx old/sym' || CAST(home AS STRING) || '#sym' || CAST(part AS STRING) || '.' ELSE 'idx old/none' || CAST(part AS STRING) || '#' END AS symbol_str,
+  'src/f' || CAST(ln % 5 AS STRING) || '.ts' AS file, CAST(ok % 90 AS INT) AS line, CAST(ln AS INT) AS col
+FROM {o_aim} JOIN {packages} d ON d.k = CASE WHEN home % 30 = 15 THEN (home + 1) % ns ELSE home END JOIN {packages} u ON u.k = CASE WHEN guest = d.k THEN (guest + 1) % ns ELSE guest END
+WHERE kind = 10""",
 }
 BASE = ("supplier", "nation", "part", "lineitem")
 
