@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -86,3 +87,38 @@ def parse_descriptors_udf(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def normalize_version_udf(symbols: pd.Series) -> pd.Series:
     return symbols.map(normalize_version)
+
+
+# Names of the kinds of the public symbol grammar, from number 1 on (83 is not given out).
+KIND_NAMES = (
+    "array assertion associatedtype attribute axiom boolean class constant constructor datafamily enum enummember event fact field file function getter grammar instance interface key lang lemma macro method "
+    "methodreceiver message module namespace null number object operator package packageobject parameter parameterlabel pattern predicate property protocol quasiquoter selfparameter setter signature subscript "
+    "string struct tactic theorem thisparameter trait type typealias typeclass typefamily typeparameter union value variable contract error library modifier abstractmethod methodspecification protocolmethod "
+    "purevirtualmethod traitmethod typeclassmethod accessor delegate methodalias singletonclass singletonmethod staticdatamember staticevent staticfield staticmethod staticproperty staticvariable - extension mixin concept"
+).split()
+NAMESPACE_KIND = KIND_NAMES.index("namespace") + 1
+_TEXTS, _FLAGS = T.ArrayType(T.StringType()), T.ArrayType(T.BooleanType())
+PARTS_TYPE = T.StructType(
+    [T.StructField("valid", T.BooleanType()), *[T.StructField(n, T.StringType()) for n in ("scheme", "manager", "name", "tail")], T.StructField("names", _TEXTS), T.StructField("suffixes", _TEXTS), T.StructField("texts", _TEXTS), T.StructField("literal", _FLAGS)]
+)
+
+
+@lru_cache(maxsize=200_000)
+def symbol_parts(symbol: str) -> tuple:
+    """valid, scheme, manager and name, the descriptors' text, and of each descriptor name, suffix, text and whether a counter ends an anonymous literal's name.
+
+    Of what does not parse, scheme to name as far as they can be read; of locals and the empty symbol nothing.
+    """
+    if symbol == "" or symbol.startswith("local "):
+        return (True, None, None, None, None, None, None, None, None)
+    head = split_header(symbol)
+    found = parse_descriptors(head[4]) if head and head[0] else None
+    if found is None:
+        return (False, *(head[:3] if head else (None, None, None)), None, None, None, None, None)
+    literal = [d["suffix"] == "meta" and d["name"][-1:].isdigit() for d in found]
+    return (True, *head[:3], head[4], [d["name"] for d in found], [d["suffix"] for d in found], [d["text"] for d in found], literal)
+
+
+@F.pandas_udf(PARTS_TYPE)
+def symbol_parts_udf(symbols: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([symbol_parts(s or "") for s in symbols], columns=PARTS_TYPE.names)

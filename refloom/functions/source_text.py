@@ -8,43 +8,132 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# one pass: whichever starts first, a string or a comment, is taken whole
-_TOKEN = re.compile(
-    r"""(?P<string>'(?:\\.|[^'\\\n])*'?|"(?:\\.|[^"\\\n])*"?|`(?:\\.|[^`\\])*`?)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))""",
-    re.DOTALL,
-)
-_NOT_LINE_END = re.compile(r"[^\r\n]")
+_OPENERS = {False: re.compile(r"//|/\*|['\"`]"), True: re.compile(r"//|/\*|'''|\"\"\"|['\"]")}
+_NOT_LINE_END = re.compile(r"[^\n]")
+_BRACE = re.compile(r"[{}]")
+_DOLLAR_NAME = re.compile(r"\$[A-Za-z_]\w*")
+_RAW = re.compile(r"(?:^|[^\w$])[rR]$")
+# Words right before a literal that make it a module specifier, and the annotation whose literal names foreign code.
+_SPECIFIER = re.compile(r"(?:\bfrom|\bimport|\bexport|\bpart(?:\s+of)?|\brequire\s*\(|\bimport\s*\(|\bmodule)\s*$")
+_IMPORT = T.StructType([T.StructField("specifier", T.StringType()), T.StructField("line", T.IntegerType())])
+_SEARCHED = T.StructType([T.StructField("text", T.StringType()), T.StructField("defaults", T.ArrayType(_IMPORT))])
+# Imports that bind the default export (the specifier is group 1).
+_DEFAULTS = tuple(re.compile(p, re.DOTALL | re.ASCII) for p in (
+    r"""\bimport\s+(?:type\s+)?[A-Za-z_$][\w$]*\s*(?:,[^;]*?)?\bfrom\s*['"]([^'"]+)['"]""",
+    r"""\b(?:import|export)\s*(?:type\s*)?\{[^}]*\bdefault\b[^}]*\}\s*from\s*['"]([^'"]+)['"]""",
+    r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""",
+    r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)""",
+))
+_FOREIGN_NAME = re.compile(r"@JS\s*\(\s*$")
 
 
 def _blank(text: str) -> str:
     return _NOT_LINE_END.sub(" ", text)
 
 
-def blank_comments(text: str | None) -> str | None:
+def _interpolation_end(text: str, at: int) -> int:
+    """Past the brace that closes the one after the dollar at ``at``."""
+    depth, end = 0, at + 1
+    for m in _BRACE.finditer(text, at + 1):
+        depth, end = depth + (1 if m[0] == "{" else -1), m.end()
+        if depth == 0:
+            return end
+    return len(text)
+
+
+def _literal_end(text: str, start: int, quote: str) -> int:
+    """Past the literal's closing quote, or where it breaks off (line end, or text end for long ones)."""
+    long_ = len(quote) == 3 or quote == "`"
+    at = start + len(quote)
+    while at < len(text):
+        if text.startswith(quote, at):
+            return at + len(quote)
+        if text[at] == "\\":
+            at += 2
+        elif text[at] == "\n" and not long_:
+            return at
+        elif quote == "`" and text.startswith("${", at):
+            at = _interpolation_end(text, at)
+        else:
+            at += 1
+    return len(text)
+
+
+def spans(text: str, dart: bool = False) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of comments and string literals, in order; what begins first is taken whole."""
+    out, at = [], 0
+    while m := _OPENERS[dart].search(text, at):
+        if m[0] == "//":
+            end = text.find("\n", m.end())
+        elif m[0] == "/*":
+            end = text.find("*/", m.end())
+            end = end + 2 if end >= 0 else end
+        else:
+            end = _literal_end(text, m.start(), m[0])
+        at = len(text) if end < 0 else end
+        out.append(("comment" if m[0][0] == "/" else "string", m.start(), at))
+    return out
+
+
+def _blank_literal(body: str, dart: bool, raw: bool) -> str:
+    """The literal as spaces but for interpolations, which are code."""
+    if raw or not (dart or body.startswith("`")):
+        return _blank(body)
+    out, at = [], 0
+    while at < len(body):
+        end, keep = at + 1, False
+        if body[at] == "\\":
+            end = at + 2
+        elif body.startswith("${", at):
+            end, keep = _interpolation_end(body, at), True
+        elif dart and (m := _DOLLAR_NAME.match(body, at)):
+            end, keep = m.end(), True
+        out.append(body[at:end] if keep else _blank(body[at:end]))
+        at = end
+    return "".join(out)
+
+
+def blank_comments(text: str | None, dart: bool = False) -> str | None:
     """Comments as spaces; what looks like one inside a string stays."""
-    return None if text is None else _TOKEN.sub(lambda m: _blank(m[0]) if m["comment"] else m[0], text)
-
-
-def blank_strings(text: str | None) -> str | None:
-    """Contents of strings as spaces, quotes kept; import specifiers (after from, import, require) stay."""
     if text is None:
         return None
-
-    def put(m: re.Match) -> str:
-        if m["comment"] or re.search(r"(?:\bfrom|\bimport|\brequire\s*\(|\bimport\s*\()\s*$", text[max(0, m.start() - 40) : m.start()]):
-            return m[0]
-        body = m[0]
-        closed = len(body) > 1 and body[-1] == body[0]
-        return body[0] + _blank(body[1 : -1 if closed else None]) + (body[-1] if closed else "")
-
-    return _TOKEN.sub(put, text)
+    out, at = [], 0
+    for kind, start, end in spans(text, dart):
+        if kind == "comment":
+            out += [text[at:start], _blank(text[start:end])]
+            at = end
+    return "".join([*out, text[at:]])
 
 
-@F.pandas_udf(T.StringType())
-def blank_comments_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(blank_comments)
-
-
-@F.pandas_udf(T.StringType())
-def blank_strings_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(blank_strings)
+def blank_strings(text: str | None, dart: bool = False) -> str | None:
+    """Strings as spaces; module specifiers, names of foreign code and interpolations stay."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for kind, start, end in spans(text, dart):
+        before = text[max(0, start - 40) : start]
+        if kind == "comment" or _SPECIFIER.search(before) or (dart and _FOREIGN_NAME.search(before)):
+            continue
+        out += [text[at:start], _blank_literal(text[start:end], dart, dart and bool(_RAW.search(before)))]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def default_imports(text: str) -> list[dict]:
+    """specifier and line (from 1) of imports that bind a default export."""
+    found = {(m[1], text.count("\n", 0, m.start()) + 1) for p in _DEFAULTS for m in p.finditer(text)}
+    return [{"specifier": s, "line": n} for s, n in sorted(found)]
+
+
+@F.pandas_udf(_SEARCHED)
+def searched_text_udf(texts: pd.Series, files: pd.Series, indexed: pd.Series, code: pd.Series) -> pd.DataFrame:
+    """The text that a search reads (of code: without comments, and without strings where ``indexed``) and its default imports."""
+
+    def one(text, file, strict, is_code):
+        if is_code:
+            dart = file.endswith(".dart")
+            text = blank_comments(text, dart)
+            text = blank_strings(text, dart) if strict else text
+        return text, default_imports(text)
+
+    return pd.DataFrame([one(*x) for x in zip(texts, files, indexed, code)], columns=["text", "defaults"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +54,24 @@ def uri_path(path: Column) -> Column:
 def minor_text(text: Column) -> Column:
     """The part of a version before its first dot."""
     return F.substring_index(text, ".", 1)
+
+
+def normalized_path(path: Column) -> Column:
+    """Without empty and ``.`` segments, ``..`` taken back where something stands before it; back-slashes are slashes."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: ~x.isin("", "."))
+    none = F.array().cast("array<string>")
+
+    def put(done: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        return F.when(back, F.slice(done, 1, F.size(done) - 1)).otherwise(F.array_append(done, part))
+
+    return F.array_join(F.aggregate(parts, none, put), "/")
+
+
+def minimum_pushed(text: str, now: int) -> int:
+    """Epoch seconds of a cutoff given as days back (``90d``) or as an ISO date or time (UTC unless it says otherwise)."""
+    days = re.fullmatch(r"(\d+)d", text.strip())
+    if days:
+        return now - int(days[1]) * 86400
+    at = datetime.fromisoformat(text.strip())
+    return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp())

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from refloom.functions.scip import normalize_version_udf
-from refloom.operators.analysis import DEFINITION, anti
+from refloom.functions import globs
+from refloom.functions.scip import KIND_NAMES, NAMESPACE_KIND, normalize_version_udf, symbol_parts_udf
+from refloom.functions.text import normalized_path
+from refloom.operators.analysis import DEFINITION, anti, marked
+from refloom.storage import materialize
 
 
 def position(span: Column, name: str) -> Column:
@@ -93,12 +98,23 @@ def reference_edges(occurrences: DataFrame) -> DataFrame:
     return r.select(F.col("enclosing_symbol_id").alias("from_symbol_id"), F.col("symbol_id").alias("to_symbol_id"), F.lit("scip").alias("source"), F.col("package_id").alias("from_package_id"), F.col("def_package_id").alias("to_package_id")).distinct()
 
 
+def status_reason(diagnostics: Column) -> Column:
+    """First line of what explains a status: the last named cause, else the first error, else the first warning, else the first of all."""
+    first = lambda mark: F.get(F.filter(diagnostics, lambda d: d.startswith(mark)), F.lit(0))
+    causes = F.filter(diagnostics, lambda d: d.startswith("cause: "))
+    cause = F.get(causes, F.size(causes) - 1)
+    said = F.coalesce(cause.substr(F.lit(len("cause: ") + 1), F.length(cause)), first("error:"), first("warn:"), F.get(diagnostics, F.lit(0)))
+    line = F.substring_index(said, "\n", 1)
+    return F.when(line != "", line)
+
+
 def status_flags(manifest: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Flags from index status: partial cannot be seen into, failed or missing failed, no sidecar cannot be seen into."""
     bad = manifest.where("status is null or status <> 'ok'")
     flag = F.when(F.col("status") == "partial", "opaque_consumer").otherwise("index_failed")
-    a = bad.select("package_id", flag.alias("flag"), F.coalesce(F.get("diagnostics", F.lit(0)), F.lit("index " + "missing")).alias("reason"))
-    b = anti(manifest.where("status = 'ok'"), sidecars.select(F.col("packageId").alias("package_id")), "package_id").select("package_id", F.lit("opaque_consumer").alias("flag"), F.lit("no export surface").alias("reason"))
+    plain = F.when(F.col("status").isNull(), "package missing from index.json").when(F.col("status") == "partial", "index partial").otherwise("index failed")
+    a = bad.select("package_id", flag.alias("flag"), F.coalesce(status_reason(F.col("diagnostics")), plain).alias("reason"))
+    b = anti(manifest.where("status in ('ok', 'partial')"), sidecars.select(F.col("packageId").alias("package_id")), "package_id").select("package_id", F.lit("opaque_consumer").alias("flag"), F.lit("no exports sidecar").alias("reason"))
     none = F.lit(None).cast("string")
     return a.unionByName(b).distinct().withColumns({"file": none, "target_package_id": none})
 
@@ -107,3 +123,304 @@ def symbol_ages(symbols: DataFrame, blame: DataFrame) -> DataFrame:
     """``symbols`` with first_seen_at from blame rows (repo, file, line, sha, author_time)."""
     b = blame.select("repo", "file", "line", F.col("author_time").alias("first_seen_at"), F.col("sha").alias("first_seen_sha"))
     return symbols.drop("first_seen_at", "first_seen_sha").join(b, ["repo", "file", "line"], "left")
+
+
+# --- from indexes to relations ------------------------------------------------------------------
+
+_UNNAMED = "_unnamed/"
+#: Symbols of which no declaration comes: only enclosing ones are kept.
+_INNER = ("parameter", "type_parameter")
+
+
+class Ingest:
+    """Relations of an organisation from decoded indexes and export surfaces.
+
+    ``packages`` (package_id, repo, path, manager, name, entry_points), ``package_deps``,
+    ``index`` (package_id, load_order, documents: see ``sources.readers.INDEX``), ``sidecars``
+    (see ``SIDECAR``) and ``manifest`` (package_id, status, diagnostics). Every relation is a
+    plan over these; what several read is written once. Symbols get the hash of their key
+    as id, so loads of parts of an organisation agree.
+    """
+
+    def __init__(self, packages: DataFrame, package_deps: DataFrame, index: DataFrame, sidecars: DataFrame, manifest: DataFrame):
+        root = F.when(F.col("path").isin(".", "./"), "").otherwise(F.regexp_replace("path", "/$", ""))
+        self.packages = packages.withColumn("path", root)
+        self.deps, self.index, self.manifest = package_deps, index, manifest
+        failed = self.invalid_indexes.select("package_id")
+        self.sidecars = anti(sidecars.withColumnRenamed("packageId", "package_id"), failed, "package_id").join(self.packages.select("package_id", "repo"), "package_id")
+
+    # --- documents and their occurrences
+
+    @cached_property
+    def _read(self) -> DataFrame:
+        """Every occurrence with its symbol's parts: index_package_id, load_order, doc_pos, occ_pos, path (as indexed), symbol, kind, role, at, body, p."""
+        d = self.index.select(F.col("package_id").alias("index_package_id"), "load_order", F.posexplode("documents").alias("doc_pos", "d"))
+        o = d.select("index_package_id", "load_order", "doc_pos", "d", F.posexplode("d.occurrences").alias("occ_pos", "o"))
+        o = o.select(
+            "index_package_id", "load_order", "doc_pos", "occ_pos", F.col("d.relativePath").alias("path"), F.col("o.symbol").alias("symbol"),
+            # of a symbol listed twice the later kind counts
+            F.when(F.col("o.symbolRoles").bitwiseAND(DEFINITION) == 1, F.get(F.expr("reverse(transform(filter(d.symbols, s -> s.symbol = o.symbol), s -> s.kind))"), F.lit(0))).alias("kind"),
+            F.col("o.symbolRoles").alias("role"), position(F.col("o.range"), "at"), position(F.col("o.enclosingRange"), "body"),
+        )
+        return materialize(o.withColumn("p", symbol_parts_udf("symbol")))
+
+    @cached_property
+    def invalid_indexes(self) -> DataFrame:
+        """package_id, reason of indexes that hold a symbol of an organisation package (or of none that can be told) which does not parse."""
+        bad = self._read.where("not p.valid").select(F.col("index_package_id").alias("package_id"), "symbol", F.col("p.manager").alias("manager"), F.col("p.name").alias("name"), F.struct("doc_pos", "occ_pos").alias("place"))
+        named = self.packages.select("manager", "name").distinct()
+        foreign = anti(bad.where("name is not null"), named, ["manager", "name"])
+        own = bad.join(foreign.select("package_id", "symbol").distinct(), ["package_id", "symbol"], "left_anti")
+        first = own.groupBy("package_id").agg(F.min_by("symbol", "place").alias("s"), F.countDistinct("symbol").alias("n"))
+        more = F.when(F.col("n") > 1, F.concat(F.lit(" (+"), F.col("n") - 1, F.lit(" more)"))).otherwise("")
+        return materialize(first.select("package_id", F.concat(F.lit('invalid symbol "'), "s", F.lit('"'), more).alias("reason")))
+
+    @cached_property
+    def _owned(self) -> DataFrame:
+        """index_package_id, load_order, doc_pos of the chosen document of each (package_id, file), with repo, owner_path and doc_order."""
+        d = self.index.select(F.col("package_id").alias("index_package_id"), "load_order", F.posexplode("documents").alias("doc_pos", "d")).select("index_package_id", "load_order", "doc_pos", F.col("d.relativePath").alias("path"))
+        d = anti(d, self.invalid_indexes.select(F.col("package_id").alias("index_package_id")), "index_package_id")
+        p = self.packages.select(F.col("package_id").alias("index_package_id"), "repo", "manager", F.col("path").alias("index_path"))
+        d = d.join(p, "index_package_id").withColumn("file", normalized_path(F.concat_ws("/", "index_path", "path")))
+        d = d.where(~F.col("path").startswith("/") & ~F.col("file").rlike(r"^\.\.(/|$)|(^|/)node_modules(/|$)"))
+        owner = owning_package(d.select("repo", "manager", "file").distinct(), self.packages)
+        d = d.join(owner.withColumnRenamed("package_id", "owner_id"), ["repo", "manager", "file"])
+        order = F.struct("load_order", "doc_pos")
+        d = d.withColumn("doc_order", F.min(order).over(Window.partitionBy("owner_id", "file"))).withColumn("load_order", order)
+        d = chosen_documents(d).join(self.packages.select(F.col("package_id").alias("owner_id"), F.col("path").alias("owner_path")), "owner_id")
+        return materialize(d.select("index_package_id", "load_order.doc_pos", F.col("load_order.load_order").alias("load_order"), F.col("owner_id").alias("package_id"), "file", "repo", "owner_path", "doc_order"))
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """package_id, sym_manager, sym_name, target_id, shared, candidates: which package another means by a name."""
+        met = self._read.where("p.name <> ''").select("index_package_id", "load_order", "doc_pos", F.col("p.manager").alias("sym_manager"), F.col("p.name").alias("sym_name"))
+        asked = met.join(self._owned.select("index_package_id", "load_order", "doc_pos", "package_id", "repo"), ["index_package_id", "load_order", "doc_pos"]).select("package_id", "repo", "sym_manager", "sym_name").distinct()
+        return materialize(self._named(asked))
+
+    def _named(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (package_id, repo, sym_manager, sym_name) resolved: the own name, else the only candidate, else what the manifest's dependency of that name is, else ambiguous (target null, candidates given)."""
+        own = self.packages.select("package_id", F.col("manager").alias("own_manager"), F.col("name").alias("own_name"))
+        known = self.packages.select(F.col("manager").alias("sym_manager"), F.col("name").alias("sym_name"), F.col("package_id").alias("candidate"), F.col("repo").alias("candidate_repo"))
+        asked = asked.join(own, "package_id")
+        met = asked.join(known, ["sym_manager", "sym_name"])
+        near = ~F.col("sym_name").startswith(_UNNAMED) | (F.col("repo") == F.col("candidate_repo"))
+        key = ["package_id", "sym_manager", "sym_name"]
+        found = met.groupBy(*key).agg(F.sort_array(F.collect_set(F.when(near, F.col("candidate")))).alias("candidates"), F.count("*").alias("n"), F.max((F.col("own_manager") == F.col("sym_manager")) & (F.col("own_name") == F.col("sym_name"))).alias("is_own"))
+        dep = self.deps.where("resolved_package_id is not null").groupBy(F.col("consumer_package_id").alias("package_id"), F.col("dep_manager").alias("sym_manager"), F.col("dep_name").alias("sym_name")).agg(F.min("resolved_package_id").alias("dep"))
+        found = found.join(dep, key, "left")
+        target = F.when(F.col("is_own"), F.col("package_id")).when(F.size("candidates") == 1, F.col("candidates")[0]).when(F.size("candidates") > 1, F.col("dep"))
+        ambiguous = ~F.col("is_own") & (F.size("candidates") > 1) & F.col("dep").isNull()
+        return found.select(*key, target.alias("target_id"), (F.col("n") > 1).alias("shared"), F.when(ambiguous, F.col("candidates")).alias("candidates"))
+
+    @cached_property
+    def occurrences_of(self) -> DataFrame:
+        """Occurrences that can name a declaration, of chosen documents: package_id, file, order, role, at, body, kind, p, plain (version out), target_id, candidates, key."""
+        at = ["index_package_id", "load_order", "doc_pos"]
+        o = self._read.where("p.valid and p.tail is not null and at is not null").join(self._owned, at)
+        o = o.where(~F.element_at("p.suffixes", -1).isin(*_INNER)).withColumns({"sym_manager": F.col("p.manager"), "sym_name": F.col("p.name")})
+        own = self.packages.select("package_id", F.col("name").alias("own_name"))
+        o = o.join(self.names, ["package_id", "sym_manager", "sym_name"], "left").join(own, "package_id")
+        esc = lambda c: F.when(c == "", ".").otherwise(F.replace(c, F.lit(" "), F.lit("  ")))
+        head = F.concat_ws(" ", esc(F.col("p.scheme")), esc(F.col("p.manager")))
+        full = lambda name, version: F.concat_ws(" ", head, name, version, F.col("p.tail"))
+        nameless = F.col("p.name") == ""
+        plain = full(esc(F.col("p.name")), F.lit("."))
+        key = F.when(nameless, full(esc(F.col("own_name")), esc(F.col("package_id")))).when(F.col("shared") & F.col("target_id").isNotNull(), full(esc(F.col("p.name")), esc(F.col("target_id")))).otherwise(plain)
+        o = o.withColumn("target_id", F.when(nameless, F.col("package_id")).otherwise(F.col("target_id")))
+        order = F.struct("doc_order", "occ_pos").alias("order")
+        return materialize(o.select("package_id", "file", "repo", "owner_path", order, "role", "at", "body", "kind", "p", plain.alias("plain"), "target_id", "candidates", key.alias("key")))
+
+    # --- definitions
+
+    @cached_property
+    def _definitions(self) -> DataFrame:
+        return self.occurrences_of.where((F.col("role").bitwiseAND(DEFINITION) == 1) & F.col("candidates").isNull())
+
+    @cached_property
+    def interned(self) -> DataFrame:
+        """symbol_id, symbol_str, package_id, file, line, col, kind, name, is_module and p: one row a key, the first definition's (own packages before others')."""
+        d = self._definitions
+        later = (F.col("target_id").isNotNull() & (F.col("target_id") != F.col("package_id"))).cast("int")
+        first = d.groupBy("key").agg(F.min_by(F.struct("package_id", "file", "owner_path", "at", "kind", "p"), F.struct(later, F.col("order"))).alias("d")).select("key", "d.*")
+        path = F.array_join("p.names", "/")
+        relative = F.when(F.col("owner_path") == "", F.col("file")).otherwise(F.expr("substr(file, length(owner_path) + 2)"))
+        spaces = F.forall("p.suffixes", lambda x: x == "namespace")
+        is_module = spaces & (path != "") & ((path == relative) | (path == F.col("file")) | F.endswith(F.col("file"), F.concat(F.lit("/"), path)))
+        first = first.withColumn("is_module", is_module)
+        prefix = (F.col("p.scheme") == "scip-dart") & ~F.col("is_module") & ((F.coalesce("kind", F.lit(0)) == NAMESPACE_KIND) | (F.element_at("p.suffixes", -1) == "namespace"))
+        kinds = F.array(*[F.lit("" if k == "-" else k) for k in KIND_NAMES])
+        kind = F.when(F.exists("p.literal", lambda x: x), "anonymous-member").when(prefix, "import-prefix").otherwise(F.coalesce(F.get(kinds, F.coalesce("kind", F.lit(0)) - 1), F.lit("")))
+        name = F.when(F.col("is_module"), F.col("file")).otherwise(F.element_at("p.names", -1))
+        return materialize(first.select(F.xxhash64("key").alias("symbol_id"), F.col("key").alias("symbol_str"), "package_id", "file", F.col("at.line").alias("line"), F.col("at.col").alias("col"), kind.alias("kind"), name.alias("name"), "is_module", "p"))
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        """package_id, file, module_symbol_id, is_entry, is_generated; a file without a module symbol of its own gets one."""
+        d = self._owned.select("package_id", "file", "repo", "owner_path").distinct()
+        own = self.interned.where("is_module").groupBy("package_id", "file").agg(F.min("symbol_id").alias("module_symbol_id"))
+        entries = self.packages.select("package_id", F.explode("entry_points").alias("file")).distinct()
+        d = marked(d.join(own, ["package_id", "file"], "left"), entries, ["package_id", "file"], "is_entry")
+        listed = self.sidecars.select("repo", F.explode("generatedFiles").alias("file")).distinct()
+        d = marked(d, listed, ["repo", "file"], "listed")
+        below = F.when(F.col("owner_path") == "", F.col("file")).otherwise(F.expr("substr(file, length(owner_path) + 2)"))
+        generated = F.col("listed") | globs.matches(F.col("file"), globs.GENERATED_GLOBS) | globs.matches(below, globs.VENDORED_GLOBS)
+        return materialize(d.select("package_id", "file", F.coalesce("module_symbol_id", F.xxhash64(_file_symbol())).alias("module_symbol_id"), "is_entry", generated.alias("is_generated"), F.col("module_symbol_id").isNull().alias("made")))
+
+    @cached_property
+    def parents(self) -> DataFrame:
+        """symbol_id, parent_symbol_id: the nearest enclosing declaration of the same package; above a namespace nothing is looked for."""
+        n = F.size("p.texts")
+        s = self.interned.select("symbol_id", "symbol_str", "package_id", "file", "p").where(n > 1)
+        head = F.expr("substr(symbol_str, 1, length(symbol_str) - length(p.tail))")
+        levels = s.select("symbol_id", "package_id", "file", head.alias("head"), "p", F.explode(F.sequence(F.lit(1), n - 1)).alias("k"))
+        space = lambda k: F.get(F.col("p.suffixes"), k - 1) == "namespace"
+        above = F.exists(F.filter(F.sequence(F.col("k") + 1, F.greatest(F.size("p.texts") - 1, F.col("k") + 1)), lambda j: j <= F.size("p.texts") - 1), lambda j: space(j))
+        levels = levels.where(~above).select("symbol_id", "package_id", "file", "k", space(F.col("k")).alias("space"), F.concat("head", F.array_join(F.slice("p.texts", F.lit(1), F.col("k")), "")).alias("symbol_str"))
+        parent = self.interned.select("symbol_str", F.col("symbol_id").alias("parent_symbol_id"), F.col("package_id").alias("pp"), F.col("file").alias("pf"), F.col("kind").alias("pk"))
+        met = levels.join(parent, "symbol_str").where("package_id = pp")
+        modules = self.documents.select(F.col("module_symbol_id").alias("parent_symbol_id")).distinct()
+        spaces = anti(met.where("space and file = pf and pk <> 'import-prefix'"), modules, "parent_symbol_id")
+        best = met.where("not space").select("symbol_id", "k", "parent_symbol_id").unionByName(spaces.select("symbol_id", "k", "parent_symbol_id"))
+        return materialize(best.groupBy("symbol_id").agg(F.max_by("parent_symbol_id", "k").alias("parent_symbol_id")))
+
+    # --- references
+
+    @cached_property
+    def _resolved(self) -> DataFrame:
+        """Occurrences with the symbol that they name (null: none): symbol_id and def_package_id beside their columns.
+
+        A reference to what no index defines goes to its nearest defined ancestor if the first
+        missing part is an anonymous literal or an implicit constructor, or if any part is
+        anonymous and the ancestor no file.
+        """
+        o = self.occurrences_of.where("candidates is null")
+        of = self.interned.select(F.col("symbol_str").alias("key"), "symbol_id", F.col("package_id").alias("def_package_id"))
+        o = o.join(of, "key", "left")
+        n = F.size("p.texts")
+        lost = o.where(F.col("symbol_id").isNull() & (F.col("role").bitwiseAND(DEFINITION) == 0) & (n > 1)).select("key", "p").dropDuplicates(["key"])
+        head = F.expr("substr(key, 1, length(key) - length(p.tail))")
+        levels = lost.select("key", head.alias("head"), "p", F.explode(F.sequence(F.lit(1), F.size("p.texts") - 1)).alias("k"))
+        first_literal = F.get("p.literal", F.col("k"))
+        constructor = (F.get("p.suffixes", F.col("k")) == "method") & (F.get("p.names", F.col("k")) == "<constructor>") & (F.col("k") == F.size("p.texts") - 1)
+        in_file = F.forall(F.slice("p.suffixes", F.lit(1), F.col("k")), lambda x: x == "namespace")
+        taken = first_literal | constructor | (F.exists("p.literal", lambda x: x) & ~in_file)
+        levels = levels.select(F.col("key").alias("missing"), "k", taken.alias("taken"), F.concat("head", F.array_join(F.slice("p.texts", F.lit(1), F.col("k")), "")).alias("key"))
+        near = levels.join(of, "key").groupBy("missing").agg(F.max_by(F.struct("taken", "symbol_id", "def_package_id"), "k").alias("a")).where("a.taken")
+        near = near.select(F.col("missing").alias("key"), F.col("a.symbol_id").alias("near_id"), F.col("a.def_package_id").alias("near_package_id"))
+        o = o.join(near, "key", "left")
+        is_ref = F.col("role").bitwiseAND(DEFINITION) == 0
+        own = F.col("symbol_id").isNotNull()
+        return materialize(o.withColumns({"symbol_id": F.when(own, F.col("symbol_id")).when(is_ref, F.col("near_id")), "def_package_id": F.when(own, F.col("def_package_id")).when(is_ref, F.col("near_package_id"))}).drop("near_id", "near_package_id"))
+
+    @cached_property
+    def occurrences(self) -> DataFrame:
+        """symbol_id, package_id, def_package_id, file, line, col, role, enclosing_symbol_id, is_export_site, is_external (a bag)."""
+        r = self._resolved.where("symbol_id is not null").select("symbol_id", "package_id", "def_package_id", "file", "repo", F.col("at.line").alias("line"), F.col("at.col").alias("col"), "role", "order")
+        is_def = F.col("role").bitwiseAND(DEFINITION) == 1
+        r = r.withColumns({"ref_id": F.xxhash64("package_id", "file", "order"), "own_symbol_id": F.when(is_def, F.col("symbol_id"))})
+        modules = self.documents.select("package_id", "file", "module_symbol_id")
+        spans = self._definitions.where("body is not null").join(self.interned.select(F.col("symbol_str").alias("key"), "symbol_id", F.col("package_id").alias("pp")), "key").where("package_id = pp")
+        spans = spans.join(modules, ["package_id", "file"]).where("symbol_id <> module_symbol_id")
+        spans = spans.select("package_id", "file", "symbol_id", F.col("body.line").alias("start_line"), F.col("body.col").alias("start_col"), F.col("body.end_line").alias("end_line"), F.col("body.end_col").alias("end_col"), F.col("order.occ_pos").alias("span_order"))
+        out = enclosing_symbols(r, spans, modules)
+        sites = self.sidecars.select("repo", F.explode("exports").alias("e")).select("repo", F.explode("e.sites").alias("s")).select("repo", "s.file", "s.line", "s.col").distinct()
+        out = marked(out, sites, ["repo", "file", "line", "col"], "is_export_site")
+        columns = ["symbol_id", "package_id", "def_package_id", "file", "line", "col", "role", "enclosing_symbol_id", "is_export_site"]
+        out = out.select(*columns, (F.col("package_id") != F.col("def_package_id")).alias("is_external"))
+        # what refers to a file with an anonymous default export refers to that export
+        made = self._anonymous_defaults.select("symbol_id", F.col("package_id").alias("home"), "module_symbol_id")
+        seen = out.where((F.col("role").bitwiseAND(DEFINITION) == 0) & ~F.col("is_export_site")).withColumnRenamed("symbol_id", "module_symbol_id").join(made, "module_symbol_id")
+        copied = seen.withColumns({"def_package_id": F.col("home"), "is_external": F.col("package_id") != F.col("home")}).select(*out.columns)
+        return materialize(out.unionByName(copied))
+
+    @cached_property
+    def unresolved_refs(self) -> DataFrame:
+        """References to another package's declarations that its index does not have (a bag); whole modules are left out."""
+        lost = self._resolved.where("symbol_id is null and target_id is not null and target_id <> package_id").where(~F.forall("p.suffixes", lambda x: x == "namespace"))
+        return lost.select(F.col("package_id").alias("consumer_package_id"), F.col("target_id").alias("target_package_id"), F.col("plain").alias("symbol_str"), "file", F.col("at.line").alias("line"), F.col("at.col").alias("col"))
+
+    # --- export surface
+
+    @cached_property
+    def _positions(self) -> DataFrame:
+        """repo, file, line, col, symbol_id of every definition whose symbol its own package holds."""
+        d = self._definitions.join(self.interned.select(F.col("symbol_str").alias("key"), "symbol_id", F.col("package_id").alias("pp")), "key").where("package_id = pp")
+        return d.groupBy("repo", "file", F.col("at.line").alias("line"), F.col("at.col").alias("col")).agg(F.max_by("symbol_id", "order").alias("symbol_id"))
+
+    @cached_property
+    def _exports(self) -> DataFrame:
+        e = self.sidecars.select("package_id", "repo", F.explode("exports").alias("e")).select("package_id", "repo", "e.*")
+        return e.join(self._positions, ["repo", "file", "line", "col"], "left")
+
+    @cached_property
+    def _anonymous_defaults(self) -> DataFrame:
+        """package_id, file, repo, line, col, symbol_id, module_symbol_id: default exports without a symbol of their own."""
+        e = self._exports.where("symbol_id is null and note = 'default-keyword'").groupBy("package_id", "repo", "file").agg(F.min(F.struct("line", "col")).alias("at"))
+        e = e.join(self.documents.select("package_id", "file", "module_symbol_id"), ["package_id", "file"])
+        return materialize(e.select("package_id", "file", "repo", "at.line", "at.col", F.xxhash64(F.concat_ws(" ", F.lit("default"), "package_id", "file")).alias("symbol_id"), "module_symbol_id"))
+
+    @cached_property
+    def symbol_exports(self) -> DataFrame:
+        e = self._exports
+        made = self._anonymous_defaults.select("package_id", "file", F.col("symbol_id").alias("made_id"))
+        e = e.join(made, ["package_id", "file"], "left").withColumn("symbol_id", F.coalesce("symbol_id", F.when(F.col("note") == "default-keyword", F.col("made_id"))))
+        return materialize(e.where("symbol_id is not null").select("symbol_id", F.col("entry").alias("entry_file"), F.col("exportedAs").alias("exported_as")).distinct())
+
+    @cached_property
+    def _entries(self) -> DataFrame:
+        e = self.sidecars.select("package_id", "repo", F.explode("entrySymbols").alias("e")).select("repo", "e.file", "e.line", "e.col", F.coalesce("e.kind", F.lit("runtime")).alias("kind"))
+        d = self.documents.join(self.packages.select("package_id", "repo"), "package_id").select("repo", "file", "module_symbol_id", F.col("package_id").alias("home"))
+        return e.join(self._positions, ["repo", "file", "line", "col"]).join(d, ["repo", "file"])
+
+    @cached_property
+    def entry_symbols(self) -> DataFrame:
+        """symbol_id, kind: runtime wins over ambient."""
+        return self._entries.groupBy("symbol_id").agg(F.max("kind").alias("kind"))
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        """The table of symbols, with parents and exported marks."""
+        none = F.lit(None).cast("long")
+        own = self.interned.join(self.parents, "symbol_id", "left").select("symbol_id", "symbol_str", "package_id", "file", "line", "col", "kind", "name", "parent_symbol_id")
+        files = self.documents.where("made").select(F.col("module_symbol_id").alias("symbol_id"), _file_symbol().alias("symbol_str"), "package_id", "file", F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit("file").alias("kind"), F.col("file").alias("name"), none.alias("parent_symbol_id"))
+        made = self._anonymous_defaults.select("symbol_id", F.concat_ws(" ", F.lit("default"), "package_id", "file").alias("symbol_str"), "package_id", "file", "line", "col", F.lit("").alias("kind"), F.lit("default").alias("name"), none.alias("parent_symbol_id"))
+        out = own.unionByName(files).unionByName(made)
+        return materialize(marked(out, self.symbol_exports, ["symbol_id"], "is_exported").withColumn("first_seen_at", none))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """References, declarations to their members, files to their entry symbols, anonymous defaults to their file."""
+        refs = reference_edges(self.occurrences)
+        p = self.symbols.where("parent_symbol_id is not null")
+        down = p.select(F.col("parent_symbol_id").alias("from_symbol_id"), F.col("symbol_id").alias("to_symbol_id"), F.lit("scip").alias("source"), F.col("package_id").alias("from_package_id"), F.col("package_id").alias("to_package_id"))
+        of = self.symbols.select("symbol_id", F.col("package_id").alias("to_package_id"))
+        entry = self._entries.join(of, "symbol_id").select(F.col("module_symbol_id").alias("from_symbol_id"), F.col("symbol_id").alias("to_symbol_id"), F.lit("scip").alias("source"), F.col("home").alias("from_package_id"), "to_package_id")
+        made = self._anonymous_defaults.select(F.col("symbol_id").alias("from_symbol_id"), F.col("module_symbol_id").alias("to_symbol_id"), F.lit("scip").alias("source"), F.col("package_id").alias("from_package_id"), F.col("package_id").alias("to_package_id"))
+        return materialize(refs.unionByName(down).unionByName(entry).unionByName(made).distinct())
+
+    @cached_property
+    def package_flags(self) -> DataFrame:
+        """What is uncertain about a package: index status, invalid symbols, dynamic access, flags of its sidecar and names that several packages share."""
+        none = F.lit(None).cast("string")
+        # an index with invalid symbols is given up before its sidecar is looked for
+        looked = self.sidecars.select(F.col("package_id").alias("packageId")).unionByName(self.invalid_indexes.select(F.col("package_id").alias("packageId")))
+        out = status_flags(self.manifest, looked)
+        bad = self.invalid_indexes.select("package_id", F.lit("index_failed").alias("flag"), "reason", none.alias("file"), none.alias("target_package_id"))
+        dynamic = self.sidecars.select("package_id", F.explode("unresolved").alias("u")).select("package_id", F.lit("dynamic_access").alias("flag"), F.coalesce("u.reason", F.to_json("u")).alias("reason"), F.col("u.file").alias("file"), none.alias("target_package_id"))
+        said = self.sidecars.select("package_id", "repo", F.explode("flags").alias("f")).select("package_id", "repo", "f.*")
+        aimed = said.where("targetPackage is not null").select("package_id", "repo", F.lit("npm").alias("sym_manager"), F.col("targetPackage").alias("sym_name")).distinct()
+        to = self._named(aimed).select("package_id", F.col("sym_name").alias("targetPackage"), F.coalesce(F.array_remove(F.col("candidates"), F.col("package_id")), F.array(F.when(F.col("target_id") != F.col("package_id"), F.col("target_id")))).alias("targets"))
+        said = said.join(to, ["package_id", "targetPackage"], "left").select("package_id", "flag", "reason", "file", F.explode(F.coalesce("targets", F.array(none))).alias("target_package_id"))
+        # a name that its file cannot attribute: every candidate may be meant
+        several = self.occurrences_of.where("candidates is not null").groupBy("package_id", F.col("p.name").alias("name"), "candidates").agg(F.min_by("file", "order").alias("file"))
+        reason = F.concat(F.lit("uses of "), "name", F.lit(" match "), F.size("candidates"), F.lit(" packages: "), F.array_join("candidates", ", "))
+        shared = several.select("package_id", F.lit("ambiguous_dep").alias("flag"), reason.alias("reason"), "file", F.explode(F.array_remove(F.col("candidates"), F.col("package_id"))).alias("target_package_id"))
+        return out.unionByName(bad).unionByName(dynamic).unionByName(said).unionByName(shared)
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The relations that an analysis reads, by name (see ``refloom.schema``)."""
+        return {"symbols": self.symbols, "documents": self.documents.drop("made"), "occurrences": self.occurrences, "edges": self.edges, "symbol_exports": self.symbol_exports, "entry_symbols": self.entry_symbols, "unresolved_refs": self.unresolved_refs, "package_flags": self.package_flags}
+
+
+def _file_symbol() -> Column:
+    return F.concat_ws(" ", F.lit("file"), "package_id", "file")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from refloom.operators import deps, invariants, report, witness
 from refloom.operators.analysis import Analysis
+from refloom.plans import testindex
 from refloom.plans.oracles import oracle
 from refloom.plans.testorg import analysis
 
@@ -152,6 +153,28 @@ pairs AS (SELECT DISTINCT consumer_package_id AS package_id, resolved_package_id
 SELECT DISTINCT symbol_id, t.package_id, file, CAST(CASE name WHEN 'sym' || dk THEN 1 ELSE 3 END AS INTEGER) AS line FROM texts t JOIN waiting w USING (target_package_id)
 WHERE text IS NOT NULL AND name IN ('sym' || dk, 'sym' || (dk + 4 * ns))
 UNION SELECT symbol_id, t.package_id, file, 0 FROM texts t JOIN pairs p USING (package_id) JOIN waiting w ON w.target_package_id = p.target_package_id WHERE text IS NULL
+UNION SELECT symbol_id, consumer_package_id, file, 0 FROM t_witness_files JOIN waiting USING (target_package_id)
+"""
+
+# --- and text of files that the index saw: through a subpath, with a member access, a spread and a string ---
+
+_SEEN = """SELECT u.package_id, f.file, d.package_id AS target_package_id, d.k AS dk, n.ns, 'import {{ sym' || CAST(d.k AS STRING) || ' }} from "' || d.name || '/f0";' || chr(10) || 'x.sym' || CAST(d.k + 2 * ns AS STRING) || '(1); y.' || chr(10)
+  || '  sym' || CAST(d.k AS STRING) || '; use(sym' || CAST(d.k + 2 * ns AS STRING) || ', ...sym' || CAST(d.k AS STRING) || ');' || chr(10) || '"sym' || CAST(d.k + 2 * ns AS STRING) || '" /* sym' || CAST(d.k AS STRING) || ' */' AS text
+FROM (SELECT p.consumer_package_id AS c, min(d.k) AS dk FROM {package_deps} p JOIN {packages} d ON d.package_id = p.resolved_package_id JOIN {packages} u ON u.package_id = p.consumer_package_id WHERE d.manager = 'npm' AND d.k % 7 <> u.k % 3 GROUP BY p.consumer_package_id) m
+JOIN {packages} u ON u.package_id = m.c JOIN {packages} d ON d.k = m.dk JOIN {o_file} f ON f.k = u.k AND f.f = 0 JOIN {o_n} n ON true"""
+
+
+def _seen(a: Analysis) -> DataFrame:
+    frames = {k: a.t[k] for k in ("package_deps", "packages", "o_file", "o_n")}
+    return frames["packages"].sparkSession.sql(_SEEN, **frames).select("package_id", "file", "text")
+
+
+_SEEN_SQL = f"""
+WITH texts AS ({_SEEN.format(package_deps="t_package_deps", packages="t_packages", o_file="t_o_file", o_n="t_o_n")}),
+waiting AS (SELECT symbol_id, name, package_id AS target_package_id FROM verdicts JOIN t_symbols USING (symbol_id) WHERE verdict = 'needs_review' AND list_contains(reasons, 'witness_pending'))
+SELECT DISTINCT symbol_id, t.package_id, file, CAST(unnest(CASE WHEN name IN ('sym' || dk, '_sym' || dk) THEN [1, 3] ELSE [3] END) AS INTEGER) AS line FROM texts t JOIN waiting w USING (target_package_id)
+WHERE dk % 7 <> 0 AND name IN ('sym' || dk, 'sym' || (dk + 2 * ns))
+UNION SELECT symbol_id, consumer_package_id, file, 0 FROM t_witness_files JOIN waiting USING (target_package_id)
 """
 
 _ROWS_SQL = """SELECT f.symbol_id, f.verdict, f.reasons, f.blocked_by, s.name AS symbol, s.package_id, s.file, s.line + 1 AS line, s.col + 1 AS col, p.repo,
@@ -200,6 +223,7 @@ REPORT: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
     ),
     "j22_dependency_resolution": (_resolved, _RESOLVED_SQL),
     "w2_witness_hits": (lambda a: witness.witness_hits(a, _pending(a), _texts(a)), _HITS_SQL),
+    "w3_indexed_hits": (lambda a: witness.witness_hits(a, _pending(a), _seen(a)), _SEEN_SQL),
     "inv_violations": (lambda a: invariants.violations(a, a.findings), "SELECT '' AS rule, '' AS row WHERE false"),
 }
 #: Without an oracle: text that only this engine writes, and the whole chain behind it.
@@ -213,11 +237,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _plain(*spec) for name, spec in PLAIN.items()}
     found.update({name: _on(build) for name, (build, _) in {**BUILT, **REPORT}.items()})
     found.update({name: _on(build) for name, build in UNCHECKED.items()})
-    return found
+    return found | testindex.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: oracle(_joined_sql(relation, columns.split()), relation) for name, (relation, columns) in PLAIN.items()}
     found.update({name: oracle(sql) for name, (_, sql) in BUILT.items()})
     found.update({name: oracle(sql, more=_MORE) for name, (_, sql) in REPORT.items()})
-    return found
+    return found | testindex.oracle_sql()

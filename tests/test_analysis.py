@@ -129,13 +129,15 @@ def test_witness_and_propagation(spark):
     a, c = o.pkg("a"), o.pkg("c")
     o.doc(a)
     hit, free = o.sym(a, "Hit"), o.sym(a, "Free")
+    for s in (hit, free):
+        o.rows["symbol_exports"].append((s, "src/a.ts", "Hit" if s == hit else "Free"))
     o.rows["package_deps"].append((c, "npm", "a", "*", a, False, "name", False))
     an = o.run()
     files = spark.createDataFrame([(c, "src/x.js", "import { Hit } from 'a'\nHit()\nFreeX()\n")], "package_id string, file string, text string")
     found, ok = apply_witness(an, an.verdicts, files)
     rows = {r["symbol_id"]: r for r in found.collect()}
     assert rows[free]["verdict"] == "deletion_candidate" and [r[0] for r in ok.collect()] == [free]
-    assert rows[hit]["verdict"] == "needs_review" and any(x.startswith("text:") for x in rows[hit]["reasons"])
+    assert rows[hit]["verdict"] == "needs_review" and "witness_mismatch:npm:r:c:src/x.js:1" in rows[hit]["reasons"]
     unread = spark.createDataFrame([(c, "src/x.js", None)], "package_id string, file string, text string")
     assert {r["verdict"] for r in apply_witness(an, an.verdicts, unread)[0].collect()} == {"needs_review"}
 
@@ -155,6 +157,7 @@ def test_witness_searches_extension_members(spark):
     o.ref(o.sym(c, "loadSvg", "src/in.js", kind="method"), c, c, "src/in.js", line=1)
     o.ref(load, c, a, "src/own.js", line=1)
     o.rows["package_deps"].append((c, "npm", "a", "*", a, False, "name", False))
+    o.rows["symbol_exports"] += [(ext, "src/a.ts", "SvgExt"), (other, "src/a.ts", "Other")]
     text = "import x from 'a'\n'x'.loadSvg()\ny.toString(); y.id; y.paint(); y._hidden\n"
     files = spark.createDataFrame([(c, f, text) for f in ("src/x.js", "src/in.js", "src/own.js")], "package_id string, file string, text string")
     pending = spark.createDataFrame([(ext,), (other,)], "symbol_id long")
