@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm.common import NO_ID, fresh, id_key, stage
+from refloom.llm.common import NO_ID, fresh, id_key, spent_stages, stage
 from refloom.llm.line_dedup import line_dedup
 from refloom.llm.mixing import mix
 from refloom.llm.ngram_join import near_duplicates, with_class
@@ -80,8 +80,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs)
-    return docs
+    for _, apply in STAGES[:-1]:
+        with spent_stages(spark):  # what a stage wrote on its way is emptied once its result stands
+            docs = stage(apply(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
