@@ -16,7 +16,7 @@ _RAW = re.compile(r"(?:^|[^\w$])[rR]$")
 # Words right before a literal that make it a module specifier, and the annotation whose literal names foreign code.
 _SPECIFIER = re.compile(r"(?:\bfrom|\bimport|\bexport|\bpart(?:\s+of)?|\brequire\s*\(|\bimport\s*\(|\bmodule)\s*$")
 _IMPORT = T.StructType([T.StructField("specifier", T.StringType()), T.StructField("line", T.IntegerType())])
-_SEARCHED = T.StructType([T.StructField("text", T.StringType()), T.StructField("defaults", T.ArrayType(_IMPORT))])
+_SEARCHED = T.StructType([T.StructField("text", T.StringType()), T.StructField("code", T.StringType()), T.StructField("defaults", T.ArrayType(_IMPORT))])
 # Imports that bind the default export (the specifier is group 1).
 _DEFAULTS = tuple(re.compile(p, re.DOTALL | re.ASCII) for p in (
     r"""\bimport\s+(?:type\s+)?[A-Za-z_$][\w$]*\s*(?:,[^;]*?)?\bfrom\s*['"]([^'"]+)['"]""",
@@ -127,13 +127,15 @@ def default_imports(text: str) -> list[dict]:
 
 @F.pandas_udf(_SEARCHED)
 def searched_text_udf(texts: pd.Series, files: pd.Series, indexed: pd.Series, code: pd.Series) -> pd.DataFrame:
-    """The text that a search reads (of code: without comments, and without strings where ``indexed``) and its default imports."""
+    """The text that a search reads (of code: without comments, and without strings where ``indexed``), the same without any strings, and the default imports."""
 
     def one(text, file, strict, is_code):
+        bare = text
         if is_code:
             dart = file.endswith(".dart")
             text = blank_comments(text, dart)
-            text = blank_strings(text, dart) if strict else text
-        return text, default_imports(text)
+            bare = blank_strings(text, dart)
+            text = bare if strict else text
+        return text, bare, default_imports(text)
 
-    return pd.DataFrame([one(*x) for x in zip(texts, files, indexed, code)], columns=["text", "defaults"])
+    return pd.DataFrame([one(*x) for x in zip(texts, files, indexed, code)], columns=["text", "code", "defaults"])

@@ -206,13 +206,15 @@ def witness_hits(a: Analysis, pending: DataFrame, files: DataFrame, manifests: D
     readable = marked(classed.where(F.col("text").isNotNull()), a.t["documents"], FILE, "indexed")
     readable = marked(readable, a.generated_files, FILE, "generated")
     listed = marked(readable, extra, FILE, "listed").where(F.col("file").rlike(CODE_FILE) | F.col("listed"))
-    listed = listed.withColumn("read", searched_text_udf("text", "file", F.col("indexed"), F.col("file").rlike(CODE_FILE))).withColumns({"text": F.col("read.text"), "defaults": F.col("read.defaults")}).drop("read")
+    listed = listed.withColumn("read", searched_text_udf("text", "file", F.col("indexed"), F.col("file").rlike(CODE_FILE))).withColumns({"text": F.col("read.text"), "code": F.col("read.code"), "defaults": F.col("read.defaults")}).drop("read")
     listed = materialize(listed)
 
     imports = materialize(mentions(listed).join(target, ["manager", "name"]))
     used = imports.where("package_id <> target_package_id").join(deps.withColumn("own", F.lit(False)), ["package_id", "target_package_id"])
     more = imports.where("package_id <> target_package_id").join(extra, [*FILE, "target_package_id"]).join(deps, ["package_id", "target_package_id"], "left").withColumns({"own": F.lit(False), "dev": F.coalesce("dev", F.lit(False))})
-    inside = anti(imports.where("package_id = target_package_id"), listed.where("indexed or generated"), FILE).withColumns({"own": F.lit(True), "dev": F.lit(False)})
+    # a package's own files count as code only: an import in a string is generated text
+    unseen = listed.where("not indexed and not generated").withColumn("text", F.col("code"))
+    inside = mentions(unseen).join(target, ["manager", "name"]).where("package_id = target_package_id").withColumns({"own": F.lit(True), "dev": F.lit(False)})
     columns = [*FILE, "target_package_id", "manager", "subpath", "own", "dev"]
     imports = materialize(used.select(*columns).unionByName(more.select(*columns)).unionByName(inside.select(*columns)).distinct())
     forms = reaching_forms(a, aliases.where("manager = 'npm'").select("symbol_id", F.col("entry_file").alias("file")), manifests)
@@ -226,12 +228,15 @@ def witness_hits(a: Analysis, pending: DataFrame, files: DataFrame, manifests: D
     near = materialize(near)
 
     texts = semi(listed, near, FILE)
-    tokens = identifiers(texts)
-    met = near.join(names, ["symbol_id", "target_package_id"]).join(tokens, [*FILE, "token"])
+    sought = near.join(names, ["symbol_id", "target_package_id"])
+    met = sought.where("not own").join(identifiers(texts), [*FILE, "token"])
+    own_code = semi(unseen, near.where("own"), FILE)
+    met = met.unionByName(sought.where("own").join(identifiers(own_code), [*FILE, "token"]))
     met = met.where(~F.col("own") | ~F.when(F.col("manager") == "pub", F.col("directive_pub")).otherwise(F.col("directive_npm")))
     kept = [*near.columns, "token", "member_id", "line", "member"]
-    odd = odd_names(texts.join(near.select(*FILE, "target_package_id").distinct(), FILE), names).withColumn("member", F.lit(False))
-    met = met.select(*kept).unionByName(odd.join(near, [*FILE, "target_package_id", "symbol_id"]).select(*kept))
+    wanted = near.where("not own").select(*FILE, "target_package_id").distinct()
+    odd = odd_names(texts.join(wanted, FILE), names).withColumn("member", F.lit(False))
+    met = met.select(*kept).unionByName(odd.join(near.where("not own"), [*FILE, "target_package_id", "symbol_id"]).select(*kept))
 
     # where the index saw the file, its own reading of the name on that line decides against text
     met = met.join(listed.select(*FILE, "indexed", "in_test", "in_docs"), FILE)
@@ -287,7 +292,8 @@ def apply_witness(a: Analysis, findings: DataFrame, files: DataFrame) -> tuple[D
     waiting = (F.col("verdict") == "needs_review") & F.array_contains("reasons", "witness_pending")
     pending = findings.where(waiting)
     hits = witness_hits(a, pending, files)
-    place = F.struct("package_id", "file", "line")
+    # a checkout that could not be read is one place
+    place = F.struct("package_id", F.when(F.col("line") == 0, "").otherwise(F.col("file")).alias("file"), "line")
     found = hits.groupBy("symbol_id").agg(F.slice(F.sort_array(F.collect_set(place)), 1, MAX_REASONS).alias("places"))
     where = lambda p: F.when(p["line"] == 0, "checkout missing").otherwise(F.concat_ws(":", p["file"], p["line"]))
     text = F.transform("places", lambda p: F.concat_ws(":", F.lit("witness_mismatch"), p["package_id"], where(p)))

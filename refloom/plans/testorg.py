@@ -3,8 +3,10 @@
 Suppliers are packages, parts symbols; every line item is a reference, resolved or not.
 References are uneven, as in code: of 20 orders one refers to the line's own part and one
 fails to resolve; the others refer to a few helpers of the part's package or to seven
-packages that all use. Packages whose number is 15 of 30 keep to themselves. Every rule is
-integer arithmetic and concatenation, so both engines derive the same rows.
+packages that all use. Packages whose number is 15 of 30 keep to themselves. Two symbols of
+each package are used inside one other each, so that islands form and come back with what
+text still names. Every rule is integer arithmetic and concatenation, so both engines
+derive the same rows.
 """
 
 from __future__ import annotations
@@ -70,7 +72,8 @@ SELECT *, CASE WHEN kind NOT IN (0, 10) AND ln >= 6 THEN guest % 7 ELSE home END
     "o_ref": """
 SELECT def_k + didx * ns AS symbol_id, CASE WHEN def_k % 30 = 15 OR from_k % 30 = 15 THEN def_k ELSE from_k END AS use_k,
   CASE WHEN ok % 7 = 0 THEN CAST(-1 AS BIGINT) ELSE (o + 3 * ln) % 20 END AS eidx, def_k, ns, CAST(ln AS BIGINT) AS ln, o
-FROM {o_aim} WHERE kind <> 10""",
+FROM {o_aim} WHERE kind <> 10
+UNION ALL SELECT p.id, p.k, CAST(CASE p.idx WHEN 10 THEN 4 ELSE 0 END AS BIGINT), p.k, p.ns, CAST(1 AS BIGINT), CAST(7 AS BIGINT) FROM {o_part} p WHERE p.idx IN (10, 14)""",
     "occurrences": """
 SELECT r.symbol_id, u.package_id, d.package_id AS def_package_id, u.file, CAST(CASE WHEN o % 3 = 0 THEN (use_k + eidx * ns) % 200 ELSE o % 200 END AS INT) AS line,
   CAST(ln AS INT) AS col, CASE WHEN o % 13 = 1 THEN 1048576 ELSE 0 END AS role,

@@ -60,8 +60,12 @@ def test_blanking_keeps_offsets():
     assert len(bare) == len(text) and bare.count("\n") == text.count("\n")
     assert "http://x" in bare and "note" not in bare and " c " not in bare and "e // f" in bare
     quiet = blank_strings(text)
-    assert len(quiet) == len(text) and "'pkg'" in quiet and "http" not in quiet and '" "' in quiet
-    assert blank_comments(None) is None and blank_strings("'open") == "'    "
+    assert len(quiet) == len(text) and "'pkg'" in quiet and "http" not in quiet and '"h"' not in quiet
+    assert blank_comments(None) is None and blank_strings("'open") == "     "
+    assert blank_strings("`a ${b} c` + d") == "   ${b}    + d"
+    dart = "var s = '''a $name ${f(1)}\n''' r'$x'; @JS('keep')"
+    shown = blank_strings(dart, True)
+    assert len(shown) == len(dart) and "$name" in shown and "${f(1)}" in shown and "$x" not in shown and "'keep'" in shown
 
 
 def test_pubspec():
