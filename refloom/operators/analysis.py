@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from refloom.functions import globs
 from refloom.functions.text import after, basename, descriptor_key, dirname, package_base, stem
-from refloom.operators.fixpoint import fixpoint, reach_by_package
-from refloom.storage import materialize
+from refloom.operators.fixpoint import fixpoint, reach_by_package, wide_packages
+from refloom.storage import materialize, materialize_counted
 
 # Role bits of an occurrence.
 DEFINITION, SIGNATURE, ERROR_CLASS = 1, 1 << 20, 1 << 21
@@ -385,13 +385,18 @@ class Analysis:
             out = out.unionByName(part)
         return out.distinct()
 
+    @cached_property
+    def _package_edges(self) -> tuple[DataFrame, DataFrame | None]:
+        """Edges by package (pkg, src, dst), and the packages that are too wide for one task."""
+        of = self.t["symbols"].select(F.col("symbol_id").alias("from_symbol_id"), F.col("package_id").alias("pkg"))
+        edges = materialize(self.reach_edges.join(of, "from_symbol_id").select("pkg", F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst")))
+        return edges, wide_packages(edges)
+
     def _reach(self, seeds: DataFrame) -> DataFrame:
         """Edges never leave a package, so the closure is one shuffle by package."""
-        of = self.t["symbols"].select("symbol_id", F.col("package_id").alias("pkg"))
-        edges = self.reach_edges.select(F.col("from_symbol_id").alias("symbol_id"), F.col("to_symbol_id").alias("dst")).join(of, "symbol_id")
-        edges = edges.select("pkg", F.col("symbol_id").alias("src"), "dst")
-        start = seeds.join(of, "symbol_id").select("pkg", F.col("symbol_id").alias("node"))
-        return materialize(reach_by_package(edges, start).select(F.col("node").alias("symbol_id")))
+        edges, wide = self._package_edges
+        start = seeds.join(self.t["symbols"].select("symbol_id", F.col("package_id").alias("pkg")), "symbol_id").select("pkg", F.col("symbol_id").alias("node"))
+        return materialize(reach_by_package(edges, start, wide).select(F.col("node").alias("symbol_id")))
 
     @cached_property
     def reachable(self) -> DataFrame:
@@ -464,16 +469,19 @@ class Analysis:
         grown = F.concat("reasons", F.array(F.lit("dead_island"), F.lit("witness_pending")))
         return materialize(v.select("symbol_id", F.when(island, "needs_review").otherwise(F.col("verdict")).alias("verdict"), F.when(island, grown).otherwise(F.col("reasons")).alias("reasons"), "blocked_by"))
 
-    def reconcile_islands(self, findings: DataFrame) -> DataFrame:
-        """Islands that are reachable again lose the mark: they turn into what their package allows, or go when dropped."""
+    def reconcile_islands(self, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``findings`` (without the privately dead) after islands that are reachable again lost the mark, and what is reachable then.
+
+        They turn into what their package allows, or go when dropped.
+        """
         place = self.t["symbols"].select("symbol_id", "package_id")
         for _ in range(ISLAND_PASSES):
-            alive = self.reachable_after(findings.where("verdict <> 'private_dead'"))
+            alive = self.reachable_after(findings)
             f = marked(findings, alive, ["symbol_id"], "alive")
             kinds = F.col("verdict").isin("deletion_candidate", "deprecation_candidate", "needs_review")
-            f = materialize(f.withColumn("island", kinds & F.array_contains("reasons", "dead_island") & F.col("alive")))
-            if f.where("island").isEmpty():
-                return findings
+            f, counts = materialize_counted(f.withColumn("island", kinds & F.array_contains("reasons", "dead_island") & F.col("alive")), islands=F.col("island"))
+            if not counts["islands"]:
+                return findings, alive
             f = marked(f.join(place, "symbol_id"), self.private_packages, ["package_id"], "private")
             f = marked(f, self.unexport_dropped, ["symbol_id"], "dropped")
             going = (F.col("verdict") != "needs_review") | F.array_contains("reasons", "witness_pending")
@@ -481,7 +489,7 @@ class Analysis:
             verdict = F.when(F.col("island") & going, F.when(F.col("private"), "unexport_candidate").otherwise("deprecation_candidate")).otherwise(F.col("verdict"))
             cleaned = F.when(going, F.array_except("reasons", F.array(F.lit("dead_island"), F.lit("witness_pending")))).otherwise(F.array_except("reasons", F.array(F.lit("dead_island"))))
             findings = materialize(f.select("symbol_id", verdict.alias("verdict"), F.when(F.col("island"), cleaned).otherwise(F.col("reasons")).alias("reasons"), "blocked_by"))
-        return findings
+        return findings, self.reachable_after(findings)
 
     # --- privately dead -----------------------------------------------------------------
 
@@ -534,10 +542,8 @@ class Analysis:
         found = anti(found, alive, "symbol_id").join(names, "origin_id").select("symbol_id", F.concat(F.lit("unlocked_by:"), "name").alias("reason"))
         return found.groupBy("symbol_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
-    def private_dead(self, findings: DataFrame) -> DataFrame:
-        """Unexported declarations that nothing alive reaches, outermost ones only."""
-        findings = findings.where("verdict <> 'private_dead'")
-        alive = self.reachable_after(findings)
+    def private_dead(self, findings: DataFrame, alive: DataFrame) -> DataFrame:
+        """Unexported declarations that nothing ``alive`` (see ``reconcile_islands``) reaches, outermost ones only."""
         before = self.unreachable_before.select("symbol_id", F.array(F.lit("already_unreachable")).alias("reasons"))
         dead = materialize(before.unionByName(self.private_dead_unlocked(findings, alive)))
         gone = dead.select("symbol_id").unionByName(self.candidates(findings).select("symbol_id")).distinct().withColumnRenamed("symbol_id", "ancestor_id")
@@ -548,8 +554,8 @@ class Analysis:
     @cached_property
     def findings(self) -> DataFrame:
         """The whole analysis: verdicts, reconciled, with the privately dead."""
-        settled = self.reconcile_islands(self.verdicts)
-        return materialize(settled.unionByName(self.private_dead(settled)))
+        settled, alive = self.reconcile_islands(self.verdicts)
+        return materialize(settled.unionByName(self.private_dead(settled, alive)))
 
     # --- unresolved references ----------------------------------------------------------
 

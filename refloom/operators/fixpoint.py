@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.storage import materialize
+from refloom.storage import materialize_counted
 
 #: A package with more edges than this is walked by distributed rounds instead of in one task.
 PACKAGE_EDGES = 500_000
@@ -23,11 +23,11 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFra
     nothing new appears.
     """
     columns = seed.columns
-    frontier = materialize(seed.distinct())
+    frontier, counts = materialize_counted(seed.distinct())
     known = frontier
-    while not frontier.isEmpty():
+    while counts["rows"]:
         new = step(frontier).select(*columns).distinct().join(known, columns, "left_anti")
-        frontier = materialize(new)
+        frontier, counts = materialize_counted(new)
         known = known.unionByName(frontier)
     return known
 
@@ -50,29 +50,31 @@ def _walk(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return nodes[seen]
 
 
-def reach_by_package(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def wide_packages(edges: DataFrame) -> DataFrame | None:
+    """pkg of packages with more than PACKAGE_EDGES edges; None if there are none."""
+    found, counts = materialize_counted(edges.groupBy("pkg").agg(F.count("*").alias("n")).where(F.col("n") > PACKAGE_EDGES).select("pkg"))
+    return found if counts["rows"] else None
+
+
+def reach_by_package(edges: DataFrame, seeds: DataFrame, wide: DataFrame | None = None) -> DataFrame:
     """node long reached from ``seeds`` (pkg, node) over ``edges`` (pkg, src, dst) that never leave their package.
 
-    One shuffle and no rounds for packages up to PACKAGE_EDGES edges and seeds; larger ones
+    One shuffle and no rounds, but for the packages in ``wide`` (see ``wide_packages``): those
     (a package may hold a third of all rows) take the distributed rounds of ``fixpoint``.
     """
-    edges, seeds = materialize(edges), materialize(seeds)
-    sizes = edges.select("pkg").unionByName(seeds.select("pkg")).groupBy("pkg").agg(F.count("*").alias("n"))
-    large = materialize(sizes.where(F.col("n") > PACKAGE_EDGES).select("pkg"))
-    any_large = not large.isEmpty()
 
     def reach(key, left: pa.Table, right: pa.Table) -> pa.Table:
         found = _walk(left["src"].to_numpy(), left["dst"].to_numpy(), right["node"].to_numpy()) if len(right) else np.zeros(0, np.int64)
         return pa.table({"node": pa.array(found, pa.int64())})
 
-    small_edges = edges.join(large, "pkg", "left_anti") if any_large else edges
-    small_seeds = seeds.join(large, "pkg", "left_anti") if any_large else seeds
+    small_edges = edges if wide is None else edges.join(wide, "pkg", "left_anti")
+    small_seeds = seeds if wide is None else seeds.join(wide, "pkg", "left_anti")
     columns = ["pkg", "src", "dst"]
     out = small_edges.select(*columns).groupBy("pkg").cogroup(small_seeds.select("pkg", "node").groupBy("pkg")).applyInArrow(reach, "node long")
-    if any_large:
-        big = edges.join(large, "pkg", "left_semi")
+    if wide is not None:
+        big = edges.join(wide, "pkg", "left_semi")
         rounds = fixpoint(
-            seeds.join(large, "pkg", "left_semi").select("node"),
+            seeds.join(wide, "pkg", "left_semi").select("node"),
             lambda front: front.join(big, front["node"] == big["src"]).select(F.col("dst").alias("node")),
         )
         out = out.unionByName(rounds)

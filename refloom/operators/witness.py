@@ -310,5 +310,5 @@ def apply_witness(a: Analysis, findings: DataFrame, files: DataFrame) -> tuple[D
 
 def propagate(a: Analysis, findings: DataFrame) -> DataFrame:
     """After the witness: reconcile islands and recompute the privately dead."""
-    settled = a.reconcile_islands(findings.where("verdict <> 'private_dead'"))
-    return settled.unionByName(a.private_dead(settled))
+    settled, alive = a.reconcile_islands(materialize(findings.where("verdict <> 'private_dead'")))
+    return settled.unionByName(a.private_dead(settled, alive))

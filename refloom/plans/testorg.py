@@ -128,7 +128,9 @@ def oracle_parts() -> list[tuple[str, str]]:
     return [(f"t_{k}", sql.format(**names)) for k, sql in DERIVED.items()]
 
 
+@lru_cache(maxsize=4)
 def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The organisation's tables, written once a session and folder."""
     frames: dict[str, DataFrame] = {}
     for b in BASE:
         frames[b] = spark.read.parquet(f"{sf_dir}/{b}.parquet")
@@ -143,7 +145,7 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 @lru_cache(maxsize=4)
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     """One analysis a session and folder: its materialised relations serve every query."""
-    tables = derive(spark, sf_dir)
+    tables = dict(derive(spark, sf_dir))
     for name in ("excluded_repos", "ignored_manifests", "witness_ok"):
         tables[name] = empty(spark, name)
     return Analysis(tables, POLICY)

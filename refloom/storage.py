@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -31,3 +32,11 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/rel-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``materialize`` and how many rows met each condition (``rows``: all), counted while they are written."""
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(n) for n, c in conditions.items())]
+    out = materialize(df.observe(seen, *counts))
+    return out, seen.get

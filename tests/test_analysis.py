@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refloom.operators.analysis import Analysis, Policy
-from refloom.operators.fixpoint import fixpoint, reach_by_package
+from refloom.operators.fixpoint import fixpoint, reach_by_package, wide_packages
 from refloom.schema import TABLES
 
 NOW = 1_800_000_000
@@ -116,10 +116,12 @@ def test_fixpoint_against_search(spark):
 def test_large_packages_take_rounds(spark, monkeypatch):
     import refloom.operators.fixpoint as fx
 
-    monkeypatch.setattr(fx, "PACKAGE_EDGES", 3)
+    monkeypatch.setattr(fx, "PACKAGE_EDGES", 2)
     e = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("a", 3, 1), ("b", 8, 9)], "pkg string, src long, dst long")
     s = spark.createDataFrame([("a", 1), ("b", 8)], "pkg string, node long")
-    assert {r[0] for r in reach_by_package(e, s).collect()} == {1, 2, 3, 8, 9}
+    wide = wide_packages(e)
+    assert [r["pkg"] for r in wide.collect()] == ["a"]
+    assert {r[0] for r in reach_by_package(e, s, wide).collect()} == {1, 2, 3, 8, 9}
 
 
 def test_witness_and_propagation(spark):
