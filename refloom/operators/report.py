@@ -123,12 +123,33 @@ def sarif_logs(a: Analysis, rows: DataFrame) -> DataFrame:
     return per_repo.select("repo", F.to_json(log).alias("sarif"))
 
 
+def warnings(a: Analysis) -> DataFrame:
+    """kind, subject, text of what a reader should know: the age rule without ages, repositories that failed or were left out, dependency names that several packages share."""
+    line = lambda kind, subject, text: [F.lit(kind).alias("kind"), subject.alias("subject"), text.alias("text")]
+    days = a.policy.min_age_days
+    cover = age_coverage(a).where((F.col("dated") < F.col("symbols")) & F.lit(bool(days)))
+    age = cover.select(*line("age", F.col("repo"), F.concat("repo", F.lit(": "), F.col("symbols") - F.col("dated"), F.lit(" of "), "symbols", F.lit(" exported symbols have no known age and count as old enough"))))
+    flags = a.t["package_flags"].where("target_package_id is null and flag in ('index_failed', 'opaque_consumer')").join(a.t["packages"].select("package_id", "repo"), "package_id")
+    named = lambda flag: F.array_join(F.sort_array(F.collect_set(F.when(F.col("flag") == flag, F.col("package_id")))), ", ")
+    by_repo = flags.groupBy("repo").agg(named("index_failed").alias("failed"), named("opaque_consumer").alias("partial"))
+    said = F.array_join(F.array_compact(F.array(F.when(F.col("failed") != "", F.concat(F.lit("index failed for "), "failed")), F.when(F.col("partial") != "", F.concat(F.lit("index partial for "), "partial")))), "; ")
+    unread = by_repo.select(*line("index", F.col("repo"), F.concat("repo", F.lit(": "), said, F.lit("; what they depend on gets no verdict"))))
+    out = a.t["excluded_repos"].where("size(manifests) > 0").select(*line("excluded", F.col("repo"), F.concat("repo", F.lit(" was left out ("), "reason", F.lit("): what it uses is not seen"))))
+    ignored = a.t["ignored_manifests"].select(*line("ignored", F.concat_ws("/", "repo", "manifest"), F.concat("repo", F.lit("/"), "manifest", F.lit(" is ignored by "), "glob")))
+    deps = a.t["package_deps"]
+    several = deps.where("ambiguous or resolution in ('same-repo', 'published', 'constraint')") if {"ambiguous", "resolution"} <= set(deps.columns) else deps.where("false").withColumn("resolution", F.lit(""))
+    end = F.when(F.col("resolved_package_id").isNull(), F.lit("none could be preferred, so all of them are blocked")).otherwise(F.concat(F.lit("resolved to "), "resolved_package_id", F.lit(" ("), "resolution", F.lit(")")))
+    shared = several.select(*line("dependency", F.col("consumer_package_id"), F.concat("consumer_package_id", F.lit(" depends on "), "dep_name", F.lit(", which names several packages; "), end)))
+    none = a.t["repos"].sparkSession.createDataFrame([("age", "policy", "the minimum age is 0: symbols of any age can go")] if days == 0 else [], "kind string, subject string, text string")
+    return none.unionByName(age).unionByName(unread).unionByName(out).unionByName(ignored).unionByName(shared)
+
+
 def write_report(a: Analysis, findings: DataFrame, path: str) -> None:
     """Sections as datasets under ``path``; rows of a section in a total order."""
     rows = finding_rows(a, findings)
     order = ["package_id", "file", "line", "col", "symbol", "verdict"]
     view_rows(rows).orderBy("view", *order).write.mode("overwrite").partitionBy("view").parquet(f"{path}/findings")
-    for name, df in (("packages", package_counts(rows)), ("blockers", blockers(a, rows, None)), ("gaps", gap_names(a)), ("age", age_coverage(a)), ("reasons", reason_counts(rows))):
+    for name, df in (("packages", package_counts(rows)), ("blockers", blockers(a, rows, None)), ("gaps", gap_names(a)), ("age", age_coverage(a)), ("reasons", reason_counts(rows)), ("warnings", warnings(a).orderBy("kind", "subject", "text"))):
         df.write.mode("overwrite").json(f"{path}/{name}")
     sarif_logs(a, rows).write.mode("overwrite").json(f"{path}/sarif")
 

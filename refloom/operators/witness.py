@@ -287,11 +287,11 @@ def _default_imports(a: Analysis, base: DataFrame, exported: DataFrame, files: D
     return met.unionByName(anything).distinct().join(of, [*FILE, "target_package_id"])
 
 
-def apply_witness(a: Analysis, findings: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_witness(a: Analysis, findings: DataFrame, files: DataFrame, manifests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, witness_ok): pending reviews become candidates where no text names them, else keep up to five places as reasons."""
     waiting = (F.col("verdict") == "needs_review") & F.array_contains("reasons", "witness_pending")
     pending = findings.where(waiting)
-    hits = witness_hits(a, pending, files)
+    hits = witness_hits(a, pending, files, manifests)
     # a checkout that could not be read is one place
     place = F.struct("package_id", F.when(F.col("line") == 0, "").otherwise(F.col("file")).alias("file"), "line")
     found = hits.groupBy("symbol_id").agg(F.slice(F.sort_array(F.collect_set(place)), 1, MAX_REASONS).alias("places"))

@@ -90,9 +90,9 @@ def read_checkouts(spark: SparkSession, path: str, listed: DataFrame | None = No
     return source_files(out, listed)
 
 
-def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All relations of an organisation from Parquet folders named like the tables."""
-    return {name: spark.read.schema(ddl).parquet(f"{path}/{name}") for name, ddl in TABLES.items()}
+def read_tables(spark: SparkSession, path: str, without: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """All relations of an organisation (but for those ``without``) from Parquet folders named like the tables."""
+    return {name: spark.read.schema(ddl).parquet(f"{path}/{name}") for name, ddl in TABLES.items() if name not in without}
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:

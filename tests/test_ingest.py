@@ -181,3 +181,33 @@ def test_own_files_outside_the_index(spark):
     files = spark.createDataFrame([(a, "scripts/run.ts", "import * as own from 'a'\nexport const foo = 1\nfoo"), (a, "scripts/re.ts", "export { foo } from 'a'\nfoo()\n'foo'"), (a, "src/seen.ts", "import { foo } from 'a'\nfoo")], "package_id string, file string, text string")
     got = {(r["package_id"], r["file"], r["line"]) for r in witness_hits(o.run(), spark.createDataFrame([(foo,)], "symbol_id long"), files).collect()}
     assert got == {("self", "scripts/run.ts", 3), ("self", "scripts/re.ts", 2)}
+
+
+def test_stages_follow_each_other(spark, tmp_path):
+    from refloom.operators import stages
+    from refloom.operators.analysis import Policy
+
+    path, policy = str(tmp_path / "org"), Policy(min_age_days=0, now=100)
+    lib, app = "npm:r:lib", "npm:r:app"
+    packages = [(lib, "r", "lib", "npm", "lib", ["lib/a.ts"]), (app, "r", "app", "npm", "app", [])]
+    head = "scip-typescript npm lib 1 `a.ts`/"
+    docs = [(lib, "a.ts", [], [occurrence(head, 1, (0, 0, 0)), occurrence(head + "used().", 1, (1, 0, 1)), occurrence(head + "free().", 1, (2, 0, 1)), occurrence(head + "named().", 1, (3, 0, 1))]), (app, "m.ts", [], [occurrence(head + "used().", 0, (5, 0, 1))])]
+    exports = [("lib/a.ts", n, n, "lib/a.ts", k, 0, [], None) for k, n in ((1, "used"), (2, "free"), (3, "named"))]
+    deps = [(app, "npm", "lib", "*", lib, False, "name", False)]
+    i = build(spark, docs, packages, deps, [{"packageId": lib, "exports": exports}, {"packageId": app}])
+    with pytest.raises(stages.StageOrder):
+        stages.ingest(spark, build(spark, [], packages), {}, path)
+        stages.analyze(spark, path, policy)
+    others = {
+        "packages": i.packages.selectExpr("*", "'private' AS visibility", "true AS is_library", "'1.0.0' AS version"),
+        "package_deps": i.deps, "repos": spark.createDataFrame([("r", "main", None, None, "ok")], TABLES["repos"]), "repo_history": spark.createDataFrame([("r", "none")], TABLES["repo_history"]),
+    }
+    stages.ingest(spark, i, others, path)
+    files = spark.createDataFrame([(app, "scripts/x.js", "import { named } from 'lib'")], "package_id string, file string, text string")
+    with pytest.raises(stages.StageOrder):
+        stages.check_by_text(spark, path, policy, files)
+    assert {tuple(r) for r in stages.analyze(spark, path, policy).collect()} == {("needs_review", 2)}
+    assert {tuple(r) for r in stages.check_by_text(spark, path, policy, files).collect()} == {("needs_review", 1), ("deletion_candidate", 1)}
+    stages.write_report(spark, path, policy, str(tmp_path / "report"))
+    assert [r["symbol"] for r in spark.read.parquet(str(tmp_path / "report/findings")).where("view = 'delete'").collect()] == ["free"]
+    assert {r["kind"] for r in spark.read.json(str(tmp_path / "report/warnings")).collect()} == {"age"}
