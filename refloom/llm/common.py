@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,6 +57,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted_stage(df: DataFrame) -> tuple[DataFrame, int]:
+    """``stage`` and the number of rows written, counted while they are written (a task that runs again may count twice; none stays none)."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 @contextlib.contextmanager
 def spent_stages(spark: SparkSession):
     """Empties, on leaving, the stages written inside but for the last one (the result)."""

@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from refloom.llm.common import stage
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of ``links`` (a, b long): comp is the smallest node of its component.
+    """(node, comp) for every node of ``links`` (a, b long, a written table): comp is the smallest node of its component.
 
     Each round takes the smallest label among neighbours (combined before the shuffle, so a
     hub is no single task) and then the label's own label, so chains shorten by half. Rounds
     are written tables: nothing is collected but a count of changes.
     """
-    edges = stage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    edges = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
     labels = stage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        nxt = stage(lower.join(jump, "comp").select("node", "was", F.least("comp", "far").alias("comp")))
-        changed = nxt.where("comp < was").limit(1).count()
-        labels = nxt.select("node", "comp")
-        if not changed:
+        seen = Observation()
+        nxt = lower.join(jump, "comp").select("node", "was", F.least("comp", "far").alias("comp"))
+        labels = stage(nxt.observe(seen, F.count_if(F.col("comp") < F.col("was")).alias("n"))).select("node", "comp")
+        if not seen.get["n"]:
             return labels
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from refloom.llm.common import NO_ID, id_key, small_batches, stage, table
+from refloom.llm.common import NO_ID, counted_stage, id_key, small_batches, stage, table
 from refloom.llm.components import merged
 from refloom.llm.shingles import shingle_sets
 
@@ -37,9 +37,9 @@ MAX_COMMON = 2_000_000
 FLUSH = 750_000
 #: Bytes of text for a block of columns.
 BLOCK_BYTES = 8 << 20
-#: Rounds that meet hubs, and hubs of a shingle in each but the first. From the second round on, a shingle that more
+#: Rounds that meet hubs at most (they end when one meets under a twentieth of the first's pairs), and hubs of a shingle in each but the first. From the second round on, a shingle that more
 #: rows have than CROWDED sends them to its hub's group whether or not they share enough with the hub.
-HUB_ROUNDS, HUBS, CROWDED = 3, 4, 64
+HUB_ROUNDS, HUBS, CROWDED = 6, 4, 64
 #: Rows and entries (8 bytes each) of a unit at most, on average.
 UNIT_ROWS, UNIT_ENTRIES = 4_096, 2_000_000
 #: Classes of one component under one shingle that meet in one task.
@@ -296,17 +296,11 @@ def _unit_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(label[pairs[:, 0]], pa.int64()), "b": pa.array(label[pairs[:, 1]], pa.int64())})
 
 
-def _first(reps: DataFrame, named: DataFrame) -> DataFrame:
-    """doc, want: the first document of each class in ``named`` (cls)."""
-    return reps.join(named, "cls").select("doc", F.col("cls").alias("want"))
-
-
-def _sets(docs: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
-    """cls, shingles of the classes in ``named`` (cls), from each class's first document."""
-    first = stage(_first(reps, named))
+def _sets(docs: DataFrame, named: DataFrame, rows: int) -> DataFrame:
+    """cls, shingles of the classes in ``named`` (cls, doc: its first document), which has so many ``rows``."""
+    first = named.select("doc", F.col("cls").alias("want")).distinct()
     # texts stay where they are while the wanted ids are few; beyond the bound both sides are shuffled
-    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return stage(_loaded(docs, F.broadcast(first) if few else first))
+    return _loaded(docs, F.broadcast(first) if rows <= BROADCAST_ROWS else first)
 
 
 def _parts(group_rows, group_entries):
@@ -331,15 +325,15 @@ def _grouped(groups: DataFrame | None, pairs: DataFrame) -> DataFrame:
 
 
 def _dealt(groups: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """unit, cls, cell: groups cut into units of bounded size, each class once; a cell is a unit."""
-    dealt = groups.join(reps.select("cls", "n"), "cls")
+    """unit, cls, doc, cell: groups cut into units of bounded size, each class once; a cell is a unit."""
+    dealt = groups.join(reps, "cls")
     parts = dealt.groupBy("group").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
     unit = F.xxhash64("group", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    return dealt.join(parts, "group").select(unit.alias("unit"), "cls").withColumn("cell", F.col("unit"))
+    return dealt.join(parts, "group").select(unit.alias("unit"), "cls", "doc").withColumn("cell", F.col("unit"))
 
 
 def _covered(groups: DataFrame, pairs: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """unit, cls, cell: units of bounded size that hold every pair of different components of the groups that ``pairs`` reach.
+    """unit, cls, doc, cell: units of bounded size that hold every pair of different components of the groups that ``pairs`` reach.
 
     Of a group its largest component is dealt into parts and the loose rest into parts; every
     part of one meets every part of the other, and loose parts meet each other. Two of
@@ -347,7 +341,7 @@ def _covered(groups: DataFrame, pairs: DataFrame, reps: DataFrame, comps: DataFr
     """
     anew = pairs.select(F.col("a").alias("cls")).join(groups, "cls").select("group").distinct()
     of = comps.select(F.col("node").alias("cls"), "comp")
-    dealt = groups.join(anew, "group").join(reps.select("cls", "n"), "cls").join(of, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    dealt = groups.join(anew, "group").join(reps, "cls").join(of, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     sizes = dealt.groupBy("group", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     main = sizes.groupBy("group").agg(F.max(F.struct("k", "comp", "n")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"))
     main = main.select("group", F.col("main.comp").alias("main"), _parts(F.col("main.k"), F.col("main.n")).alias("mains"), _parts(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("loose")).where("loose > 0")
@@ -355,25 +349,25 @@ def _covered(groups: DataFrame, pairs: DataFrame, reps: DataFrame, comps: DataFr
     pick = lambda parts: F.pmod(F.xxhash64("cls"), F.col(parts)).cast("int")
     upto = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
     unit = lambda kind, x, y: F.xxhash64("group", F.lit(kind), x, y)
-    inner = rows.where("comp = main").select("group", "cls", F.explode(F.transform(upto("loose"), lambda i: unit("main", pick("mains"), i))).alias("unit"))
+    inner = rows.where("comp = main").select("group", "cls", "doc", F.explode(F.transform(upto("loose"), lambda i: unit("main", pick("mains"), i))).alias("unit"))
     own = rows.where("comp <> main").withColumn("own", pick("loose"))
     others = F.filter(upto("loose"), lambda j: j != F.col("own"))
     both = F.concat(F.transform(upto("mains"), lambda m: unit("main", m, F.col("own"))), F.transform(others, lambda j: unit("loose", F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
-    outer = own.select("group", "cls", F.explode(both).alias("unit"))
-    return inner.unionByName(outer).select("unit", "cls", F.xxhash64("group", F.lit("cell")).alias("cell"))
+    outer = own.select("group", "cls", "doc", F.explode(both).alias("unit"))
+    return inner.unionByName(outer).select("unit", "cls", "doc", F.xxhash64("group", F.lit("cell")).alias("cell"))
 
 
 def _stars(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """unit, cls: each pair (a, b) in one unit, a's partners together."""
+    """unit, cls, doc: each pair (a, b) in one unit, a's partners together."""
     sized = pairs.join(reps.select(F.col("cls").alias("b"), "n"), "b")
     parts = sized.groupBy("a").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
     dealt = sized.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("unit"), "a", "b")
-    return dealt.select("unit", F.col("b").alias("cls")).unionByName(dealt.select("unit", F.col("a").alias("cls")).distinct())
+    return dealt.select("unit", F.col("b").alias("cls")).unionByName(dealt.select("unit", F.col("a").alias("cls")).distinct()).join(reps.select("cls", "doc"), "cls")
 
 
-def _decided(units: DataFrame, docs: DataFrame, reps: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """a, b: components that links among each unit's classes join."""
-    sets = _sets(docs, reps, units.select("cls").distinct())
+def _decided(units: DataFrame, n: int, docs: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """a, b: components that links among each unit's classes join; ``units`` has n rows."""
+    sets = stage(_sets(docs, units, n))
     rows = units.select("unit", "cls").join(sets, "cls")
     if comps is None:
         rows = rows.withColumn("comp", F.col("cls"))
@@ -431,24 +425,25 @@ def _all_links(docs: DataFrame, reps: DataFrame, postings: DataFrame, comps: Dat
     met = left.join(right, ["token", "comp", "salt"]).where((F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb")))
     met = met.groupBy("a", "b", "na", "nb").count()
     pairs = met.where(_enough(F.col("count"), F.col("na"), F.col("nb"))).select("a", "b")
-    sets = _loaded(docs, _first(reps, comps.select(F.col("node").alias("cls"))))
+    sets = _loaded(docs, reps.join(comps.select(F.col("node").alias("cls")), "cls").select("doc", F.col("cls").alias("want")))
     return _verified(pairs, sets).where("linked").select("a", "b")
 
 
-def _sided(postings: DataFrame, place: DataFrame, alone: bool) -> DataFrame:
+def _sided(postings: DataFrame, place: DataFrame, alone: bool, overall: bool = False) -> DataFrame:
     """token, f, main, inner and the columns of ``place``, of shingles with several labels.
 
     f counts the shingle's rows, main is the label that most of them have, inner whether the
     row has it. What is inner hangs together or was compared before, so only the rest needs
     partners: a group of near copies makes no pairs of its own. ``alone``: every class has its
-    own label.
+    own label. ``overall``: main is the label that most classes have of all shingles, so that
+    two large groups that share shingles do not change places.
     """
     known = postings.select("token", "cls").join(place, "cls")
     if alone:
         top = known.groupBy("token").agg(F.max("label").alias("main"), F.min("label").alias("lo"), F.count("*").alias("f")).where("lo < main")
     else:
-        labels = known.groupBy("token", "label").count()
-        top = labels.groupBy("token").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels"), F.sum("count").alias("f")).where("labels > 1").withColumn("main", F.col("top.label"))
+        labels = known.groupBy("token", "label").agg(F.count("*").alias("count"), F.max("held").alias("held"))
+        top = labels.groupBy("token").agg(F.max(F.struct("held" if overall else "count", "label")).alias("top"), F.count("*").alias("labels"), F.sum("count").alias("f")).where("labels > 1").withColumn("main", F.col("top.label"))
     return known.join(top.select("token", "main", "f"), "token").withColumn("inner", F.col("label") == F.col("main"))
 
 
@@ -460,7 +455,7 @@ def _hub_pairs(postings: DataFrame, place: DataFrame, round_: int) -> DataFrame:
     one component or one unit before held both.
     """
     seeds = [F.lit(round_ * HUBS + k) for k in range(HUBS if round_ else 1)]
-    rows = _sided(postings, place, not round_)
+    rows = _sided(postings, place, not round_, overall=True)
     least = rows.where("inner").groupBy("token").agg(*[F.min(F.xxhash64("cls", x)).alias(f"hub{k}") for k, x in enumerate(seeds)])
     met = rows.where("not inner").select("token", "cls", (F.col("f") > CROWDED).alias("crowded")).join(least, "token")
     met = met.select("cls", "crowded", F.posexplode(F.array(*[f"hub{k}" for k in range(len(seeds))])).alias("seed", "hub"))
@@ -513,19 +508,23 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
 
     comps = cells = groups = None
     sharing = stage(postings.select("cls").distinct().join(reps.select("cls", "n"), "cls"))
-    for round_ in range(HUB_ROUNDS + 1):
+    round_, begun, met, last = 0, 0, 0, False
+    while not last:
+        last = round_ == HUB_ROUNDS or (round_ > 0 and not met) or (round_ > 1 and 20 * met <= begun)
         place = _placed(sharing, comps, cells)
-        last = round_ == HUB_ROUNDS
-        pairs = stage(_crossing_pairs(postings, place) if last else _hub_pairs(postings, place, round_))
-        if pairs.isEmpty():
+        pairs, n = counted_stage(_crossing_pairs(postings, place) if last else _hub_pairs(postings, place, round_))
+        begun, met, round_ = begun if round_ else n, n, round_ + 1
+        if not n:
             continue
         if not last:
             groups = stage(_grouped(groups, pairs))
-        units = stage(_stars(pairs, reps) if last else _dealt(groups, pairs, reps) if comps is None else _covered(groups, pairs, reps, comps))
-        comps = merged(comps, stage(_decided(units, narrow, reps, comps)))
+        units, n = counted_stage(_stars(pairs, reps) if last else _dealt(groups, pairs, reps) if comps is None else _covered(groups, pairs, reps, comps))
+        links, n = counted_stage(_decided(units, n, narrow, comps))
+        if n:
+            comps = merged(comps, links)
         if not last:
             cell = units.select("cls", "cell").distinct()
-            cells = stage(cell if cells is None else cell.unionByName(cells.join(cell, "cls", "left_anti")))
+            cells = cell if cells is None else stage(cell.unionByName(cells.join(cell, "cls", "left_anti")))
         _tidy(spark)
     if comps is None:
         comps = reps.select(F.col("cls").alias("node"), F.col("cls").alias("comp")).limit(0)
@@ -538,7 +537,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
 
 
 def _placed(sharing: DataFrame, comps: DataFrame | None, cells: DataFrame | None) -> DataFrame:
-    """cls, n, comp, cell (what last compared it) and label: its cell, or its component where that lies in several cells.
+    """cls, n, comp, cell (what last compared it), label: its cell, or its component where that lies in several cells, and how many classes are held by the label.
 
     Two classes of one component, one cell or one label are settled.
     """
@@ -547,10 +546,11 @@ def _placed(sharing: DataFrame, comps: DataFrame | None, cells: DataFrame | None
         known = None if found is None else found.withColumnRenamed("node", "cls")
         place = place.withColumn(name, F.lit(None).cast("long")) if known is None else place.join(known, "cls", "left")
     place = place.select("cls", "n", F.coalesce("comp", "cls").alias("comp"), F.coalesce("cell", "cls").alias("cell"))
-    if comps is None:
-        return place.withColumn("label", F.col("cell"))
+    if comps is None and cells is None:
+        return place.select("*", F.col("cls").alias("label"), F.lit(1).cast("long").alias("held"))
     wide = place.groupBy("comp").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo < hi").select("comp", F.lit(True).alias("wide"))
-    return stage(place.join(wide, "comp", "left").select("cls", "n", "comp", "cell", F.when(F.col("wide"), F.col("comp")).otherwise(F.col("cell")).alias("label")))
+    place = place.join(wide, "comp", "left").select("cls", "n", "comp", "cell", F.when(F.col("wide"), F.col("comp")).otherwise(F.col("cell")).alias("label"))
+    return stage(place.join(place.groupBy("label").agg(F.count("*").alias("held")), "label").select("cls", "n", "comp", "cell", "label", "held"))
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
