@@ -116,15 +116,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels of held-out ids (crc32 of the id modulo FOLDS) are never read for training.
 
     Defined cases: null text scores as the empty text; a null id is not held out; null labels
-    and labels of absent ids teach nothing; with no labels every score is one half; an empty
+    and labels of absent ids teach nothing; at most MAX_TRAIN labels and twice as many texts
+    of them are read for training; with no labels every score is one half; an empty
     table gives an empty table; rows with equal id are scored each for itself.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, FOLDS) != HELD_OUT))
     sample = known.select(F.col(id_col).alias("qc_id"), F.col(label_col).cast("int").alias("qc_y")).orderBy(F.xxhash64("qc_id"), "qc_id").limit(MAX_TRAIN)
     # the sample's bound is proven: MAX_TRAIN ids and labels
     texts = docs.select(F.col(id_col).alias("qc_doc"), F.col(text_col).cast("string").alias("qc_text"))
-    rows = texts.join(F.broadcast(sample), F.col("qc_doc") == F.col("qc_id")).select("qc_text", "qc_y")
-    train = document_stats(rows, "qc_text").select(*COUNTS, "qc_y").limit(2 * MAX_TRAIN).toPandas()
+    rows = texts.join(F.broadcast(sample), F.col("qc_doc") == F.col("qc_id")).select("qc_text", "qc_y", F.xxhash64("qc_id").alias("qc_at"), "qc_id", F.xxhash64("qc_text").alias("qc_of"))
+    # a label whose id repeats teaches with each of its texts; their order is fixed, so runs agree
+    train = document_stats(rows, "qc_text").select(*COUNTS, "qc_y", "qc_at", "qc_id", "qc_of").orderBy("qc_at", "qc_id", "qc_of").limit(2 * MAX_TRAIN).toPandas()
     forest = fit(features({c: train[c].to_numpy() for c in COUNTS}), train["qc_y"].to_numpy(dtype=np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
