@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 
 from refloom.llm import ann, chat, components, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, repeats, toxicity
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+import plain_construction  # noqa: E402
+
 LONG = " ".join(f"word{i % 700}" for i in range(6000))
 #: Null and empty texts, one very long one, repeated rows, equal texts, ties; columns that clash with outputs.
 DOCS = [
@@ -502,6 +507,135 @@ def test_repeated_spans_edges(docs, nothing):
     assert repeats.cut_repeats(nothing).count() == 0
 
 
+def test_repeated_spans_equal_the_plain_construction(spark, tmp_path):
+    """The whole collection's transform, built column by column in files, finds the same bytes."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcde", k=n))
+    shared = noise(520)
+    texts = [noise(50) + shared[:460] + noise(30), shared[20:] + noise(90), noise(600), shared[:410], shared[:410], "ab" * 230, ""]
+    found, traffic = plain_construction.repeated_starts([t.encode() for t in texts], str(tmp_path), 400)
+    gone = []
+    for t, starts in zip(texts, found):
+        g = np.zeros(len(t), bool)
+        for i in np.flatnonzero(starts):
+            g[i : i + 400] = True
+        gone.append(int(g.sum()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.cut_repeats(df).collect()} == dict(enumerate(gone))
+    assert traffic > 500 * sum(map(len, texts)) and sum(gone) > 2000
+
+
+# --- defined cases of all operators -------------------------------------------------------
+
+
+def clashing(df, *names):
+    return df.withColumns({n: F.lit("clash") for n in names})
+
+
+def plain_rows(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def test_columns_that_clash_with_inner_names(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 9)], "doc_id long, quality int, toxic int")
+    odd = clashing(docs, "v0", "v7", "qr_words", "qr_sorted", "mx_count", "mx_u", "ld_drop", "ld_lines", "ld_text_out", "cls", "doc", "n", "comp", "want", "row_key", "pk_bucket", "pk_n", "length", "qc_id", "qc_text", "tx_id", "tx_text", "shard")
+    for run, columns in (
+        (quality_rules.quality_rules, ("doc_id", "text", *quality_rules.STATS, "base_failed", "kept")),
+        (line_dedup.line_dedup, ("doc_id", "text", "n_lines", "n_dropped")),
+        (mixing.mix, ("doc_id", "text", "mix_copy")),
+        (lambda d: ngram_join.ngram_jaccard_components(d)[0], ("doc_id", "n_shingles", "component_id")),
+        (lambda d: packing.best_fit_packing(d, public_tokenizers.path(packing.VOCABULARY)), ("doc_id", "piece", "start", "length", "ids_crc32")),
+        (lambda d: quality_classifier.quality_scores(d, clashing(labels, "qc_id", "qc_y")), ("doc_id", "score")),
+        (lambda d: toxicity.toxicity_scores(d, clashing(labels, "tx_id", "tx_y")), ("doc_id", "score")),
+        (repeats.cut_repeats, ("doc_id", "n_removed")),
+    ):
+        got = run(odd)
+        if "mix_copy" not in columns:  # rows without an id draw by their contents
+            assert plain_rows(got, *columns) == plain_rows(run(docs), *columns)
+        for c in ("v0", "v7", "qr_words", "mx_count", "ld_drop"):
+            if "text" in columns:
+                assert {r[c] for r in got.select(c).collect()} == {"clash"}
+
+
+def test_mixing_draws_by_id_and_contents(spark):
+    rows = [(i % 50, f"t{i}", "a") for i in range(200)] + [(None, f"t{i}", "b") for i in range(200)] + [(None, "same", "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["text"]) for r in mixing.mix(df, weights={"a": 0.5, "b": 0.5}).collect())
+    n = len(rows)
+    rate = 0.5 * n / 200
+    for i in range(200):
+        u = int(hashlib.md5(f"{mixing.SEED}/count/{i % 50}".encode()).hexdigest()[:13], 16) / 2**52
+        k, term = 0, np.exp(-rate)
+        total = term
+        while total <= u:
+            k += 1
+            term *= rate / k
+            total += term
+        assert got[(i % 50, f"t{i}")] == k  # repeated ids share their count
+    assert len({got[(None, f"t{i}")] for i in range(200)}) > 2 and got[(None, "same")] % 3 == 0
+
+
+def test_flattened_trees_equal_a_node_by_node_walk():
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 4))
+    forest = quality_classifier.fit(x, (x[:, 0] + x[:, 2] > 1).astype(float))
+    other = rng.random((200, 4))
+    other[:5, 0] = forest.cut[0, 0]  # ties stay left
+    margin = np.full(len(other), forest.base)
+    for i, row in enumerate(other):
+        for t in range(len(forest.feature)):
+            node = 0
+            for _ in range(quality_classifier.DEPTH):
+                node = 2 * node + (2 if row[forest.feature[t, node]] > forest.cut[t, node] else 1)
+            margin[i] += forest.leaf[t, node - (2**quality_classifier.DEPTH - 1)]
+    assert np.allclose(forest.score(other), 1 / (1 + np.exp(-margin)))
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """All cosines with all examples, from dictionaries."""
+    rng = random.Random(12)
+    word = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(word, k=rng.randint(0, 25)) + (["grob"] if i % 5 == 0 else []))) for i in range(160)]
+    df = spark.createDataFrame([*rows, (900, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(100)], "doc_id long, toxic int")
+    index = toxicity.build(df, labels, "doc_id", "text", "toxic")
+    names, weight = list(index.vocabulary), dict(zip(index.vocabulary, index.idf))
+
+    def unit(text):
+        n = Counter(w for w in toxicity.words(text) if w in weight)
+        v = {w: (1 + np.log(c)) * weight[w] for w, c in n.items()}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    text = dict(rows)
+    examples = [(int(i), unit(text[int(i)]), int(y), k) for i, y, k in zip(index.ids, index.labels, index.weight)]
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(df, labels).collect()}
+    for d, t in [*rows, (900, None)]:
+        v = unit(t)
+        if not v:
+            assert np.isclose(got[d]["score"], index.bare_rate) and got[d]["evidence"] == []
+            continue
+        near = sorted(((-sum(x * e.get(w, 0) for w, x in v.items()), i, y, k) for i, e, y, k in examples))[: toxicity.K]
+        votes = [((-c) ** toxicity.POWER * k, y) for c, _, y, k in near if -c > 1e-12]
+        want = (sum(a * y for a, y in votes) + toxicity.PRIOR * index.rate**2) / (sum(a for a, _ in votes) + toxicity.PRIOR * index.rate)
+        edge = len(near) == toxicity.K and any(abs(near[-1][0] + sum(x * e.get(w, 0) for w, x in v.items())) < 1e-12 for i, e, _, _ in examples if i not in {n[1] for n in near})
+        assert edge or np.isclose(got[d]["score"], want)
+    assert names == sorted(names)
+
+
+def test_nearest_with_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((60, 6))
+    rows = [(int(i % 40), [float(x) for x in v[i]]) for i in range(60)]
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "shard", "block", "kind", "d", "id", "v")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id < 3"), k=5).collect():
+        got.setdefault(r["query_id"], set()).add((r["vec_id"], round(r["score"], 9)))
+    for q, found in got.items():
+        want = {(i, round(float(np.dot(x, y)), 9)) for a, x in rows if a == q for i, y in rows if i != q}
+        assert found <= want and len(found) >= 5
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 
