@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from refloom.llm import ann, chat, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, repeats, toxicity
+from refloom.llm import (
+    ann,
+    chat,
+    divergence,
+    line_dedup,
+    lloyd,
+    mixing,
+    ngram_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+    repeats,
+    simhash,
+    toxicity,
+)
 
 
 def queries() -> dict:
@@ -18,6 +32,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.query,
         "op9_suffix_dedup": repeats.query,
         "op10_toxicity": toxicity.query,
+        "op11_source_divergence": divergence.query,
+        "op12_simhash": simhash.query,
+        "op13_centroid_clustering": lloyd.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -27,4 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
+        "op11_source_divergence": divergence.ORACLE,
+        "op13_centroid_clustering": lloyd.ORACLE,
     }
