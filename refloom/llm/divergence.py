@@ -10,7 +10,6 @@ scan of each range yields partial sums for pairs of sources and the range's lead
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +22,8 @@ from refloom.llm.common import counted_stage, small_batches, stage, table, text_
 
 #: Documents of a language that a kept term is in at least; smoothing; scale of shares; terms listed a source.
 MIN_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
-#: Runs that a task gathers before it sends them on (some 200 bytes each).
-GATHERED = 200_000
+#: Runs that a task gathers before it sends them on (some 60 bytes each).
+GATHERED = 1_500_000
 #: Kept rows of a range of terms on average; sources of a language that meet in one scan (times two).
 RANGE_ROWS, BLOCK_SOURCES = 100_000, 256
 #: Cells (terms times sources) that a scan holds at once.
@@ -43,41 +42,55 @@ def _share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     return share + 1
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, term, source, doc (the first of the run), docs, n: a row for each (lang, term, source) among some documents."""
-    held: dict[tuple, dict[bytes, list[int]]] = {}
-    size = 0
-
-    def out():
-        for (lang, source), terms in sorted(held.items()):
-            for some in _slices(sorted(terms.items()), 20_000):
-                k = len(some)
-                columns = [pa.array([lang] * k), pa.array([t for t, _ in some], pa.binary()).cast(pa.string()), pa.array([source] * k)]
-                numbers = [pa.array([v[i] for _, v in some], pa.int64()) for i in range(3)]
-                yield pa.record_batch([*columns, *numbers], names=["lang", "term", "source", "doc", "docs", "n"])
-
-    for batch in batches:
-        texts = batch.column(3).cast(pa.large_binary())
-        for doc, lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts, strict=True):
-            terms = held.setdefault((lang, source), {})
-            before = len(terms)
-            for term, n in Counter(text.as_buffer().to_pybytes().translate(_LETTERS).split()).items():
-                run = terms.get(term)
-                if run is None:
-                    terms[term] = [doc, 1, n]
-                else:
-                    run[1] += 1
-                    run[2] += n
-            size += len(terms) - before
-            if size >= GATHERED:
-                yield from out()
-                held, size = {}, 0
-    yield from out()
-    pa.default_memory_pool().release_unused()
+RUNS = ["lang", "term", "source"]
+
+
+def _runs_of(batch: pa.RecordBatch) -> pa.Table:
+    """lang, term, source, doc (the smallest of the run), docs, n: the runs of a batch (doc, lang, source, text), by sorting its terms."""
+    texts = batch.column(3).cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    letters = bytes(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]].translate(_LETTERS)
+    lists = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(letters)))
+    terms = pc.list_flatten(lists).dictionary_encode()
+    term, of = terms.indices.to_numpy().astype(np.int64), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    there = pc.not_equal(terms.dictionary, "").to_numpy(zero_copy_only=False)[term] if len(term) else np.zeros(0, bool)
+    langs, sources = batch.column(1).dictionary_encode(), batch.column(2).dictionary_encode()
+    group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+    # one number for (group, term, document) sorts as the three do
+    rows, width = len(texts), max(1, len(terms.dictionary))
+    found = np.sort(((group[of] * width + term) * rows + of)[there])
+    at = np.flatnonzero(np.diff(found, prepend=-1))
+    n, pair = np.diff(at, append=len(found)), found[at] // rows
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    docs = ids = first
+    if len(first):
+        docs, n, ids = np.diff(first, append=len(pair)), np.add.reduceat(n, first), np.minimum.reduceat(batch.column(0).to_numpy()[found[at] % rows], first)
+    group, term = np.divmod(pair[first], width)
+    lang, source = np.divmod(group, max(1, len(sources.dictionary)))
+    take = lambda values, k: values.take(pa.array(k))
+    return pa.table({"lang": take(langs.dictionary, lang), "term": take(terms.dictionary, term).cast(pa.string()), "source": take(sources.dictionary, source), "doc": ids, "docs": docs, "n": n})
 
 
-def _slices(rows: list, n: int) -> Iterator[list]:
-    return (rows[i : i + n] for i in range(0, len(rows), n))
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, term, source, doc (the smallest of the run), docs, n: a row for each (lang, term, source) among a task's documents, as far as GATHERED."""
+    held, size = [], 0
+
+    def together() -> pa.Table:
+        out = pa.concat_tables(held).group_by(RUNS, use_threads=False).aggregate([("doc", "min"), ("docs", "sum"), ("n", "sum")])
+        return out.rename_columns([c.removesuffix("_min").removesuffix("_sum") for c in out.column_names]).select([*RUNS, "doc", "docs", "n"])
+
+    for batch in filter(len, batches):
+        held.append(_runs_of(batch))
+        size += len(held[-1])
+        if size >= GATHERED:
+            held = [together()]
+            size = len(held[0])
+            if 2 * size >= GATHERED:
+                yield from held[0].to_batches(20_000)
+                held, size = [], 0
+    if held:
+        yield from together().to_batches(20_000)
+    pa.default_memory_pool().release_unused()
 
 
 def _changes(*columns: pa.ChunkedArray) -> np.ndarray:
@@ -237,7 +250,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     spark = docs.sparkSession
     read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), text_of(lang_col).alias("lang"), text_of(source_col).alias("source"), text_of(text_col).alias("text"))
     groups = stage(read.select("lang", "source").distinct())
-    order = ["lang", "term", "source", "doc"]
+    order = ["term", "lang", "source", "doc"]  # terms differ in their first bytes, which a sort compares first; languages hardly do
     with small_batches(spark):
         runs = read.mapInArrow(_runs, "lang string, term string, source string, doc long, docs long, n long")
         runs = runs.repartition("lang", "term").sortWithinPartitions(*order)
