@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from refloom.llm.common import NO_ID, fresh, id_key, spent_stages, stage
 from refloom.llm.line_dedup import line_dedup
 from refloom.llm.mixing import mix
-from refloom.llm.ngram_join import near_duplicates, with_class
+from refloom.llm.ngram_join import near_duplicates, with_key
 from refloom.llm.packing import VOCABULARY, best_fit_packing
 from refloom.llm.quality_rules import quality_rules
 
@@ -34,24 +34,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates: of its smallest id, and of that id's texts one class.
 
-    A row is told by its id and its text's class, so different texts without an id, or with
+    A row is told by its id and its text's set of shingles (128 bits), so different texts without an id, or with
     a repeated one, each stay as the survivor of their own component. A null id survives only
     where its component has no other. Rows without shingles are alone: of equal id and equal
     text one stays.
     """
     members, _ = near_duplicates(docs)
-    first = members.where("cls is not null").groupBy("comp").agg(F.min(F.struct("doc", "cls")).alias("first")).select("first.doc", "first.cls")
-    keep = first.unionByName(members.where("cls is null").select("doc", "cls").distinct())
+    first = members.where("key is not null").groupBy("comp").agg(F.min(F.struct("doc", "key")).alias("first")).select("first.doc", "first.key")
+    keep = first.unionByName(members.where("key is null").select("doc", "key").distinct())
     counted = members.groupBy("doc").agg(((F.count("*") > 1) | (F.col("doc") == NO_ID)).alias("by_text"))
     keep = stage(keep.join(counted, "doc"))
     key, cls, rest = fresh(docs, "nj_id"), fresh(docs, "nj_class"), fresh(docs, "nj_rest")
     rows = docs.withColumn(key, id_key("doc_id"))
     by_id = keep.where("not by_text").select(F.col("doc").alias(key))
-    by_text = keep.where("by_text").select(F.col("doc").alias(key), F.col("cls").alias("kept_cls"))
+    by_text = keep.where("by_text").select(F.col("doc").alias(key), F.col("key").alias("kept_key"))
     single = rows.join(by_id, key, "left_semi")
     # only rows whose id does not tell them are hashed again
-    several = with_class(rows.join(by_text.select(key).distinct(), key, "left_semi"), name=cls)
-    several = several.join(by_text, (several[key] == by_text[key]) & several[cls].eqNullSafe(by_text["kept_cls"]), "left_semi")
+    several = with_key(rows.join(by_text.select(key).distinct(), key, "left_semi"), name=cls)
+    several = several.join(by_text, (several[key] == by_text[key]) & several[cls].eqNullSafe(by_text["kept_key"]), "left_semi")
     several = several.withColumn(rest, F.when(F.col(cls).isNull(), F.struct("text"))).dropDuplicates([key, cls, rest])
     return single.select(*docs.columns).unionByName(several.select(*docs.columns))
 

@@ -10,20 +10,23 @@ Rows (classes of equal sets) that surviving pairs connect are dealt into units o
 size, each row once. A unit is one block of the product over whole rows: overlap counts
 accumulate column by column and decide every link between components, so no pair is
 written, and a row is multiplied only with rows outside its component. The next round turns
-to other hubs; the last one meets whatever still crosses both components and units.
+to other hubs; the last one meets whatever still crosses both components and units, as soon as
+that is no more work than reading the entries again.
 """
 
 from __future__ import annotations
 
 import gc
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from refloom.llm.common import NO_ID, counted_stage, id_key, small_batches, stage, table
 from refloom.llm.components import merged
@@ -37,13 +40,15 @@ MAX_COMMON = 2_000_000
 FLUSH = 750_000
 #: Bytes of text for a block of columns.
 BLOCK_BYTES = 8 << 20
-#: Rounds that meet hubs at most (they end when one meets under a twentieth of the first's pairs), and hubs of a shingle in each but the first. From the second round on, a shingle that more
+#: Rounds that meet hubs at most (they end when what still crosses is little, or one meets under a twentieth of the first's pairs), and hubs of a shingle in each but the first. From the second round on, a shingle that more
 #: rows have than CROWDED sends them to its hub's group whether or not they share enough with the hub.
 HUB_ROUNDS, HUBS, CROWDED = 6, 4, 64
 #: Rows and entries (8 bytes each) of a unit at most, on average.
 UNIT_ROWS, UNIT_ENTRIES = 4_096, 2_000_000
 #: Classes of one component under one shingle that meet in one task.
 SALT = 256
+#: Bits of a set's key that its class takes; classes that may share them.
+CLASS_BITS, MOST_MIXED = 64, 100_000
 #: Ids (16 bytes each) that may be broadcast; their number is checked first.
 BROADCAST_ROWS = 500_000
 
@@ -57,13 +62,22 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _class_of(found: np.ndarray) -> int:
-    h = xxhash.xxh3_64_intdigest(found.tobytes())
+def set_key(found: np.ndarray) -> bytes:
+    """What tells a set of shingles apart: 128 bits."""
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def _class_of(found: np.ndarray, crowded: frozenset[int] = frozenset(), turn: int = 0) -> int:
+    """The class of a set as a long: half of its key, or for ``crowded`` halves, which several keys have, another hash of the whole key."""
+    key = set_key(found)
+    h = int.from_bytes(key[8:], "little") & ((1 << CLASS_BITS) - 1)
+    if h in crowded:
+        h = xxhash.xxh3_64_intdigest(key, turn)
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """doc, class (null without shingles), n."""
+def _classes(docs: DataFrame, crowded: frozenset[int], turn: int) -> DataFrame:
+    """doc, key (null without shingles), cls (likewise), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,26 +85,45 @@ def _classes(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [
                     batch.column(0),
-                    pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_class_of(s, crowded, turn) if len(s) else None for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                 ],
-                names=["doc", "cls", "n"],
+                names=["doc", "key", "cls", "n"],
             )
 
-    return docs.mapInArrow(run, "doc long, cls long, n long")
+    return docs.mapInArrow(run, "doc long, key binary, cls long, n long")
+
+
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int], int]:
+    """Classes of ``docs`` (written), one row a class (cls, doc, n: its first document and size), and what ``_class_of`` needs to tell all keys apart.
+
+    Halves of keys that several keys share are a handful even of 10^10 texts; they are collected
+    and hashed again until every class has one key.
+    """
+    crowded, turn = frozenset(), 0
+    while True:
+        classes = stage(_classes(docs, crowded, turn))
+        reps = stage(classes.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.min("key").alias("key"), F.max("key").alias("other")))
+        mixed = [r["cls"] for r in reps.where("key <> other").select("cls").limit(MOST_MIXED + 1).collect()]
+        if not mixed:
+            return classes, reps.select("cls", "doc", "n"), crowded, turn
+        if len(mixed) > MOST_MIXED:
+            raise ValueError("more classes of texts collide than 64-bit hashes of texts can explain")
+        crowded, turn = crowded | {x % (1 << 64) for x in mixed}, turn + 1
 
 
-def with_class(docs: DataFrame, text_col: str = "text", name: str = "cls") -> DataFrame:
-    """``docs`` and the class of each row's text in a further column ``name`` (null without shingles)."""
+def with_key(docs: DataFrame, text_col: str = "text", name: str = "key") -> DataFrame:
+    """``docs`` and the key of each row's text (see ``set_key``) in a further column ``name`` (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *kept, texts = batch.columns
-            found = pa.array([_class_of(s) if len(s) else None for s in shingle_sets(texts)], pa.int64())
+            found = pa.array([set_key(s) if len(s) else None for s in shingle_sets(texts)], pa.binary())
             yield pa.record_batch([*kept, found], names=[*batch.schema.names[:-1], name])
 
     rows = docs.withColumn(name, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], column: int, emit) -> Iterator[pa.RecordBatch]:
@@ -142,7 +175,7 @@ def _common(docs: DataFrame, blocks: int) -> np.ndarray:
     return np.sort(top)
 
 
-def _postings(docs: DataFrame, common: np.ndarray, blocks: int) -> DataFrame:
+def _postings(docs: DataFrame, common: np.ndarray, blocks: int, class_of) -> DataFrame:
     """token, cls, n: prefix entries whose shingle at least two classes have in their prefixes, and all common ones."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -152,7 +185,7 @@ def _postings(docs: DataFrame, common: np.ndarray, blocks: int) -> DataFrame:
         def emit(held):
             tokens, owners, sizes = [], [], []
             for s in held:
-                cls = _class_of(s)
+                cls = class_of(s)
                 if cls in seen:
                     continue
                 if len(seen) < 200_000:  # copies within a task; other copies meet later
@@ -213,7 +246,7 @@ def _postings(docs: DataFrame, common: np.ndarray, blocks: int) -> DataFrame:
     return packed.groupBy("block").applyInArrow(several, "token long, cls long, n long")
 
 
-def _loaded(docs: DataFrame, first: DataFrame) -> DataFrame:
+def _loaded(docs: DataFrame, first: DataFrame, class_of) -> DataFrame:
     """cls, shingles (sorted little-endian uint64) of the classes that ``first`` (doc, want) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +254,7 @@ def _loaded(docs: DataFrame, first: DataFrame) -> DataFrame:
             out = []
             for want, found in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(0))):
                 # rows with equal ids can differ in text: the class decides
-                if len(found) and _class_of(found) == want:
+                if len(found) and class_of(found) == want:
                     out.append((want, found.tobytes()))
             yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["cls", "shingles"])
 
@@ -296,11 +329,11 @@ def _unit_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(label[pairs[:, 0]], pa.int64()), "b": pa.array(label[pairs[:, 1]], pa.int64())})
 
 
-def _sets(docs: DataFrame, named: DataFrame, rows: int) -> DataFrame:
+def _sets(docs: DataFrame, named: DataFrame, rows: int, class_of) -> DataFrame:
     """cls, shingles of the classes in ``named`` (cls, doc: its first document), which has so many ``rows``."""
     first = named.select("doc", F.col("cls").alias("want")).distinct()
     # texts stay where they are while the wanted ids are few; beyond the bound both sides are shuffled
-    return _loaded(docs, F.broadcast(first) if rows <= BROADCAST_ROWS else first)
+    return _loaded(docs, F.broadcast(first) if rows <= BROADCAST_ROWS else first, class_of)
 
 
 def _parts(group_rows, group_entries):
@@ -327,7 +360,8 @@ def _grouped(groups: DataFrame | None, pairs: DataFrame) -> DataFrame:
 def _dealt(groups: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """unit, cls, doc, cell: groups cut into units of bounded size, each class once; a cell is a unit."""
     dealt = groups.join(reps, "cls")
-    parts = dealt.groupBy("group").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
+    # written first: a join with an aggregate's own partitions could not be split at run time
+    parts = stage(dealt.groupBy("group").agg(_parts(F.count("*"), F.sum("n")).alias("parts")))
     unit = F.xxhash64("group", F.pmod(F.xxhash64("cls"), F.col("parts")))
     return dealt.join(parts, "group").select(unit.alias("unit"), "cls", "doc").withColumn("cell", F.col("unit"))
 
@@ -345,7 +379,7 @@ def _covered(groups: DataFrame, pairs: DataFrame, reps: DataFrame, comps: DataFr
     sizes = dealt.groupBy("group", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     main = sizes.groupBy("group").agg(F.max(F.struct("k", "comp", "n")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"))
     main = main.select("group", F.col("main.comp").alias("main"), _parts(F.col("main.k"), F.col("main.n")).alias("mains"), _parts(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("loose")).where("loose > 0")
-    rows = dealt.join(main, "group")
+    rows = dealt.join(stage(main), "group")
     pick = lambda parts: F.pmod(F.xxhash64("cls"), F.col(parts)).cast("int")
     upto = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
     unit = lambda kind, x, y: F.xxhash64("group", F.lit(kind), x, y)
@@ -360,14 +394,14 @@ def _covered(groups: DataFrame, pairs: DataFrame, reps: DataFrame, comps: DataFr
 def _stars(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """unit, cls, doc: each pair (a, b) in one unit, a's partners together."""
     sized = pairs.join(reps.select(F.col("cls").alias("b"), "n"), "b")
-    parts = sized.groupBy("a").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
+    parts = stage(sized.groupBy("a").agg(_parts(F.count("*"), F.sum("n")).alias("parts")))
     dealt = sized.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("unit"), "a", "b")
     return dealt.select("unit", F.col("b").alias("cls")).unionByName(dealt.select("unit", F.col("a").alias("cls")).distinct()).join(reps.select("cls", "doc"), "cls")
 
 
-def _decided(units: DataFrame, n: int, docs: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _decided(units: DataFrame, n: int, docs: DataFrame, comps: DataFrame | None, class_of) -> DataFrame:
     """a, b: components that links among each unit's classes join; ``units`` has n rows."""
-    sets = stage(_sets(docs, units, n))
+    sets = stage(_sets(docs, units, n, class_of))
     rows = units.select("unit", "cls").join(sets, "cls")
     if comps is None:
         rows = rows.withColumn("comp", F.col("cls"))
@@ -411,7 +445,7 @@ def _fits(na, nb):
     return (F.lit(4) * na >= F.lit(3) * nb) & (F.lit(4) * nb >= F.lit(3) * na)
 
 
-def _all_links(docs: DataFrame, reps: DataFrame, postings: DataFrame, comps: DataFrame) -> DataFrame:
+def _all_links(docs: DataFrame, reps: DataFrame, postings: DataFrame, comps: DataFrame, class_of) -> DataFrame:
     """a < b: every pair of classes of verified similarity; nothing runs before it is read.
 
     Linked classes share a component, so pairs are met within one. Classes under a shingle
@@ -425,29 +459,39 @@ def _all_links(docs: DataFrame, reps: DataFrame, postings: DataFrame, comps: Dat
     met = left.join(right, ["token", "comp", "salt"]).where((F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb")))
     met = met.groupBy("a", "b", "na", "nb").count()
     pairs = met.where(_enough(F.col("count"), F.col("na"), F.col("nb"))).select("a", "b")
-    sets = _loaded(docs, reps.join(comps.select(F.col("node").alias("cls")), "cls").select("doc", F.col("cls").alias("want")))
+    sets = _loaded(docs, reps.join(comps.select(F.col("node").alias("cls")), "cls").select("doc", F.col("cls").alias("want")), class_of)
     return _verified(pairs, sets).where("linked").select("a", "b")
 
 
-def _sided(postings: DataFrame, place: DataFrame, alone: bool, overall: bool = False) -> DataFrame:
-    """token, f, main, inner and the columns of ``place``, of shingles with several labels.
+def _ranked(postings: DataFrame, place: DataFrame, alone: bool) -> tuple[DataFrame, float]:
+    """token, main, f, outside of shingles with several labels (written), and how many pairs of rows a crossing of them compares at most.
 
-    f counts the shingle's rows, main is the label that most of them have, inner whether the
-    row has it. What is inner hangs together or was compared before, so only the rest needs
-    partners: a group of near copies makes no pairs of its own. ``alone``: every class has its
-    own label. ``overall``: main is the label that most classes have of all shingles, so that
-    two large groups that share shingles do not change places.
+    f counts the shingle's rows, main is the label that most classes have of all shingles, so
+    that two large groups that share shingles do not change places; outside counts rows of
+    other labels. ``alone``: every class has its own label.
     """
-    known = postings.select("token", "cls").join(place, "cls")
+    known = postings.select("token", "cls").join(place.select("cls", "label", "held"), "cls")
     if alone:
-        top = known.groupBy("token").agg(F.max("label").alias("main"), F.min("label").alias("lo"), F.count("*").alias("f")).where("lo < main")
+        top = known.groupBy("token").agg(F.max("label").alias("main"), F.min("label").alias("lo"), F.count("*").alias("f")).where("lo < main").select("token", "main", "f", (F.col("f") - 1).alias("outside"))
     else:
         labels = known.groupBy("token", "label").agg(F.count("*").alias("count"), F.max("held").alias("held"))
-        top = labels.groupBy("token").agg(F.max(F.struct("held" if overall else "count", "label")).alias("top"), F.count("*").alias("labels"), F.sum("count").alias("f")).where("labels > 1").withColumn("main", F.col("top.label"))
-    return known.join(top.select("token", "main", "f"), "token").withColumn("inner", F.col("label") == F.col("main"))
+        top = labels.groupBy("token").agg(F.max(F.struct("held", "label", "count")).alias("top"), F.count("*").alias("labels"), F.sum("count").alias("f")).where("labels > 1")
+        top = top.select("token", F.col("top.label").alias("main"), "f", (F.col("f") - F.col("top.count")).alias("outside"))
+    seen = Observation()
+    out = stage(top.observe(seen, F.sum(F.col("f").cast("double") * F.col("outside")).alias("pairs")))
+    return out, seen.get["pairs"] or 0.0
 
 
-def _hub_pairs(postings: DataFrame, place: DataFrame, round_: int) -> DataFrame:
+def _sided(postings: DataFrame, place: DataFrame, top: DataFrame) -> DataFrame:
+    """token, f, main, inner and the columns of ``place`` of the shingles in ``top``.
+
+    What is inner (of the main label) hangs together or was compared before, so only the rest
+    needs partners: a group of near copies makes no pairs of its own.
+    """
+    return postings.select("token", "cls").join(place, "cls").join(top.select("token", "main", "f"), "token").withColumn("inner", F.col("label") == F.col("main"))
+
+
+def _hub_pairs(postings: DataFrame, place: DataFrame, top: DataFrame, round_: int) -> DataFrame:
     """a, b: each class and, of its shingles' hubs that it is not settled with, the one that shares most.
 
     Hubs of a shingle are the classes of smallest hash within its main label, one for each of
@@ -455,8 +499,9 @@ def _hub_pairs(postings: DataFrame, place: DataFrame, round_: int) -> DataFrame:
     one component or one unit before held both.
     """
     seeds = [F.lit(round_ * HUBS + k) for k in range(HUBS if round_ else 1)]
-    rows = _sided(postings, place, not round_, overall=True)
-    least = rows.where("inner").groupBy("token").agg(*[F.min(F.xxhash64("cls", x)).alias(f"hub{k}") for k, x in enumerate(seeds)])
+    rows = _sided(postings, place, top)
+    # combined before the shuffle and written, so that a crowded shingle's rows join one row
+    least = stage(rows.where("inner").groupBy("token").agg(*[F.min(F.xxhash64("cls", x)).alias(f"hub{k}") for k, x in enumerate(seeds)]))
     met = rows.where("not inner").select("token", "cls", (F.col("f") > CROWDED).alias("crowded")).join(least, "token")
     met = met.select("cls", "crowded", F.posexplode(F.array(*[f"hub{k}" for k in range(len(seeds))])).alias("seed", "hub"))
     met = met.groupBy("cls", "seed", "hub").agg(F.count("*").alias("count"), F.bool_or("crowded").alias("crowded"))
@@ -468,12 +513,20 @@ def _hub_pairs(postings: DataFrame, place: DataFrame, round_: int) -> DataFrame:
     return met.groupBy("cls").agg(F.max(F.struct("enough", "count", "b")).alias("best")).select(F.col("cls").alias("a"), "best.b")
 
 
-def _crossing_pairs(postings: DataFrame, place: DataFrame) -> DataFrame:
-    """a < b: every pair that the bounds allow and that neither a component nor a unit has settled."""
-    rows = _sided(postings, place, False)
-    left = rows.where("not inner").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("cell").alias("ea"))
-    right = rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("cell").alias("eb"), "inner")
-    met = left.join(right, "token").where((F.col("inner") | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & (F.col("ea") != F.col("eb")) & _fits(F.col("na"), F.col("nb")))
+def _crossing_pairs(postings: DataFrame, place: DataFrame, top: DataFrame) -> DataFrame:
+    """a < b: every pair that the bounds allow and that neither a component nor a unit has settled.
+
+    Rows meet under a shingle by bands of size (partners lie in the same or the next one) and
+    by salts of about SALT rows, so neither a crowded shingle nor texts of unlike length are
+    one task's pairs.
+    """
+    band = F.floor(F.log("n") / F.lit(math.log(4 / 3))).cast("int")
+    salts = F.ceil(F.col("f") / F.lit(SALT)).cast("int")
+    rows = _sided(postings, place, top).withColumns({"band": band, "salts": salts})
+    left = rows.where("not inner").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("cell").alias("ea"), "salts", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    right = rows.select("token", "band", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("cell").alias("eb"), "inner")
+    met = left.join(right, ["token", "band", "salt"]).where((F.col("inner") | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & (F.col("ea") != F.col("eb")) & _fits(F.col("na"), F.col("nb")))
     pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both"), F.greatest("na", "nb").alias("most"))
     counted = pair.groupBy("a", "b", "both", "most").count()
     return counted.where(_enough(F.col("count"), F.col("both") - F.col("most"), F.col("most"))).select("a", "b")
@@ -488,8 +541,8 @@ def _tidy(spark: SparkSession) -> None:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Returns (members, links).
 
-    members: doc (``id_key``), cls (null without shingles), n, comp (the smallest class of the
-    component), least (its smallest doc) per row of ``docs``; links as in ``ngram_jaccard_components``.
+    members: doc (``id_key``), key (``set_key``, null without shingles), n, comp (the smallest class
+    of the component), least (its smallest doc) per row of ``docs``; links as in ``ngram_jaccard_components``.
     """
     with small_batches(docs.sparkSession, "4m"):
         return _near_duplicates(docs, id_col, text_col)
@@ -498,28 +551,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     narrow = docs.select(id_key(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    classes = stage(_classes(narrow))
-    reps = stage(classes.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"), F.max("n").alias("n")))
+    classes, reps, crowded, turn = _told_apart(narrow)
+    class_of = partial(_class_of, crowded=crowded, turn=turn)
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(8, -(-total // BLOCK_BYTES))
     common = _common(narrow, blocks)
-    postings = stage(_postings(narrow, common, blocks))
+    postings, entries = counted_stage(_postings(narrow, common, blocks, class_of))
     _tidy(spark)
 
     comps = cells = groups = None
     sharing = stage(postings.select("cls").distinct().join(reps.select("cls", "n"), "cls"))
-    round_, begun, met, last = 0, 0, 0, False
+    round_, begun, met, last = 0, 0, 0, not entries
     while not last:
-        last = round_ == HUB_ROUNDS or (round_ > 0 and not met) or (round_ > 1 and 20 * met <= begun)
         place = _placed(sharing, comps, cells)
-        pairs, n = counted_stage(_crossing_pairs(postings, place) if last else _hub_pairs(postings, place, round_))
+        top, crossing = _ranked(postings, place, not round_)
+        # a crossing is the last round: as soon as it is no more work than reading the entries again, or hubs hardly meet any more
+        last = crossing <= entries or round_ == HUB_ROUNDS or (round_ > 0 and not met) or (round_ > 1 and 20 * met <= begun)
+        pairs, n = counted_stage(_crossing_pairs(postings, place, top) if last else _hub_pairs(postings, place, top, round_))
         begun, met, round_ = begun if round_ else n, n, round_ + 1
         if not n:
             continue
         if not last:
             groups = stage(_grouped(groups, pairs))
         units, n = counted_stage(_stars(pairs, reps) if last else _dealt(groups, pairs, reps) if comps is None else _covered(groups, pairs, reps, comps))
-        links, n = counted_stage(_decided(units, n, narrow, comps))
+        links, n = counted_stage(_decided(units, n, narrow, comps, class_of))
         if n:
             comps = merged(comps, links)
         if not last:
@@ -531,9 +586,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
 
     # by class, so that a class or component of very many rows is a few numbers before rows join it
     by_class = reps.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", F.coalesce("comp", "cls").alias("comp"))
-    by_class = stage(by_class.join(by_class.groupBy("comp").agg(F.min("doc").alias("least")), "comp").select("cls", "comp", "least"))
+    least = stage(by_class.groupBy("comp").agg(F.min("doc").alias("least")))
+    by_class = stage(by_class.join(least, "comp").select("cls", "comp", "least"))
     member = classes.join(by_class, "cls", "left")
-    return member.select("doc", "cls", "n", "comp", "least"), _all_links(narrow, reps, postings, comps)
+    return member.select("doc", "key", "n", "comp", "least"), _all_links(narrow, reps, postings, comps, class_of)
 
 
 def _placed(sharing: DataFrame, comps: DataFrame | None, cells: DataFrame | None) -> DataFrame:
@@ -548,16 +604,17 @@ def _placed(sharing: DataFrame, comps: DataFrame | None, cells: DataFrame | None
     place = place.select("cls", "n", F.coalesce("comp", "cls").alias("comp"), F.coalesce("cell", "cls").alias("cell"))
     if comps is None and cells is None:
         return place.select("*", F.col("cls").alias("label"), F.lit(1).cast("long").alias("held"))
-    wide = place.groupBy("comp").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo < hi").select("comp", F.lit(True).alias("wide"))
+    wide = stage(place.groupBy("comp").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo < hi").select("comp", F.lit(True).alias("wide")))
     place = place.join(wide, "comp", "left").select("cls", "n", "comp", "cell", F.when(F.col("wide"), F.col("comp")).otherwise(F.col("cell")).alias("label"))
-    return stage(place.join(place.groupBy("label").agg(F.count("*").alias("held")), "label").select("cls", "n", "comp", "cell", "label", "held"))
+    held = stage(place.groupBy("label").agg(F.count("*").alias("held")))
+    return stage(place.join(held, "label").select("cls", "n", "comp", "cell", "label", "held"))
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Returns (documents, links).
 
     documents: doc_id, n_shingles, component_id per row of ``docs``; links: classes a < b of
-    verified similarity, each named by a 64-bit hash of its set.
+    verified similarity, each named by a number of its set (sets are told apart by 128 bits).
 
     Defined cases: null text and texts without words have no shingles and are alone; rows
     with equal ids are linked each by its own text; a null id sorts last and
