@@ -10,6 +10,7 @@ balance; the nearest examples are the evidence.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from refloom.llm.quality_classifier import fold
 
 #: Examples of each class at most (the smallest by a hash of the id), examples in a block, neighbours.
 MAX_EXAMPLES, BLOCK, K = 2_000, 32, 8
+#: Rows of example texts at most (ids may repeat with other texts), the first by a hash of the id, then by contents.
+EXAMPLE_ROWS = 4 * MAX_EXAMPLES
 #: Blocks scored before any is skipped.
 FIRST = 4
 #: A vote weighs the cosine to this power; votes of the base rate, in neighbours.
@@ -179,8 +183,9 @@ def build(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 names=["i", "y", "w", "c"],
             )
 
-    # bounded: the distinct words of the sampled examples, kept as Arrow columns
-    held = examples.mapInArrow(counted, "i long, y int, w array<string>, c array<long>").limit(4 * MAX_EXAMPLES).toArrow().combine_chunks()
+    # bounded by EXAMPLE_ROWS, in a fixed order: the distinct words of the sampled examples, kept as Arrow columns
+    held = examples.mapInArrow(counted, "i long, y int, w array<string>, c array<long>")
+    held = held.orderBy(F.xxhash64("i"), "i", "y", "w", "c").limit(EXAMPLE_ROWS).toArrow().combine_chunks()
     ids, ys = (held.column(c).to_numpy().astype(np.int64) for c in ("i", "y"))
     sizes_ = pc.list_value_length(held.column("w")).to_numpy().astype(np.int64)
     flat = pc.list_flatten(held.column("w")).combine_chunks().dictionary_encode()
@@ -241,11 +246,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     all scores are 0; an empty table gives an empty table; rows with equal id are scored each for itself.
     """
     index = build(docs, labels, id_col, text_col, label_col)
-    # bounded: the terms of twice MAX_EXAMPLES texts
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    # bounded: the terms of twice MAX_EXAMPLES texts; pickled by value, for executors have no copy of the package
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = pickle.loads(shared.value)
         for batch in batches:
             counts = [count_terms(own.vocabulary, t) for t in batch.column(2).to_pylist()]
             score, evidence = own.score(counts)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from refloom.llm import divergence, lloyd, simhash
+from refloom.llm import divergence, lloyd, ngram_join, simhash, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, block int"
@@ -266,4 +269,69 @@ def test_runs_of_a_task(spark):
     rows = [(4, "en", "a", "x X y"), (2, "en", "a", "x"), (1, "en", "b", "")]
     batch = pa.RecordBatch.from_pylist([dict(zip(("doc", "lang", "source", "text"), r, strict=True)) for r in rows])
     out = [r for b in divergence._runs(iter([batch])) for r in b.to_pylist()]
-    assert [(r["term"], r["source"], r["doc"], r["docs"], r["n"]) for r in out] == [("x", "a", 4, 2, 3), ("y", "a", 4, 1, 1)]
+    assert sorted((r["term"], r["source"], r["doc"], r["docs"], r["n"]) for r in out) == [("x", "a", 2, 2, 3), ("y", "a", 4, 1, 1)]
+    assert list(divergence._runs(iter([batch.slice(2)]))) == [] and list(divergence._runs(iter([]))) == []
+
+
+# --- operators of earlier rounds ----------------------------------------------------------
+
+
+@pytest.mark.parametrize("bits", [64, 4])
+def test_ngram_join_tells_sets_of_one_class_hash_apart(spark, monkeypatch, bits):
+    monkeypatch.setattr(ngram_join, "CLASS_BITS", bits)
+    rows = [(i, " ".join(f"t{i // 2}w{j}" for j in range(30)) + (" tail" if i % 2 else "")) for i in range(60)] + [(70, None), (71, "few words")]
+    members, _ = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got, _ = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i - i % 2 for i in range(60)} | {70: 70, 71: 71}
+    assert members.select("key").distinct().count() == 62
+
+
+def test_ngram_join_crosses_banded_and_salted(spark, monkeypatch):
+    """Texts of all sizes under common shingles: bands and salts of the crossing lose no pair."""
+    monkeypatch.setattr(ngram_join, "SALT", 4)
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 0)
+    rng = random.Random(2)
+    base = [f"b{j}" for j in range(140)]
+    rows = [(i, " ".join(base[: 20 + 2 * i] + ([f"e{i}"] if i % 3 else []))) for i in range(60)]
+    rng.shuffle(rows)
+    got, _ = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    label = {d: d for d in sets}
+    for _ in range(8):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == label
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from refloom.llm import toxicity
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.createDataFrame([(i, "grob word" if i % 3 == 0 else "plain word") for i in range(60)], "doc_id long, text string")
+labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+print("SCORED", toxicity.toxicity_scores(docs, labels).where("predicted = 1").count())
+"""
+
+
+def test_toxicity_where_workers_have_no_copy_of_the_package(tmp_path):
+    """The driver alone finds the package; Python workers run elsewhere without its path."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", ELSEWHERE.format(repo=repo)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "SCORED 20" in out.stdout, out.stderr[-2000:]
+
+
+def test_toxicity_examples_are_bounded_in_a_fixed_order(spark, monkeypatch):
+    """More rows than the bound under repeated ids: the same examples, however the rows lie."""
+    monkeypatch.setattr(toxicity, "EXAMPLE_ROWS", 9)
+    rows = [(i % 6, f"word{i} and{i % 4}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    found = []
+    for k in (1, 5):
+        index = toxicity.build(spark.createDataFrame(rows[::-1] if k > 1 else rows, "doc_id long, text string").repartition(k), labels, "doc_id", "text", "toxic")
+        found.append((index.ids.tolist(), list(index.vocabulary)))
+    assert found[0] == found[1] and len(found[0][0]) == 9
