@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from refloom.functions import globs
+from refloom.functions.heads import heads_udf
 from refloom.functions.scip import KIND_NAMES, NAMESPACE_KIND, normalize_version_udf, symbol_parts_udf
 from refloom.functions.text import normalized_path
-from refloom.operators.analysis import DEFINITION, anti, marked
+from refloom.operators.analysis import DEFINITION, ERROR_CLASS, SIGNATURE, anti, marked
+from refloom.operators.unseen import USE, UnseenUses, enclosing_symbols
 from refloom.storage import materialize
 
 
@@ -57,29 +59,6 @@ def interned(definitions: DataFrame) -> DataFrame:
     return definitions.groupBy("package_id", "symbol").agg(first.alias("d")).select("package_id", "symbol", "d.*")
 
 
-def enclosing_symbols(references: DataFrame, spans: DataFrame, modules: DataFrame) -> DataFrame:
-    """``references`` (ref_id, package_id, file, line, col, own_symbol_id) with the innermost definition around each.
-
-    ``spans``: package_id, file, symbol_id, start_line, start_col, end_line, end_col, span_order.
-    The deepest start wins, the first span among equal ones; a definition is not inside its
-    own span; outside every span the file's module symbol encloses.
-    """
-    r, s = references.alias("r"), spans.alias("s")
-    at = F.struct(F.col("r.line"), F.col("r.col"))
-    inside = (
-        (F.col("r.package_id") == F.col("s.package_id"))
-        & (F.col("r.file") == F.col("s.file"))
-        & (at >= F.struct(F.col("s.start_line"), F.col("s.start_col")))
-        & (at < F.struct(F.col("s.end_line"), F.col("s.end_col")))
-        & ~F.col("s.symbol_id").eqNullSafe(F.col("r.own_symbol_id"))
-    )
-    best = F.max_by("s.symbol_id", F.struct(F.col("s.start_line"), F.col("s.start_col"), -F.col("s.span_order")))
-    found = r.join(s, inside).groupBy("r.ref_id").agg(best.alias("inner"))
-    m = modules.select("package_id", "file", "module_symbol_id")
-    out = references.join(found, "ref_id", "left").join(m, ["package_id", "file"], "left")
-    return out.withColumn("enclosing_symbol_id", F.coalesce("inner", "module_symbol_id")).drop("inner", "module_symbol_id")
-
-
 def nearest_defined(unresolved: DataFrame, symbols: DataFrame) -> DataFrame:
     """Nearest defined ancestor of each unresolved symbol (ref_id, package_id, prefixes): its longest defined prefix."""
     p = unresolved.select("ref_id", "package_id", F.explode("prefixes").alias("symbol"))
@@ -132,20 +111,29 @@ _UNNAMED = "_unnamed/"
 _INNER = ("parameter", "type_parameter")
 
 
-class Ingest:
+class Ingest(UnseenUses):
     """Relations of an organisation from decoded indexes and export surfaces.
 
-    ``packages`` (package_id, repo, path, manager, name, entry_points), ``package_deps``,
-    ``index`` (package_id, load_order, documents: see ``sources.readers.INDEX``), ``sidecars``
-    (see ``SIDECAR``) and ``manifest`` (package_id, status, diagnostics). Every relation is a
-    plan over these; what several read is written once. Symbols get the hash of their key
-    as id, so loads of parts of an organisation agree.
+    ``packages`` (package_id, repo, path, manager, name, entry_points; runtime_entry_points and
+    runtime_entry_symbols where known), ``package_deps``, ``index`` (package_id, load_order,
+    documents: see ``sources.readers.INDEX``), ``sidecars`` (see ``SIDECAR``), ``manifest``
+    (package_id, status, diagnostics), ``files`` (repo, path, text: the checkouts, from which
+    signatures and error classes are read; without them none is marked) and ``extra_edges``
+    (repo, from, to: uses that a repository's configuration declares). Every relation is a plan
+    over these; what several read is written once. Symbols get the hash of their key as id, so
+    loads of parts of an organisation agree; two keys of one hash are an error.
     """
 
-    def __init__(self, packages: DataFrame, package_deps: DataFrame, index: DataFrame, sidecars: DataFrame, manifest: DataFrame):
+    def __init__(
+        self, packages: DataFrame, package_deps: DataFrame, index: DataFrame, sidecars: DataFrame, manifest: DataFrame,
+        files: DataFrame | None = None, extra_edges: DataFrame | None = None,
+    ):
         root = F.when(F.col("path").isin(".", "./"), "").otherwise(F.regexp_replace("path", "/$", ""))
         self.packages = packages.withColumn("path", root)
-        self.deps, self.index, self.manifest = package_deps, index, manifest
+        for name in ("runtime_entry_points", "runtime_entry_symbols"):
+            if name not in packages.columns:
+                self.packages = self.packages.withColumn(name, F.array().cast("array<string>"))
+        self.deps, self.index, self.manifest, self.files, self.extra_edges = package_deps, index, manifest, files, extra_edges
         failed = self.invalid_indexes.select("package_id")
         self.sidecars = anti(sidecars.withColumnRenamed("packageId", "package_id"), failed, "package_id").join(self.packages.select("package_id", "repo"), "package_id")
 
@@ -153,16 +141,18 @@ class Ingest:
 
     @cached_property
     def _read(self) -> DataFrame:
-        """Every occurrence with its symbol's parts: index_package_id, load_order, doc_pos, occ_pos, path (as indexed), symbol, kind, role, at, body, p."""
+        """Every occurrence with its symbol's parts: index_package_id, load_order, doc_pos, occ_pos, path (as indexed), symbol, kind (of definitions), role, at, body, p."""
+        at = ["index_package_id", "load_order", "doc_pos"]
         d = self.index.select(F.col("package_id").alias("index_package_id"), "load_order", F.posexplode("documents").alias("doc_pos", "d"))
-        o = d.select("index_package_id", "load_order", "doc_pos", "d", F.posexplode("d.occurrences").alias("occ_pos", "o"))
-        o = o.select(
-            "index_package_id", "load_order", "doc_pos", "occ_pos", F.col("d.relativePath").alias("path"), F.col("o.symbol").alias("symbol"),
-            # of a symbol listed twice the later kind counts
-            F.when(F.col("o.symbolRoles").bitwiseAND(DEFINITION) == 1, F.get(F.expr("reverse(transform(filter(d.symbols, s -> s.symbol = o.symbol), s -> s.kind))"), F.lit(0))).alias("kind"),
-            F.col("o.symbolRoles").alias("role"), position(F.col("o.range"), "at"), position(F.col("o.enclosingRange"), "body"),
-        )
-        return materialize(o.withColumn("p", symbol_parts_udf("symbol")))
+        d = d.select(*at, F.col("d.relativePath").alias("path"), F.col("d.symbols").alias("symbols"), F.col("d.occurrences").alias("occurrences"))
+        # symbols and occurrences leave their document apart and meet by key: a row never carries a document's arrays
+        o = d.select(*at, "path", F.posexplode("occurrences").alias("occ_pos", "o"))
+        is_def = F.col("o.symbolRoles").bitwiseAND(DEFINITION) == 1
+        o = o.select(*at, "occ_pos", "path", F.col("o.symbol").alias("symbol"), F.when(is_def, F.col("o.symbol")).alias("defined"), F.col("o.symbolRoles").alias("role"), position(F.col("o.range"), "at"), position(F.col("o.enclosingRange"), "body"))
+        k = d.select(*at, F.posexplode("symbols").alias("pos", "s")).select(*at, "pos", F.col("s.symbol").alias("defined"), F.col("s.kind").alias("kind"))
+        # of a symbol listed twice the later kind counts
+        k = k.where("defined is not null").groupBy(*at, "defined").agg(F.max_by("kind", "pos").alias("kind"))
+        return materialize(o.join(k, [*at, "defined"], "left").drop("defined").withColumn("p", symbol_parts_udf("symbol")))
 
     @cached_property
     def invalid_indexes(self) -> DataFrame:
@@ -251,14 +241,18 @@ class Ingest:
         kinds = F.array(*[F.lit("" if k == "-" else k) for k in KIND_NAMES])
         kind = F.when(F.exists("p.literal", lambda x: x), "anonymous-member").when(prefix, "import-prefix").otherwise(F.coalesce(F.get(kinds, F.coalesce("kind", F.lit(0)) - 1), F.lit("")))
         name = F.when(F.col("is_module"), F.col("file")).otherwise(F.element_at("p.names", -1))
-        return materialize(first.select(F.xxhash64("key").alias("symbol_id"), F.col("key").alias("symbol_str"), "package_id", "file", F.col("at.line").alias("line"), F.col("at.col").alias("col"), kind.alias("kind"), name.alias("name"), "is_module", "p"))
+        out = materialize(first.select(F.xxhash64("key").alias("symbol_id"), F.col("key").alias("symbol_str"), "package_id", "file", F.col("at.line").alias("line"), F.col("at.col").alias("col"), kind.alias("kind"), name.alias("name"), "is_module", "p"))
+        clash = out.groupBy("symbol_id").agg(F.count("*").alias("n"), F.min("symbol_str").alias("a"), F.max("symbol_str").alias("b")).where("n > 1").first()
+        if clash is not None:
+            raise ValueError(f"two symbols have one id: {clash['a']} and {clash['b']}")
+        return out
 
     @cached_property
     def documents(self) -> DataFrame:
         """package_id, file, module_symbol_id, is_entry, is_generated; a file without a module symbol of its own gets one."""
         d = self._owned.select("package_id", "file", "repo", "owner_path").distinct()
         own = self.interned.where("is_module").groupBy("package_id", "file").agg(F.min("symbol_id").alias("module_symbol_id"))
-        entries = self.packages.select("package_id", F.explode("entry_points").alias("file")).distinct()
+        entries = self.packages.select("package_id", F.explode(F.array_union("entry_points", F.coalesce("runtime_entry_points", F.array().cast("array<string>")))).alias("file")).distinct()
         d = marked(d.join(own, ["package_id", "file"], "left"), entries, ["package_id", "file"], "is_entry")
         listed = self.sidecars.select("repo", F.explode("generatedFiles").alias("file")).distinct()
         d = marked(d, listed, ["repo", "file"], "listed")
@@ -313,31 +307,67 @@ class Ingest:
         return materialize(o.withColumns({"symbol_id": F.when(own, F.col("symbol_id")).when(is_ref, F.col("near_id")), "def_package_id": F.when(own, F.col("def_package_id")).when(is_ref, F.col("near_package_id"))}).drop("near_id", "near_package_id"))
 
     @cached_property
-    def occurrences(self) -> DataFrame:
-        """symbol_id, package_id, def_package_id, file, line, col, role, enclosing_symbol_id, is_export_site, is_external (a bag)."""
-        r = self._resolved.where("symbol_id is not null").select("symbol_id", "package_id", "def_package_id", "file", "repo", F.col("at.line").alias("line"), F.col("at.col").alias("col"), "role", "order")
+    def _heads(self) -> DataFrame:
+        """package_id, file, line, col of definitions with what their text shows: end_line, end_col of the signature, is_error."""
+        last = F.element_at("p.suffixes", -1)
+        kind = F.when(last == "method", "method").when(last == "type", "type").when((last == "term") & F.col("body").isNotNull() & ~F.col("file").endswith(".dart"), "term")
+        named = self._definitions.withColumn("kind", kind).where("kind is not null").select("package_id", "repo", "file", F.col("at.line").alias("line"), F.col("at.col").alias("col"), "kind").distinct()
+        # a file's names (bounded by the file) meet its text in one row, so that each text is read once
+        by_file = named.groupBy("package_id", "repo", "file").agg(F.sort_array(F.collect_list(F.struct("line", "col", "kind"))).alias("named"))
+        texts = self.files.select("repo", F.col("path").alias("file"), "text").where("text is not null")
+        found = by_file.join(texts, ["repo", "file"]).select("package_id", "file", F.explode(heads_udf("text", "file", "named")).alias("h")).select("package_id", "file", "h.*")
+        return materialize(found.groupBy("package_id", "file", "line", "col").agg(F.max("end_line").alias("end_line"), F.max("end_col").alias("end_col"), F.max("is_error").alias("is_error")))
+
+    @cached_property
+    def _spans(self) -> DataFrame:
+        """What definitions enclose: package_id, file, symbol_id, start and end, span_order, and head (where the signature begins and ends) if the text tells."""
+        spans = self._definitions.where("body is not null").join(self.interned.select(F.col("symbol_str").alias("key"), "symbol_id", F.col("package_id").alias("pp")), "key").where("package_id = pp")
+        spans = spans.join(self.documents.select("package_id", "file", "module_symbol_id"), ["package_id", "file"]).where("symbol_id <> module_symbol_id")
+        spans = spans.select("package_id", "file", "symbol_id", F.col("body.line").alias("start_line"), F.col("body.col").alias("start_col"), F.col("body.end_line").alias("end_line"), F.col("body.end_col").alias("end_col"), F.col("order.occ_pos").alias("span_order"), "at.line", "at.col")
+        if self.files is not None:
+            ends = self._heads.where("end_line is not null").select("package_id", "file", "line", "col", F.struct(F.struct("line", "col").alias("begins"), F.struct(F.col("end_line").alias("line"), F.col("end_col").alias("col")).alias("ends")).alias("head"))
+            spans = spans.join(ends, ["package_id", "file", "line", "col"], "left")
+        return materialize(spans.drop("line", "col"))
+
+    @cached_property
+    def _indexed(self) -> DataFrame:
+        """Occurrences that the indexes hold: the columns of ``occurrences``."""
+        r = self._resolved.where("symbol_id is not null").select("symbol_id", "package_id", "def_package_id", "file", "repo", F.col("at.line").alias("line"), F.col("at.col").alias("col"), "role", "order", F.element_at("p.suffixes", -1).alias("suffix"))
         is_def = F.col("role").bitwiseAND(DEFINITION) == 1
         r = r.withColumns({"ref_id": F.xxhash64("package_id", "file", "order"), "own_symbol_id": F.when(is_def, F.col("symbol_id"))})
-        modules = self.documents.select("package_id", "file", "module_symbol_id")
-        spans = self._definitions.where("body is not null").join(self.interned.select(F.col("symbol_str").alias("key"), "symbol_id", F.col("package_id").alias("pp")), "key").where("package_id = pp")
-        spans = spans.join(modules, ["package_id", "file"]).where("symbol_id <> module_symbol_id")
-        spans = spans.select("package_id", "file", "symbol_id", F.col("body.line").alias("start_line"), F.col("body.col").alias("start_col"), F.col("body.end_line").alias("end_line"), F.col("body.end_col").alias("end_col"), F.col("order.occ_pos").alias("span_order"))
-        out = enclosing_symbols(r, spans, modules)
+        out = enclosing_symbols(r, self._spans, self.documents.select("package_id", "file", "module_symbol_id"))
         sites = self.sidecars.select("repo", F.explode("exports").alias("e")).select("repo", F.explode("e.sites").alias("s")).select("repo", "s.file", "s.line", "s.col").distinct()
         out = marked(out, sites, ["repo", "file", "line", "col"], "is_export_site")
-        columns = ["symbol_id", "package_id", "def_package_id", "file", "line", "col", "role", "enclosing_symbol_id", "is_export_site"]
-        out = out.select(*columns, (F.col("package_id") != F.col("def_package_id")).alias("is_external"))
+        if self.files is not None:
+            at = F.struct("line", "col")
+            in_head = F.coalesce((at > F.col("head.begins")) & (at < F.col("head.ends")), F.lit(False))
+            errors = self._heads.where("is_error").select("package_id", "file", "line", "col")
+            out = marked(out, errors, ["package_id", "file", "line", "col"], "is_error")
+            bits = F.when(~is_def & ~F.col("is_export_site") & in_head, F.lit(SIGNATURE)).when(is_def & (F.col("suffix") == "type") & F.col("is_error"), F.lit(ERROR_CLASS)).otherwise(F.lit(0))
+            out = out.withColumn("role", F.col("role").bitwiseOR(bits))
+        return materialize(out.select(*USE, (F.col("package_id") != F.col("def_package_id")).alias("is_external")))
+
+    @cached_property
+    def _referred(self) -> DataFrame:
+        """Indexed occurrences, those that a type checker found beyond them, and references to anonymous default exports."""
+        out = self._indexed.unionByName(self.checker_refs)
         # what refers to a file with an anonymous default export refers to that export
         made = self._anonymous_defaults.select("symbol_id", F.col("package_id").alias("home"), "module_symbol_id")
         seen = out.where((F.col("role").bitwiseAND(DEFINITION) == 0) & ~F.col("is_export_site")).withColumnRenamed("symbol_id", "module_symbol_id").join(made, "module_symbol_id")
         copied = seen.withColumns({"def_package_id": F.col("home"), "is_external": F.col("package_id") != F.col("home")}).select(*out.columns)
         return materialize(out.unionByName(copied))
 
+    @cached_property
+    def occurrences(self) -> DataFrame:
+        """symbol_id, package_id, def_package_id, file, line, col, role, enclosing_symbol_id, is_export_site, is_external (a bag)."""
+        return materialize(self._used.unionByName(self.conditional_uses))
+
     @cached_property
     def unresolved_refs(self) -> DataFrame:
         """References to another package's declarations that its index does not have (a bag); whole modules are left out."""
         lost = self._resolved.where("symbol_id is null and target_id is not null and target_id <> package_id").where(~F.forall("p.suffixes", lambda x: x == "namespace"))
-        return lost.select(F.col("package_id").alias("consumer_package_id"), F.col("target_id").alias("target_package_id"), F.col("plain").alias("symbol_str"), "file", F.col("at.line").alias("line"), F.col("at.col").alias("col"))
+        lost = lost.select(F.col("package_id").alias("consumer_package_id"), F.col("target_id").alias("target_package_id"), F.col("plain").alias("symbol_str"), "file", F.col("at.line").alias("line"), F.col("at.col").alias("col"))
+        return lost.unionByName(self._imports_gone)
 
     # --- export surface
 
@@ -360,7 +390,8 @@ class Ingest:
         return materialize(e.select("package_id", "file", "repo", "at.line", "at.col", F.xxhash64(F.concat_ws(" ", F.lit("default"), "package_id", "file")).alias("symbol_id"), "module_symbol_id"))
 
     @cached_property
-    def symbol_exports(self) -> DataFrame:
+    def _surface(self) -> DataFrame:
+        """symbol_id, entry_file, exported_as of the entry points' exports."""
         e = self._exports
         made = self._anonymous_defaults.select("package_id", "file", F.col("symbol_id").alias("made_id"))
         e = e.join(made, ["package_id", "file"], "left").withColumn("symbol_id", F.coalesce("symbol_id", F.when(F.col("note") == "default-keyword", F.col("made_id"))))
@@ -372,31 +403,48 @@ class Ingest:
         d = self.documents.join(self.packages.select("package_id", "repo"), "package_id").select("repo", "file", "module_symbol_id", F.col("package_id").alias("home"))
         return e.join(self._positions, ["repo", "file", "line", "col"]).join(d, ["repo", "file"])
 
+    @cached_property
+    def symbol_exports(self) -> DataFrame:
+        """symbol_id, entry_file, exported_as: of entry points, of modules that others import by path, of alternatives to what is exported."""
+        return materialize(self._deep_surface.unionByName(self.conditional_exports).distinct())
+
     @cached_property
     def entry_symbols(self) -> DataFrame:
         """symbol_id, kind: runtime wins over ambient."""
-        return self._entries.groupBy("symbol_id").agg(F.max("kind").alias("kind"))
+        runtime = self.runtime_exports.unionByName(self.loaded_declarations).unionByName(self.conditional_entries)
+        kinds = self._entries.select("symbol_id", "kind").unionByName(runtime.withColumn("kind", F.lit("runtime")))
+        return materialize(kinds.groupBy("symbol_id").agg(F.max("kind").alias("kind")))
 
     @cached_property
-    def symbols(self) -> DataFrame:
-        """The table of symbols, with parents and exported marks."""
+    def _declared(self) -> DataFrame:
+        """The table of symbols, with parents, before what is exported is marked."""
         none = F.lit(None).cast("long")
         own = self.interned.join(self.parents, "symbol_id", "left").select("symbol_id", "symbol_str", "package_id", "file", "line", "col", "kind", "name", "parent_symbol_id")
         files = self.documents.where("made").select(F.col("module_symbol_id").alias("symbol_id"), _file_symbol().alias("symbol_str"), "package_id", "file", F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit("file").alias("kind"), F.col("file").alias("name"), none.alias("parent_symbol_id"))
         made = self._anonymous_defaults.select("symbol_id", F.concat_ws(" ", F.lit("default"), "package_id", "file").alias("symbol_str"), "package_id", "file", "line", "col", F.lit("").alias("kind"), F.lit("default").alias("name"), none.alias("parent_symbol_id"))
-        out = own.unionByName(files).unionByName(made)
-        return materialize(marked(out, self.symbol_exports, ["symbol_id"], "is_exported").withColumn("first_seen_at", none))
+        return materialize(own.unionByName(files).unionByName(made))
 
     @cached_property
-    def edges(self) -> DataFrame:
-        """References, declarations to their members, files to their entry symbols, anonymous defaults to their file."""
-        refs = reference_edges(self.occurrences)
-        p = self.symbols.where("parent_symbol_id is not null")
+    def symbols(self) -> DataFrame:
+        """The table of symbols, with parents and exported marks."""
+        return materialize(marked(self._declared, self.symbol_exports, ["symbol_id"], "is_exported").withColumn("first_seen_at", F.lit(None).cast("long")))
+
+    @cached_property
+    def _edges(self) -> DataFrame:
+        """References, declarations to their members, files to their entry symbols, anonymous defaults to their file, spreads to all that they hand out."""
+        refs = reference_edges(self._used)
+        p = self._declared.where("parent_symbol_id is not null")
         down = p.select(F.col("parent_symbol_id").alias("from_symbol_id"), F.col("symbol_id").alias("to_symbol_id"), F.lit("scip").alias("source"), F.col("package_id").alias("from_package_id"), F.col("package_id").alias("to_package_id"))
-        of = self.symbols.select("symbol_id", F.col("package_id").alias("to_package_id"))
+        of = self._declared.select("symbol_id", F.col("package_id").alias("to_package_id"))
         entry = self._entries.join(of, "symbol_id").select(F.col("module_symbol_id").alias("from_symbol_id"), F.col("symbol_id").alias("to_symbol_id"), F.lit("scip").alias("source"), F.col("home").alias("from_package_id"), "to_package_id")
         made = self._anonymous_defaults.select(F.col("symbol_id").alias("from_symbol_id"), F.col("module_symbol_id").alias("to_symbol_id"), F.lit("scip").alias("source"), F.col("package_id").alias("from_package_id"), F.col("package_id").alias("to_package_id"))
-        return materialize(refs.unionByName(down).unionByName(entry).unionByName(made).distinct())
+        return materialize(refs.unionByName(down).unionByName(entry).unionByName(made).unionByName(self.spread_edges).distinct())
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """All edges: those of the indexes and surfaces, those lent to alternatives, those that configurations declare."""
+        refs = reference_edges(self.conditional_uses)
+        return materialize(self._edges.unionByName(refs).unionByName(self.conditional_edges).unionByName(self.overlay_edges).distinct())
 
     @cached_property
     def package_flags(self) -> DataFrame:
@@ -407,19 +455,27 @@ class Ingest:
         out = status_flags(self.manifest, looked)
         bad = self.invalid_indexes.select("package_id", F.lit("index_failed").alias("flag"), "reason", none.alias("file"), none.alias("target_package_id"))
         dynamic = self.sidecars.select("package_id", F.explode("unresolved").alias("u")).select("package_id", F.lit("dynamic_access").alias("flag"), F.coalesce("u.reason", F.to_json("u")).alias("reason"), F.col("u.file").alias("file"), none.alias("target_package_id"))
-        said = self.sidecars.select("package_id", "repo", F.explode("flags").alias("f")).select("package_id", "repo", "f.*")
-        aimed = said.where("targetPackage is not null").select("package_id", "repo", F.lit("npm").alias("sym_manager"), F.col("targetPackage").alias("sym_name")).distinct()
-        to = self._named(aimed).select("package_id", F.col("sym_name").alias("targetPackage"), F.coalesce(F.array_remove(F.col("candidates"), F.col("package_id")), F.array(F.when(F.col("target_id") != F.col("package_id"), F.col("target_id")))).alias("targets"))
-        said = said.join(to, ["package_id", "targetPackage"], "left").select("package_id", "flag", "reason", "file", F.explode(F.coalesce("targets", F.array(none))).alias("target_package_id"))
+        said = self._said_flags
         # a name that its file cannot attribute: every candidate may be meant
-        several = self.occurrences_of.where("candidates is not null").groupBy("package_id", F.col("p.name").alias("name"), "candidates").agg(F.min_by("file", "order").alias("file"))
+        met = self.occurrences_of.where("candidates is not null").select("package_id", F.col("p.name").alias("name"), "candidates", "file", F.lit(0).alias("rank"), "order")
+        told = self.ambiguous_uses.select("package_id", "name", "candidates", "file", F.lit(1).alias("rank"), F.lit(None).cast(met.schema["order"].dataType).alias("order"))
+        several = met.unionByName(told).groupBy("package_id", "name", "candidates").agg(F.min_by("file", F.struct("rank", "order", "file")).alias("file"))
         reason = F.concat(F.lit("uses of "), "name", F.lit(" match "), F.size("candidates"), F.lit(" packages: "), F.array_join("candidates", ", "))
         shared = several.select("package_id", F.lit("ambiguous_dep").alias("flag"), reason.alias("reason"), "file", F.explode(F.array_remove(F.col("candidates"), F.col("package_id"))).alias("target_package_id"))
-        return out.unionByName(bad).unionByName(dynamic).unionByName(said).unionByName(shared)
+        return out.unionByName(bad).unionByName(dynamic).unionByName(said).unionByName(shared).unionByName(self.unindexed_flags)
+
+    @cached_property
+    def _said_flags(self) -> DataFrame:
+        """Flags of the sidecars, aimed at the packages that their target may mean (none: at no package)."""
+        none = F.lit(None).cast("string")
+        said = self.sidecars.select("package_id", "repo", F.explode("flags").alias("f")).select("package_id", "repo", "f.*")
+        aimed = said.where("targetPackage is not null").select("package_id", "repo", F.lit("npm").alias("sym_manager"), F.col("targetPackage").alias("sym_name")).distinct()
+        to = self._named(aimed).select("package_id", F.col("sym_name").alias("targetPackage"), F.coalesce(F.array_remove(F.col("candidates"), F.col("package_id")), F.array(F.when(F.col("target_id") != F.col("package_id"), F.col("target_id")))).alias("targets"))
+        return materialize(said.join(to, ["package_id", "targetPackage"], "left").select("package_id", "flag", "reason", "file", F.explode(F.coalesce("targets", F.array(none))).alias("target_package_id")))
 
     def tables(self) -> dict[str, DataFrame]:
         """The relations that an analysis reads, by name (see ``refloom.schema``)."""
-        return {"symbols": self.symbols, "documents": self.documents.drop("made"), "occurrences": self.occurrences, "edges": self.edges, "symbol_exports": self.symbol_exports, "entry_symbols": self.entry_symbols, "unresolved_refs": self.unresolved_refs, "package_flags": self.package_flags}
+        return {"symbols": self.symbols, "documents": self.documents.drop("made"), "occurrences": self.occurrences, "edges": self.edges, "symbol_exports": self.symbol_exports, "entry_symbols": self.entry_symbols, "unresolved_refs": self.unresolved_refs, "package_flags": self.package_flags, "witness_files": self.witness_files, "unindexed_loads": self.unindexed_loads}
 
 
 def _file_symbol() -> Column:

@@ -47,36 +47,60 @@ UNION ALL SELECT use_k, f, rel, 1, o, ln, head || '9.9.9 ' || {_ASKED}, 8, array
 
 
 @lru_cache(maxsize=4)
-def ingested(spark: SparkSession, sf_dir: str) -> Ingest:
-    """The ingest of the derived organisation's indexes."""
+def shared(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The derived organisation's tables and the relations of ``_SHARED``."""
     frames = dict(analysis(spark, sf_dir).t)
     for name, sql in _SHARED.items():
         frames[name] = spark.sql(sql, **{k: v for k, v in frames.items() if "{" + k + "}" in sql})
-    x = {k: frames[k] for k in _SHARED}
-    rows = spark.sql(_OCCURRENCES, **x)
+    packages = frames["packages"].withColumn("entry_points", F.array(F.concat("path", F.when(F.col("manager") == "pub", "/lib/src/f0.dart").otherwise("/src/f0.ts"))))
+    return frames | {"packages": packages}
+
+
+def index_of(x: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
+    """Nested indexes of occurrence rows (k, f, rel, part, a, b, symbol, role, at, body)."""
+    packages = x["packages"]
     occurrence = F.struct(F.col("symbol"), F.col("role").cast("int").alias("symbolRoles"), F.transform("at", lambda v: v.cast("int")).alias("range"), F.transform("body", lambda v: v.cast("int")).alias("enclosingRange"))
     docs = rows.groupBy("k", "f", "rel").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "a", "b", occurrence.alias("o")))), lambda v: v["o"]).alias("occurrences"))
     kinds = x["x_sym"].select("k", "f", F.struct(F.concat("head", F.lit("1.0.0 "), "descs").alias("symbol"), F.element_at(F.array(*map(F.lit, (7, 17, 61, 26))), (F.col("idx") % 4 + 1).cast("int")).alias("kind")).alias("s"))
     docs = docs.join(kinds.groupBy("k", "f").agg(F.collect_list("s").alias("symbols")), ["k", "f"], "left")
     doc = F.struct(F.concat(F.when(F.col("k") % 2 == 1, "./").otherwise(""), "rel").alias("relativePath"), "symbols", "occurrences")
-    packages = frames["packages"].withColumn("entry_points", F.array(F.concat("path", F.when(F.col("manager") == "pub", "/lib/src/f0.dart").otherwise("/src/f0.ts"))))
     index = docs.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", doc.alias("d")))), lambda v: v["d"]).alias("documents"))
-    index = index.where("k % 29 <> 6 and k % 41 <> 3").join(packages.select("k", "package_id"), "k").select("package_id", F.col("k").alias("load_order"), "documents")
-    manifest = packages.select("package_id", F.expr("CASE WHEN k % 41 = 3 THEN NULL WHEN k % 29 = 6 THEN 'failed' WHEN k % 23 = 5 THEN 'partial' ELSE 'ok' END").alias("status"), F.expr("CASE WHEN k % 41 = 3 THEN array() WHEN k % 29 = 6 THEN array('info: a', 'error: boom', 'warn: w') WHEN k % 23 = 5 THEN array('warn: w', 'cause: first', 'cause: second\n more') END").alias("diagnostics"))
+    return index.where("k % 29 <> 6 and k % 41 <> 3").join(packages.select("k", "package_id"), "k").select("package_id", F.col("k").alias("load_order"), "documents")
+
+
+def manifest_of(packages: DataFrame) -> DataFrame:
+    return packages.select("package_id", F.expr("CASE WHEN k % 41 = 3 THEN NULL WHEN k % 29 = 6 THEN 'failed' WHEN k % 23 = 5 THEN 'partial' ELSE 'ok' END").alias("status"), F.expr("CASE WHEN k % 41 = 3 THEN array() WHEN k % 29 = 6 THEN array('info: a', 'error: boom', 'warn: w') WHEN k % 23 = 5 THEN array('warn: w', 'cause: first', 'cause: second\n more') END").alias("diagnostics"))
+
+
+def sidecars_of(x: dict[str, DataFrame], more: DataFrame | None = None) -> DataFrame:
+    """Export surfaces; ``more`` (k and further fields) completes them."""
+    packages = x["packages"]
     s = x["x_sym"].where("listed")
     site = F.array(F.struct(F.col("file"), F.lit(700).alias("line"), F.lit(0).alias("col")))
     exports = s.where("idx % 2 = 0").groupBy("package_id").agg(F.collect_list(F.struct(F.col("file").alias("entry"), F.when(F.col("idx") == 0, "default").otherwise(F.col("name")).alias("exportedAs"), "name", "file", (10 * F.col("idx") + 1).cast("int").alias("line"), F.lit(4).alias("col"), site.alias("sites"), F.lit(None).cast("string").alias("note"))).alias("exports"))
     entries = s.where("id % 101 = 7").groupBy("package_id").agg(F.collect_list(F.struct("file", (10 * F.col("idx") + 1).cast("int").alias("line"), F.lit(4).alias("col"), "name", F.when(F.col("id") % 2 == 0, "ambient").alias("kind"))).alias("entrySymbols"))
-    side = packages.where("k % 37 <> 9").crossJoin(F.broadcast(frames["o_n"])).join(exports, "package_id", "left").join(entries, "package_id", "left")
+    side = packages.where("k % 37 <> 9").crossJoin(F.broadcast(x["o_n"])).join(exports, "package_id", "left").join(entries, "package_id", "left")
     named = F.concat(F.lit("pkg"), ((F.col("k") + 1) % F.col("ns")).cast("string"))
-    side = side.select(
-        F.col("package_id").alias("packageId"), F.lit(None).cast("array<string>").alias("entryPoints"), F.when(F.col("k") % 19 == 2, F.array(F.concat("path", F.lit("/src/f1.ts")))).alias("generatedFiles"), "exports", "entrySymbols",
-        F.when(F.col("k") % 43 == 2, F.array(F.struct(F.lit("src/dyn.ts").alias("file"), F.lit("computed access").alias("reason")))).alias("unresolved"),
-        F.when(F.col("k") % 47 == 4, F.array(F.struct(F.lit("namespace_dynamic").alias("flag"), F.lit("spread").alias("reason"), F.lit(None).cast("string").alias("file"), named.alias("targetPackage")))).alias("flags"),
-        F.lit(None).cast("array<struct<module:string,name:string,file:string,line:int,col:int>>").alias("unresolvedImports"),
-    )
-    side = side.select(*spark.createDataFrame([], SIDECAR).columns)
-    return Ingest(packages, frames["package_deps"], index, side, manifest)
+    side = side.withColumns({
+        "packageId": F.col("package_id"), "generatedFiles": F.when(F.col("k") % 19 == 2, F.array(F.concat("path", F.lit("/src/f1.ts")))),
+        "unresolved": F.when(F.col("k") % 43 == 2, F.array(F.struct(F.lit("src/dyn.ts").alias("file"), F.lit("computed access").alias("reason")))),
+        "flags": F.when(F.col("k") % 47 == 4, F.array(F.struct(F.lit("namespace_dynamic").alias("flag"), F.lit("spread").alias("reason"), F.lit(None).cast("string").alias("file"), named.alias("targetPackage")))),
+    })
+    if more is not None:
+        side = side.join(more, "k", "left")
+    fields = packages.sparkSession.createDataFrame([], SIDECAR).schema
+    return side.select(*[F.col(f.name).cast(f.dataType) if f.name in side.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def occurrence_rows(spark: SparkSession, x: dict[str, DataFrame]) -> DataFrame:
+    return spark.sql(_OCCURRENCES, **{k: x[k] for k in _SHARED})
+
+
+@lru_cache(maxsize=4)
+def ingested(spark: SparkSession, sf_dir: str) -> Ingest:
+    """The ingest of the derived organisation's indexes."""
+    x = shared(spark, sf_dir)
+    return Ingest(x["packages"], x["package_deps"], index_of(x, occurrence_rows(spark, x)), sidecars_of(x), manifest_of(x["packages"]))
 
 
 _SYMBOL = "head || '. ' || descs"
@@ -111,10 +135,10 @@ UNION SELECT o.symbol_str, s.head || '. ' || s.descs, s.package_id, s.package_id
 }
 
 
-def oracle(final: str) -> str:
-    """SQL of a query: the derivation, the shared relations and what must come of them."""
-    names = {k: f"t_{k}" for k in ("o_file", "packages", "o_part", "o_ref")} | {k: k for k in _SHARED}
-    parts = [*oracle_parts(), *((k, sql.format(**names)) for k, sql in _SHARED.items()), *_EXPECTED.items()]
+def oracle(final: str, more: dict[str, str] | None = None) -> str:
+    """SQL of a query: the derivation, the shared relations (and ``more`` after them) and what must come of them."""
+    names = {k: f"t_{k}" for k in ("o_file", "packages", "o_part", "o_ref", "o_n")} | {k: k for k in (*_SHARED, *(more or {}))}
+    parts = [*oracle_parts(), *((k, sql.format(**names)) for k, sql in _SHARED.items()), *_EXPECTED.items(), *((k, sql.format(**names)) for k, sql in (more or {}).items())]
     needed, text = set(), final
     for name, sql in reversed(parts):
         if name in text:

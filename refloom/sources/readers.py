@@ -15,10 +15,16 @@ INDEX = (
     "occurrences:array<struct<symbol:string,symbolRoles:int,range:array<int>,enclosingRange:array<int>>>>>"
 )
 _AT = "entry:string,exportedAs:string,name:string,file:string,line:int,col:int"
+_IN = "file:string,line:int,col:int"
+_CHECKED = f"array<struct<{_IN},member:string,targetPackage:string,targetFile:string,targetLine:int,targetCol:int>>"
 SIDECAR = (
-    f"packageId string, entryPoints array<string>, generatedFiles array<string>, exports array<struct<{_AT},sites:array<struct<file:string,line:int,col:int>>,note:string>>,"
-    "entrySymbols array<struct<file:string,line:int,col:int,name:string,kind:string>>, unresolved array<struct<file:string,reason:string>>,"
-    "flags array<struct<flag:string,reason:string,file:string,targetPackage:string>>, unresolvedImports array<struct<module:string,name:string,file:string,line:int,col:int>>"
+    f"packageId string, entryPoints array<string>, missingEntryPoints array<string>, generatedFiles array<string>, exports array<struct<{_AT},sites:array<struct<{_IN}>>,note:string>>,"
+    f"entrySymbols array<struct<{_IN},name:string,kind:string>>, unresolved array<struct<file:string,reason:string>>,"
+    f"flags array<struct<flag:string,reason:string,file:string,targetPackage:string>>, unresolvedImports array<struct<module:string,name:string,{_IN}>>,"
+    f"namespaceMemberRefs {_CHECKED}, shorthandRefs {_CHECKED}, namespaceSpreadRefs array<struct<{_IN},targetPackage:string,targetFile:string>>,"
+    "unindexedImports array<struct<file:string,module:string,targetPackage:string,scope:string,relative:boolean,unresolved:boolean>>,"
+    f"deepImportExports array<struct<targetPackage:string,file:string,name:string,entry:string,exportedAs:string>>,"
+    f"conditionalImports array<struct<{_IN},target:string,alternatives:array<string>,directive:string>>"
 )
 INDEX_MANIFEST = "repo string, headSha string, status string, packages array<struct<packageId:string,indexer:string,indexerVersion:string,status:string,scip:string,exports:string,diagnostics:array<string>>>"
 ORG = "org string, repos array<struct<name:string,default_branch:string>>"

@@ -180,7 +180,7 @@ def test_invariants_catch_errors(spark):
 
 
 def test_interval_join_takes_the_innermost(spark):
-    from refloom.operators.ingest import enclosing_symbols
+    from refloom.operators.unseen import enclosing_symbols
 
     refs = spark.createDataFrame([(1, "p", "f", 5, 1, None), (2, "p", "f", 5, 1, 11), (3, "p", "f", 99, 0, None)], "ref_id long, package_id string, file string, line int, col int, own_symbol_id long")
     spans = spark.createDataFrame([("p", "f", 10, 0, 0, 50, 0, 0), ("p", "f", 11, 4, 0, 8, 0, 1), ("p", "f", 12, 4, 0, 8, 0, 2)], "package_id string, file string, symbol_id long, start_line int, start_col int, end_line int, end_col int, span_order int")
