@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OPENERS = {False: re.compile(r"//|/\*|['\"`]"), True: re.compile(r"//|/\*|'''|\"\"\"|['\"]")}
+#: What a literal's end is looked for among: its quote, escapes, and the end of line (short ones) or an interpolation (templates).
+_STOPS = {q: re.compile(rf"\\.|{q}" + (r"|\$\{" if q == "`" else "" if len(q) == 3 else r"|\n"), re.DOTALL) for q in ("'", '"', "`", "'''", '"""')}
+#: Code inside a literal, and the escapes that hide its marks.
+_HOLES = {False: re.compile(r"\\.|\$\{", re.DOTALL), True: re.compile(r"\\.|\$\{|\$[A-Za-z_]\w*", re.DOTALL)}
 _NOT_LINE_END = re.compile(r"[^\n]")
 _BRACE = re.compile(r"[{}]")
-_DOLLAR_NAME = re.compile(r"\$[A-Za-z_]\w*")
 _RAW = re.compile(r"(?:^|[^\w$])[rR]$")
+#: Characters before a literal that tell what it is.
+_BEFORE = 40
 # Words right before a literal that make it a module specifier, and the annotation whose literal names foreign code.
 _SPECIFIER = re.compile(r"(?:\bfrom|\bimport|\bexport|\bpart(?:\s+of)?|\brequire\s*\(|\bimport\s*\(|\bmodule)\s*$")
 _IMPORT = T.StructType([T.StructField("specifier", T.StringType()), T.StructField("line", T.IntegerType())])
@@ -27,10 +32,6 @@ _DEFAULTS = tuple(re.compile(p, re.DOTALL | re.ASCII) for p in (
 _FOREIGN_NAME = re.compile(r"@JS\s*\(\s*$")
 
 
-def _blank(text: str) -> str:
-    return _NOT_LINE_END.sub(" ", text)
-
-
 def _interpolation_end(text: str, at: int) -> int:
     """Past the brace that closes the one after the dollar at ``at``."""
     depth, end = 0, at + 1
@@ -43,80 +44,72 @@ def _interpolation_end(text: str, at: int) -> int:
 
 def _literal_end(text: str, start: int, quote: str) -> int:
     """Past the literal's closing quote, or where it breaks off (line end, or text end for long ones)."""
-    long_ = len(quote) == 3 or quote == "`"
     at = start + len(quote)
-    while at < len(text):
-        if text.startswith(quote, at):
-            return at + len(quote)
-        if text[at] == "\\":
-            at += 2
-        elif text[at] == "\n" and not long_:
-            return at
-        elif quote == "`" and text.startswith("${", at):
-            at = _interpolation_end(text, at)
-        else:
-            at += 1
+    while m := _STOPS[quote].search(text, at):
+        if m[0] == quote:
+            return m.end()
+        if m[0] == "\n":
+            return m.start()
+        at = _interpolation_end(text, m.start()) if m[0] == "${" else m.end()
     return len(text)
 
 
-def spans(text: str, dart: bool = False) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of comments and string literals, in order; what begins first is taken whole."""
-    out, at = [], 0
-    while m := _OPENERS[dart].search(text, at):
-        if m[0] == "//":
-            end = text.find("\n", m.end())
-        elif m[0] == "/*":
-            end = text.find("*/", m.end())
-            end = end + 2 if end >= 0 else end
-        else:
-            end = _literal_end(text, m.start(), m[0])
-        at = len(text) if end < 0 else end
-        out.append(("comment" if m[0][0] == "/" else "string", m.start(), at))
+def _holes(text: str, start: int, end: int, dart: bool) -> list[tuple[int, int]]:
+    """Interpolations within a literal."""
+    out, at = [], start
+    while m := _HOLES[dart].search(text, at, end):
+        at = min(end, _interpolation_end(text, m.start())) if m[0] == "${" else m.end()
+        if m[0][0] == "$":
+            out.append((m.start(), at))
     return out
 
 
-def _blank_literal(body: str, dart: bool, raw: bool) -> str:
-    """The literal as spaces but for interpolations, which are code."""
-    if raw or not (dart or body.startswith("`")):
-        return _blank(body)
-    out, at = [], 0
-    while at < len(body):
-        end, keep = at + 1, False
-        if body[at] == "\\":
-            end = at + 2
-        elif body.startswith("${", at):
-            end, keep = _interpolation_end(body, at), True
-        elif dart and (m := _DOLLAR_NAME.match(body, at)):
-            end, keep = m.end(), True
-        out.append(body[at:end] if keep else _blank(body[at:end]))
-        at = end
-    return "".join(out)
+def regions(text: str, dart: bool = False):
+    """Yields (kind, start, end) of what is no plain code, in order; what begins first is taken whole.
 
+    ``comment``; ``named``, a literal that names a module or foreign code; ``text``, characters
+    of any other literal, which its interpolations (code) divide.
+    """
+    at = 0
+    while m := _OPENERS[dart].search(text, at):
+        start, before = m.start(), text[max(0, m.start() - _BEFORE) : m.start()]
+        if m[0][0] == "/":
+            closing = "\n" if m[0] == "//" else "*/"
+            at = text.find(closing, m.end())
+            at = len(text) if at < 0 else at + (2 if closing == "*/" else 0)
+            yield "comment", start, at
+            continue
+        at = _literal_end(text, start, m[0])
+        if _SPECIFIER.search(before) or (dart and _FOREIGN_NAME.search(before)):
+            yield "named", start, at
+            continue
+        interpolated = dart and not _RAW.search(before) or m[0] == "`"
+        for hole, after in _holes(text, start, at, dart) if interpolated else ():
+            yield "text", start, hole
+            start = after
+        yield "text", start, at
 
-def blank_comments(text: str | None, dart: bool = False) -> str | None:
-    """Comments as spaces; what looks like one inside a string stays."""
+
+def _without(text: str | None, dart: bool, kind: str) -> str | None:
+    """``text`` with regions of a kind as spaces; line ends stay."""
     if text is None:
         return None
     out, at = [], 0
-    for kind, start, end in spans(text, dart):
-        if kind == "comment":
-            out += [text[at:start], _blank(text[start:end])]
+    for found, start, end in regions(text, dart):
+        if found == kind:
+            out += [text[at:start], _NOT_LINE_END.sub(" ", text[start:end])]
             at = end
     return "".join([*out, text[at:]])
 
 
+def blank_comments(text: str | None, dart: bool = False) -> str | None:
+    """Comments as spaces; what looks like one inside a string stays."""
+    return _without(text, dart, "comment")
+
+
 def blank_strings(text: str | None, dart: bool = False) -> str | None:
     """Strings as spaces; module specifiers, names of foreign code and interpolations stay."""
-    if text is None:
-        return None
-    out, at = [], 0
-    for kind, start, end in spans(text, dart):
-        before = text[max(0, start - 40) : start]
-        if kind == "comment" or _SPECIFIER.search(before) or (dart and _FOREIGN_NAME.search(before)):
-            continue
-        out += [text[at:start], _blank_literal(text[start:end], dart, dart and bool(_RAW.search(before)))]
-        at = end
-    return "".join([*out, text[at:]])
+    return _without(text, dart, "text")
 
 
 def default_imports(text: str) -> list[dict]:

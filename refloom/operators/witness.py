@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from refloom.functions import globs
 from refloom.functions.source_text import searched_text_udf
-from refloom.functions.text import bare_package, basename, dirname
+from refloom.functions.text import bare_package
+from refloom.operators.addresses import addresses, specifier_forms
 from refloom.operators.analysis import Analysis, anti, marked, semi
 from refloom.storage import materialize
 
@@ -86,82 +87,10 @@ def extension_members(a: Analysis, names: DataFrame) -> DataFrame:
     return anti(found, names, ["symbol_id", "token"])
 
 
-# --- which specifiers reach a symbol (npm) --------------------------------------------------
-
-
-def _path_stem(path: Column) -> Column:
-    return F.regexp_replace(path, r"(?:\.d)?\.[cm]?[jt]sx?$", "")
-
-
-def _last_stem(path: Column) -> Column:
-    """The last segment without its last extension."""
-    base = basename(path)
-    return F.when(base.rlike(r"^.+\.[^.]*$"), F.regexp_replace(base, r"\.[^.]*$", "")).otherwise(base)
-
-
-def _entry_form(path: Column) -> Column:
-    """A package path as an exports map and a source tree would both write it."""
-    bare = F.regexp_replace(_path_stem(F.regexp_replace(path, r"^\./", "")), r"^(?:(?:dist|lib|build|out|src|esm|cjs|types|es)/)+", "")
-    return F.regexp_replace(bare, r"(?:^|/)index$", "")
-
-
-def _same_entry(n: Column, want: Column) -> Column:
-    return (n == want) | n.endswith(F.concat(F.lit("/"), want)) | ((n != "") & want.endswith(F.concat(F.lit("/"), n)))
-
-
 def reaching_forms(a: Analysis, entries: DataFrame, manifests: DataFrame | None) -> DataFrame:
-    """symbol_id, form, value of specifiers that load one of the symbol's files; ``entries``: symbol_id, file.
-
-    form ``root`` is the bare package name, ``seg`` a specifier's last segment, ``path`` its
-    whole subpath. ``manifests``: package_id, key, target of every leaf of a package's exports
-    map (key ``.`` for main, module, types and a map without subpaths); a package without rows
-    has no readable manifest, so its bare name reaches every file (fail closed).
-    """
-    s = a.t["symbols"].select("symbol_id", "package_id")
-    p = a.t["packages"].select("package_id", "path")
-    e = entries.distinct().join(s, "symbol_id").join(p, "package_id")
-    base = F.when(F.col("path") == ".", F.lit("")).otherwise(F.concat("path", F.lit("/")))
-    e = e.withColumn("rel", F.when(F.col("path").isNotNull() & F.col("file").startswith(base), F.expr("substr(file, if(path = '.', 0, length(path) + 1) + 1)")))
-    e = e.withColumn("want", _entry_form(F.col("rel")))
-    base_name = _last_stem(F.col("file"))
-    parent = basename(dirname(F.col("file")))
-    no_src = _path_stem(F.regexp_replace("rel", "^src/", ""))
-    form = lambda f, v: F.struct(F.lit(f).alias("form"), v.alias("value"))
-    index = base_name == "index"
-    forms = F.array_compact(F.array(
-        form("seg", base_name), F.when(index & (parent != ""), form("seg", parent)), F.when(F.col("rel").isNull(), form("root", F.lit(""))),
-        F.when(F.col("rel").isNotNull(), form("path", no_src)), F.when(F.col("rel").isNotNull() & index, form("path", F.regexp_replace(no_src, r"(?:^|/)index$", ""))),
-    ))
-    found = e.select("symbol_id", F.inline(forms))
-    if manifests is None:
-        return found.unionByName(e.where("rel is not null").select("symbol_id", F.lit("root").alias("form"), F.lit("").alias("value"))).distinct()
-    unread = anti(e, manifests, "package_id").select("symbol_id", F.lit("root").alias("form"), F.lit("").alias("value"))
-    # a manifest that declares no entry falls back on an index file
-    declared = manifests.where("key = '.' and target is not null")
-    fallback = anti(semi(e, manifests, "package_id"), declared, "package_id").where("want = ''").select("symbol_id", F.lit("root").alias("form"), F.lit("").alias("value"))
-    k = manifests.where("target is not null").select("package_id", "key", "target")
-    met = e.where("rel is not null").select("package_id", "symbol_id", "want").distinct().join(k, "package_id")
-    key = F.regexp_replace("key", r"^\./?", "")
-    plain = met.where(~F.col("key").contains("*") & _same_entry(_entry_form(F.col("target")), F.col("want")))
-    plain = plain.select("symbol_id", F.when(F.col("key") == ".", "root").otherwise("path").alias("form"), F.when(F.col("key") == ".", F.lit("")).otherwise(_path_stem(key)).alias("value"))
-    # a pattern's star stands for what the file has in its place
-    star = met.where(F.col("key").contains("*") & F.col("target").contains("*")).withColumn("t", _entry_form(F.col("target")))
-    before, behind = F.substring_index("t", "*", 1), F.substring_index("t", "*", -1)
-    pattern = F.concat(F.lit(r"^(?:.*/)?\Q"), before, F.lit(r"\E(.+)\Q"), behind, F.lit(r"\E$"))
-    star = star.withColumn("part", F.get(F.regexp_extract_all("want", pattern, F.lit(1)), F.lit(0))).where("part <> ''")
-    star = star.select("symbol_id", F.lit("path").alias("form"), _path_stem(F.replace(key, F.lit("*"), F.col("part"))).alias("value"))
-    return found.unionByName(unread).unionByName(fallback).unionByName(plain).unionByName(star).distinct()
-
-
-def specifier_forms(imports: DataFrame) -> DataFrame:
-    """``imports`` (with subpath) with a row for each form that the specifier could be known by."""
-    whole = F.array_join(F.array_remove(F.split("subpath", "/"), ""), "/")
-    form = lambda f, v: F.struct(F.lit(f).alias("form"), v.alias("value"))
-    last = _last_stem(whole)
-    forms = F.when(F.col("subpath").isNull(), F.array(form("root", F.lit("")))).when(last == "", F.array(form("any", F.lit("")))).otherwise(
-        F.array_distinct(F.array(form("seg", last), form("path", whole), form("path", _path_stem(whole))))
-    )
-    return imports.select("*", F.inline(forms))
+    """symbol_id, form, value of specifiers that load one of the symbol's files (``entries``: symbol_id, file; see ``addresses``)."""
+    of = entries.distinct().join(a.t["symbols"].select("symbol_id", "package_id"), "symbol_id")
+    return addresses(of, a.t["packages"].select("package_id", "path"), manifests)
 
 
 # --- the search -----------------------------------------------------------------------------

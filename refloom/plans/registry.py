@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from refloom.operators import deps, invariants, report, witness
 from refloom.operators.analysis import Analysis
-from refloom.plans import testindex, testunseen
+from refloom.plans import testentries, testindex, testunseen
 from refloom.plans.oracles import oracle, relation, settled, with_dead
 from refloom.plans.testorg import analysis
 
@@ -243,11 +243,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _plain(*spec) for name, spec in PLAIN.items()}
     found.update({name: _on(build) for name, (build, _) in {**BUILT, **REPORT}.items()})
     found.update({name: _on(build) for name, build in UNCHECKED.items()})
-    return found | testindex.queries() | testunseen.queries()
+    return found | testindex.queries() | testunseen.queries() | testentries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: oracle(_joined_sql(relation(of), columns.split())) for name, (of, columns) in PLAIN.items()}
     found.update({name: oracle(sql) for name, (_, sql) in BUILT.items()})
     found.update({name: oracle(sql, more=_MORE) for name, (_, sql) in REPORT.items()})
-    return found | testindex.oracle_sql() | testunseen.oracle_sql()
+    return found | testindex.oracle_sql() | testunseen.oracle_sql() | testentries.oracle_sql()
