@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from refloom.operators import witness
 from refloom.operators.entries import Entries, exports_map, manifest_leaves
+from refloom.operators.runtime_entries import RuntimeEntries
 from refloom.plans.testorg import analysis
 
 #: Manifest of a package by its number modulo 8 (those of modulo 3 and 7 belong to the other manager).
@@ -52,6 +53,29 @@ def _manifest_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return witness.witness_hits(a, _pending(a), _seen(a), maps)
 
 
+#: By a package's number modulo 9: its manifest, and files beside its sources with their text.
+RUNTIME = {
+    0: ({"dependencies": {"next": "15"}}, {"pages/p.tsx": "", "lib/q.ts": ""}),
+    1: ({}, {"Dockerfile": 'FROM node\nWORKDIR /app\nCMD ["node", "/app/dist/f0.js"]'}),
+    2: ({}, {"index.html": '<script type="module" src="/src/f0.ts?v=1"></script>'}),
+    3: ({}, {"vite.config.ts": "export default { build: { rollupOptions: { input: { a: resolve(__dirname, 'src/f0.ts'), b: 'none.ts' } } } }"}),
+    4: ({}, {"webpack.config.js": "module.exports = { entry: './src/f0' }", "index.html": '<script src="dist/main.js"></script>'}),
+    5: ({}, {"rollup.config.mjs": "export default { input: 'src/f0.js' }"}),
+    6: ({"scripts": {"dev": "NODE_ENV=x tsx watch src/f1.ts", "e": "node -e 'x.js'"}}, {}),
+    7: ({}, {"wrangler.toml": 'main = "src/f0.ts"\n[x]\nmain = "src/f2.ts"', "functions/h.ts": "", "functions/h.test.ts": ""}),
+    8: ({"scripts": {"dev": "vite"}}, {"docs/x.html": '<script src="../src/f0.ts"></script>'}),
+}
+
+
+@lru_cache(maxsize=4)
+def runtime_entries(spark: SparkSession, sf_dir: str) -> RuntimeEntries:
+    t = analysis(spark, sf_dir).t
+    files = t["o_file"].join(t["packages"].select("package_id", "repo"), "package_id").select("repo", F.col("file").alias("path"), F.lit(None).cast("string").alias("text"))
+    extra = spark.createDataFrame([(v, path, text) for v, (_, more) in RUNTIME.items() for path, text in more.items()], "v long, rel string, text string")
+    extra = t["packages"].where("manager = 'npm'").withColumn("v", F.col("k") % 9).join(F.broadcast(extra), "v").select("repo", F.concat_ws("/", "path", "rel").alias("path"), "text")
+    return RuntimeEntries(_manifests(t["packages"], {f"k % 9 = {v}": m for v, (m, _) in RUNTIME.items()}), files.unionByName(extra))
+
+
 _FILES = "SELECT p.repo, p.path AS dir, p.k, f.f, f.file, substr(f.file, length(p.path) + 2) AS rel FROM t_packages p JOIN t_o_file f ON f.k = p.k WHERE p.manager = 'npm'"
 #: file number, manifest, whether it is run and not imported; the first manifest's pattern takes all sources.
 _WANTED = "(VALUES (0, 0, false), (0, 1, false), (1, 1, false), (0, 2, false), (2, 2, false), (0, 4, false), (1, 4, true), (0, 5, false), (1, 6, true), (2, 6, true)) w(n, v, run)"
@@ -61,11 +85,18 @@ UNION SELECT repo, dir, file, true, false, false FROM ({_FILES}) WHERE k % 8 = 1
     "s16_unresolved_entries": f"""SELECT repo, dir, './dist/gone.js' AS target FROM ({_FILES}) WHERE k % 8 = 5 AND f = 0 UNION ALL SELECT repo, dir, './lib/f1.js' FROM ({_FILES}) WHERE k % 8 = 1 AND f = 1 AND rel <> 'src/f1.ts'""",
 }
 
+#: manifest, file, what starts it, and whether the file is one of the derived ones (which may be missing).
+_STARTED = """(VALUES (0, 'pages/p.tsx', 'Next.js', false), (1, 'src/f0.ts', 'image', true), (2, 'src/f0.ts', 'page', true), (3, 'src/f0.ts', 'bundler', true), (4, 'src/f0.ts', 'webpack', true), (4, 'src/f0.ts', 'page', true),
+  (5, 'src/f0.ts', 'bundler', true), (6, 'src/f1.ts', 'script', true), (7, 'src/f0.ts', 'worker', true), (7, 'functions/h.ts', 'Cloudflare Pages Functions', false)) w(v, rel, what, derived)"""
+QUERIES["s17_runtime_entries"] = f"""SELECT p.repo, p.path AS dir, p.path || '/' || rel AS file, what FROM t_packages p JOIN {_STARTED} ON v = p.k % 9
+WHERE p.manager = 'npm' AND (NOT derived OR EXISTS (SELECT 1 FROM t_o_file f WHERE f.file = p.path || '/' || rel))"""
+
 
 def queries() -> dict:
     return {
         "s16_entry_points": lambda spark, sf_dir: entries(spark, sf_dir).found,
         "s16_unresolved_entries": lambda spark, sf_dir: entries(spark, sf_dir).unresolved,
+        "s17_runtime_entries": lambda spark, sf_dir: runtime_entries(spark, sf_dir).runtime,
         "w7_manifest_hits": _manifest_hits,
     }
 
