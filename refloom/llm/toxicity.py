@@ -29,8 +29,8 @@ from refloom.llm.quality_classifier import fold
 MAX_EXAMPLES, BLOCK, K = 2_000, 32, 8
 #: Rows of example texts at most (ids may repeat with other texts), the first by a hash of the id, then by contents.
 EXAMPLE_ROWS = 4 * MAX_EXAMPLES
-#: Blocks scored before any is skipped.
-FIRST = 4
+#: Blocks scored before any is skipped. Terms that one example in so many has are rows of a matrix instead of posting lists.
+FIRST, DENSE = 4, 8
 #: A vote weighs the cosine to this power; votes of the base rate, in neighbours.
 POWER, PRIOR = 3, 0.5
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -61,7 +61,12 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples as posting lists in blocks, with each block's largest weights."""
+    """Unit TF-IDF vectors of the examples as posting lists in blocks, with each block's largest weights.
+
+    Lists of very common terms would be nearly as long as the examples, so those are rows of a
+    matrix, multiplied for many queries at once; a block's bound adds up what the matrix gives its
+    examples exactly and the lists' largest weights.
+    """
 
     def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, counts: list, weights: tuple[float, float]):
         self.vocabulary, self.idf = vocabulary, idf
@@ -80,6 +85,14 @@ class Index:
         terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)])
         owner = np.repeat(np.arange(len(found)), [len(t) for t, _ in found])
         values = np.concatenate([np.zeros(0), *(w for _, w in found)])
+        common = np.flatnonzero(np.bincount(terms, minlength=len(idf)) * DENSE > len(found))
+        #: Row of each common term in the matrix (-1: it has posting lists).
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        held = self.row[terms] >= 0
+        self.matrix = np.zeros((len(common), len(found)))
+        self.matrix[self.row[terms[held]], owner[held]] = values[held]
+        terms, owner, values = terms[~held], owner[~held], values[~held]
         o = np.lexsort((owner, terms))
         terms, block = terms[o], owner[o] // BLOCK
         self.owner, self.value = owner[o].astype(np.int32), values[o]
@@ -110,20 +123,24 @@ class Index:
         out = np.zeros((len(self.ids), len(self.idf)))
         part = np.repeat(np.arange(len(self.idf)), np.diff(self.parts))
         out[self.owner, np.repeat(part, np.diff(self.starts))] = self.value
+        out[:, np.flatnonzero(self.row >= 0)] = self.matrix.T
         return out
 
-    def _cosines(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Cosines with the examples; exact where they can be among the K largest, else 0."""
+    def _cosines(self, terms: np.ndarray, weights: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Cosines with the examples, of which ``common`` is the common terms' part; exact where they can be among the K largest, else 0."""
+        listed = self.row[terms] < 0
+        terms, weights = terms[listed], weights[listed]
         a, b = self.parts[terms], self.parts[terms + 1]
         part, q = _ranges(a, b), np.repeat(weights, b - a)
         block = self.block[part]
-        bound = np.bincount(block, self.best[part] * q, minlength=self.blocks)
+        bound = np.bincount(block, self.best[part] * q, minlength=self.blocks) + np.maximum.reduceat(common, np.arange(0, len(common), BLOCK))
 
         def scored(chosen: np.ndarray) -> np.ndarray:
             held = chosen[block]
             a, b = self.starts[part[held]], self.starts[part[held] + 1]
             at = _ranges(a, b)
-            return np.bincount(self.owner[at], self.value[at] * np.repeat(q[held], b - a), minlength=len(self.ids))
+            lists = np.bincount(self.owner[at], self.value[at] * np.repeat(q[held], b - a), minlength=len(self.ids))
+            return np.where(np.repeat(chosen, BLOCK)[: len(self.ids)], lists + common, 0.0)
 
         first = np.zeros(self.blocks, bool)
         first[np.argsort(-bound, kind="stable")[:FIRST]] = True
@@ -138,10 +155,14 @@ class Index:
         cosines, found = np.zeros((n, K)), np.full((n, K), -1)
         if not self.blocks:
             return cosines, found
+        queries = [q if isinstance(q, tuple) else (np.flatnonzero(q), q[np.flatnonzero(q)]) for q in queries]
+        weights = np.zeros((n, len(self.matrix)))
+        for i, (terms, w) in enumerate(queries):
+            row = self.row[terms]
+            weights[i, row[row >= 0]] = w[row >= 0]
+        common = weights @ self.matrix
         for i, query in enumerate(queries):
-            if not isinstance(query, tuple):
-                query = (np.flatnonzero(query), query[np.flatnonzero(query)])
-            all_ = self._cosines(*query)
+            all_ = self._cosines(*query, common[i])
             least = np.partition(all_, -K)[-K] if len(all_) >= K else 0.0
             near = np.flatnonzero((all_ >= least) & (all_ > 1e-12))
             near = near[np.argsort(-all_[near], kind="stable")[:K]]
@@ -218,16 +239,13 @@ def _idf(texts: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rows = shared.value, 0
-        n = np.zeros(len(own), np.int64)
+        own, rows, n = shared.value, 0, Counter()
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0).to_pylist():
-                if text:
-                    for w in own.keys() & set(words(text)):
-                        n[own[w]] += 1
-        k = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(np.append(k, -1)), pa.array(np.append(n[k], rows))], names=["k", "n"])
+                n.update(own.keys() & set(words(text)))
+        at, counts = [own[w] for w in n], list(n.values())
+        yield pa.record_batch([pa.array([*at, -1], pa.int64()), pa.array([*counts, rows], pa.int64())], names=["k", "n"])
 
     found = texts.select("tx_text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     k, n = (found.column(c).to_numpy().astype(np.int64) for c in ("k", "n"))
