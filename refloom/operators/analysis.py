@@ -598,4 +598,4 @@ class Analysis:
             .when(F.col("moved"), "moved_at_head")
             .otherwise("version_skew")
         )
-        return out.select("consumer_package_id", "target_package_id", "symbol_str", "file", "line", "col", found.alias("class"))
+        return materialize(out.select("consumer_package_id", "target_package_id", "symbol_str", "file", "line", "col", found.alias("class")))

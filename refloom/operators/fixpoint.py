@@ -3,33 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.storage import materialize_counted
+from refloom.storage import materialize, materialize_counted
 
 #: A package with more edges than this is walked by distributed rounds instead of in one task.
 PACKAGE_EDGES = 500_000
 
 
+#: Written parts of equal age that are merged into one.
+MERGED = 4
+
+
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Least set that holds ``seed`` and is closed under ``step`` (semi-naive rounds).
 
     Each round joins only the rows that the last one added, drops what is known by an anti
-    join and writes the rest, so neither plans nor lineage grow. Cycles end because
-    nothing new appears.
+    join and writes the rest. What is known lies in parts; as soon as MERGED parts have taken in
+    equally many rounds they are written as one. So after n rounds the anti join reads some
+    log n tables, each row is rewritten some log n times, and plans and lineage do not grow
+    with the rounds. Cycles end because nothing new appears.
     """
     columns = seed.columns
     frontier, counts = materialize_counted(seed.distinct())
-    known = frontier
+    parts = [(0, frontier)]
     while counts["rows"]:
-        new = step(frontier).select(*columns).distinct().join(known, columns, "left_anti")
+        new = step(frontier).select(*columns).distinct().join(_union(parts), columns, "left_anti")
         frontier, counts = materialize_counted(new)
-        known = known.unionByName(frontier)
-    return known
+        parts.append((0, frontier))
+        while len(parts) >= MERGED and len({age for age, _ in parts[-MERGED:]}) == 1:
+            parts[-MERGED:] = [(parts[-1][0] + 1, materialize(_union(parts[-MERGED:])))]
+    return _union(parts)
+
+
+def _union(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (df for _, df in parts))
 
 
 def _walk(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> np.ndarray:

@@ -237,3 +237,22 @@ def test_every_verdict_class_on_the_derived_organisation(spark):
         pytest.skip("no tables")
     counts = {r["verdict"]: r["count"] for r in analysis(spark, sf).findings.groupBy("verdict").count().collect()}
     assert {"needs_review", "unexport_candidate", "blocked", "private_dead"} <= set(counts)
+
+
+@pytest.mark.parametrize("merged", [2, 4])
+def test_fixpoint_of_a_chain_keeps_few_parts(spark, monkeypatch, merged):
+    """A cycle with a long tail: every node once, and no more tables read than the logarithm of the rounds allows."""
+    from refloom.operators import fixpoint as module
+
+    monkeypatch.setattr(module, "MERGED", merged)
+    most, union = [0], module._union
+
+    def counted(parts):
+        most[0] = max(most[0], len(parts))
+        return union(parts)
+
+    monkeypatch.setattr(module, "_union", counted)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(24)] + [(24, 5)], "src long, dst long")
+    found = module.fixpoint(spark.createDataFrame([(0,), (0,)], "node long"), lambda f: f.join(edges, f["node"] == edges["src"]).select(edges["dst"].alias("node")))
+    assert sorted(r["node"] for r in found.collect()) == list(range(25))
+    assert most[0] <= (5 if merged == 2 else 8)
