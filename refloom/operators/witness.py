@@ -15,6 +15,7 @@ from refloom.functions.source_text import searched_text_udf
 from refloom.functions.text import bare_package
 from refloom.operators.addresses import addresses, specifier_forms
 from refloom.operators.analysis import Analysis, anti, marked, semi
+from refloom.operators.quoted import quoted_hits
 from refloom.storage import materialize
 
 MAX_REASONS = 5
@@ -107,7 +108,7 @@ def _reached(imports: DataFrame, forms: DataFrame, named: DataFrame) -> DataFram
 
 
 def witness_hits(a: Analysis, pending: DataFrame, files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
-    """symbol_id, package_id (``self`` for the symbol's own package), file, line of text that may use a symbol under review.
+    """symbol_id, package_id (``self`` for the symbol's own package, ``self-string`` for its own literals), file, line of text that may use a symbol under review.
 
     ``files``: package_id, file, text (null: could not be read) of every checkout; only code
     files are searched, without comments, and in files that the index saw without strings.
@@ -186,7 +187,8 @@ def witness_hits(a: Analysis, pending: DataFrame, files: DataFrame, manifests: D
     place = base.select("symbol_id", F.col("own_file").alias("file"), (F.col("line") + 1).alias("line"))
     found = found.where(tests & docs)
     found = found.where("not own").unionByName(anti(found.where("own"), place, ["symbol_id", "file", "line"]))
-    return found.select("symbol_id", _label().alias("package_id"), "file", "line").unionByName(unread).unionByName(lost).distinct()
+    quoted = quoted_hits(a, names.where("member_id is null"), files)
+    return found.select("symbol_id", _label().alias("package_id"), "file", "line").unionByName(unread).unionByName(lost).unionByName(quoted).distinct()
 
 
 def _label() -> Column:

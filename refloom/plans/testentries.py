@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from refloom.operators import witness
 from refloom.operators.entries import Entries, exports_map, manifest_leaves
+from refloom.operators.quoted import quoted_hits
 from refloom.operators.runtime_entries import RuntimeEntries
 from refloom.plans.testorg import analysis
 
@@ -76,6 +77,26 @@ def runtime_entries(spark: SparkSession, sf_dir: str) -> RuntimeEntries:
     return RuntimeEntries(_manifests(t["packages"], {f"k % 9 = {v}": m for v, (m, _) in RUNTIME.items()}), files.unionByName(extra))
 
 
+def _quoting(a) -> DataFrame:
+    """A file of each package whose literals quote its symbols: generated code (in every other package), a message, a list, an import clause."""
+    p = a.t["packages"].crossJoin(F.broadcast(a.t["o_n"]))
+    sym = lambda i: F.concat(F.lit("sym"), (F.col("k") + i * F.col("ns")).cast("string"))
+    made = F.concat(F.lit("const t = `import { "), sym(0), F.lit(" } from '"), F.col("name"), F.lit("'`;"))
+    lines = [
+        F.when(F.col("k") % 2 == 0, made).otherwise("const t = 1;"),
+        F.concat(F.lit("console.warn(\"import { "), sym(2), F.lit(" } from '"), F.col("name"), F.lit("'\");")),
+        F.concat(F.lit("const names = [\""), sym(4), F.lit("\", \""), sym(1), F.lit(" x\"];")),
+        F.concat(F.lit("const c = \"x as "), sym(6), F.lit("\"; // \""), sym(4), F.lit("\"")),
+    ]
+    return p.where("manager = 'npm'").select("package_id", F.lit("src/quote.ts").alias("file"), F.concat_ws("\n", *lines).alias("text"))
+
+
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = analysis(spark, sf_dir)
+    names = a.t["symbols"].where("parent_symbol_id is null and is_exported").select("symbol_id", F.col("package_id").alias("target_package_id"), F.col("name").alias("token"))
+    return quoted_hits(a, names, _quoting(a))
+
+
 _FILES = "SELECT p.repo, p.path AS dir, p.k, f.f, f.file, substr(f.file, length(p.path) + 2) AS rel FROM t_packages p JOIN t_o_file f ON f.k = p.k WHERE p.manager = 'npm'"
 #: file number, manifest, whether it is run and not imported; the first manifest's pattern takes all sources.
 _WANTED = "(VALUES (0, 0, false), (0, 1, false), (1, 1, false), (0, 2, false), (2, 2, false), (0, 4, false), (1, 4, true), (0, 5, false), (1, 6, true), (2, 6, true)) w(n, v, run)"
@@ -91,6 +112,10 @@ _STARTED = """(VALUES (0, 'pages/p.tsx', 'Next.js', false), (1, 'src/f0.ts', 'im
 QUERIES["s17_runtime_entries"] = f"""SELECT p.repo, p.path AS dir, p.path || '/' || rel AS file, what FROM t_packages p JOIN {_STARTED} ON v = p.k % 9
 WHERE p.manager = 'npm' AND (NOT derived OR EXISTS (SELECT 1 FROM t_o_file f WHERE f.file = p.path || '/' || rel))"""
 
+QUERIES["w11_quoted_names"] = """SELECT s.symbol_id, h.package_id, 'src/quote.ts' AS file, h.line FROM t_symbols s JOIN t_packages p USING (package_id) JOIN t_o_part o ON o.id = s.symbol_id
+JOIN (VALUES (0, 'self', 1, true), (0, 'self-string', 1, true), (4, 'self-string', 3, true), (6, 'self-string', 4, false)) h(idx, package_id, line, made) ON h.idx = o.idx AND (p.k % 2 = 0 OR NOT made)
+WHERE p.manager = 'npm' AND s.is_exported AND s.name = 'sym' || s.symbol_id"""
+
 
 def queries() -> dict:
     return {
@@ -98,6 +123,7 @@ def queries() -> dict:
         "s16_unresolved_entries": lambda spark, sf_dir: entries(spark, sf_dir).unresolved,
         "s17_runtime_entries": lambda spark, sf_dir: runtime_entries(spark, sf_dir).runtime,
         "w7_manifest_hits": _manifest_hits,
+        "w11_quoted_names": _quoted,
     }
 
 
