@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from refloom.storage import shared_dir
+
 #: White space between words, as a regular-expression class body and as characters.
 WS_CLASS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -25,20 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names. Only a local master gets one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = tempfile.mkdtemp(prefix="stage-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return f"file://{own}"
-
-
 #: Stages written since the outermost ``spent_stages`` began: schema and path.
 _made: list[list[tuple[StructType, str]]] = []
 
