@@ -10,8 +10,7 @@ Rows (classes of equal sets) that surviving pairs connect are dealt into units o
 size, each row once. A unit is one block of the product over whole rows: overlap counts
 accumulate column by column and decide every link between components, so no pair is
 written, and a row is multiplied only with rows outside its component. The next round turns
-to other hubs; the last one meets whatever still crosses both components and units, as soon as
-that is no more work than reading the entries again.
+to other hubs; the last one meets whatever still crosses both components and units.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -40,7 +39,7 @@ MAX_COMMON = 2_000_000
 FLUSH = 750_000
 #: Bytes of text for a block of columns.
 BLOCK_BYTES = 8 << 20
-#: Rounds that meet hubs at most (they end when what still crosses is little, or one meets under a twentieth of the first's pairs), and hubs of a shingle in each but the first. From the second round on, a shingle that more
+#: Rounds that meet hubs at most (they end when one meets under a twentieth of the first's pairs), and hubs of a shingle in each but the first. From the second round on, a shingle that more
 #: rows have than CROWDED sends them to its hub's group whether or not they share enough with the hub.
 HUB_ROUNDS, HUBS, CROWDED = 6, 4, 64
 #: Rows and entries (8 bytes each) of a unit at most, on average.
@@ -463,32 +462,29 @@ def _all_links(docs: DataFrame, reps: DataFrame, postings: DataFrame, comps: Dat
     return _verified(pairs, sets).where("linked").select("a", "b")
 
 
-def _ranked(postings: DataFrame, place: DataFrame, alone: bool) -> tuple[DataFrame, float]:
-    """token, main, f, outside of shingles with several labels (written), and how many pairs of rows a crossing of them compares at most.
+def _ranked(postings: DataFrame, place: DataFrame | None) -> DataFrame:
+    """token, main, f of shingles with several labels (written; no place: every class is its own).
 
     f counts the shingle's rows, main is the label that most classes have of all shingles, so
-    that two large groups that share shingles do not change places; outside counts rows of
-    other labels. ``alone``: every class has its own label.
+    that two large groups that share shingles do not change places.
     """
-    known = postings.select("token", "cls").join(place.select("cls", "label", "held"), "cls")
-    if alone:
-        top = known.groupBy("token").agg(F.max("label").alias("main"), F.min("label").alias("lo"), F.count("*").alias("f")).where("lo < main").select("token", "main", "f", (F.col("f") - 1).alias("outside"))
+    if place is None:
+        known = postings.select("token", F.col("cls").alias("label"), F.lit(1).cast("long").alias("held"))
     else:
-        labels = known.groupBy("token", "label").agg(F.count("*").alias("count"), F.max("held").alias("held"))
-        top = labels.groupBy("token").agg(F.max(F.struct("held", "label", "count")).alias("top"), F.count("*").alias("labels"), F.sum("count").alias("f")).where("labels > 1")
-        top = top.select("token", F.col("top.label").alias("main"), "f", (F.col("f") - F.col("top.count")).alias("outside"))
-    seen = Observation()
-    out = stage(top.observe(seen, F.sum(F.col("f").cast("double") * F.col("outside")).alias("pairs")))
-    return out, seen.get["pairs"] or 0.0
+        known = postings.select("token", "cls").join(place.select("cls", "label", "held"), "cls")
+    top = known.groupBy("token").agg(F.max(F.struct("held", "label")).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("f"))
+    return stage(top.where("lo < hi").select("token", F.col("top.label").alias("main"), "f"))
 
 
-def _sided(postings: DataFrame, place: DataFrame, top: DataFrame) -> DataFrame:
-    """token, f, main, inner and the columns of ``place`` of the shingles in ``top``.
+def _sided(postings: DataFrame, place: DataFrame | None, top: DataFrame) -> DataFrame:
+    """token, f, main, inner and the columns of ``place`` of the shingles in ``top`` (no place: every class is its own).
 
     What is inner (of the main label) hangs together or was compared before, so only the rest
     needs partners: a group of near copies makes no pairs of its own.
     """
-    return postings.select("token", "cls").join(place, "cls").join(top.select("token", "main", "f"), "token").withColumn("inner", F.col("label") == F.col("main"))
+    own = F.col("cls")
+    rows = postings.select("token", "cls", "n", own.alias("comp"), own.alias("cell"), own.alias("label")) if place is None else postings.select("token", "cls").join(place, "cls")
+    return rows.join(top.select("token", "main", "f"), "token").withColumn("inner", F.col("label") == F.col("main"))
 
 
 def _hub_pairs(postings: DataFrame, place: DataFrame, top: DataFrame, round_: int) -> DataFrame:
@@ -499,7 +495,7 @@ def _hub_pairs(postings: DataFrame, place: DataFrame, top: DataFrame, round_: in
     one component or one unit before held both.
     """
     seeds = [F.lit(round_ * HUBS + k) for k in range(HUBS if round_ else 1)]
-    rows = _sided(postings, place, top)
+    rows = _sided(postings, place if round_ else None, top)
     # combined before the shuffle and written, so that a crowded shingle's rows join one row
     least = stage(rows.where("inner").groupBy("token").agg(*[F.min(F.xxhash64("cls", x)).alias(f"hub{k}") for k, x in enumerate(seeds)]))
     met = rows.where("not inner").select("token", "cls", (F.col("f") > CROWDED).alias("crowded")).join(least, "token")
@@ -513,7 +509,7 @@ def _hub_pairs(postings: DataFrame, place: DataFrame, top: DataFrame, round_: in
     return met.groupBy("cls").agg(F.max(F.struct("enough", "count", "b")).alias("best")).select(F.col("cls").alias("a"), "best.b")
 
 
-def _crossing_pairs(postings: DataFrame, place: DataFrame, top: DataFrame) -> DataFrame:
+def _crossing_pairs(postings: DataFrame, place: DataFrame | None, top: DataFrame) -> DataFrame:
     """a < b: every pair that the bounds allow and that neither a component nor a unit has settled.
 
     Rows meet under a shingle by bands of size (partners lie in the same or the next one) and
@@ -562,12 +558,15 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     comps = cells = groups = None
     sharing = stage(postings.select("cls").distinct().join(reps.select("cls", "n"), "cls"))
     round_, begun, met, last = 0, 0, 0, not entries
+    left = postings
     while not last:
+        last = round_ == HUB_ROUNDS or (round_ > 0 and not met) or (round_ > 1 and 20 * met <= begun)
         place = _placed(sharing, comps, cells)
-        top, crossing = _ranked(postings, place, not round_)
-        # a crossing is the last round: as soon as it is no more work than reading the entries again, or hubs hardly meet any more
-        last = crossing <= entries or round_ == HUB_ROUNDS or (round_ > 0 and not met) or (round_ > 1 and 20 * met <= begun)
-        pairs, n = counted_stage(_crossing_pairs(postings, place, top) if last else _hub_pairs(postings, place, top, round_))
+        top = _ranked(left, place if round_ else None)
+        if round_:
+            # a shingle of one label is settled for good: all its classes hang together or were compared
+            left = stage(left.join(top.select("token"), "token", "left_semi"))
+        pairs, n = counted_stage(_crossing_pairs(left, place if round_ else None, top) if last else _hub_pairs(left, place, top, round_))
         begun, met, round_ = begun if round_ else n, n, round_ + 1
         if not n:
             continue
