@@ -15,6 +15,7 @@ from refloom.functions.source_text import searched_text_udf
 from refloom.functions.text import bare_package
 from refloom.operators.addresses import addresses, specifier_forms
 from refloom.operators.analysis import Analysis, anti, marked, semi
+from refloom.operators.crossing import crossing_hits
 from refloom.operators.quoted import quoted_hits
 from refloom.storage import materialize
 
@@ -187,8 +188,9 @@ def witness_hits(a: Analysis, pending: DataFrame, files: DataFrame, manifests: D
     place = base.select("symbol_id", F.col("own_file").alias("file"), (F.col("line") + 1).alias("line"))
     found = found.where(tests & docs)
     found = found.where("not own").unionByName(anti(found.where("own"), place, ["symbol_id", "file", "line"]))
-    quoted = quoted_hits(a, names.where("member_id is null"), files)
-    return found.select("symbol_id", _label().alias("package_id"), "file", "line").unionByName(unread).unionByName(lost).unionByName(quoted).distinct()
+    own_names = names.where("member_id is null")
+    more = quoted_hits(a, own_names, files).unionByName(crossing_hits(a, own_names, files))
+    return found.select("symbol_id", _label().alias("package_id"), "file", "line").unionByName(unread).unionByName(lost).unionByName(more).distinct()
 
 
 def _label() -> Column:

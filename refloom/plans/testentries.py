@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.operators import witness
+from refloom.operators.crossing import crossing_hits
 from refloom.operators.entries import Entries, exports_map, manifest_leaves
 from refloom.operators.quoted import quoted_hits
 from refloom.operators.runtime_entries import RuntimeEntries
@@ -97,6 +98,21 @@ def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quoted_hits(a, names, _quoting(a))
 
 
+def _crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ways: packages of the second manager call scripts (every other file does) and hand themselves over (those of every eighth number)."""
+    a = analysis(spark, sf_dir)
+    p = a.t["packages"].crossJoin(F.broadcast(a.t["o_n"])).select("package_id", "repo", "path", "manager", "k", "ns")
+    sym = lambda k, i: F.concat(F.lit("sym"), (k + i * F.col("ns")).cast("string"))
+    other = p.select("repo", F.col("manager").alias("other_manager"), F.col("k").alias("j"))
+    met = p.join(other, "repo").where("manager <> other_manager").groupBy("package_id", "path", "manager", "k", "ns").agg(F.min("j").alias("j"))
+    use = F.concat(F.lit("// "), sym(F.col("j"), 2), F.lit("\nfinal x = '"), sym(F.col("j"), 0), F.lit(".start';"))
+    dart = met.where("manager = 'pub'").select("package_id", F.lit("lib/bridge.dart").alias("file"), F.concat(F.when(F.col("k") % 8 == 3, F.lit("import 'dart:js';\n")).otherwise("\n"), use).alias("text"))
+    script = met.where("manager = 'npm'").select("package_id", F.lit("src/bridge.js").alias("file"), F.concat(F.lit("\n"), use).alias("text"))
+    own = a.t["o_file"].where("f = 0").join(p.select("package_id", "manager"), "package_id").where("manager = 'pub' and file like '%.dart'").select("package_id", "file", F.when(F.col("k") % 8 == 7, F.lit("@JSExport\nclass X {}")).otherwise("// @JSExport").alias("text"))
+    names = a.t["symbols"].where("parent_symbol_id is null and is_exported").select("symbol_id", F.col("package_id").alias("target_package_id"), F.col("name").alias("token"))
+    return crossing_hits(a, names, dart.unionByName(script).unionByName(own))
+
+
 _FILES = "SELECT p.repo, p.path AS dir, p.k, f.f, f.file, substr(f.file, length(p.path) + 2) AS rel FROM t_packages p JOIN t_o_file f ON f.k = p.k WHERE p.manager = 'npm'"
 #: file number, manifest, whether it is run and not imported; the first manifest's pattern takes all sources.
 _WANTED = "(VALUES (0, 0, false), (0, 1, false), (1, 1, false), (0, 2, false), (2, 2, false), (0, 4, false), (1, 4, true), (0, 5, false), (1, 6, true), (2, 6, true)) w(n, v, run)"
@@ -116,6 +132,11 @@ QUERIES["w11_quoted_names"] = """SELECT s.symbol_id, h.package_id, 'src/quote.ts
 JOIN (VALUES (0, 'self', 1, true), (0, 'self-string', 1, true), (4, 'self-string', 3, true), (6, 'self-string', 4, false)) h(idx, package_id, line, made) ON h.idx = o.idx AND (p.k % 2 = 0 OR NOT made)
 WHERE p.manager = 'npm' AND s.is_exported AND s.name = 'sym' || s.symbol_id"""
 
+QUERIES["w13_crossing_hits"] = """SELECT s.symbol_id, c.package_id, CASE c.manager WHEN 'pub' THEN 'lib/bridge.dart' ELSE 'src/bridge.js' END AS file, 3 AS line
+FROM (SELECT p.package_id, p.manager, p.k, min(o.k) AS j FROM t_packages p JOIN t_packages o ON o.repo = p.repo AND o.manager <> p.manager GROUP BY ALL) c
+JOIN t_symbols s ON s.symbol_id = c.j JOIN t_o_file f ON f.k = c.j AND f.f = 0
+WHERE s.is_exported AND s.name = 'sym' || s.symbol_id AND CASE c.manager WHEN 'pub' THEN c.k % 8 = 3 ELSE c.j % 8 = 7 AND ends_with(f.file, '.dart') END"""
+
 
 def queries() -> dict:
     return {
@@ -124,6 +145,7 @@ def queries() -> dict:
         "s17_runtime_entries": lambda spark, sf_dir: runtime_entries(spark, sf_dir).runtime,
         "w7_manifest_hits": _manifest_hits,
         "w11_quoted_names": _quoted,
+        "w13_crossing_hits": _crossing,
     }
 
 
