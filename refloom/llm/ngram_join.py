@@ -39,7 +39,7 @@ MAX_COMMON = 2_000_000
 FLUSH = 750_000
 #: Bytes of text for a block of columns.
 BLOCK_BYTES = 8 << 20
-#: Rounds that meet hubs at most (they end when one meets under a twentieth of the first's pairs), and hubs of a shingle in each but the first. From the second round on, a shingle that more
+#: Rounds that meet hubs at most (they end when one meets under a tenth of the first's pairs), and hubs of a shingle in each but the first. From the second round on, a shingle that more
 #: rows have than CROWDED sends them to its hub's group whether or not they share enough with the hub.
 HUB_ROUNDS, HUBS, CROWDED = 6, 4, 64
 #: Rows and entries (8 bytes each) of a unit at most, on average.
@@ -496,8 +496,7 @@ def _hub_pairs(postings: DataFrame, place: DataFrame, top: DataFrame, round_: in
     """
     seeds = [F.lit(round_ * HUBS + k) for k in range(HUBS if round_ else 1)]
     rows = _sided(postings, place if round_ else None, top)
-    # combined before the shuffle and written, so that a crowded shingle's rows join one row
-    least = stage(rows.where("inner").groupBy("token").agg(*[F.min(F.xxhash64("cls", x)).alias(f"hub{k}") for k, x in enumerate(seeds)]))
+    least = rows.where("inner").groupBy("token").agg(*[F.min(F.xxhash64("cls", x)).alias(f"hub{k}") for k, x in enumerate(seeds)])
     met = rows.where("not inner").select("token", "cls", (F.col("f") > CROWDED).alias("crowded")).join(least, "token")
     met = met.select("cls", "crowded", F.posexplode(F.array(*[f"hub{k}" for k in range(len(seeds))])).alias("seed", "hub"))
     met = met.groupBy("cls", "seed", "hub").agg(F.count("*").alias("count"), F.bool_or("crowded").alias("crowded"))
@@ -560,11 +559,11 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     round_, begun, met, last = 0, 0, 0, not entries
     left = postings
     while not last:
-        last = round_ == HUB_ROUNDS or (round_ > 0 and not met) or (round_ > 1 and 20 * met <= begun)
+        last = round_ == HUB_ROUNDS or (round_ > 0 and not met) or (round_ > 1 and 10 * met <= begun)
         place = _placed(sharing, comps, cells)
         top = _ranked(left, place if round_ else None)
-        if round_:
-            # a shingle of one label is settled for good: all its classes hang together or were compared
+        if round_ == 1:
+            # a shingle of one label is settled for good: all its classes hang together or were compared (most are after the first round)
             left = stage(left.join(top.select("token"), "token", "left_semi"))
         pairs, n = counted_stage(_crossing_pairs(left, place if round_ else None, top) if last else _hub_pairs(left, place, top, round_))
         begun, met, round_ = begun if round_ else n, n, round_ + 1
@@ -603,9 +602,9 @@ def _placed(sharing: DataFrame, comps: DataFrame | None, cells: DataFrame | None
     place = place.select("cls", "n", F.coalesce("comp", "cls").alias("comp"), F.coalesce("cell", "cls").alias("cell"))
     if comps is None and cells is None:
         return place.select("*", F.col("cls").alias("label"), F.lit(1).cast("long").alias("held"))
-    wide = stage(place.groupBy("comp").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo < hi").select("comp", F.lit(True).alias("wide")))
+    wide = place.groupBy("comp").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo < hi").select("comp", F.lit(True).alias("wide"))
     place = place.join(wide, "comp", "left").select("cls", "n", "comp", "cell", F.when(F.col("wide"), F.col("comp")).otherwise(F.col("cell")).alias("label"))
-    held = stage(place.groupBy("label").agg(F.count("*").alias("held")))
+    held = place.groupBy("label").agg(F.count("*").alias("held"))
     return stage(place.join(held, "label").select("cls", "n", "comp", "cell", "label", "held"))
 
 
