@@ -1,9 +1,12 @@
 """What must not depend on how large an organisation is."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from refloom.functions.semver import satisfies
 from refloom.operators import deps
+from refloom.plans import registry, testorg
 
 
 def test_constraints_meet_versions_not_candidates(spark, monkeypatch):
@@ -36,3 +39,33 @@ def test_resolution_takes_the_first_rule_that_leaves_one(spark):
         "a": ("one", "name", False), "b": ("near", "same-repo", False), "c": ("open", "published", False), "d": ("new", "constraint", False),
         "e": (None, None, True), "x": ("one", "name", False), "none": (None, None, False),
     }
+
+
+def _tables(**rows):
+    con = duckdb.connect()
+    for name, sql in rows.items():
+        con.sql(f"CREATE TABLE {name} AS {sql}")
+    return con
+
+
+def test_modules_never_have_the_id_of_a_part():
+    con = _tables(supplier="SELECT range AS s_suppkey, 0 AS s_nationkey FROM range(30)", nation="SELECT 0 AS n_nationkey, 'N' AS n_name", part="SELECT range AS p_partkey FROM range(1300000)", lineitem="SELECT 0 AS l_orderkey WHERE false")
+    parts = ", ".join(f"{n} AS ({sql})" for n, sql in testorg.oracle_parts() if n in ("t_o_pkg", "t_packages", "t_o_file"))
+    ids = con.sql(f"WITH {parts} SELECT count(*), count(DISTINCT module_symbol_id), count(p_partkey) FROM t_o_file LEFT JOIN part ON p_partkey = module_symbol_id").limit(1).fetchall()[0]
+    assert ids == (150, 150, 0)
+
+
+@pytest.mark.parametrize("sql, symbol, line", [(registry._HITS_SQL, 4, 3), (registry._SEEN_SQL, 3, 3)])
+def test_oracle_of_the_witness_looks_for_exported_names(sql, symbol, line):
+    """As the witness does: a name that text may use is the own one or one that an entry exports."""
+    con = _tables(
+        verdicts=f"SELECT {symbol} AS symbol_id, 'needs_review' AS verdict, ['witness_pending'] AS reasons",
+        t_symbols=f"SELECT {symbol} AS symbol_id, '_sym{symbol}' AS name, 'd' AS package_id",
+        t_symbol_exports=f"SELECT {symbol} AS symbol_id, 'sym{symbol}' AS exported_as",
+        t_packages="SELECT 'd' AS package_id, 'npm' AS manager, 'd' AS name, 1 AS k UNION ALL SELECT 'u', 'npm', 'u', 0 UNION ALL SELECT 'd0', 'npm', 'd0', 2" if symbol == 3 else "SELECT 'd' AS package_id, 'npm' AS manager, 'd' AS name, 0 AS k UNION ALL SELECT 'u', 'npm', 'u', 1",
+        t_package_deps="SELECT 'u' AS consumer_package_id, 'd' AS resolved_package_id, false AS dev",
+        t_o_n="SELECT 1 AS ns",
+        t_o_file="SELECT 0 AS k, 0 AS f, 'src/f0.ts' AS file",
+        t_witness_files="SELECT 'd' AS target_package_id, 'u' AS consumer_package_id, 'x' AS file WHERE false",
+    )
+    assert [(r[0], r[3]) for r in con.sql(sql).fetchall()] == [(symbol, line)]
