@@ -5,8 +5,8 @@ References are uneven, as in code: of 20 orders one refers to the line's own par
 fails to resolve; the others refer to a few helpers of the part's package or to seven
 packages that all use. Packages whose number is 15 of 30 keep to themselves. Two symbols of
 each package are used inside one other each, so that islands form and come back with what
-text still names. Every rule is integer arithmetic and concatenation, so both engines
-derive the same rows.
+text still names. Modules have negative ids, which no part's key meets however many parts there
+are. Every rule is integer arithmetic and concatenation, so both engines derive the same rows.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ SELECT k, package_id, f, path || '/' || CASE
   WHEN f = 1 AND k % 23 = 5 THEN 'src/test-utils/f1.ts'
   WHEN f = 1 AND k % 19 = 7 THEN CASE manager WHEN 'pub' THEN 'lib/mock.dart' ELSE 'src/mocks.ts' END
   WHEN manager = 'pub' THEN 'lib/src/f' || CAST(f AS STRING) || '.dart'
-  ELSE 'src/f' || CAST(f AS STRING) || '.ts' END AS file, 1000000 + 5 * k + f AS module_symbol_id
+  ELSE 'src/f' || CAST(f AS STRING) || '.ts' END AS file, -1 - 5 * k - f AS module_symbol_id
 FROM {packages}, (SELECT 0 AS f UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) fs""",
     "documents": "SELECT package_id, file, CASE WHEN k % 31 = 30 AND f = 3 THEN CAST(NULL AS BIGINT) ELSE module_symbol_id END AS module_symbol_id, f = 0 AS is_entry, k % 19 = 2 AND f = 1 AS is_generated FROM {o_file}",
     "o_part": """
