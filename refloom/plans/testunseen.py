@@ -17,6 +17,7 @@ from refloom.operators.analysis import ERROR_CLASS, SIGNATURE
 from refloom.operators.ingest import Ingest
 from refloom.plans import testindex
 from refloom.plans.testindex import _with_names
+from refloom.storage import materialize
 
 #: A sidecar counts unless its index is given up; its package's documents exist if there is an index at all.
 _VALID = "listed AND NOT (k % 31 = 12 AND k % 29 <> 6 AND k % 41 <> 3)"
@@ -119,7 +120,9 @@ def enriched(spark: SparkSession, sf_dir: str) -> Ingest:
         "runtime_entry_symbols": F.when(F.col("k") % 8 == 3, F.array(F.concat(F.lit("sym"), (F.col("k") + 10 * F.col("ns")).cast("string")))).otherwise(F.array().cast("array<string>")),
     })
     extra = x["packages"].where("k % 10 = 4").select("repo", F.concat(F.lit("file:./"), F.col("entry_points")[0]).alias("from"), F.concat("manager", F.lit(":"), F.when(F.col("k") % 20 == 4, F.concat("repo", F.lit(":"))).otherwise(""), "name", F.when(F.col("k") % 4 == 0, "#*").otherwise(F.concat(F.lit("#sym"), F.col("k").cast("string")))).alias("to"))
-    return Ingest(runtime, x["package_deps"], testindex.index_of(x, rows), testindex.sidecars_of(x, _nested(x)), testindex.manifest_of(x["packages"]), _texts(x), extra)
+    # inputs lie in files, as indexers leave them: many relations read them
+    index, sidecars = materialize(testindex.index_of(x, rows)), materialize(testindex.sidecars_of(x, _nested(x)))
+    return Ingest(runtime, x["package_deps"], index, sidecars, testindex.manifest_of(x["packages"]), _texts(x), extra)
 
 
 _NAME = "head || '. ' || descs"
@@ -209,7 +212,7 @@ BUILDS = {
     "i20_spread_uses": lambda i: _uses(i, i.spread_uses),
     "i20_spread_edges": lambda i: _edges(i, i.spread_edges.distinct()),
     "i21_conditional_uses": lambda i: _uses(i, i.conditional_uses),
-    "i22_overlay_edges": lambda i: _edges(i, i.edges.where("source = 'overlay'")),
+    "i22_overlay_edges": lambda i: _edges(i, i.overlay_edges),
 }
 
 

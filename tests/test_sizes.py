@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from test_unseen import build
 
 from refloom.functions.semver import satisfies
 from refloom.operators import deps
@@ -69,3 +70,10 @@ def test_oracle_of_the_witness_looks_for_exported_names(sql, symbol, line):
         t_witness_files="SELECT 'd' AS target_package_id, 'u' AS consumer_package_id, 'x' AS file WHERE false",
     )
     assert [(r[0], r[3]) for r in con.sql(sql).fetchall()] == [(symbol, line)]
+
+
+def test_declared_uses_need_no_references(spark):
+    """Overlay edges come from declarations and exports; no reference is read for them."""
+    ingest = build(spark, [("a", "src/a.ts", [])], [("a", "r", ".", "npm", "a", ["src/a.ts"])], [{"packageId": "a"}], edges=[("r", "file:src/a.ts", "npm:a#*")])
+    assert ingest.overlay_edges.columns == ["from_symbol_id", "to_symbol_id", "source", "from_package_id", "to_package_id"]
+    assert not {"_edges", "_used", "occurrences"} & set(vars(ingest))
