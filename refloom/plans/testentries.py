@@ -98,13 +98,22 @@ def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quoted_hits(a, names, _quoting(a))
 
 
+def _first_others(p: DataFrame) -> DataFrame:
+    """``p`` with j, the first package of its repository that has another manager.
+
+    The first of each manager is found before packages meet: pairs of a repository's packages
+    would grow with their square.
+    """
+    other = p.groupBy("repo", F.col("manager").alias("other_manager")).agg(F.min("k").alias("j"))
+    return p.join(other, "repo").where("manager <> other_manager").groupBy("package_id", "path", "manager", "k", "ns").agg(F.min("j").alias("j"))
+
+
 def _crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both ways: packages of the second manager call scripts (every other file does) and hand themselves over (those of every eighth number)."""
     a = analysis(spark, sf_dir)
     p = a.t["packages"].crossJoin(F.broadcast(a.t["o_n"])).select("package_id", "repo", "path", "manager", "k", "ns")
     sym = lambda k, i: F.concat(F.lit("sym"), (k + i * F.col("ns")).cast("string"))
-    other = p.select("repo", F.col("manager").alias("other_manager"), F.col("k").alias("j"))
-    met = p.join(other, "repo").where("manager <> other_manager").groupBy("package_id", "path", "manager", "k", "ns").agg(F.min("j").alias("j"))
+    met = _first_others(p)
     use = F.concat(F.lit("// "), sym(F.col("j"), 2), F.lit("\nfinal x = '"), sym(F.col("j"), 0), F.lit(".start';"))
     dart = met.where("manager = 'pub'").select("package_id", F.lit("lib/bridge.dart").alias("file"), F.concat(F.when(F.col("k") % 8 == 3, F.lit("import 'dart:js';\n")).otherwise("\n"), use).alias("text"))
     script = met.where("manager = 'npm'").select("package_id", F.lit("src/bridge.js").alias("file"), F.concat(F.lit("\n"), use).alias("text"))

@@ -11,6 +11,7 @@ are. Every rule is integer arithmetic and concatenation, so both engines derive
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,24 +129,38 @@ def oracle_parts() -> list[tuple[str, str]]:
     return [(f"t_{k}", sql.format(**names)) for k, sql in DERIVED.items()]
 
 
+#: Read by many relations, and joined with themselves.
+WRITTEN = ("packages", "o_file", "symbols", "occurrences", "edges", "package_deps", "documents", "symbol_exports")
+
+
+class Derived(dict):
+    """The organisation's tables; each is derived when it is first read, so a query costs only what it reads."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name in BASE:
+            self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        elif name in DERIVED:
+            frame = self.spark.sql(DERIVED[name], **{k: self[k] for k in set(re.findall(r"{(\w+)}", DERIVED[name]))})
+            self[name] = materialize(frame) if name in WRITTEN else frame
+        else:
+            raise KeyError(name)
+        return self[name]
+
+
 @lru_cache(maxsize=4)
-def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The organisation's tables, written once a session and folder."""
-    frames: dict[str, DataFrame] = {}
-    for b in BASE:
-        frames[b] = spark.read.parquet(f"{sf_dir}/{b}.parquet")
-    for name, sql in DERIVED.items():
-        used = {k: v for k, v in frames.items() if "{" + k + "}" in sql}
-        frame = spark.sql(sql, **used)
-        # read by many relations, and joined with themselves
-        frames[name] = materialize(frame) if name in ("packages", "o_file", "symbols", "occurrences", "edges", "package_deps", "documents", "symbol_exports") else frame
-    return frames
+def derive(spark: SparkSession, sf_dir: str) -> Derived:
+    """The organisation's tables, each written at most once a session and folder."""
+    return Derived(spark, sf_dir)
 
 
 @lru_cache(maxsize=4)
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     """One analysis a session and folder: its materialised relations serve every query."""
-    tables = dict(derive(spark, sf_dir))
+    tables = derive(spark, sf_dir)
     for name in ("excluded_repos", "ignored_manifests", "witness_ok"):
         tables[name] = empty(spark, name)
     return Analysis(tables, POLICY)

@@ -7,7 +7,7 @@ from test_unseen import build
 
 from refloom.functions.semver import satisfies
 from refloom.operators import deps
-from refloom.plans import registry, testorg
+from refloom.plans import registry, testentries, testorg
 
 
 def test_constraints_meet_versions_not_candidates(spark, monkeypatch):
@@ -77,3 +77,17 @@ def test_declared_uses_need_no_references(spark):
     ingest = build(spark, [("a", "src/a.ts", [])], [("a", "r", ".", "npm", "a", ["src/a.ts"])], [{"packageId": "a"}], edges=[("r", "file:src/a.ts", "npm:a#*")])
     assert ingest.overlay_edges.columns == ["from_symbol_id", "to_symbol_id", "source", "from_package_id", "to_package_id"]
     assert not {"_edges", "_used", "occurrences"} & set(vars(ingest))
+
+
+def test_queries_derive_only_what_they_read(spark):
+    tables = testorg.Derived(spark, "/root/testdata/sf0.001")
+    assert tables["o_file"].count() == 5 * tables["packages"].count()
+    assert not {"o_ref", "occurrences", "edges", "symbol_exports", "symbols", "package_deps"} & set(tables)
+
+
+def test_packages_of_a_repository_are_not_paired(spark):
+    p = spark.range(400).selectExpr("concat('p', id) package_id", "'r' repo", "'' path", "if(id % 4 = 3, 'pub', 'npm') manager", "id k", "400L ns")
+    met = testentries._first_others(p)
+    assert {(r["manager"], r["j"]) for r in met.collect()} == {("npm", 3), ("pub", 0)} and met.count() == 400
+    join = met._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)[1]
+    assert "Aggregate" in join  # one side is told once a manager before the join
