@@ -17,6 +17,7 @@ from refloom.operators.analysis import ERROR_CLASS, SIGNATURE
 from refloom.operators.ingest import Ingest
 from refloom.plans import testindex
 from refloom.plans.testindex import _with_names
+from refloom.sources.readers import SIDECAR
 from refloom.storage import materialize
 
 #: A sidecar counts unless its index is given up; its package's documents exist if there is an index at all.
@@ -89,8 +90,22 @@ def _texts(x: dict[str, DataFrame]) -> DataFrame:
     return by_file.join(x["packages"].select("package_id", "repo"), "package_id").select("repo", F.col("file").alias("path"), text.alias("text"))
 
 
-def _nested(x: dict[str, DataFrame]) -> DataFrame:
-    """k and the further fields of its sidecar."""
+class Apart(dict):
+    """Tables that are written when they are first read."""
+
+    def __init__(self, plans: dict[str, DataFrame]):
+        super().__init__(plans)
+        self._written: set[str] = set()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._written:
+            self[name] = materialize(super().__getitem__(name))
+            self._written.add(name)
+        return super().__getitem__(name)
+
+
+def _nested(x: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """packageId and further fields of sidecars, by field: each is nested and written when it is first read."""
     col = F.col
     checked = F.struct("file", col("line").cast("int").alias("line"), col("col").cast("int").alias("col"), "member", col("target_name").alias("targetPackage"), col("target_rel").alias("targetFile"), col("target_line").cast("int").alias("targetLine"), F.lit(4).alias("targetCol"))
     fields = {
@@ -102,10 +117,9 @@ def _nested(x: dict[str, DataFrame]) -> DataFrame:
         "unresolvedImports": (x["y_lost"], F.struct("module", "name", "file", col("line").cast("int").alias("line"), col("col").cast("int").alias("col"))),
         "conditionalImports": (x["y_cond"], F.struct("file", "line", "col", "target", F.array("alternative", F.lit("package:far/far.dart"), F.lit("src/missing.ts")).alias("alternatives"), "directive")),
     }
-    out = x["packages"].select("k")
-    for name, (rows, element) in fields.items():
-        out = out.join(rows.groupBy("k").agg(F.collect_list(element).alias(name)), "k", "left")
-    return out
+    schema = x["packages"].sparkSession.createDataFrame([], SIDECAR).schema
+    owners = x["packages"].where("k % 37 <> 9").select("k", F.col("package_id").alias("packageId"))
+    return Apart({name: rows.groupBy("k").agg(F.collect_list(element).alias(name)).join(owners, "k").select("packageId", F.col(name).cast(schema[name].dataType)) for name, (rows, element) in fields.items()})
 
 
 @lru_cache(maxsize=4)
@@ -121,8 +135,8 @@ def enriched(spark: SparkSession, sf_dir: str) -> Ingest:
     })
     extra = x["packages"].where("k % 10 = 4").select("repo", F.concat(F.lit("file:./"), F.col("entry_points")[0]).alias("from"), F.concat("manager", F.lit(":"), F.when(F.col("k") % 20 == 4, F.concat("repo", F.lit(":"))).otherwise(""), "name", F.when(F.col("k") % 4 == 0, "#*").otherwise(F.concat(F.lit("#sym"), F.col("k").cast("string")))).alias("to"))
     # inputs lie in files, as indexers leave them: many relations read them
-    index, sidecars = materialize(testindex.index_of(x, rows)), materialize(testindex.sidecars_of(x, _nested(x)))
-    return Ingest(runtime, x["package_deps"], index, sidecars, testindex.manifest_of(x["packages"]), _texts(x), extra)
+    index, sidecars = materialize(testindex.index_of(x, rows)), materialize(testindex.sidecars_of(x))
+    return Ingest(runtime, x["package_deps"], index, sidecars, testindex.manifest_of(x["packages"]), _texts(x), extra, _nested(x))
 
 
 _NAME = "head || '. ' || descs"

@@ -1,13 +1,16 @@
 """What must not depend on how large an organisation is."""
 
+from types import SimpleNamespace
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from test_ingest import occurrence
 from test_unseen import build
 
 from refloom.functions.semver import satisfies
 from refloom.operators import deps
-from refloom.plans import registry, testentries, testorg
+from refloom.plans import registry, testentries, testindex, testorg, testunseen
 
 
 def test_constraints_meet_versions_not_candidates(spark, monkeypatch):
@@ -91,3 +94,30 @@ def test_packages_of_a_repository_are_not_paired(spark):
     assert {(r["manager"], r["j"]) for r in met.collect()} == {("npm", 3), ("pub", 0)} and met.count() == 400
     join = met._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)[1]
     assert "Aggregate" in join  # one side is told once a manager before the join
+
+
+def test_pairs_of_alternatives_are_numbers_and_each_is_met_once(spark):
+    """Many documents import one alternative: its declarations are read once, and a path of two packages means both."""
+    packages = [("a", "r", "", "npm", "a", []), ("b", "r", "", "pub", "b", [])]
+    alternative = occurrence("scip-typescript npm a 1.0.0 `alt.ts`/one().", 1, [1, 0, 3])
+    docs = [("a", f"m{n}.ts", [occurrence(f"scip-typescript npm a 1.0.0 `m{n}.ts`/", 1, [0, 0, 0])]) for n in range(4)]
+    docs += [("a", "alt.ts", [alternative]), ("b", "alt.ts", [occurrence("scip-dart pub b 1.0.0 `alt.ts`/two().", 1, [1, 0, 3])])]
+    told = [{"file": f"m{n}.ts", "line": 1, "col": 0, "target": "dart:io", "alternatives": ["alt.ts", "none.ts"], "directive": "import"} for n in range(4)]
+    told = [(t["file"], t["line"], t["col"], t["target"], t["alternatives"], t["directive"]) for t in told]
+    ingest = build(spark, docs, packages, [{"packageId": "a", "conditionalImports": told}])
+    assert not [f.name for f in ingest._conditional.schema if f.dataType.typeName() == "string"]
+    assert ingest._conditional.count() == 8 and ingest._conditional.where("foreign").count() == 4
+    assert sorted(r["name"] for r in ingest._alternative_tops.collect()) == ["one", "two"]
+    assert ingest.conditional_entries.count() == 1  # of the other package
+
+
+def test_names_of_symbols_do_not_ask_what_is_exported(spark):
+    declared = spark.createDataFrame([(1, "x")], "symbol_id long, symbol_str string")
+    assert [tuple(r) for r in testindex._with_names(SimpleNamespace(_declared=declared), declared.select("symbol_id"), of="symbol_id").collect()] == [("x",)]
+
+
+def test_fields_of_sidecars_are_written_when_first_read(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(testunseen, "materialize", lambda df: written.append(df.columns) or df)
+    tables = testunseen.Apart({"one": spark.range(1).toDF("a"), "two": spark.range(1).toDF("b")})
+    assert "two" in tables and tables["one"] is tables["one"] and written == [["a"]]
