@@ -9,8 +9,9 @@ from test_ingest import occurrence
 from test_unseen import build
 
 from refloom.functions.semver import satisfies
-from refloom.operators import deps
+from refloom.operators import analysis, deps
 from refloom.plans import registry, testentries, testindex, testorg, testunseen
+from refloom.schema import TABLES, empty
 
 
 def test_constraints_meet_versions_not_candidates(spark, monkeypatch):
@@ -121,3 +122,18 @@ def test_fields_of_sidecars_are_written_when_first_read(spark, monkeypatch):
     monkeypatch.setattr(testunseen, "materialize", lambda df: written.append(df.columns) or df)
     tables = testunseen.Apart({"one": spark.range(1).toDF("a"), "two": spark.range(1).toDF("b")})
     assert "two" in tables and tables["one"] is tables["one"] and written == [["a"]]
+
+
+def test_only_edges_to_types_are_told_apart(spark, monkeypatch):
+    """Supertypes of lost references: edges that end elsewhere are left out before the others are dealt."""
+    steps = []
+
+    def stopped(start, step):
+        steps.append(step(spark.createDataFrame([], "target_package_id string, dkey string, type_id long")))
+        raise InterruptedError
+
+    monkeypatch.setattr(analysis, "fixpoint", stopped)
+    with pytest.raises(InterruptedError):
+        _ = analysis.Analysis({name: empty(spark, name) for name in TABLES}, testorg.POLICY).unresolved_ref_classes
+    plan = steps[0]._jdf.queryExecution().analyzed().toString()
+    assert "LeftSemi" in plan and plan.index("Deduplicate") < plan.index("LeftSemi")
