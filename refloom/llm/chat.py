@@ -29,6 +29,8 @@ _TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<:]|\\.)*) </turn>\n", re
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 #: A sequence closes at the next conversation once it has so many tokens.
 SEQUENCE_TOKENS = 1 << 18
+#: Sequences of a written file, which a task that reads them holds at once.
+FILE_SEQUENCES = 8
 ASSISTANT = "assistant"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -182,8 +184,8 @@ def read_back(trees: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             vocabulary = vocabulary or Vocabulary(path, pattern)
             for row in range(len(batch)):
-                ids = batch.column(1)[row].values.to_numpy()
-                nodes, leaves, rows = batch.column(3)[row].as_py(), batch.column(4)[row].as_py(), []
+                ids = batch.column(0)[row].values.to_numpy()
+                nodes, leaves, rows = batch.column(1)[row].as_py(), batch.column(2)[row].as_py(), []
                 whole = [vocabulary.decode(ids[n["start"] : n["start"] + n["length"]].tolist()) for n in nodes]
                 under = [unescape(vocabulary.decode(ids[n["content_start"] : n["content_start"] + n["content_length"]].tolist())) if n["loss"] else "" for n in nodes]
                 for leaf in leaves:
@@ -198,7 +200,7 @@ def read_back(trees: DataFrame, path: str, pattern: str) -> DataFrame:
                     rows.append((leaf["conv_hash"], len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
                 yield _arrow(names, rows)
 
-    return trees.mapInArrow(run, "conv_hash string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return trees.select("ids", "nodes", "leaves").mapInArrow(run, "conv_hash string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def chat_format(rows: DataFrame, path: str, pattern: str) -> tuple[DataFrame, DataFrame]:
@@ -237,5 +239,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     trees, members = chat_format(rows.unionByName(extra), path, pattern)
-    digests = read_back(stage(trees), path, pattern)
+    digests = read_back(stage(trees, FILE_SEQUENCES), path, pattern)
     return members.join(digests, "conv_hash").drop("conv_hash").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

@@ -369,6 +369,20 @@ def test_chat_round_trip_and_sharing(spark):
         chat.parse("### user: <x </turn>\n")
 
 
+def test_chat_query_writes_few_sequences_a_file(spark, tmp_path, monkeypatch):
+    # a reader holds a file's rows by columns, so sequences of one file are what a task holds
+    monkeypatch.setattr(chat, "SEQUENCE_TOKENS", 1)
+    rows = [(c, k, role, f"{c} {role}") for c in range(60) for k, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    staged, write = [], chat.stage
+    monkeypatch.setattr(chat, "stage", lambda df, *more: staged.append(write(df, *more)) or staged[-1])
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.query(spark, str(tmp_path)).collect()}
+    assert {c: v for c, v in got.items() if c >= 0} == {c: chat_wanted([("user", f"{c} user"), ("assistant", f"{c} assistant")]) for c in range(60)}
+    trees = next(s for s in staged if "ids" in s.columns)
+    assert trees.count() == 61
+    assert trees.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 8
+
+
 # --- classifiers --------------------------------------------------------------------------
 
 
