@@ -204,8 +204,7 @@ def _edges(i: Ingest, df: DataFrame) -> DataFrame:
 
 
 def _signature_bits(i: Ingest) -> DataFrame:
-    marked = i.occurrences.where(F.col("role").bitwiseAND(SIGNATURE | ERROR_CLASS) != 0)
-    return _with_names(i, marked, symbol_str="symbol_id").select("symbol_str", "package_id", "file", "line", "col", "role")
+    return _with_names(i, i.marked_occurrences, symbol_str="symbol_id").select("symbol_str", "package_id", "file", "line", "col", "role")
 
 
 def _imports(i: Ingest) -> DataFrame:

@@ -5,6 +5,7 @@ from test_ingest import named, occurrence
 
 from refloom.functions.heads import Lines, head_end, head_of
 from refloom.operators.ingest import Ingest
+from refloom.plans import testunseen
 from refloom.schema import TABLES
 from refloom.sources.readers import INDEX, SIDECAR
 
@@ -155,6 +156,23 @@ def test_alternatives_take_the_uses_of_their_twins(spark, target):
     assert i.symbol_exports.count() == i.entry_symbols.count() == 0
 
 
+@pytest.mark.parametrize("alternatives, uses", [(("desktop", "web"), 3), ((), 1)])
+def test_marks_are_read_without_the_other_uses(spark, alternatives, uses):
+    at, docs = dart_docs()
+    docs[1][2].append(occurrence(at["src/none.dart"] + "createPlatform().", 0, (1, 15, 29)))
+    docs = [d for d in docs if not d[1].endswith(("desktop.dart", "web.dart")) or alternatives]
+    told = ("lib/src/storage.dart", 0, 0, "lib/src/none.dart", ["lib/src/desktop.dart", "lib/src/web.dart"], None)
+    text = "\nHandler create(createPlatform x) {\n    createPlatform();\n}"
+    i = build(spark, docs, [(FA, "r", ".", "pub", "fa", ["lib/fa.dart"])], [{"packageId": FA, "conditionalImports": [told]}], [("r", "lib/src/storage.dart", text)])
+    got = sorted(tuple(r) for r in testunseen.BUILDS["i9_signature_bits"](i).collect())
+    # uses are lent only where a declaration of the repository has the name of a marked one
+    assert bool({"_used", "_conditional"} & set(vars(i))) == bool(alternatives)
+    names = named(i)
+    want = i.occurrences.where(f"role >= {SIGNATURE}").collect()
+    assert got == sorted((names[r["symbol_id"]], r["package_id"], r["file"], r["line"], r["col"], r["role"]) for r in want) and len(got) == uses
+    assert {x[2:] for x in got} == {("lib/src/storage.dart", 1, 15, SIGNATURE)}
+
+
 def test_alternatives_without_a_default_are_kept_whole(spark):
     i, short = conditional(spark, [("lib/fa.dart", 7, 3, "dart:io", ["lib/src/ext.dart"], None)])
     edges = {(short[r["from_symbol_id"]], short[r["to_symbol_id"]]) for r in i.conditional_edges.collect()}
